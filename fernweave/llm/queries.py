@@ -5,9 +5,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweave.llm.decontaminate import contaminated_spans
+from fernweave.llm.licenses import license_scan
+from fernweave.llm.lm_score import lm_scores
+from fernweave.llm.mixing import mix_sources, word_tokens
 from fernweave.llm.quality import learn_quality, quality_scores
+from fernweave.llm.sharding import hilbert_shards
 from fernweave.llm.simhash import simhash_components
+from fernweave.llm.syncmers import syncmer_fingerprints
 from fernweave.llm.token_counts import token_counts
+from fernweave.llm.url_filter import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +28,28 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    slim = docs.select("doc_id", "source", "lang", size.alias("bytes"), F.crc32("text").alias("text_crc32"))
+    placed = hilbert_shards(slim, n_shards=8, law="rows", size=F.col("bytes"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_tokens(F.col("text")).alias("tokens"))
+    mixed = mix_sources(docs, max_repeat=MAX_REPEAT, block_tokens=BLOCK_TOKENS, seed=SEED, tokens=F.col("tokens"))
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.coalesce("spans", F.array()), F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
@@ -36,16 +64,59 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def url_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LISTED, "domain string, listed_on string, action string").select("domain", F.to_timestamp("listed_on").alias("listed_at"), "action")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch time: each counts as fetched on the day of 2021 to 2024 that its id mod 1461 names."""
+    fetched = F.expr("timestamp_seconds(1609459200 + pmod(page_id, 1461) * 86400)")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    found = filter_urls(captures, url_list(spark))
+    return found.select("page_id", "host", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "n_active", "rule_domain", "rule_action", "blocked")
+
+
+#: Of op4: most epochs of a source, tokens in a block, seed of the permutations.
+MAX_REPEAT, BLOCK_TOKENS, SEED = 1.25, 1 << 16, 17
+
+# Dated entries of the URL list of op10, (domain, day, action).
+LISTED = [
+    ("cheap-pills.example.com", "2021-02-01", "block"),
+    ("casino-win.example.com", "2021-06-15", "block"),
+    ("casino-win.example.com", "2022-09-01", "allow"),
+    ("casino-win.example.com", "2023-03-10", "block"),
+    ("free-bets.example.com", "2022-01-01", "block"),
+    ("free-bets.example.com", "2024-01-01", "allow"),
+    ("ads-track.example.org", "2021-03-01", "block"),
+    ("ads-track.example.org", "2023-01-01", "allow"),
+    ("example.org", "2023-07-01", "block"),
+    ("example.org", "2023-07-15", "allow"),
+    ("m.example.net", "2021-01-01", "block"),
+    ("tionsh.example.net", "2022-05-05", "allow"),
+    ("example.net", "2024-06-01", "block"),
+    ("example.net", "2024-06-20", "allow"),
+]
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
+    "op5_license_scan": op5_license_scan,
+    "op6_syncmers": op6_syncmers,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality": op9_quality,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {}
