@@ -1,4 +1,6 @@
 """All registered queries of the analytics operators, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from fernweave.plans import benchmark, choice, media, timeline  # noqa: F401  they register their queries
+from fernweave.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
