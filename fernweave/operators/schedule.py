@@ -31,7 +31,7 @@ def local_spikes(frames: DataFrame) -> DataFrame:
     near = F.array_compact(F.array(*[F.when(~f("excluded", i).over(_clip()) & (f("frame", i).over(_clip()) > F.min("frame").over(W.partitionBy("clip"))), f("changed_area", i).over(_clip())) for f, i in ((F.lag, 2), (F.lag, 1), (F.lead, 1), (F.lead, 2))]))
     seen = frames.select("*", F.array_sort(near).alias("_near"), (F.row_number().over(_clip()) == 1).alias("_first"))
     n = F.size("_near")
-    middle = (F.try_element_at("_near", F.floor((n + 1) / 2).cast("int")) + F.try_element_at("_near", (F.floor(n / 2) + 1).cast("int"))) / 2
+    middle = (F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))) / 2
     area = F.col("changed_area")
     spike = ~F.col("_first") & ~F.col("excluded") & area.between(SPIKE_LOW, SPIKE_HIGH) & (n > 0) & (area - middle >= SPIKE_EXCESS) & (area >= middle * SPIKE_FACTOR)
     return seen.select(*frames.columns, F.coalesce(spike, F.lit(False)).alias("spike"))

@@ -146,7 +146,7 @@ def adjacent(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
     near = [F.lag("delta", i).over(along) for i in (2, 1)] + [F.lead("delta", i).over(along) for i in (1, 2)]
     others = F.array_sort(F.array_compact(F.array(*near)))
     n = F.size(others)
-    middle = (F.try_element_at(others, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(others, F.floor(n / 2).cast("int") + 1)) / 2
+    middle = (F.get(others, F.floor((n - 1) / 2).cast("int")) + F.get(others, F.floor(n / 2).cast("int"))) / 2
     return with_delta.withColumn("spike", F.coalesce((n > 0) & (F.col("delta") > 2 * middle), F.lit(False)))
 
 

@@ -1,5 +1,8 @@
 """Report sinks and content-addressed bundles."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernweave.operators.relational import inventory_diff
@@ -11,6 +14,16 @@ REQUIRED = ["report_json", "report_csv", "build_provenance", "blind_html"]
 OWN_MANIFEST = "bundle-manifest.json"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder of spark.checkpoint.dir, which driver and executors share; a
+    local one is set only where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_csv_report(runs: DataFrame, sources: DataFrame, profiles: DataFrame, path: str) -> None:
     """One line for each run with the columns of its source and profile; missing ones are empty.
     Written in parts, each with a header, as a directory that the committer makes whole."""
