@@ -119,4 +119,37 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: DuckDB SQL where it can express the result; the other queries rest on hashes or models that it lacks.
+ORACLE: dict[str, str] = {
+    # The shares raised to the exponent are bisected in 40 halvings; the rest is running sums.
+    "op4_mixing": f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents), s AS (SELECT source, sum(n)::BIGINT AS t FROM d GROUP BY 1),
+p AS (SELECT list(t / (SELECT sum(t) FROM s)::DOUBLE) AS p, sum(t)::BIGINT AS budget FROM s),
+ends AS (SELECT list_max([pow(x, -1.0) FOR x IN p]) / list_sum([pow(x, 0.0) FOR x IN p]) <= {MAX_REPEAT} + 1e-12 AS flat, list_max([pow(x, 0.0) FOR x IN p]) / list_sum(p) <= {MAX_REPEAT} + 1e-12 AS plain FROM p),
+b(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+ SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, list_max([pow(x, (lo + hi) / 2 - 1) FOR x IN p]) / list_sum([pow(x, (lo + hi) / 2) FOR x IN p]) <= {MAX_REPEAT} + 1e-12 AS ok FROM b, p WHERE i < 40)),
+e AS (SELECT CASE WHEN flat THEN 0.0 WHEN NOT plain THEN 1.0 ELSE round((SELECT hi FROM b WHERE i = 40), 6) END AS a FROM ends),
+w AS (SELECT source, t, round(pow(t / (SELECT sum(t) FROM s)::DOUBLE, a) / list_sum([pow(x, a) FOR x IN p]), 9) AS weight, budget FROM s, e, p),
+q AS (SELECT *, floor(weight * budget)::BIGINT AS quota, ceil(floor(weight * budget) / t)::BIGINT AS epochs FROM w),
+r AS (SELECT d.doc_id, d.source, d.n, q.t, q.weight, q.quota, unnest(range(q.epochs)) AS epoch FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, ('0x' || substr(md5('{SEED}/' || epoch || '/' || doc_id), 1, 15))::BIGINT AS place FROM r),
+c AS (SELECT *, epoch * t + coalesce(sum(n) OVER (PARTITION BY source, epoch ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM k)
+SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, epoch::INT AS epoch, (pos // greatest(1, floor(weight * {BLOCK_TOKENS})::BIGINT))::BIGINT AS block FROM c WHERE pos < quota""",
+    # All windows of all items against all places of all documents.
+    "op7_decontamination": f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), iw AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM win), dg AS (SELECT doc_id, m, k, array_to_string(w[k : k + m - 1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM dw CROSS JOIN sizes WHERE len(w) >= m)),
+hit AS (SELECT dg.doc_id, dg.k, dg.m, win.item_id FROM dg JOIN win USING (m, g)),
+pos AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + m)) AS place FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_url_filter": f"""
+WITH l(domain, listed_on, action) AS (VALUES {", ".join(f"('{d}', TIMESTAMP '{t}', '{a}')" for d, t, a in LISTED)}), v AS (SELECT *, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS until FROM l),
+p AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '[.]+$', ''), '') AS host, TIMESTAMP '2021-01-01' + to_days((page_id % 1461)::INT) AS seen FROM pages),
+a AS (SELECT page_id, v.domain, v.action, row_number() OVER (PARTITION BY page_id ORDER BY length(v.domain) DESC) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM p JOIN v ON (host = v.domain OR ends_with(host, '.' || v.domain)) AND listed_on <= seen AND (until IS NULL OR seen < until))
+SELECT p.page_id, host, strftime(seen, '%Y-%m-%d') AS fetched_on, coalesce(n, 0) AS n_active, a.domain AS rule_domain, a.action AS rule_action, coalesce(a.action = 'block', false) AS blocked FROM p LEFT JOIN a ON p.page_id = a.page_id AND k = 1""",
+}
