@@ -1,9 +1,10 @@
 """Operators on ordered rows of a key: islands, prefix sums, as-of values, apportionment.
 
-A key may hold a large share of all rows. `prefix_sums`, `carry_last` and `asof` therefore
-cut a key's order into cells of a fixed width of the order column; what a cell needs from
-the cells before it is aggregated first, so that no window spans more than a cell.
-Operators whose windows span a whole key say so.
+A key may hold a large share of all rows. `prefix_sums`, `carry_last`, `asof`, `islands`,
+`merge_ranges` and `hold_dropped` therefore cut a key's order into cells of a fixed width of
+the order column; what a cell needs from the cells before it is aggregated first, so that no
+window over rows spans more than a cell. Their keys are not null. Operators whose windows span
+a whole key say so.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -49,17 +50,32 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return both.where("_side = 1").select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], same: list[str], measure: str, least: Column | None = None) -> DataFrame:
+def _numbered(flagged: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """flagged (with _cell and _new, 1 where a run begins) with the run of each row, from 0."""
+    ahead = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    sums = flagged.groupBy(*keys, "_cell").agg(F.sum("_new").alias("_n")).select(*keys, "_cell", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_runs"))
+    inside = W.partitionBy(*keys, "_cell").orderBy(*order, F.desc("_new")).rowsBetween(W.unboundedPreceding, 0)
+    return flagged.join(sums, [*keys, "_cell"]).withColumn(name, F.col("_runs") + F.sum("_new").over(inside) - 1)
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], same: list[str], measure: str, width: int, least: Column | None = None) -> DataFrame:
     """Runs of adjacent rows with equal `same` columns: key, run (from 0), the shared columns,
     first and last order value, rows, and the sum of the measure. A null equals a null.
-    least: a condition on all rows of a key without which nothing of it is merged.
-    The windows span a key."""
-    along = W.partitionBy(*keys).orderBy(*order)
+    order: an integer column, then ties. least: a condition on all rows of a key without which
+    nothing of it is merged."""
     state = F.struct(*same)
-    starts = F.when(F.row_number().over(along) == 1, True).otherwise(~state.eqNullSafe(F.lag(state).over(along)))
+    cut = df.withColumn("_cell", _cell(order[0], width))
+    along = W.partitionBy(*keys).orderBy("_cell")
+    lasts = cut.groupBy(*keys, "_cell").agg(F.max_by(state, F.struct(*order)).alias("_last"))
+    prior = lasts.select(*keys, "_cell", F.lag("_last").over(along).alias("_before"), (F.row_number().over(along) == 1).alias("_head"))
+    inside = W.partitionBy(*keys, "_cell").orderBy(*order)
+    first = F.row_number().over(inside) == 1
+    begins = (first & F.col("_head")) | ~state.eqNullSafe(F.when(first, F.col("_before")).otherwise(F.lag(state).over(inside)))
+    joined = cut.join(prior, [*keys, "_cell"])
     if least is not None:
-        starts = starts | ~F.every(least).over(W.partitionBy(*keys))
-    run = df.withColumn("_new", starts.cast("int")).withColumn("run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)) - 1)
+        joined = joined.join(df.groupBy(*keys).agg(F.every(least).alias("_ok")), keys)
+        begins = begins | ~F.col("_ok")
+    run = _numbered(joined.withColumn("_new", begins.cast("int")), keys, order, "run")
     return run.groupBy(*keys, "run", *same).agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("rows"), F.sum(measure).alias("total"))
 
 
@@ -70,13 +86,17 @@ def number_ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     return one.withColumn("_g", F.col(number) - F.row_number().over(along)).groupBy(*keys, "_g").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_g")
 
 
-def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, slack: float = 0) -> DataFrame:
+def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, width: int, slack: float = 0) -> DataFrame:
     """Ranges of a key that overlap or lie within slack of each other, merged: key, start, end
-    and how many were merged. The windows span a key."""
-    along = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(along.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) > reach + slack), 1).otherwise(0)
-    run = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    and how many were merged. start is an integer column."""
+    cut = df.withColumn("_cell", _cell(start, width))
+    ahead = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    reached = cut.groupBy(*keys, "_cell").agg(F.max(end).alias("_m")).select(*keys, "_cell", F.max("_m").over(ahead).alias("_reach"))
+    inside = W.partitionBy(*keys, "_cell").orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
+    reach = F.greatest("_reach", F.max(end).over(inside))
+    joined = cut.join(reached, [*keys, "_cell"])
+    flagged = joined.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + slack), 1).otherwise(0))
+    run = _numbered(flagged, keys, [start, end], "_run")
     return run.groupBy(*keys, "_run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("merged")).drop("_run")
 
 
@@ -120,13 +140,12 @@ def keep_every(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("kept", (place % n == 0) | (place == last))
 
 
-def hold_dropped(df: DataFrame, keys: list[str], order: str, kept: str, duration: str) -> DataFrame:
+def hold_dropped(df: DataFrame, keys: list[str], order: str, kept: str, duration: str, width: int) -> DataFrame:
     """Kept rows with the time they are held: each dropped row extends the last kept one
     before it, leading ones the first kept. A key that keeps nothing does not appear."""
-    along = W.partitionBy(*keys).orderBy(order)
-    own = F.when(F.col(kept), F.col(order))
-    owner = F.coalesce(F.last(own, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)), F.first(own, ignorenulls=True).over(along.rowsBetween(0, W.unboundedFollowing)))
-    return df.withColumn("_owner", owner).where("_owner is not null").groupBy(*keys, F.col("_owner").alias(order)).agg(F.sum(duration).alias("held"), F.count("*").alias("rows"))
+    firsts = df.where(F.col(kept)).groupBy(*keys).agg(F.min(order).alias("_first"))
+    carried = carry_last(df, keys, order, [], F.when(F.col(kept), F.col(order)), width, "_own").join(firsts, keys)
+    return carried.groupBy(*keys, F.coalesce("_own", "_first").alias(order)).agg(F.sum(duration).alias("held"), F.count("*").alias("rows"))
 
 
 def nearest_kept_gap(df: DataFrame, keys: list[str], order: str, kept: str) -> DataFrame:

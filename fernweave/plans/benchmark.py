@@ -146,7 +146,7 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), a AS (SELECT s_suppkey, s_nationkey + (s_suppkey % 3) * 10 AS k FROM supplier)
-SELECT s_suppkey, a.k, coalesce(n, 0) AS n_matches, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM a LEFT JOIN n ON a.k = n.k""")
+SELECT s_suppkey, CAST(a.k AS INT) AS k, coalesce(n, 0) AS n_matches, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM a LEFT JOIN n ON a.k = n.k""")
 def strict_lookup_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lookups that match never, once, or more often."""
     asked = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("cast(s_nationkey + (s_suppkey % 3) * 10 as int)").alias("k"))
@@ -300,7 +300,7 @@ def merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation)
-SELECT k, r AS reviewer, CAST((i - r + n) % n AS INT) AS place FROM n CROSS JOIN (SELECT unnest(range(4)) AS r)""")
+SELECT k, CAST(r AS INT) AS reviewer, CAST((i - r + n) % n AS INT) AS place FROM n CROSS JOIN (SELECT unnest(range(4)) AS r)""")
 def rotated_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced order of packets for four reviewers."""
     return J.rotated_order(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), "k", 4)

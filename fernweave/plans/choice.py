@@ -101,7 +101,7 @@ def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.bounding_box(boxes, ["k"], "x0", "y0", "x1", "y1")
 
 
-@query(f"""WITH {_CANDIDATES} SELECT seq, k, row_number() OVER (PARTITION BY k ORDER BY round(width * colours / (fps + 1.0), 3) DESC, seq) AS rank FROM c""")
+@query(f"""WITH {_CANDIDATES} SELECT seq, k, CAST(row_number() OVER (PARTITION BY k ORDER BY round(width * colours / (fps + 1.0), 3) DESC, seq) AS INT) AS rank FROM c""")
 def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows ranked by a rounded score, ties by name."""
     score = F.round(F.col("width") * F.col("colours") / (F.col("fps") + 1.0), 3)

@@ -30,7 +30,7 @@ def oklab_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.select("p_partkey", *[(F.round(F.col("lab")[n], 6) + 0.0).alias(n) for n in ("l", "a", "b")], F.round(S.oklab_distance(F.col("lab"), grey), 6).alias("from_grey"))
 
 
-@query(f"""WITH {_RGB} SELECT p_partkey, (54 * r + 183 * g + 19 * b) >> 8 AS luma, round(r * 0.2126 + g * 0.7152 + b * 0.0722, 6) AS luma709, ((r >> 3) << 10) | ((g >> 3) << 5) | (b >> 3) AS bin,
+@query(f"""WITH {_RGB} SELECT p_partkey, (54 * r + 183 * g + 19 * b) >> 8 AS luma, CAST(round(r * 0.2126 + g * 0.7152 + b * 0.0722, 6) AS DOUBLE) AS luma709, ((r >> 3) << 10) | ((g >> 3) << 5) | (b >> 3) AS bin,
 (r > 95 AND g > 40 AND b > 20 AND greatest(r, g, b) - least(r, g, b) > 15 AND abs(r - g) > 15 AND r > g AND r > b) OR (r > 200 AND g > 170 AND b > 120 AND r >= g AND g > b AND abs(r - g) <= 45) AS skin,
 CAST(round((r * p_size + 128 * (255 - p_size)) / 255.0) AS INT) AS over_grey FROM rgb""")
 def pixel_math(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,29 +17,29 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT *, epoch_us(ts) AS t, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS run FROM e)
-SELECT user_id, run, event_type, min(t) AS first, max(t) AS last, count(*) AS "rows", round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS total FROM r GROUP BY user_id, run, event_type""")
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(t) AS first, max(t) AS last, count(*) AS "rows", round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 4) AS total FROM r GROUP BY user_id, run, event_type""")
 def islands_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of events of one type."""
     events = _events(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(18,4)"))
-    return W.islands(events, ["user_id"], ["t", "event_id"], ["event_type"], "value").withColumn("total", F.round(F.col("total").cast("double"), 4))
+    return W.islands(events, ["user_id"], ["t", "event_id"], ["event_type"], "value", DAY_US).withColumn("total", F.round(F.col("total").cast("double"), 4))
 
 
 @query("""
 WITH e AS (SELECT *, min(value) OVER (PARTITION BY user_id) >= 0.2 AS ok FROM events),
 n AS (SELECT *, CASE WHEN ok AND lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS run FROM n)
-SELECT user_id, run, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS "rows", sum(event_id) AS total FROM r GROUP BY ALL""")
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS "rows", CAST(sum(event_id) AS BIGINT) AS total FROM r GROUP BY user_id, run, event_type""")
 def guarded_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No run of a key is merged if any of its rows is too small."""
     events = table(spark, sf_dir, "events").withColumn("n", F.col("event_id"))
-    return W.islands(events, ["user_id"], ["event_id"], ["event_type"], "n", least=F.col("value") >= 0.2)
+    return W.islands(events, ["user_id"], ["event_id"], ["event_type"], "n", 1 << 16, least=F.col("value") >= 0.2)
 
 
 @query("""
 WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS amount, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber AS seq FROM lineitem),
 d AS (SELECT l_orderkey, seq, sum(amount) AS amount FROM a GROUP BY ALL), f AS (SELECT *, amount // 10000 AS fl, amount % 10000 AS rem FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rem DESC, seq) AS rn, (sum(amount) OVER (PARTITION BY l_orderkey) + 5000) // 10000 - sum(fl) OVER (PARTITION BY l_orderkey) AS due FROM f)
-SELECT l_orderkey, seq, amount, CAST(fl + CASE WHEN rn <= due THEN 1 ELSE 0 END AS BIGINT) AS units FROM r""")
+SELECT l_orderkey, seq, CAST(amount AS BIGINT) AS amount, CAST(fl + CASE WHEN rn <= due THEN 1 ELSE 0 END AS BIGINT) AS units FROM r""")
 def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole units that keep an order's total."""
     seq = F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
@@ -88,7 +88,7 @@ m AS (SELECT o_custkey, min(s) AS start, max(e) AS "end", count(*) AS merged FRO
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.expr("cast(datediff(cast(o_orderdate as date), date'1990-01-01') as long)")
-    return W.merge_ranges(table(spark, sf_dir, "orders").select("o_custkey", day.alias("s"), (day + 90).alias("e")), ["o_custkey"], "s", "e", 10)
+    return W.merge_ranges(table(spark, sf_dir, "orders").select("o_custkey", day.alias("s"), (day + 90).alias("e")), ["o_custkey"], "s", "e", 365, slack=10)
 
 
 @query(f"""WITH {_RANGES} SELECT * FROM m""")
@@ -153,7 +153,7 @@ SELECT user_id, owner AS event_id, CAST(sum(CAST(round(value * 100) AS BIGINT))
 def drop_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dropped rows extend the kept one before them."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") > 60).alias("kept"), F.round(F.col("value") * 100).cast("long").alias("d"))
-    return W.hold_dropped(events, ["user_id"], "event_id", "kept", "d")
+    return W.hold_dropped(events, ["user_id"], "event_id", "kept", "d", 1 << 16)
 
 
 @query(f"""
@@ -195,7 +195,7 @@ def midpoint_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, CAST(500 + (event_id * 37 + 250) % 4000 AS BIGINT) AS looped,
- CASE WHEN user_id % 11 = 0 THEN 1000 WHEN user_id % 2 = 1 THEN greatest(9000 - 1 - floor(event_id * 1.5 + 0.5), 1000) ELSE least(1000 + floor(event_id * 1.5 + 0.5), 9000 - 1) END AS source_t FROM events""")
+ CAST(CASE WHEN user_id % 11 = 0 THEN 1000 WHEN user_id % 2 = 1 THEN greatest(9000 - 1 - floor(event_id * 1.5 + 0.5), 1000) ELSE least(1000 + floor(event_id * 1.5 + 0.5), 9000 - 1) END AS BIGINT) AS source_t FROM events""")
 def source_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looped, held, forward and reversed source times."""
     e = table(spark, sf_dir, "events")
@@ -204,7 +204,7 @@ def source_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", looped.cast("long").alias("looped"), at.alias("source_t"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, min(rk) AS place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rk FROM lineitem) GROUP BY ALL HAVING min(rk) BETWEEN 2 AND 3""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(min(rk) AS INT) AS place FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_suppkey, l_linenumber) AS rk FROM lineitem) GROUP BY ALL HAVING min(rk) BETWEEN 2 AND 3""")
 def page_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 2 to 3 of each key, a page of its order."""
     from fernweave.operators.select import ranked
