@@ -387,3 +387,54 @@ def held_colours(pixels: DataFrame, own: str, source: str, delay: str, static: i
 
     folded = places.select("clip", "y", "x", F.explode(F.aggregate("s", F.array().cast(kind), step)).alias("f"))
     return folded.select("clip", F.col("f.frame").alias("frame"), "y", "x", F.col("f.held").alias("held"))
+
+
+def content_probe(samples: DataFrame, side: int, fps: float) -> DataFrame:
+    """Per clip of grey samples (clip, frame, y, x, l; side x side places): frames, mean and upper
+    median change, shares of static and cut transitions, cut times in seconds, mean area of the
+    rectangle of change, shares of smooth gradients and edges, and noise. A clip of one frame
+    has no transitions; its measures of change are null."""
+    near = by_frame(samples).select("*", *[f("l").over(w).alias(n) for n, f, w in (("_l", F.lag, _along()), ("_r", F.lead, _along()), ("_u", F.lag, _down()), ("_d", F.lead, _down()))])
+    inner = F.col("_l").isNotNull() & F.col("_r").isNotNull() & F.col("_u").isNotNull() & F.col("_d").isNotNull()
+    gradient = F.floor((F.abs(F.col("_r") - F.col("_l")) + F.abs(F.col("_d") - F.col("_u"))) / 2)
+    bend = F.abs(4 * F.col("l") - F.col("_l") - F.col("_r") - F.col("_u") - F.col("_d"))
+    spatial = near.where(inner).groupBy("clip").agg(
+        F.avg((gradient.between(4, 48) & (bend <= 16)).cast("int")).alias("smooth_ratio"), F.avg((gradient >= 64).cast("int")).alias("edge_ratio"), (F.avg(bend) / 255.0).alias("noise")
+    )
+    stepped = samples.withColumn("d", F.abs(F.col("l") - F.lag("l").over(_time())))
+    moved = lambda c: F.when(F.col("d") >= CHANGED, F.col(c))
+    size = float(side * side)
+    box = (F.max(moved("x")) - F.min(moved("x")) + 1) * (F.max(moved("y")) - F.min(moved("y")) + 1) / size
+    steps = stepped.groupBy(*FRAME).agg((F.sum("d") / (size * 255.0)).alias("delta"), (F.count_if(F.col("d") >= CHANGED) / size).alias("changed"), F.coalesce(box, F.lit(0.0)).alias("area"))
+    still, cut, real = (F.col("delta") < 0.012) & (F.col("changed") < 0.08), (F.col("delta") > 0.18) & (F.col("changed") > 0.65), F.col("delta").isNotNull()
+    deltas = F.sort_array(F.collect_list("delta"))  # a clip's transitions
+    clips = steps.groupBy("clip").agg(
+        F.count("*").alias("frames"), F.avg("delta").alias("mean_delta"), F.get(deltas, F.floor(F.size(deltas) / 2).cast("int")).alias("median_delta"), F.avg(F.when(real, still.cast("int"))).alias("static_ratio"),
+        F.avg(F.when(real, cut.cast("int"))).alias("cut_ratio"), F.sort_array(F.collect_list(F.when(cut, F.col("frame") / fps))).alias("cut_times"), F.avg(F.when(real, F.col("area"))).alias("mean_area"),
+    )
+    return clips.join(spatial, "clip", "left")
+
+
+def candidate_errors(pairs: DataFrame, before: list[str], after: list[str], scales: tuple[int, ...] = (2, 4)) -> DataFrame:
+    """Per clip, over all pixels: mean and nearest-rank 95th percentile of the colour distance,
+    its mean weighted by 1 plus the source's largest step to the right and below (in 0 to 1),
+    and the mean distance of box averages at each scale. No sampling: sums are partial before
+    the shuffle, so all pixels cost little more than some."""
+    lab = lambda names: oklab(*[F.col(c) for c in names])
+    near = by_frame(pairs).select("*", *[max_delta([F.col(c) for c in before], [F.lead(c).over(w) for c in before]).alias(n) for n, w in (("_sx", _along()), ("_sy", _down()))])
+    weight = 1 + F.greatest(F.coalesce("_sx", F.lit(0)), F.coalesce("_sy", F.lit(0))) / 255.0
+    seen = near.select("clip", oklab_distance(lab(before), lab(after)).alias("e"), weight.alias("w"))
+    out = seen.groupBy("clip").agg(F.avg("e").alias("mean_error"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY e)").alias("p95_error"), (F.sum(F.col("e") * F.col("w")) / F.sum("w")).alias("edge_weighted_error"))
+    for s in scales:
+        boxes = pairs.groupBy(*FRAME, F.floor(F.col("y") / s).alias("_y"), F.floor(F.col("x") / s).alias("_x")).agg(*[F.round(F.avg(c)).alias(c) for c in [*before, *after]])
+        out = out.join(boxes.groupBy("clip").agg(F.avg(oklab_distance(lab(before), lab(after))).alias(f"low_error_{s}")), "clip")
+    return out
+
+
+def write_totals(frames: DataFrame) -> DataFrame:
+    """Per clip of frames (clip, frame, width, height, delay_cs, table_size, disposal): how many
+    frames and indexed pixels, their delay, local palette entries, and frames by disposal."""
+    return frames.groupBy("clip").agg(
+        F.count("*").alias("frames"), F.sum(F.col("width") * F.col("height")).alias("pixels"), F.sum("delay_cs").alias("delay_cs"), F.coalesce(F.sum("table_size"), F.lit(0)).alias("entries"),
+        F.count_if(F.col("disposal") == "keep").alias("kept"), F.count_if(F.col("disposal") == "background").alias("cleared"), F.count_if(F.col("disposal") == "previous").alias("restored"),
+    )

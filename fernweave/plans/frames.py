@@ -277,3 +277,39 @@ def ordered_dither(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values held over frames; a fold over each place's frames."""
     return X.held_colours(_pixels(spark, sf_dir), "dg", "g", "delay", 4)
+
+
+@query(f"""
+WITH {PX}, g AS (SELECT clip, frame, y, x, {_L} AS l FROM px), n AS (SELECT *, lag(l) OVER al AS ll, lead(l) OVER al AS lr, lag(l) OVER dn AS lu, lead(l) OVER dn AS ld, abs(l - lag(l) OVER t) AS d FROM g WINDOW al AS (PARTITION BY clip, frame, y ORDER BY x), dn AS (PARTITION BY clip, frame, x ORDER BY y), t AS (PARTITION BY clip, y, x ORDER BY frame)),
+i AS (SELECT clip, (abs(lr - ll) + abs(ld - lu)) // 2 AS gr, abs(4 * l - ll - lr - lu - ld) AS bend FROM n WHERE ll IS NOT NULL AND lr IS NOT NULL AND lu IS NOT NULL AND ld IS NOT NULL),
+s AS (SELECT clip, avg((gr BETWEEN 4 AND 48 AND bend <= 16)::INT) AS smooth_ratio, avg((gr >= 64)::INT) AS edge_ratio, avg(bend) / 255 AS noise FROM i GROUP BY 1),
+f AS (SELECT clip, frame, sum(d) / (64.0 * 255) AS delta, count(*) FILTER (d >= 12) / 64.0 AS changed, coalesce((max(x) FILTER (d >= 12) - min(x) FILTER (d >= 12) + 1) * (max(y) FILTER (d >= 12) - min(y) FILTER (d >= 12) + 1) / 64.0, 0) AS area FROM n GROUP BY ALL),
+c AS (SELECT clip, count(*) AS frames, avg(delta) AS mean_delta, list_sort(list(delta) FILTER (delta IS NOT NULL))[count(delta) // 2 + 1] AS median_delta, avg((delta < 0.012 AND changed < 0.08)::INT) FILTER (delta IS NOT NULL) AS static_ratio, avg((delta > 0.18 AND changed > 0.65)::INT) FILTER (delta IS NOT NULL) AS cut_ratio, avg(area) FILTER (delta IS NOT NULL) AS mean_area,
+ count(*) FILTER (delta > 0.18 AND changed > 0.65) AS cuts FROM f GROUP BY 1)
+SELECT clip, frames, cuts, {", ".join(f"round({c}, 6) AS {c}" for c in ("mean_delta", "median_delta", "static_ratio", "cut_ratio", "mean_area", "smooth_ratio", "edge_ratio", "noise"))} FROM c LEFT JOIN s USING (clip)""")
+def content_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quick look at clips by grey samples."""
+    p = _pixels(spark, sf_dir).select("clip", "frame", "y", "x", S.luma8(F.col("r"), F.col("g"), F.col("b")).alias("l"))
+    found = X.content_probe(p, 8, 4.0)
+    return found.select("clip", "frames", F.size("cut_times").cast("long").alias("cuts"), *[F.round(c, 6).alias(c) for c in ("mean_delta", "median_delta", "static_ratio", "cut_ratio", "mean_area", "smooth_ratio", "edge_ratio", "noise")])
+
+
+@query(f"""
+WITH {PX}, n AS (SELECT *, {_delta("{}", "lead({}) OVER al")} AS sx, {_delta("{}", "lead({}) OVER dn")} AS sy FROM px WINDOW al AS (PARTITION BY clip, frame, y ORDER BY x), dn AS (PARTITION BY clip, frame, x ORDER BY y)),
+l AS (SELECT clip, {_LABS}, 1 + greatest(coalesce(sx, 0), coalesce(sy, 0)) / 255.0 AS w FROM n), e AS (SELECT clip, w, {_apart("a{}", "b{}")} AS e FROM l),
+o AS (SELECT clip, avg(e) AS mean_error, quantile_disc(e, 0.95) AS p95_error, sum(e * w) / sum(w) AS edge_weighted_error FROM e GROUP BY 1),
+b AS (SELECT clip, {", ".join(f"round(avg({c})) AS {c}" for c in ("r", "g", "b", "dr", "dg", "db"))} FROM px GROUP BY clip, frame, y // 4, x // 4), q AS (SELECT clip, {_LABS} FROM b), z AS (SELECT clip, avg({_apart("a{}", "b{}")}) AS low FROM q GROUP BY 1)
+SELECT clip, round(mean_error, 6) AS mean_error, round(p95_error, 6) AS p95_error, round(edge_weighted_error, 6) AS edge_weighted_error, round(low, 6) AS low_error_4 FROM o JOIN z USING (clip)""")
+def candidate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a quantised candidate."""
+    found = X.candidate_errors(_pixels(spark, sf_dir), ["r", "g", "b"], ["dr", "dg", "db"], (4,))
+    return found.select("clip", *[F.round(c, 6).alias(c) for c in ("mean_error", "p95_error", "edge_weighted_error", "low_error_4")])
+
+
+@query(f"""
+WITH {PX}, f AS (SELECT clip, frame, max(x) + 1 AS w, max(y) + 1 AS h, max(delay) AS d, CASE WHEN frame % 2 = 0 THEN 16 END AS t, {_DISPOSAL} AS disposal FROM px GROUP BY clip, frame)
+SELECT clip, count(*) AS frames, CAST(sum(w * h) AS BIGINT) AS pixels, CAST(sum(d) AS BIGINT) AS delay_cs, CAST(coalesce(sum(t), 0) AS BIGINT) AS entries, count(*) FILTER (disposal = 'keep') AS kept, count(*) FILTER (disposal = 'background') AS cleared, count(*) FILTER (disposal = 'previous') AS restored FROM f GROUP BY 1""")
+def write_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of what a writer is given."""
+    frames = _pixels(spark, sf_dir).groupBy("clip", "frame").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max("delay").alias("delay_cs"))
+    return X.write_totals(frames.withColumn("table_size", F.when(F.col("frame") % 2 == 0, 16)).withColumn("disposal", F.expr(_DISPOSAL)))
