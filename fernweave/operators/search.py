@@ -79,7 +79,8 @@ def process_trees(processes: DataFrame, roots: DataFrame) -> DataFrame:
     """Per root: how many processes its tree has, the sum of their memory and its largest one
     (ties to the lower pid). processes: pid, parent, started, rss; roots: pid. A child belongs
     to its parent's tree only if both have start times and it started no earlier: a reused
-    pid does not. One join for each level of the deepest tree."""
+    pid does not. One join for each level of the deepest tree, 64 at most; Spark's limit of rows in a
+    recursive query (spark.sql.cteRecursionRowLimit) holds for all trees together."""
     spark = processes.sparkSession
     edges = processes.alias("c").join(processes.select(F.col("pid").alias("parent"), F.col("started").alias("p_started")), "parent")
     edges = edges.where("started > 0 and p_started > 0 and started >= p_started and pid <> parent").select("parent", F.col("c.pid").alias("pid"))
