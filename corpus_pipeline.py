@@ -19,6 +19,8 @@ from fernweave.llm.store import shared_dir
 #: How often the mix reads a source at most: sources that it reads less are thinned.
 MAX_REPEAT = 1.1
 SHARDS = 8
+#: Words in a shingle of near duplicates, and the least Jaccard likeness of their shingles.
+SHINGLE, SIMILAR = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    return drop_near_duplicates(docs)
+    """The document with the smallest id of each component of texts that are SIMILAR or more alike."""
+    return drop_near_duplicates(docs, shingle=SHINGLE, similarity=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

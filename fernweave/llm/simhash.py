@@ -179,12 +179,19 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of df of which no row with a smaller id is in the same component.
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows of df of which no row with a smaller id is in the same component: of
+    simhash_components, or with a similarity of texts whose shingles are at least so like
+    (Jaccard), all of which are found (similar.similar_components).
 
     Of repeated rows with one id one stays. Rows without an id cannot be named and stay.
     """
-    parts = simhash_components(df, id_col, text_col, shingle)
+    if similarity is None:
+        parts = simhash_components(df, id_col, text_col, shingle)
+    else:
+        from fernweave.llm.similar import similar_components  # it needs simhash_links
+
+        parts = similar_components(df, id_col, text_col, shingle, similarity)
     counts = stored(parts.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "kept")
     keep = counts.where(F.col("c") == F.col(id_col)).select(id_col)
     kept = df.join(keep, id_col, "left_semi")
