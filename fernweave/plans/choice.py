@@ -57,7 +57,7 @@ def pareto_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_CANDIDATES} SELECT k, arg_max(seq, (-abs(bytes - 14000) * 200.0 / (bytes + 14000), -abs(bytes - 14000), width, -seq)) AS seq FROM c GROUP BY k""")
 def size_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidate closest in size."""
+    """The candidate closest in size."""
     return O.size_matched(_candidates(spark, sf_dir).withColumn("target", F.lit(14000)), ["k"], "bytes", "target", "width", "seq", ["seq"])
 
 

@@ -183,7 +183,7 @@ q AS (SELECT search, l.width AS w, l.fps AS fps, l.size AS size, l.target AS tar
 n AS (SELECT *, CASE WHEN size > target THEN CASE WHEN lo > un AND lo < w THEN 'halve' WHEN sh + 2 < w THEN 'scale' ELSE 'fps' END ELSE CASE WHEN hi > w AND hi < ov THEN 'halve' WHEN w < base THEN 'scale' END END AS step FROM q)
 SELECT search, step, CAST(CASE WHEN step = 'halve' AND size > target THEN lo WHEN step = 'halve' THEN hi WHEN step = 'scale' AND size > target THEN sh WHEN step = 'scale' THEN least(greatest(least(gr, base), w + 2), base) END AS INT) AS width FROM n WHERE step IS DISTINCT FROM 'fps'""")
 def next_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next width of each size search."""
+    """The next width of each size search."""
     k = F.col("o_orderkey")
     obs = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("search"), k.alias("seq"), F.lit(150000).alias("target"), F.lit(640).alias("base_width"), (100 + k % 27 * 20).cast("int").alias("width"), F.when(F.col("o_custkey") % 2 == 0, 15).otherwise(12).alias("fps"),
@@ -204,7 +204,7 @@ def tuning_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT o_orderkey AS k, ['A', 'B', 'same', 'C'][o_orderkey % 4 + 1] AS ch, o_orderkey % 6 = 0 AS revealed FROM orders)
 SELECT k, ch <> 'C' AND k % 5 > 0 AND k % 6 > 0 AS sound FROM v""")
 def sound_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes whose fields are what they must be."""
+    """Votes whose fields are what they must be."""
     k = F.col("o_orderkey")
     choice = F.element_at(F.array(*map(F.lit, ["A", "B", "same", "C"])), (k % 4 + 1).cast("int"))
     expected = {"category": F.lit("x"), "formal": F.lit(True), "side_a": F.lit("p1"), "side_b": F.lit("p2")}
