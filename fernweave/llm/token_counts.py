@@ -6,9 +6,11 @@ pass splits each text into pre-tokens, adds up the lengths found in that table a
 encodes the misses, which a cache of the worker keeps. No pre-token is shuffled but
 for the bounded tallies.
 
-A pre-token is a run of spaces with the non-spaces after it. No piece of the model has
-a space mark after another character, so no merge crosses from one pre-token into the
-next, and the lengths add up to the library's count of the whole text.
+A pre-token is a run of spaces with the non-spaces after it. No piece of the model may have
+a space mark after another character (checked when it is loaded), so no merge crosses from
+one pre-token into the next, and the lengths add up to the library's count of the whole text.
+The model puts a mark before a text, which makes a text's first pre-token look like a later
+one; only the bare mark differs: alone it is an empty text, of no token, later a final space.
 """
 
 from collections import Counter
@@ -33,13 +35,19 @@ _cache: dict[str, dict[bytes, int]] = {}
 
 def _model(path: str) -> sentencepiece.SentencePieceProcessor:
     if path not in _models:
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if joined := [p for p in map(model.id_to_piece, range(model.vocab_size())) if "▁" in p.lstrip("▁")]:
+            raise ValueError(f"pieces of {path} go on after a space, lengths of pre-tokens do not add up: {joined[:3]}")
+        _models[path] = model
     return _models[path]
 
 
 def _lengths(path: str, pretokens: list[bytes]) -> list[int]:
-    """The model puts a space mark before what it is given: the pre-token's own first space goes."""
-    return [len(x) for x in _model(path).encode([p[1:].decode() for p in pretokens], num_threads=1)]
+    """The model puts a space mark before what it is given: the pre-token's own first space
+    goes. A bare space is what a letter with a space after it has more than the letter."""
+    model = _model(path)
+    bare = len(model.encode("a ")) - len(model.encode("a"))
+    return [bare if p == b" " else n for p, n in zip(pretokens, map(len, model.encode([p[1:].decode() for p in pretokens], num_threads=1)), strict=True)]
 
 
 def pretokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -112,7 +120,8 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                     sizes[i] = n
                     if len(own[i]) <= LONGEST:
                         cache[own[i]] = n
-                totals[at:to] = np.add.reduceat(np.array(sizes, dtype=np.int64)[coded.indices.to_numpy()], begins)
+                summed = np.add.reduceat(np.array(sizes, dtype=np.int64)[coded.indices.to_numpy()], begins)
+                totals[at:to] = np.where(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0, summed, 0)
             n_bytes = pc.cast(pc.fill_null(pc.binary_length(batch.column("text")), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), n_bytes, pa.array(totals)], ["id", "n_bytes", "n_tokens"])
 
