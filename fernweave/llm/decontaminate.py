@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowed word grams.
 
-Of each 6 consecutive hashes of 5-word grams the smallest is kept, in documents and in
-benchmark items alike, so any 10 words that both hold share a kept hash. Kept hashes of
-a document are joined with those of the items, and each hit is extended word by word to
-the whole shared span; spans of 10 words or more count. An item of fewer than 10 words is
-a single window and is looked up by the hash of all its words.
+Of each 6 consecutive hashes of 5-word grams the smallest is kept (the rightmost of equal
+ones), in documents and in benchmark items alike, so any 10 words that both hold share a
+kept hash. Kept hashes of a document are joined with those of the items; each hit is
+extended to the windows of 10 words around it, which are looked up among the items' windows
+and compared word by word. A repeated word costs one lookup a place, not one for each pair
+of places. An item of fewer than 10 words is a single window and is looked up by all its words.
 """
 
 from collections.abc import Iterator
@@ -15,44 +16,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fernweave.llm.store import stored
-from fernweave.llm.text import ALNUM, blocks, gram_hashes, words
+from fernweave.llm.text import ALNUM, blocks, gram_hashes, mix, words
 
 GRAM, WINDOW = 5, 6
 #: Words of a window that counts: the shortest span that winnowing never misses.
 SPAN = GRAM + WINDOW - 1
 #: Most bytes of benchmark text in one broadcast index; a larger benchmark takes a pass a part.
 INDEX_BYTES = 64 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def winnow(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values of the kept grams. row: the row of each word; no gram or window crosses rows."""
-    grams = gram_hashes(hashes, GRAM)
-    n = len(hashes) - SPAN + 1
+def winnow(grams: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Positions of the kept grams, given the hashes of all GRAM-word grams. row: the row of
+    each word; no gram or window crosses rows. Of equal smallest hashes the rightmost is kept."""
+    n = len(row) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = grams[:n].copy()
+        return np.zeros(0, np.int64)
+    least, where = grams[:n].copy(), np.zeros(n, dtype=np.int64)
     for i in range(1, WINDOW):
-        np.minimum(least, grams[i : i + n], out=least)
-    inside = row[:n] == row[SPAN - 1 :]
+        other = grams[i : i + n]
+        take = other <= least
+        least[take], where[take] = other[take], i
+    inside = np.flatnonzero(row[:n] == row[SPAN - 1 :])
     kept = np.zeros(len(grams), dtype=bool)
-    for i in range(WINDOW):
-        kept[i : i + n] |= inside & (grams[i : i + n] == least)
-    at = np.flatnonzero(kept)
-    return at, grams[at]
+    kept[inside + where[inside]] = True
+    return np.flatnonzero(kept)
+
+
+def _windows(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the SPAN words from each position on: of its two halves' grams."""
+    return mix(grams[at] * _ODD + grams[at + (SPAN - GRAM)])
+
+
+@dataclass
+class Windows:
+    """Distinct windows of one length: sorted hashes, a place of each in the items' words,
+    and the group of items that hold it."""
+
+    size: int
+    value: np.ndarray
+    place: np.ndarray
+    group: np.ndarray
 
 
 @dataclass
 class Index:
-    """The items of a benchmark, or of a part of it."""
+    """The items of a benchmark, or of a part of it. Windows that the same items hold share a group."""
 
     names: list[str | None]
     words: np.ndarray
-    begin: np.ndarray  # of each item in words
-    end: np.ndarray
-    value: np.ndarray  # kept grams, sorted, with their places in words and their items
-    place: np.ndarray
-    item: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by count of words: sorted hashes, items
+    kept: np.ndarray  # distinct kept grams, sorted
+    long: Windows
+    short: list[Windows]
+    groups: list[np.ndarray]  # items of each group
+
+
+def _grouped(size: int, value: np.ndarray, place: np.ndarray, item: np.ndarray, groups: dict[bytes, int]) -> Windows:
+    """Windows of all occurrences (value, place, item)."""
+    order = np.lexsort((item, value))
+    value, place, item = value[order], place[order], item[order]
+    cut = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    own = [np.unique(x).tobytes() for x in np.split(item, cut[1:])] if len(value) else []
+    return Windows(size, value[cut], place[cut], np.array([groups.setdefault(x, len(groups)) for x in own], dtype=np.int64))
 
 
 def build_index(items: list[tuple[object, str | None]]) -> Index:
@@ -60,54 +85,52 @@ def build_index(items: list[tuple[object, str | None]]) -> Index:
     w = words(pa.array([t or "" for _, t in items], pa.string()), ALNUM)
     h, sizes = w.hashes(), np.diff(w.edges)
     row = np.repeat(np.arange(len(items)), sizes)
-    place, value = winnow(h, row)
-    order = np.argsort(value, kind="stable")
-    short = {}
-    for m in set(sizes[(sizes > 0) & (sizes < SPAN)].tolist()):
+    grams = gram_hashes(h, GRAM)
+    starts = np.flatnonzero(row[: max(len(h) - SPAN + 1, 0)] == row[SPAN - 1 :]) if len(h) >= SPAN else np.zeros(0, np.int64)
+    groups: dict[bytes, int] = {}
+    long = _grouped(SPAN, _windows(grams, starts), starts, row[starts], groups)
+    short = []
+    for m in sorted(set(sizes[(sizes > 0) & (sizes < SPAN)].tolist())):
         own = np.flatnonzero(sizes == m)
-        v = gram_hashes(h, m)[w.edges[own]]
-        by = np.argsort(v, kind="stable")
-        short[m] = v[by], own[by]
-    return Index([None if i is None else str(i) for i, _ in items], h, w.edges[:-1], w.edges[1:], value[order], place[order], row[place[order]] if len(place) else place, short)
+        short.append(_grouped(m, gram_hashes(h, m)[w.edges[own]], w.edges[own], own, groups))
+    return Index([None if i is None else str(i) for i, _ in items], h, np.unique(grams[winnow(grams, row)]), long, short, [np.frombuffer(x, dtype=np.int64) for x in groups])
 
 
-def _matches(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with keys[i] == table[j]; table is sorted."""
-    lo, hi = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-    times = hi - lo
-    i = np.repeat(np.arange(len(keys)), times)
-    j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
-    return i, j
+def _looked_up(index: Index, kind: Windows, h: np.ndarray, value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(start, end, group) of those starts whose words are one of the windows, word by word."""
+    if not len(kind.value) or not len(start):
+        return np.zeros((3, 0), np.int64)
+    spot = np.minimum(np.searchsorted(kind.value, value), len(kind.value) - 1)
+    hit = np.flatnonzero(kind.value[spot] == value)
+    for i in range(kind.size):
+        hit = hit[h[start[hit] + i] == index.words[kind.place[spot[hit]] + i]]
+    return np.stack([start[hit], start[hit] + kind.size, kind.group[spot[hit]]])
 
 
 def spans(index: Index, h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, item) of every longest shared span of SPAN words or more, and of every
-    occurrence of a shorter item. h: word hashes; edges: where each document's begin."""
+    """(start, end, group) of every place of every window. h: word hashes; edges: where each
+    document's begin. Linear in the words, whatever repeats."""
     row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    at, value = winnow(h, row)
-    i, j = _matches(value, index.value)
-    p, q, item = at[i], index.place[j], index.item[j]
-    reach = []
-    for step, off, doc_limit, item_limit in ((-1, -1, edges[:-1], index.begin), (1, 0, edges[1:], index.end)):
-        n = np.zeros(len(p), dtype=np.int64)
-        live = np.arange(len(p))
-        while len(live):
-            a, b = p[live] + off + step * n[live], q[live] + off + step * n[live]
-            ok = ((a >= doc_limit[row[p[live]]]) & (b >= item_limit[item[live]])) if step < 0 else ((a < doc_limit[row[p[live]]]) & (b < item_limit[item[live]]))
-            live, a, b = live[ok], a[ok], b[ok]
-            live = live[h[a] == index.words[b]]
-            n[live] += 1
-        reach.append(n)
-    left, right = reach
-    ok = left + right >= SPAN
-    found = [np.stack([p - left, p + right, item])[:, ok]]
-    for m, (values, owners) in index.short.items():
-        grams = gram_hashes(h, m)
-        starts = np.flatnonzero(row[: len(grams)] == row[m - 1 :]) if len(grams) else np.zeros(0, np.int64)
-        i, j = _matches(grams[starts], values)
-        found.append(np.stack([starts[i], starts[i] + m, owners[j]]))
-    start, end, item = np.unique(np.concatenate(found, axis=1).astype(np.int64), axis=1)
-    return start, end, item
+    grams = gram_hashes(h, GRAM)
+    at = winnow(grams, row)
+    if len(index.kept) and len(at):
+        spot = np.minimum(np.searchsorted(index.kept, grams[at]), len(index.kept) - 1)
+        at = at[index.kept[spot] == grams[at]]
+    else:
+        at = at[:0]
+    # A window of SPAN words around the hit begins at one of these places.
+    near = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(near, np.maximum(at - (WINDOW - 1), edges[row[at]]), 1)
+    np.add.at(near, at + 1, -1)
+    start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    start = start[start + SPAN <= edges[1:][row[start]]]
+    found = [_looked_up(index, index.long, h, _windows(grams, start), start)]
+    for kind in index.short:
+        own = gram_hashes(h, kind.size)
+        start = np.flatnonzero(row[: len(own)] == row[kind.size - 1 :]) if len(own) else np.zeros(0, np.int64)
+        found.append(_looked_up(index, kind, h, own[start], start))
+    start, end, group = np.concatenate(found, axis=1).astype(np.int64)
+    return start, end, group
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[Index]:
@@ -122,9 +145,9 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> I
 _HITS = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
-def _scan(found: list, names: list, w) -> tuple[list, list]:
+def _scan(index: Index, found: tuple, w) -> tuple[list, list]:
     """Merged spans and item names of each document, None where it has none."""
-    start, end, item = found
+    start, end, group = found
     docs = len(w.edges) - 1
     out_spans: list = [None] * docs
     out_items: list = [None] * docs
@@ -138,8 +161,8 @@ def _scan(found: list, names: list, w) -> tuple[list, list]:
         for a, b in zip(np.append(0, cut + 1).tolist(), np.append(cut, len(hit) - 1).tolist(), strict=True):
             d = int(doc[a])
             out_spans[d] = (out_spans[d] or []) + [(int(hit[a] - w.edges[d]), int(hit[b] - w.edges[d]))]
-        for d, i in np.unique(np.stack([np.searchsorted(w.edges, start, "right") - 1, item]), axis=1).T.tolist():
-            out_items[d] = (out_items[d] or []) + [names[i]]
+        for d, g in np.unique(np.stack([np.searchsorted(w.edges, start, "right") - 1, group]), axis=1).T.tolist():
+            out_items[d] = (out_items[d] or []) + [index.names[i] for i in index.groups[g].tolist()]
     return out_spans, out_items
 
 
@@ -164,7 +187,7 @@ def contaminated_spans(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
                 n_words, own_spans, own_items = [], [], []
                 for _, _, texts in blocks(batch, "text"):
                     w = words(texts, ALNUM)
-                    s, i = _scan(spans(shared.value, w.hashes(), w.edges), shared.value.names, w)
+                    s, i = _scan(shared.value, spans(shared.value, w.hashes(), w.edges), w)
                     n_words.append(np.diff(w.edges))
                     own_spans += [None if x is None else [{"first": a, "last": b} for a, b in x] for x in s]
                     own_items += [None if x is None else sorted({y for y in x if y is not None}) for x in i]
@@ -201,8 +224,10 @@ def _union_spans(a: Column, b: Column) -> Column:
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of df without any word inside a benchmark window; all columns stay as they are."""
-    for index in _indexes(benchmark, item_col, item_text_col, index_bytes):
+    """The rows of df without any word inside a benchmark window; all columns stay as they are.
+    A benchmark of several parts takes a stored pass for each, so a task holds one index."""
+    for k, index in enumerate(_indexes(benchmark, item_col, item_text_col, index_bytes)):
+        df = stored(df, "clean") if k else df
         shared = df.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

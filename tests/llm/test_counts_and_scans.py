@@ -1,12 +1,19 @@
+import random
 import re
+import time
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
-from fernweave.llm.decontaminate import contaminated_spans, drop_contaminated
+from fernweave.llm import token_counts as T
+from fernweave.llm.decontaminate import _scan, build_index, contaminated_spans, drop_contaminated, spans
 from fernweave.llm.licenses import license_scan
 from fernweave.llm.queries import QUERIES, op7_decontamination
+from fernweave.llm.text import ALNUM, words as text_words
 from fernweave.llm.token_counts import token_counts
 from tests.llm.conftest import lower
 
@@ -37,6 +44,24 @@ def test_token_counts_on_documents(spark, sf):
     assert got == {i: len(model.encode(t)) for i, t in docs.items()}
 
 
+def test_lengths_of_pretokens_add_up():
+    model, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), random.Random(1)
+    parts = [" ", "  ", "\t", "\n", "▁", "▁▁", "\u3000", "\xa0", "\u200b", "\x00", "\x01", "\x1f", "\x7f", "a", "the", "License", "ing", "é", "漢", "ﬁ", "Ａ", "1", "<s>", "</s>", "<unk>"]
+    texts = ["", " ", "a ", "hello world ", "hello\n ", *("".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(20_000))]
+    coded, begins = T.pretokens(pa.array(texts))
+    lengths = np.array(T._lengths(MODEL, coded.dictionary.to_pylist()))
+    sums = np.add.reduceat(lengths[coded.indices.to_numpy()], begins)
+    assert [n if t else 0 for n, t in zip(sums.tolist(), texts, strict=True)] == [len(model.encode(t)) for t in texts]
+
+
+def test_token_counts_of_texts_that_end_in_spaces(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["", " ", "  ", "a ", "a  ", " a", "hello world ", "hello\n ", "▁", "a▁"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for entries in (0, 5, 1000):
+        assert {r.doc_id: r.n_tokens for r in token_counts(df, MODEL, entries=entries).collect()} == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
 def windows(text):
     w = words(text)
     return {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
@@ -65,6 +90,28 @@ def test_decontamination_edge_cases(docs, rows, none, benchmark):
     assert contaminated_spans(none, benchmark).collect() == [] and drop_contaminated(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def scanned(texts, items):
+    index, w = build_index(items), text_words(pa.array(texts), ALNUM)
+    found, names = _scan(index, spans(index, w.hashes(), w.edges), w)
+    return [(sum(b - a + 1 for a, b in s or []), sorted({str(x) for x in n or [] if x is not None})) for s, n in zip(found, names, strict=True)]
+
+
+def test_repeated_words_cost_a_lookup_each():
+    items = [(i, " ".join(["row"] * n)) for i, n in ((1, 2000), (2, 12), (3, 9))] + [(4, "cell " * 300 + "row " * 20)]
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert scanned(["row " * 20_000], items) == [(20_000, ["1", "2", "3", "4"])]
+    assert time.perf_counter() - began < 2 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_few_words_in_all_orders():
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(40)))) for i in range(12)]
+    texts = [" ".join(rng.choice("ab" if k % 2 else "aaab") for _ in range(rng.randrange(60))) for k in range(200)]
+    assert scanned(texts, items) == [brute(t, items)[1:] for t in texts]
+
+
 def test_decontamination_on_documents(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
