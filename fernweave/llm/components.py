@@ -12,9 +12,10 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     Alternates large-star and small-star rounds: in the first every node hands its larger
     neighbours to its smallest one, in the second its smaller ones. Each round keeps the
     components and never adds links; they end as stars around the smallest node. Null
-    ends are left out, repeated links count once, no links give no rows.
+    ends are left out, repeated links count once, no links give no rows. The links are
+    stored first, so what makes them runs once.
     """
-    both = links.where("a is not null and b is not null")
+    both = stored(links.where("a is not null and b is not null"), f"{name}-given")
     own = both.where("a = b").select("a").distinct()
     edges = stored(both.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None

@@ -3,9 +3,12 @@
 A 64-bit fingerprint has 8 bytes. Two fingerprints that differ in at most 3 bits differ
 in at most 3 bytes, so they share at least 8 - 3 = 5 of their positional bytes. Any pair
 that shares 5 of all 8 shares 4 of the first 7: the index has one term for each four of
-the first seven positions (35 terms of 32 bits a fingerprint). Within a posting the
-shared positional bytes of each pair are tallied; pairs with fewer than 5 go, and the
-rest is verified bit by bit. Postings are of distinct fingerprints, so copies cost nothing.
+the first seven positions (35 terms of 32 bits a fingerprint). Four bytes of the guaranteed
+five are thus in the term already; within a posting the shared positional bytes of each pair
+are tallied, pairs with fewer than 5 go, and the rest is verified bit by bit. A posting of
+more than COMPARED fingerprints is split by one more byte position: a pair with the fifth
+shared byte there meets in that part, and the parts are dealt out anew, so none can hold
+more than 2^24 fingerprints. Postings are of distinct fingerprints, so copies cost nothing.
 """
 
 from collections.abc import Iterator
@@ -24,8 +27,12 @@ from fernweave.llm.text import blocks
 MOST_BITS = 3
 LEAST_SHARED = 8 - MOST_BITS
 TERMS = tuple(combinations(range(7), LEAST_SHARED - 1))
-#: Postings up to this length compare all their pairs; longer ones try all flips of the free bits.
+#: Postings up to this length tally all their pairs; longer ones are split by one more byte. A part
+#: has the guaranteed count of shared bytes; a long one is verified by lookups of all flips of its
+#: free bits instead of pair by pair.
 COMPARED = 4096
+#: Most long postings, and most rows to go or repeated, whose keys are broadcast.
+LONG_KEYS, BROADCAST_ROWS = 100_000, 2_000_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -92,18 +99,19 @@ def _flips(free: int) -> Iterator[int]:
             yield sum(some)
 
 
-def linked_in_postings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked_in_postings(key: np.ndarray, fp: np.ndarray, split: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links that join, within each run of one key, what the close pairs of the run join.
 
-    key is sorted; fp has distinct fingerprints within a run. A run's links are a forest:
-    each position that reaches a smaller one is linked to the smallest it reaches.
+    key is sorted; fp has distinct fingerprints within a run; with split, those of a run
+    share LEAST_SHARED bytes. A run's links are a forest: each position that reaches a
+    smaller one is linked to the smallest it reaches.
     """
     n = len(key)
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, n))
-    short = np.repeat(sizes <= COMPARED, sizes)
+    flipped = (sizes > COMPARED) & split
+    at = np.flatnonzero(np.repeat(~flipped, sizes))
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    at = np.flatnonzero(short)
     left = (np.repeat(heads + sizes, sizes) - np.arange(n))[at] if n else at  # positions from here to the run's end
     d = 1
     while len(at := at[left > d]):
@@ -111,13 +119,11 @@ def linked_in_postings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.
         near = at[_close(fp[at] ^ fp[at + d])]
         found.append((near, near + d))
         d += 1
-    for head, size in zip(heads[sizes > COMPARED].tolist(), sizes[sizes > COMPARED].tolist(), strict=True):
+    for head, size in zip(heads[flipped].tolist(), sizes[flipped].tolist(), strict=True):
         own = fp[head : head + size]
         order = np.argsort(own)
         ranked = own[order]
-        fixed = TERMS[int(key[head] >> np.uint64(32)) if key[head] >> np.uint64(32) < len(TERMS) else 0]
-        free = ((1 << 64) - 1) ^ sum(0xFF << 8 * (7 - i) for i in fixed)
-        for mask in _flips(free):
+        for mask in _flips(int(np.bitwise_or.reduce(own ^ own[0]))):  # bits that differ in the run
             other = own ^ np.uint64(mask)
             spot = np.minimum(np.searchsorted(ranked, other), size - 1)
             hit = np.flatnonzero((ranked[spot] == other) & (own < other))
@@ -129,22 +135,28 @@ def linked_in_postings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.
     return fp[node], fp[root[node]]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches: (key, fp) sorted by key; a run may go on in the next batch."""
-    key = fp = np.zeros(0, dtype=np.uint64)
+def _links(split: bool):
+    """For mapInArrow over (key, fp) sorted by key; a run may go on in the next batches."""
 
-    def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = linked_in_postings(k, f)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            k, f = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 2
+            a, b = linked_in_postings(k, f, split)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    for batch in batches:
-        key = np.append(key, batch.column("key").to_numpy().view(np.uint64))
-        fp = np.append(fp, batch.column("fp").to_numpy().view(np.uint64))
-        whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if whole:
-            yield out(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-    yield out(key, fp)
+        for batch in batches:
+            key, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "fp"))
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if whole:  # all runs but the last end here
+                held.append((key[:whole], fp[:whole]))
+                yield out()
+                held = []
+            held.append((key[whole:], fp[whole:]))
+        yield out()
+
+    return run
 
 
 def simhash_links(fps: DataFrame) -> DataFrame:
@@ -158,7 +170,19 @@ def simhash_links(fps: DataFrame) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(byte[i])
         terms.append(key)
     postings = fps.select("fp").where("fp is not null").distinct().select("fp", F.explode(F.array(*terms)).alias("key"))
-    return postings.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_links, "a long, b long").distinct()
+    long = stored(postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMPARED).select("key"), "long")
+    n_long = long.count()
+    linked = lambda p, split: p.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_links(split), "a long, b long")
+    if not n_long:
+        return linked(postings, False).distinct()
+    keys = F.broadcast(long) if n_long <= LONG_KEYS else long
+    # A fifth byte at each position that the term leaves free: its number and value follow the term.
+    free = F.array(*[F.array(*[F.lit(i) for i in range(8) if i not in spots]) for spots in TERMS])
+    bytes_ = F.array(*byte)
+    term = F.shiftright("key", 32).cast("int")
+    parts = postings.join(keys, "key", "left_semi").select("fp", "key", F.explode(F.get(free, term)).alias("spot"))
+    parts = parts.select("fp", F.shiftleft("key", 11).bitwiseOR(F.col("spot") * 256).bitwiseOR(F.get(bytes_, F.col("spot"))).alias("key"))
+    return linked(postings.join(keys, "key", "left_anti"), False).union(linked(parts, True)).distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -180,21 +204,35 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
-    """The rows of df of which no row with a smaller id is in the same component: of
-    simhash_components, or with a similarity of texts whose shingles are at least so like
-    (Jaccard), all of which are found (similar.similar_components).
-
-    Of repeated rows with one id one stays. Rows without an id cannot be named and stay.
+    """One row of df for each component: of simhash_components, or with a similarity of texts
+    whose shingles are at least so like (Jaccard), all of which are found
+    (similar.similar_components). The row with the smallest id stays; of rows with equal ids
+    and different texts in one component, that with the smallest hash of its text.
+
+    Of rows with one id and one text one stays, the one with the smallest hash of all its
+    columns. Rows without an id cannot be named and stay. Texts are only moved where rows
+    repeat, or where more than BROADCAST_ROWS rows go.
     """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    named = df.select(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), text_hash.alias("h"))).alias("key"), F.col(text_col).alias("text"))
     if similarity is None:
-        parts = simhash_components(df, id_col, text_col, shingle)
+        parts = simhash_components(named, "key", "text", shingle)
     else:
         from fernweave.llm.similar import similar_components  # it needs simhash_links
 
-        parts = similar_components(df, id_col, text_col, shingle, similarity)
-    counts = stored(parts.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "kept")
-    keep = counts.where(F.col("c") == F.col(id_col)).select(id_col)
-    kept = df.join(keep, id_col, "left_semi")
-    if counts.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.union(df.where(F.col(id_col).isNull()).select(*kept.columns)).select(*df.columns)
+        parts = similar_components(named, "key", "text", shingle, similarity)
+    keys = stored(parts.where("key is not null").groupBy("key").agg(F.min("component_id").alias("c"), F.count("*").alias("n")), "parts")
+    hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), text_hash.alias("h"))
+
+    def bounded(some: DataFrame) -> tuple[int, DataFrame]:
+        own = some.select("key.id", "key.h")
+        n = own.count()
+        return n, F.broadcast(own) if n <= BROADCAST_ROWS else own
+
+    _, gone = bounded(keys.where("c <> key"))
+    kept = hashed.join(gone, ["id", "h"], "left_anti")
+    n_repeated, repeated = bounded(keys.where("c = key and n > 1"))
+    if n_repeated:
+        one = kept.join(repeated, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row.*")).alias("row"))
+        kept = kept.join(repeated, ["id", "h"], "left_anti").select("row").union(one.select("row"))
+    return kept.select("row.*")

@@ -5,6 +5,7 @@ import xxhash
 
 from fernweave.llm import simhash as H
 from fernweave.llm.components import connected_components
+from fernweave.llm.queries import QUERIES
 from tests.llm.conftest import lower
 
 
@@ -68,18 +69,54 @@ def test_links_join_what_all_close_pairs_join(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_long_postings_try_all_flips(monkeypatch):
-    rng = np.random.default_rng(3)
-    low = np.unique(np.concatenate([rng.integers(0, 1 << 32, 30, dtype=np.uint64), np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 32, 40, dtype=np.uint64))]))
-    spots = H.TERMS[0]
-    fp = np.sort(low)  # the terms' bytes are 0, the others free: move the low bits to those
-    free = [8 * (7 - i) for i in range(8) if i not in spots]
-    spread = sum(((fp >> np.uint64(8 * k)) & np.uint64(255)) << np.uint64(s) for k, s in enumerate(free))
-    key = np.zeros(len(fp), dtype=np.uint64)
-    a, b = H.linked_in_postings(key, spread)
-    monkeypatch.setattr(H, "COMPARED", 1)
-    c, d = H.linked_in_postings(key, spread)
-    assert len(a) > 10 and set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(c.tolist(), d.tolist(), strict=True))
+def test_long_postings_are_split(spark, monkeypatch):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << rng.randrange(40) for _ in range(rng.randrange(1, 9))) for _ in range(300)}
+    fps |= {f ^ (1 << rng.randrange(64)) for f in list(fps)[:80]} | {rng.getrandbits(64) for _ in range(50)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = groups(sorted(fps))
+    for compared in (4096, 40, 3):  # no posting is long, some are, parts are too
+        monkeypatch.setattr(H, "COMPARED", compared)
+        root = {r.node: r.root for r in connected_components(H.simhash_links(df)).collect()}
+        got = {}
+        for i, f in enumerate(signed):
+            got.setdefault(root.get(f, f), set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, g in enumerate(want) if g == k) for k in set(want))
+
+
+def test_batches_that_cut_runs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    key = np.sort(rng.integers(0, 6, 200))
+    fp = (rng.integers(0, 4, 200) << 3 | np.arange(200) % 8) + key * 1000
+    whole = H.linked_in_postings(key.astype(np.uint64), fp.astype(np.uint64))
+    cuts = [slice(a, b) for a, b in zip([0, 1, 40, 41, 120, 121, 130], [1, 40, 41, 120, 121, 130, 200], strict=True)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(key[c]), pa.array(fp[c])], ["key", "fp"]) for c in cuts]
+    out = pa.Table.from_batches(H._links(False)(iter(parts))).to_pydict()
+    assert sorted(zip(out["a"], out["b"], strict=True)) == sorted(zip(*(x.tolist() for x in whole), strict=True)) and len(out["a"]) > 50
+
+
+def test_components_of_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    fps, ids = [reference(r.text) for r in docs], [r.doc_id for r in docs]
+    names = groups(fps)
+    want = {ids[i]: (f"{fps[i]:016x}", min(ids[j] for j in range(len(ids)) if names[j] == names[i])) for i in range(len(ids))}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op2_simhash"](spark, sf).collect()} == want
+
+
+def test_equal_ids_of_different_texts(spark):
+    a, b = "the cat sat on the mat and slept all day long", "a wholly different line about ships at sea and storms"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b, "u"), (3, b, "u"), (4, b + " now", "v"), (None, a, "w"), (None, None, None), (5, "own words in this one stand alone here", "p"), (5, "own words in this one stand alone here", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    for options in ({}, {"shingle": 5, "similarity": 0.8}):
+        kept = H.drop_near_duplicates(df, **options)
+        got = sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect())
+        assert kept.columns == df.columns and kept.where("doc_id is null").count() == 2
+        assert (1, a) in got and (2, b) in got and (2, a) not in got and (3, b) not in got
+        assert sum(i == 5 for i, _ in got) == 1
 
 
 def test_components_of_links(spark):
