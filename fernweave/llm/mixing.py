@@ -84,7 +84,9 @@ def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id
     places), epoch (from 0), block and place (the order within a block and source).
 
     Of a source with weight w the first floor(w * budget) tokens are read, in permutations of
-    the whole source by a hash of seed, epoch and id: a row is in if its first token is. A
+    the whole source by a hash of seed, epoch and id: a row is in if its first token is. Rows
+    of one id, and those without one, are in the order of a hash of all their columns, so
+    which of them are read does not depend on how the table is dealt out. A
     null source is one of its own; null texts have one token; repeated rows are rows of
     their own; columns named like the added ones are replaced; an empty table gives none.
     """
@@ -107,8 +109,8 @@ def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id
         salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS))
         read = counted.withColumn("_salt", salt).join(plan.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_source", "_salt"])
     read = read.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    read = read.withColumn("place", hash_place(F.lit(seed), F.col("epoch"), F.col("_id")))
-    run = with_running_totals(read, ["_source", "epoch"], "place", {"n_tokens": "_before"})
+    read = read.withColumn("place", hash_place(F.lit(seed), F.col("epoch"), F.col("_id"))).withColumn("_tie", F.xxhash64("_row"))
+    run = with_running_totals(read, ["_source", "epoch"], "place", {"n_tokens": "_before"}, tie="_tie")
     at = F.col("epoch") * F.col("tokens") + F.col("_before")
     share = F.greatest(F.lit(1), F.floor(F.col("weight") * F.lit(block_tokens)).cast("long"))
     return run.withColumn("_at", at).where("_at < quota").withColumn("_share", share).withColumn("block", F.expr("_at div _share")).select("_row.*", *added)

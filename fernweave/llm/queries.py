@@ -11,6 +11,7 @@ from fernweave.llm.mixing import mix_sources, word_tokens
 from fernweave.llm.quality import learn_quality, quality_scores
 from fernweave.llm.sharding import hilbert_shards
 from fernweave.llm.simhash import simhash_components
+from fernweave.llm.store import stored
 from fernweave.llm.syncmers import syncmer_fingerprints
 from fernweave.llm.token_counts import token_counts
 from fernweave.llm.url_filter import filter_urls
@@ -31,13 +32,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    slim = docs.select("doc_id", "source", "lang", size.alias("bytes"), F.crc32("text").alias("text_crc32"))
+    slim = stored(docs.select("doc_id", "source", "lang", size.alias("bytes"), F.crc32("text").alias("text_crc32")), "slim")
     placed = hilbert_shards(slim, n_shards=8, law="rows", size=F.col("bytes"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_tokens(F.col("text")).alias("tokens"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", word_tokens(F.col("text")).alias("tokens")), "tokens")
     mixed = mix_sources(docs, max_repeat=MAX_REPEAT, block_tokens=BLOCK_TOKENS, seed=SEED, tokens=F.col("tokens"))
     return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block")
 

@@ -54,11 +54,52 @@ def test_sharding_of_documents(spark, sf):
     for r in found:
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (size(docs[r.doc_id].text), zlib.crc32((docs[r.doc_id].text or "").encode()), "rows", None)
     by = slots_are_gapless(found)
+    order = [r.curve for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order) and len(set(order)) > 8  # shards are runs of the curve
+    cell = {}
+    for r in found:
+        d = docs[r.doc_id]
+        cell.setdefault((d.source, d.lang, int(math.floor(math.log2(r["size"]) * S.STEPS))), set()).add(r.curve)
+    assert all(len(x) == 1 for x in cell.values())
     assert sorted(by) == list(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     again = S.hilbert_shards(spark.read.parquet(f"{sf}/documents.parquet").repartition(7), 8, "rows").select("doc_id", "shard", "slot").collect()
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in found}
 
 
+def quantile_cells(values, bits):
+    """The cell of each value, by hand."""
+    out, before = {}, 0
+    for v in sorted(set(values), key=lambda v: (v is not None, v)):
+        n = sum(x == v for x in values)
+        out[v] = min((1 << bits) - 1, int((before + n / 2) * (1 << bits) / len(values)))
+        before += n
+    return out
+
+
+def test_cells_are_quantiles_of_ordered_values(spark, monkeypatch):
+    rows = [(s, lang, size) for i, s in enumerate(["a", "b", None, "ä", "漢", "zz", "b"]) for lang in ("en", None) for size in range(i + 1)]
+    df = spark.createDataFrame(rows, "source string, lang string, step int")
+    curve = {r.h: (r.x, r.y, r.z) for r in spark.createDataFrame(list(itertools.product(range(8), repeat=3)), "x int, y int, z int").select("*", S.hilbert_index(F.col("x"), F.col("y"), F.col("z"), 3).alias("h")).collect()}
+    by = [quantile_cells([r[k] for r in rows], 3) for k in range(3)]
+    for r in S.curve_places(df, 3).collect():
+        assert curve[r.curve] == (by[0][r.source], by[1][r.lang], by[2][r.step])
+    monkeypatch.setattr(S, "VALUES", 2)  # ranked by leading bytes
+    some = {r.source: curve[r.curve][0] for r in S.curve_places(df, 3).collect()}
+    assert some[None] <= some["a"] <= some["b"] <= some["zz"] <= some["ä"] <= some["漢"]
+
+
+def test_filters_on_every_dimension_prune_shards(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    shards = S.hilbert_shards(docs, 32).select("source", "lang", "size", "shard").collect()
+    quarter = sorted(r["size"] for r in shards)[:: len(shards) // 4]
+    for dim in (lambda r: r.source, lambda r: r.lang, lambda r: sum(r["size"] >= q for q in quarter)):
+        along, dealt = {}, {}
+        for i, r in enumerate(shards):
+            along.setdefault(dim(r), set()).add(r.shard)
+            dealt.setdefault(dim(r), set()).add(xxhash.xxh64_intdigest(str(i)) % 32)
+        assert sum(map(len, along.values())) < 0.8 * sum(map(len, dealt.values()))
+
+
 def test_written_shards_prune(spark, docs, tmp_path):
     S.write_shards(S.hilbert_shards(docs, 3).select("doc_id", "shard", "slot"), f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")
@@ -121,6 +162,26 @@ def test_mix_reads_its_quota(docs, rows, none):
     assert drawn.columns == docs.columns and drawn.count() == len(found)
 
 
+def test_quotas_and_ties_by_hand(spark):
+    """Ids repeat and are missing: which rows are read up to the quota is fixed all the same."""
+    rows = [(i % 5 if i % 3 else None, "ab"[i % 7 == 0], " ".join(["w"] * (i % 11)), i) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n int")
+    runs = [sorted(map(str, X.mix_sources(d, max_repeat=1.3, block_tokens=50).collect())) for d in (df.repartition(5), df.coalesce(1).orderBy(F.desc("n")))]
+    assert runs[0] == runs[1]
+    found = X.mix_sources(df, max_repeat=1.3, block_tokens=50).collect()
+    total = {s: sum(r[3] % 11 + 1 for r in rows if r[1] == s) for s in "ab"}
+    for s in "ab":
+        own = [r for r in found if r.source == s]
+        weight = {r.weight for r in own}.pop()
+        quota, left = math.floor(weight * sum(total.values())), 0
+        for epoch in sorted({r.epoch for r in own}):
+            each = [r for r in own if r.epoch == epoch]
+            if epoch < max(r.epoch for r in own):
+                assert sum(r.n_tokens for r in each) == total[s]
+            left += sum(r.n_tokens for r in each)
+        assert quota <= left < quota + 11  # the last row read begins before the quota
+
+
 def test_no_source_is_read_more_often_than_allowed(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     most = 1.25
@@ -186,3 +247,46 @@ def test_url_filter(spark):
         0: ("a.com", 0, None, False), 1: ("a.com", 1, "a.com", True), 2: ("x.a.com", 2, "x.a.com", True), 3: ("y.x.a.com", 2, "x.a.com", True), 4: ("aa.com", 0, None, False), 5: (None, 0, None, False), 6: (None, 0, None, False), 7: ("a.com", 0, None, False), 8: ("b.com", 0, None, False),
     }
     assert U.filter_urls(caps.limit(0), entries).collect() == [] and U.filter_urls(caps, entries.limit(0)).where("blocked").count() == 0
+
+
+def active(entries, host, at):
+    """Active entries of the host and its parents, the most specific first, by hand."""
+    found = []
+    parts = host.split(".")
+    for k in range(len(parts)):
+        own = sorted((t, a) for d, t, a in entries if d == ".".join(parts[k:]) and t <= at)
+        if own:
+            found.append((".".join(parts[k:]), own[-1][1]))
+    return found
+
+
+def test_long_lists_and_captures_at_an_entrys_instant(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    name = lambda: ".".join(rng.choice(("a", "b", "c", "dd", "e")) for _ in range(rng.randrange(1, 3))) + rng.choice((".com", ".net", ".org.uk"))
+    entries = list({(name(), rng.randrange(20)): rng.choice(("block", "allow")) for _ in range(300)}.items())
+    entries = [(d, t, a) for (d, t), a in entries]
+    asked = [(i, f"http://{rng.choice(('x.', 'a.', ''))}{name()}/p", rng.randrange(22)) for i in range(500)]
+    asked += [(500 + i, f"http://{d}/", t) for i, (d, t, _) in enumerate(entries)]
+    at = F.expr("timestamp_seconds(1600000000 + t * 86400)")
+    held = spark.createDataFrame(entries, "domain string, t int, action string").select("domain", at.alias("listed_at"), "action")
+    caps = spark.createDataFrame(asked + asked[:50], "id int, url string, t int").select("id", "url", "t", at.alias("fetched_at"))
+    want = {}
+    for i, url, t in asked:
+        found = active(entries, url[7:].split("/")[0], t)
+        want[i] = (len(found), *(found[0] if found else (None, None)))
+    for most, hot in ((200_000, 1_000), (0, 1_000), (0, 5)):
+        monkeypatch.setattr(U, "BROADCAST_ENTRIES", most)
+        monkeypatch.setattr(U, "HOT", hot)
+        rows = U.filter_urls(caps, held).collect()
+        assert len(rows) == len(asked) + 50 and {r.id: (r.n_active, r.rule_domain, r.rule_action) for r in rows} == want
+
+
+def test_names_without_an_entry_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(U, "BROADCAST_ENTRIES", 0)
+    hosts = spark.range(1000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"))
+    both = hosts.select("host", F.explode(F.array("host", F.lit("com"))).alias("domain"))
+    held = spark.createDataFrame([("h7.com", 1)], "domain string, x int")
+    left, _ = U.listed_names(both, held)
+    assert left.where("domain = 'com'").count() == 0 and left.count() == 1000
