@@ -2,23 +2,23 @@
 
 A k-mer of K words is kept if the smallest hash of its S-mers stands first or last among
 them. Whether it is kept depends on its own words only, so the same passage yields the
-same anchors in any context. A fingerprint holds the SKETCH smallest distinct anchor
-hashes; the likeness of two is the share of the smallest of their union that both hold,
-an estimate of the Jaccard likeness of the anchor sets (exact for short texts).
+same anchors in any context. A fingerprint holds all anchors of the whole text with their
+positions. Two fingerprints are matched by position: anchors of one hash that both hold
+give an offset, and those count whose offset at least one other pair of anchors has too.
+The likeness is the share of the anchors of both that are matched so.
 """
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fernweave.llm.store import stored
-
-#: Words in a k-mer and in an inner s-mer, and anchors in a fingerprint.
-K, S, SKETCH = 5, 2, 64
+#: Words in a k-mer and in an inner s-mer, and bits of an anchor's position.
+K, S, PLACE = 5, 2, 31
 #: Longer runs of non-spaces count as words of this many characters.
 LONGEST = 24
-#: Documents in a bucket of neighbouring ids, and most buckets whose edges are broadcast.
-BUCKET, EDGES = 1024, 1 << 20
+#: Documents in a bucket of neighbours, and most buckets, whose bounds are held by every task.
+BUCKET, BUCKETS = 8_192, 1 << 16
 _MASK = (1 << 32) - 1
 
 
@@ -62,61 +62,106 @@ def _anchor(s: Column, i: Column) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """All anchors of a text, as array<struct<position, hash>> for positional matching.
-    position counts words from 0."""
-    return _let(_mer_hashes(text), lambda s: F.transform(_closed(s), lambda i: F.struct(i.alias("position"), _anchor(s, i).alias("hash"))))
+    """All anchors of a text in order, as longs of 32 bits of hash and PLACE bits of position,
+    which counts words from 0. A text with words but no anchor has one at 0 with the hash of
+    all its words; one without words, and null, has none."""
 
+    def all_of(s: Column) -> Column:
+        packed = lambda i: F.shiftleft(_anchor(s, i), PLACE).bitwiseOR(i.cast("long"))
+        whole = F.array(F.shiftleft(F.xxhash64(s).bitwiseAND(_MASK), PLACE))
+        return _let(F.transform(_closed(s), packed), lambda x: F.when((F.size(x) > 0) | (F.size(s) == 0), x).otherwise(whole))
 
-def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct anchor hashes. A text with words but no anchor has the
-    hash of all its words; one without words, and null, has none."""
+    return _let(_mer_hashes(F.coalesce(text, F.lit(""))), all_of)
 
-    def smallest(s: Column) -> Column:
-        kept = F.slice(F.sort_array(F.array_distinct(F.transform(_closed(s), lambda i: _anchor(s, i)))), 1, SKETCH)
-        return _let(kept, lambda x: F.when((F.size(x) > 0) | (F.size(s) == 0), x).otherwise(F.array(F.xxhash64(s).bitwiseAND(_MASK))))
 
-    return _let(_mer_hashes(F.coalesce(text, F.lit(""))), smallest)
+def _place(x: Column) -> Column:
+    return x.bitwiseAND((1 << PLACE) - 1)
 
 
-def as_text(sketched: Column) -> Column:
-    """A sketch as 8 hexadecimal digits for each anchor."""
-    return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def as_text(found: Column) -> Column:
+    """Anchors as 9 hexadecimal digits each: the hash, and the words since the anchor before
+    or the beginning. Those are fewer than 16: of any K - S + 1 k-mers in a row one is kept."""
 
+    def digits(a: Column) -> Column:
+        gap = lambda x, i: _place(x) - F.when(i > 0, _place(F.get(a, i - 1))).otherwise(0)
+        return F.transform(a, lambda x, i: F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(x, PLACE), 4).bitwiseOR(gap(x, i))), 9, "0"))
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; 1 for two sketches without anchors."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return _let(both, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
+    return F.lower(F.array_join(_let(found, digits), ""))
 
 
-def with_next(df: DataFrame, id_col: str, values: dict[str, str], derive: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """derive(df) with, for each (column, name), the value in the row of the next id, the
-    first after the last. df's rows are dealt into buckets of neighbouring ids; the first
-    row of each bucket is handed to the bucket before it, so no order over all is needed.
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1: the anchors matched by position over those of both. 1 for two without anchors.
 
-    Ids are integers, spread over their range without great gaps; repeated ids follow one
-    another by their values; null ids come first. derive adds columns that depend on the row.
+    All anchors are sorted by hash, position and side. Neighbours of one hash and different
+    sides are pairs; a pair counts if another has its offset, or if a side has one anchor only.
+    """
+    both = F.sort_array(F.concat(F.transform(a, lambda x: F.shiftleft(x, 1)), F.transform(b, lambda x: F.shiftleft(x, 1).bitwiseOR(1))))
+    side = lambda x: x.bitwiseAND(1)
+    place = lambda x: _place(F.shiftright(x, 1))
+
+    def offsets(v: Column) -> Column:
+        def pair(x: Column, i: Column) -> Column:
+            y = F.get(v, i + 1)
+            paired = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))
+            return F.when(paired, (place(y) - place(x)) * (side(y) - side(x)))
+
+        return F.sort_array(F.filter(F.transform(v, pair), lambda o: o.isNotNull()))
+
+    fewer = F.least(F.size(a), F.size(b))
+    shared = lambda o, x, i: (x == F.get(o, i + 1)) | ((i > 0) & (x == F.get(o, i - 1)))
+    counted = lambda o: F.size(F.filter(o, lambda x, i: F.coalesce(shared(o, x, i), F.lit(False)) | (fewer == 1)))
+    matched = F.least(_let(_let(both, offsets), counted), fewer)
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(_let(matched, lambda m: m / (F.size(a) + F.size(b) - m)))
+
+
+def _bucket(key: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted bounds are not beyond the key, by binary search. The bounds are
+    one constant; key and bounds are structs of an id of type `kind` and a hash."""
+    if not bounds:
+        return F.lit(0)
+    held = F.from_json(F.lit(json.dumps(bounds)), "array<struct<id:string,h:bigint>>").cast(f"array<struct<id:{kind},h:bigint>>")
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(held, middle) <= key
+        done = s["lo"] >= s["hi"]
+        return F.struct(F.when(~done & below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(~done & ~below, middle).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
+
+
+def with_next(df: DataFrame, per_bucket: int = BUCKET, most: int = BUCKETS) -> DataFrame:
+    """df has columns id and text. Returns id, text, anchors, and next_text and next_anchors of
+    the row that follows in ascending order of ids, the first after the last.
+
+    Ids are of any type that can be ordered and written as text; null ids come first, and rows
+    of one id follow one another by a hash of their texts. The order is cut into buckets of
+    neighbours by the ids alone, a sample of which gives the bounds; then the texts move once,
+    to their buckets, and the first row of each bucket goes to the bucket before it, too.
     """
-    span = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count("*").alias("n")).first()
-    lo, buckets = span.lo or 0, max(1, -(-span.n // BUCKET))
-    width = max(1, -(-((span.hi or 0) - lo + 1) // buckets))
-    placed = df.withColumn("_bucket", F.expr(f"coalesce((cast({id_col} as bigint) - {lo}L) div {width}, -1L)"))
-    order = W.orderBy("_bucket")
-    edges = placed.groupBy("_bucket").agg(F.min(id_col).alias("_first"))
-    edges = edges.select(F.lag("_bucket").over(order).alias("_to"), F.max("_bucket").over(W.partitionBy()).alias("_end"), "_first", "_bucket")
-    edges = stored(edges.select(F.coalesce("_to", "_end").alias("_to"), "_first", "_bucket"), "edges")
-    if buckets <= EDGES:
-        edges = F.broadcast(edges)
-    names = list(values)
-    rows = derive(placed)
-    heads = derive(placed.join(edges.withColumnRenamed("_bucket", "_own"), (F.col("_bucket") == F.col("_own")) & F.col(id_col).eqNullSafe(F.col("_first"))))
-    heads = heads.groupBy("_to").agg(F.min(F.struct(*names)).alias("_v"))
-    plain = rows.withColumn("_real", F.lit(1))
-    extra = heads.select(F.col("_to").alias("_bucket"), F.lit(0).alias("_real"), *[F.col(f"_v.{c}").alias(c) for c in names])
-    every = plain.unionByName(extra, allowMissingColumns=True)
-    along = W.partitionBy("_bucket").orderBy(F.desc("_real"), F.asc_nulls_first(id_col), *names)
-    led = every.select("*", *[F.lead(c).over(along).alias(n) for c, n in values.items()])
-    return led.where("_real = 1").drop("_real", "_bucket")
+    kind = df.schema["id"].dataType.simpleString()
+    keyed = df.select("id", "text", F.xxhash64("text").alias("h"))
+    key = F.struct("id", "h")
+    slim = keyed.select("id", "h")
+    n = min(most, max(1, -(-slim.count() // per_bucket)))
+    ranged = slim.repartitionByRange(n, F.asc_nulls_first("id"), "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("k"))
+    firsts = sorted((r.p, r.id, r.h) for r in ranged.select("p", F.col("k.id").cast("string").alias("id"), "k.h").collect()) if n > 1 else []  # most rows at most
+    placed = keyed.withColumn("bucket", _bucket(key, [{"id": i, "h": h} for _, i, h in firsts[1:]], kind))
+    edges = placed.groupBy("bucket").agg(F.min(key).alias("k")).select("bucket", F.struct("k.id", "k.h").alias("k")).orderBy("bucket").collect()  # most rows at most
+    order = [r.bucket for r in edges]
+    to = dict(zip(order, order[-1:] + order[:-1], strict=True))
+    schema = f"bucket int, k struct<id:{kind},h:bigint>, to int"
+    heads = F.broadcast(df.sparkSession.createDataFrame([(r.bucket, r.k, to[r.bucket]) for r in edges], schema).select(F.col("bucket").alias("own"), F.col("k.id").alias("first"), F.col("k.h").alias("first_h"), "to"))
+    is_head = (F.col("bucket") == F.col("own")) & F.col("id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h"))
+    one = placed.join(heads, is_head).groupBy("to").agg(F.min(F.struct("id", "h", "text")).alias("r"))
+    extra = one.select("r.id", "r.text", "r.h", F.col("to").alias("bucket"), F.lit(0).alias("real"))
+    every = placed.select("id", "text", "h", "bucket", F.lit(1).alias("real")).union(extra)
+    along = [F.desc("real"), F.asc_nulls_first("id"), F.asc("h")]
+    dealt = every.repartition("bucket").sortWithinPartitions("bucket", *along).withColumn("anchors", anchors(F.col("text")))
+    window = W.partitionBy("bucket").orderBy(*along)
+    led = dealt.select("id", "text", "anchors", "real", F.lead("text").over(window).alias("next_text"), F.lead("anchors").over(window).alias("next_anchors"))
+    return led.where("real = 1").drop("real")
 
 
 def syncmer_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,20 +171,19 @@ def syncmer_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next row's text, in ascending order of ids, the first after the last.
     Null texts are empty; a single row is its own next; an empty table gives none; other
-    columns are not looked at.
+    columns are not looked at. Null ids come first; rows of one id follow by a hash of the text.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    led = with_next(docs, "id", {"text": "next_text", "sketch": "next_sketch"}, lambda d: d.withColumn("sketch", sketch(F.col("text"))))
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
-    made = led.select("id", F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    both = made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    made = with_next(docs).select("id", F.length("text").cast("long").alias("n_chars"), "anchors", "next_anchors", edited.alias("edited"))
+    both = made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "next_anchors", anchors(F.col("edited")).alias("edited_anchors"))
     return both.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(F.col("anchors")).alias("fingerprint"),
+        as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )

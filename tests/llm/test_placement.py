@@ -1,6 +1,8 @@
+import datetime
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import pytest
@@ -191,47 +193,111 @@ def test_no_source_is_read_more_often_than_allowed(spark, sf):
 
 
 
-def test_syncmers_keep_context_free_anchors(spark):
+def chained(values, seed=42):
+    """Spark's 64-bit hash of several values: each one's hash is the next one's seed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
+    return seed
+
+
+def plain_anchors(text):
+    """(position, hash) of the closed syncmers, one by one."""
+    w = re.findall(r"[^\x20\x09-\x0D]{1,24}", text or "")
+    if len(w) < Y.K:
+        return [(0, chained([chained(w)]) & Y._MASK)] if w else []
+    mers = [chained(w[i : i + Y.S]) for i in range(len(w) - Y.S + 1)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in mers]
+    inner, out = Y.K - Y.S + 1, []
+    for i in range(len(w) - Y.K + 1):
+        own = signed[i : i + inner]
+        if min(own) in (own[0], own[-1]):
+            out.append((i, chained([mers[i], mers[i + 2], mers[i + 3]]) & Y._MASK))
+    return out or [(0, chained(mers) & Y._MASK)]
+
+
+def plain_text(found):
+    return "".join(f"{h:08x}{p - q:x}" for (p, h), q in zip(found, [0, *(p for p, _ in found)], strict=False))
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    both = sorted([(h - (1 << 32) * (h >> 31), p, 0) for p, h in a] + [(h - (1 << 32) * (h >> 31), p, 1) for p, h in b])
+    offsets = [(q - p) * (t - s) for (g, p, s), (h, q, t) in zip(both, both[1:], strict=False) if g == h and s != t]
+    fewer = min(len(a), len(b))
+    m = min(fewer, sum(fewer == 1 or offsets.count(o) > 1 for o in offsets))
+    return m / (len(a) + len(b) - m)
+
+
+def some_texts():
     rng = [xxhash.xxh64_intdigest(str(i).encode()) for i in range(400)]
     words = [f"w{x % 997}" for x in rng]
     passage, other = " ".join(words[:120]), " ".join(words[120:200])
-    rows = [(1, passage), (2, f"{other} {passage}"), (3, f"{passage} {other}")]
-    got = {r.id: {a["hash"] for a in r.a} for r in spark.createDataFrame(rows, "id int, text string").select("id", Y.anchors(F.col("text")).alias("a")).collect()}
-    assert len(got[1]) > 20 and got[1] <= got[2] and got[1] <= got[3]
-    places = spark.createDataFrame([(passage,)], "text string").select(Y.anchors(F.col("text")).alias("a")).first().a
-    at = [p["position"] for p in places]
+    return [passage, f"{other} {passage}", f"{passage} {other}", f"{' '.join(words[:60])} new words {' '.join(words[60:120])}", "a b a b a b a b a b a b a b", "a b a b a b a b a b", "one two three four", "one two three four five", "", "x" * 100, "漢字" * 90, *(" ".join(words[i : i + i % 9]) for i in range(200, 230))]
+
+
+def test_anchors_and_likenesses_by_hand(spark):
+    texts = some_texts()
+    got = [r.a for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(Y.anchors(F.col("t")).alias("a")).collect()]
+    want = [plain_anchors(t) for t in texts]
+    assert [[(x & (1 << Y.PLACE) - 1, x >> Y.PLACE & Y._MASK) for x in a] for a in got] == want
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i < 11 or i == j or (i + j) % 5 == 0]
+    df = spark.createDataFrame([(i, j, texts[i], texts[j]) for i, j in pairs], "i int, j int, a string, b string")
+    for r in df.select("i", "j", Y.likeness(Y.anchors(F.col("a")), Y.anchors(F.col("b"))).alias("x"), Y.as_text(Y.anchors(F.col("a"))).alias("f")).collect():
+        assert r.f == plain_text(want[r.i])
+        assert abs(r.x - plain_likeness(want[r.i], want[r.j])) < 1e-12 and (r.x == 1.0 or texts[r.i] != texts[r.j])
+
+
+def test_passages_are_found_at_their_offsets():
+    own, moved, split = (plain_anchors(t) for t in (some_texts()[0], some_texts()[1], some_texts()[3]))
+    assert {h for _, h in own} <= {h for _, h in moved} and len(own) > 20
+    assert plain_likeness(own, moved) > 0.9 * len(own) / len(moved) and plain_likeness(own, split) > 0.8
+    at = [p for p, _ in own]
     assert at == sorted(at) and max(b - a for a, b in zip(at, at[1:], strict=False)) <= Y.K - Y.S + 1
 
 
+def led(rows):
+    """Rows (id, text) in order, each with the text of the next."""
+    signed = lambda t: (lambda h: h - (1 << 64) * (h >> 63))(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else "", signed(x[1])))
+    return [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+
+
+def edited(text, following):
+    cut = len(text) // 4
+    return text[: len(text) - cut] + following[:cut]
+
+
+def row_of(i, text, following):
+    own, new, other = plain_anchors(text), plain_anchors(edited(text, following)), plain_anchors(following)
+    return i, len(text), hashlib.sha256(edited(text, following).encode()).hexdigest(), plain_text(own), plain_text(new), round(plain_likeness(own, new), 9), round(plain_likeness(own, other), 9)
+
+
+def rows_of(df):
+    return sorted([(*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect()], key=str)
+
+
 def test_syncmer_fingerprints(docs, rows, none):
-    found = Y.syncmer_fingerprints(docs).collect()
-    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    want = set()
-    for k, (i, text) in enumerate(order):
-        n = order[(k + 1) % len(order)][1]
-        cut = len(text) // 4
-        edited = text[: len(text) - cut] + n[:cut]
-        want.add((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
-    assert {(r.doc_id, r.n_chars, r.edited_sha256) for r in found} == want and len(found) == len(rows)
-    by = {}
-    texts = {i: t or "" for i, t, *_ in rows}
-    for r in found:
-        by.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert all(len(x) == 1 for x in by.values())
+    assert rows_of(Y.syncmer_fingerprints(docs)) == sorted([row_of(*x) for x in led([r[:2] for r in rows])], key=str)
     assert Y.syncmer_fingerprints(none).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "date"])
+def test_neighbours_of_any_ids(spark, kind):
+    ids = [None, None, 3, 5, 5, 8, 900_000_000_000_000, -7] + list(range(40, 80))
+    cast = {"bigint": lambda i: i, "string": lambda i: f"k{i}", "date": lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(days=i % 4000)}[kind]
+    rows = [(None if i is None else cast(i), f"text {k} of {i}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"id {kind}, text string").repartition(4)
+    for per_bucket in (1, 5, 1000):
+        got = sorted([(r.id, r.text, r.next_text) for r in Y.with_next(df, per_bucket).collect()], key=str)
+        assert got == sorted(led(rows), key=str)
+
+
 def test_syncmers_on_documents(spark, sf):
-    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
-    found = {r.doc_id: r for r in QUERIES["op6_syncmers"](spark, sf).collect()}
-    for k, (i, text) in enumerate(docs):
-        n = docs[(k + 1) % len(docs)][1]
-        cut = len(text) // 4
-        assert (found[i].n_chars, found[i].edited_sha256) == (len(text), hashlib.sha256((text[: len(text) - cut] + n[:cut]).encode()).hexdigest())
-    near = [found[i].near_edited for i, t in docs if len(t) > 2000]
-    far = [found[i].near_next for i, t in docs if len(t) > 2000]
-    assert sum(near) / len(near) > 0.4 > sum(far) / len(far)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert rows_of(QUERIES["op6_syncmers"](spark, sf)) == sorted([row_of(*x) for x in led(docs)], key=str)
+    near = [r for r in (row_of(*x) for x in led(docs)) if r[1] > 2000]
+    assert sum(r[5] for r in near) / len(near) > 0.4 > sum(r[6] for r in near) / len(near)
 
 
 def test_url_filter(spark):
