@@ -1,19 +1,17 @@
 """Language-model scores of whole texts: a word-count base score and a causal self-attention
 model on subword ids.
 
-All training texts give the word counts, a distributed aggregation. From those come the
-counts of the subwords, hence their classes, and their shares in a class given the class of
-the subword before in the word, or what stands before in the word for the most frequent ones. The attention weights are trained
-in the tasks, each on windows drawn from all its training texts, and averaged over the tasks
-after each round. A scoring pass then takes every whole text once. Counts of the most
-frequent words are broadcast (a table of fixed size); the remaining words of a text are
-joined with the count table, which grows with the corpus and is never broadcast.
+All training texts give the word counts, a distributed aggregation, and from those come the
+subwords' counts, which sort them into classes (see attention). The attention model is trained
+in the tasks on all windows of all training texts: each subword of the training texts is a
+target once. Rounds take growing, disjoint parts of the texts, and after each the weights of
+the tasks are averaged, every row by how often a task has met it. A scoring pass then takes
+every whole text once. Counts of the most frequent words are broadcast (a table of fixed
+size); the remaining words of a text are joined with the count table, which grows with the
+corpus and is never broadcast.
 """
 
-import random
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -25,22 +23,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fernweave.llm import attention
 from fernweave.llm.store import stored
-from fernweave.llm.text import NON_SPACE, blocks, mix, words
+from fernweave.llm.text import NON_SPACE, blocks, words
 
 #: Words whose counts are broadcast, and words a worker keeps the subwords of.
 FREQUENT, CACHED = 1 << 17, 300_000
-#: A window for every EVERY bytes of a training text is trained on, one at least; windows in a step, rounds, step size.
-EVERY, STEP, ROUNDS, RATE = 6_656, 64, 2, 0.01
-#: Bytes in which a window's words are looked for, and where a word begins after another.
-REACH, _FIRST = 640, re.compile(rb"[\x20\x09-\x0D][^\x20\x09-\x0D]")
+#: Texts fall into PARTS parts by a hash; round r trains on the parts from ROUNDS[r] up to the next.
+PARTS, ROUNDS = 8, (0, 1, 4, 8)
+#: Windows in a step, step size, and bytes of text for which a task more is worth it.
+STEP, RATE, TRAINER = 256, 0.1, 4 << 20
+#: Rows of weights that are averaged together.
+CHUNK = 1024
 #: The token after the last word of a text, as a key that no word can be.
 END = b"\n"
-#: In the place of the class before, at the beginning of a word; weight of shares regardless of it.
-WORD, BACKOFF = attention.CLASSES, 4.0
-#: Subwords before one in its word that its gram holds; most grams that are broadcast; weight of
-#: the plain shares beside their counts.
-BEFORE, GRAMS, GRAM_BACKOFF = 3, 1 << 18, 8.0
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text tallied at once.
 TALLIED = 16 << 20
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -116,260 +110,187 @@ def frequent_counts(counts: DataFrame, most: int) -> pa.Table:
     return (counts.where(step >= least) if least is not None else counts.limit(0)).toArrow()
 
 
-def _adjacent(path: str, kind: np.ndarray | None, own: list[bytes], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys before * (ids + 1) + id of all subwords of these words, and the words' counts.
-    before: the class of the subword before, WORD for a word's first; 0 while there are no classes."""
-    size = _model(path).vocab_size()
-    ids, lengths = flat([[size] if w == END else x for w, x in zip(own, encoded(path, own), strict=True)])
-    before = np.zeros(len(ids), dtype=np.int64) if kind is None else classes_before(kind[ids], lengths)
-    return before * (size + 1) + ids, np.repeat(c, lengths)
-
-
-def subword_counts(counts: DataFrame, path: str, kind: np.ndarray | None = None) -> np.ndarray:
-    """Counts of all subword ids, the end as the last one; with classes, a row of counts for
-    each class of the subword before and one for word beginnings. Their number is bounded by
-    the tokenizer's ids and the classes, not by the corpus."""
-    width, rows = _model(path).vocab_size() + 1, 1 if kind is None else WORD + 1
+def subword_counts(counts: DataFrame, path: str) -> np.ndarray:
+    """Counts of all subword ids in the texts of these word counts, the end as the last one.
+    Their number is bounded by the tokenizer's ids, not by the corpus."""
+    width = _model(path).vocab_size() + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(rows * width, dtype=np.int64)
+        total = np.zeros(width, dtype=np.int64)
         for batch in batches:
-            keys, c = _adjacent(path, kind, batch.column("word").to_pylist(), batch.column("c").to_numpy())
-            np.add.at(total, keys, c)
+            own, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
+            ids, lengths = flat([[width - 1] if w == END else x for w, x in zip(own, encoded(path, own), strict=True)])
+            np.add.at(total, ids, np.repeat(c, lengths))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     sums = counts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(rows * width, dtype=np.int64)
+    out = np.zeros(width, dtype=np.int64)
     out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return out if kind is None else out.reshape(rows, width)
-
-
-def gram_counts(counts: DataFrame, path: str, kind: np.ndarray) -> DataFrame:
-    """(gram, context, at, c): how often each subword follows what stands before it in a word.
-    at: its class before and itself, as in subword_counts()."""
-    width = len(kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [w for w in batch.column("word").to_pylist() if w != END]
-            c = batch.column("c").to_numpy()[[w != END for w in batch.column("word").to_pylist()]]
-            ids, lengths = flat(encoded(path, own))
-            gram, context = gram_keys(ids, lengths, kind[ids])
-            at = classes_before(kind[ids], lengths) * width + ids
-            _, first, which = np.unique(gram, return_index=True, return_inverse=True)
-            n = np.bincount(which, weights=np.repeat(c, lengths), minlength=len(first)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(context[first]), pa.array(at[first]), pa.array(n)], ["gram", "context", "at", "c"])
-
-    return counts.mapInArrow(run, "gram long, context long, at long, c long").groupBy("gram").agg(F.min("context").alias("context"), F.min("at").alias("at"), F.sum("c").alias("c"))
-
-
-def _gram_shares(top: pa.Table, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Model.grams, gram_share, contexts and left of the most frequent grams: their counts,
-    smoothed by the shares after the class before."""
-    order = np.argsort(top.column("gram").to_numpy())
-    gram, context, at, n = (top.column(c).to_numpy()[order] for c in ("gram", "context", "at", "c"))
-    contexts, which = np.unique(context, return_inverse=True)
-    held = np.bincount(which, weights=n, minlength=len(contexts))
-    own = np.log((n + GRAM_BACKOFF * np.exp(share.astype(float)).ravel()[at]) / (held[which] + GRAM_BACKOFF))
-    return gram, own.astype(np.float32), contexts, np.log(GRAM_BACKOFF / (held + GRAM_BACKOFF)).astype(np.float32)
-
-
-def classes_of(counts: np.ndarray, starts_word: np.ndarray) -> np.ndarray:
-    """A class for each id: the most frequent ids and the end have one each, the others
-    share one for each power of two of their rank, apart by whether they start a word."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    rank = np.empty(len(counts), dtype=np.int64)
-    rank[order] = np.arange(len(counts))
-    alone = attention.CLASSES - 1 - 2 * 8
-    octave = np.minimum(np.log2(np.maximum(rank - alone, 0) / 32 + 1).astype(np.int64), 7)
-    out = np.where(rank < alone, rank, alone + 2 * octave + starts_word)
-    out[-1] = attention.CLASSES - 1
     return out
 
 
-@dataclass
-class Model:
-    """What tasks need to score: all of bounded size."""
-
-    path: str
-    kind: np.ndarray  # class of each subword id and the end
-    share: np.ndarray  # natural log of its share in its class, by the class before and WORD
-    grams: np.ndarray  # sorted keys of frequent subwords after those before them in the word
-    gram_share: np.ndarray  # natural log of such a subword's share in its class there
-    contexts: np.ndarray  # sorted keys of what stands before them, with the class
-    left: np.ndarray  # natural log of what the grams of a context leave to all others
-    weights: np.ndarray
-
-    def log_share(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of each subword of these words, natural log of its share in its class."""
-        kinds = self.kind[ids]
-        out = self.share[classes_before(kinds, lengths), ids]
-        gram, context = gram_keys(ids, lengths, kinds)
-        spot, known = _find(self.contexts, context)
-        out = np.where(known, out + self.left[spot], out) if len(self.contexts) else out
-        spot, known = _find(self.grams, gram)
-        return np.where(known, self.gram_share[spot], out) if len(self.grams) else out
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the keys are in a sorted table, and which are there at all."""
-    spot = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-    return spot, table[spot] == keys if len(table) else np.zeros(len(keys), dtype=bool)
-
-
-def classes_before(kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The class before each subword of these words, WORD for a word's first."""
-    before = np.append(0, kinds[:-1]) if len(kinds) else kinds.copy()
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = WORD
-    return before
-
-
-def gram_keys(ids: np.ndarray, lengths: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each subword of these words a hash of it and up to BEFORE ones before it in the
-    word, and a hash of those and its class."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    h = np.zeros(len(ids), dtype=np.uint64)
-    for d in range(BEFORE, 0, -1):
-        own = np.zeros(len(ids), dtype=np.uint64)
-        own[d:] = ids[:-d] + 1 if d < len(ids) else ids[:0]
-        h = mix(h * _ODD + np.where(place >= d, own, np.uint64(0)))
-    key = lambda x, salt: mix(h * _ODD + (x.astype(np.uint64) * np.uint64(2) + np.uint64(salt))).view(np.int64)
-    return key(ids, 0), key(kinds, 1)
-
-
-def _window(path: str, text: bytes, kind: np.ndarray, at: int) -> np.ndarray:
-    """Classes of LENGTH + 1 subwords from the first word that begins at byte `at` or later;
-    of the text's beginning, begun by BEGIN, where at is 0 or no word follows."""
-    begun = _FIRST.search(text, at - 1) if at else None
-    start = begun.end() - 1 if begun else 0
-    stop = start + REACH
-    some = text[start:stop].lower().split()
-    ended = len(text) <= stop
-    if not ended and len(some) > 1:
-        some.pop()  # it may go on
-    some = some[: attention.LENGTH + 1]
-    line = kind[flat(subwords(path, some))[0]]
-    if ended and len(some) <= attention.LENGTH:
-        line = np.append(line, kind[-1])
-    if not begun:
-        line = np.append(attention.BEGIN, line)
-    return line[: attention.LENGTH + 1]
-
-
-def train_round(df: DataFrame, path: str, kind: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
-    """Each task trains from `start` on windows of all its texts; the weights that the tasks
-    end with are averaged, weighted by their steps."""
-    shared = df.sparkSession.sparkContext.broadcast((kind, start))
+def sequences(path: str, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of the texts; each text's words by their number there, the end as the
+    last number, with the texts' edges; and the texts' subword ids with the edges of those."""
+    distinct, which, edges = dictionary(texts)
+    own = distinct.to_pylist()
+    ids, lengths = flat([*subwords(path, own), [_model(path).vocab_size()]])
+    begin = np.cumsum(lengths) - lengths
+    line = np.insert(which, edges[1:], len(own))
+    heads = edges + np.arange(len(edges))
+    sizes = lengths[line]
+    off = np.append(0, np.cumsum(sizes))
+    at = np.arange(off[-1]) + np.repeat(begin[line] - off[:-1], sizes)
+    return distinct, line, heads, ids[at], off[heads]
+
+
+def _packed(tables: list[np.ndarray], met: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Chunks of the rows of all tables, one after the other: number, how often each row was
+    met, rows. Chunks that were not met are left out."""
+    k = 0
+    for table, n in zip(tables, met, strict=True):
+        for at in range(0, len(table), CHUNK):
+            if n[at : at + CHUNK].any():
+                yield k, n[at : at + CHUNK].astype(np.float32).tobytes(), table[at : at + CHUNK].astype(np.float32).tobytes()
+            k += 1
+
+
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (k, n, rows) sorted by k: for each k the rows' means, weighted by n, and the sums of n."""
+    held: tuple | None = None
+    for batch in batches:
+        for k, n, rows in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "rows")), strict=True):
+            n, rows = np.frombuffer(n, dtype=np.float32).astype(np.float64), np.frombuffer(rows, dtype=np.float32)
+            part = rows.reshape(len(n), -1) * n[:, None]
+            if held is not None and held[0] != k:
+                yield _mean(*held)
+                held = None
+            held = (k, n, part) if held is None else (k, held[1] + n, held[2] + part)
+    if held is not None:
+        yield _mean(*held)
+
+
+def _mean(k: int, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    rows = (total / np.maximum(n, 1)[:, None]).astype(np.float32)
+    arrays = [pa.array([k], pa.int32()), pa.array([n.astype(np.float32).tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["k", "n", "rows"])
+
+
+def train_round(texts: DataFrame, path: str, layout: attention.Layout, start: attention.Weights) -> attention.Weights:
+    """Each task trains from `start` on all windows of all its texts (column text). The weights
+    that the tasks end with are averaged row by row, weighted by how often a task met the row."""
+    shared = texts.sparkSession.sparkContext.broadcast((layout, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, begin = shared.value
-        adam, steps = attention.Adam(begin, RATE), 0
-        held: list[np.ndarray] = []
-
-        def learn(most: int) -> None:
-            nonlocal steps, held
-            while len(held) >= most and held:
-                some, held = held[:STEP], held[STEP:]
-                inputs = np.zeros((len(some), attention.LENGTH), dtype=np.int64)
-                targets = np.full((len(some), attention.LENGTH), -1, dtype=np.int64)
-                for i, line in enumerate(some):
-                    inputs[i, : len(line) - 1] = line[:-1]
-                    targets[i, : len(line) - 1] = line[1:]
-                adam.step(inputs, targets)
-                steps += 1
+        own, begin = shared.value
+        trainer, end = attention.Trainer(begin, own, RATE), len(own.kind)
+        rng = np.random.default_rng(5)
+        inputs = targets = np.zeros((0, attention.LENGTH), dtype=np.int32)
+        as_input, as_class = np.zeros(end + 1, dtype=np.int64), np.zeros(attention.CLASSES, dtype=np.int64)
+
+        def learn(last: bool) -> None:
+            nonlocal inputs, targets
+            stop = len(inputs) if last else len(inputs) - len(inputs) % STEP
+            for i in range(0, stop, STEP):
+                trainer.step(inputs[i : i + STEP], targets[i : i + STEP])
+            inputs, targets = inputs[stop:], targets[stop:]
 
         for batch in batches:
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                rng = random.Random(xxhash.xxh64_intdigest(text, seed))
-                for i in range(1 + len(text) // EVERY):
-                    window = _window(path, text, kinds, 0 if not text or (i == 0 and rng.random() < 0.2) else rng.randrange(len(text)))
-                    if len(window) > 1:
-                        held.append(window)
-                if len(held) >= STEP:
-                    learn(STEP)
-        learn(1)
-        yield pa.RecordBatch.from_arrays([pa.array([adam.flat.tolist()] if steps else [], pa.list_(pa.float32())), pa.array([steps] if steps else [], pa.int64())], ["w", "steps"])
-
-    each = df.mapInArrow(run, "w array<float>, steps long").select(F.posexplode("w").alias("i", "x"), "steps")
-    means = each.groupBy("i").agg((F.sum(F.col("x") * F.col("steps")) / F.sum("steps")).alias("x")).collect()  # attention.SIZE rows
+            for _, _, some in blocks(batch, "text"):
+                _, _, _, ids, edges = sequences(path, some)
+                x, where, fresh = attention.windows(ids.astype(np.int32), edges, end, attention.LENGTH)
+                order = rng.permutation(len(x))
+                y = np.where(fresh, ids.take(where, mode="clip"), -1).astype(np.int32)
+                as_input += np.bincount(x[fresh], minlength=end + 1)
+                as_class += np.bincount(own.kind[ids], minlength=attention.CLASSES)
+                inputs, targets = np.concatenate([inputs, x[order]]), np.concatenate([targets, y[order]])
+                learn(False)
+        learn(True)
+        if trainer.steps:
+            found = list(_packed(*_tables(trainer.w, as_input, as_class, own, trainer.steps)))
+            for k, n, rows in found:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.binary()), pa.array([rows], pa.binary())], ["k", "n", "rows"])
+
+    kind = "k int, n binary, rows binary"
+    means = texts.mapInArrow(run, kind).repartition("k").sortWithinPartitions("k").mapInArrow(_averages, kind).toArrow()  # a row for each chunk of the weights
     out = start.copy()
-    for r in means:
-        out[r.i] = r.x
+    tables, _ = _tables(out, np.zeros(len(layout.kind) + 1), np.zeros(attention.CLASSES), layout, 0)
+    place = [(t, at) for t in tables for at in range(0, len(t), CHUNK)]
+    for k, n, rows in zip(*(means.column(c).to_pylist() for c in ("k", "n", "rows")), strict=True):
+        table, at = place[k]
+        met = np.frombuffer(n, dtype=np.float32) > 0
+        table[at : at + CHUNK][met] = np.frombuffer(rows, dtype=np.float32).reshape(len(met), -1)[met]
+    parts = out.parts()
+    for part, table in zip(parts, [tables[0], *tables[3:7], tables[7], tables[1], tables[2]], strict=True):
+        part[...] = table.reshape(part.shape)
     return out
 
 
-def train(training: DataFrame, counts: DataFrame, path: str, text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """Fit classes, shares and weights on the training rows."""
+def _tables(w: attention.Weights, as_input: np.ndarray, as_class: np.ndarray, layout: attention.Layout, steps: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The weights as tables of rows (E, V, c, P, A, W, U, b), and how often each row was met."""
+    of_slot = np.repeat(as_class, np.diff(layout.begin))
+    small = [w.P, w.A, w.W, w.U, w.b[None, :]]
+    return [w.E, w.V, w.c[:, None], *small], [as_input, of_slot, of_slot, *[np.full(len(x), steps) for x in small]]
+
+
+def train(training: DataFrame, counts: DataFrame, path: str, text_col: str = "text", rounds: tuple[int, ...] = ROUNDS) -> tuple[attention.Layout, attention.Weights]:
+    """Fit the classes and the weights on all windows of all training rows."""
     n = subword_counts(counts, path)
     starts = np.array([_model(path).id_to_piece(i).startswith("▁") for i in range(len(n) - 1)] + [False])
-    kind = classes_of(n, starts)
-    smooth = n + 0.05
-    total = np.bincount(kind, weights=smooth, minlength=attention.CLASSES)
-    alone = smooth / total[kind]
-    pairs = subword_counts(counts, path, kind)
-    held = np.stack([np.bincount(kind, weights=row, minlength=attention.CLASSES)[kind] for row in pairs])
-    share = np.log((pairs + BACKOFF * alone) / (held + BACKOFF)).astype(np.float32)
-    weights = attention.initial(total / total.sum())
+    layout = attention.Layout.of(attention.classes_of(n, starts))
+    weights = attention.Weights.initial(layout, n)
+    size = counts.agg(F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0)).alias("b")).first().b
     texts = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for seed in range(rounds):
-        weights = train_round(texts, path, kind, weights, seed)
-    grams = stored(gram_counts(counts, path, kind), "grams")
-    return Model(path, kind, share, *_gram_shares(frequent_counts(grams, GRAMS), share), weights)
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS))
+    for low, high in zip(rounds[:-1], rounds[1:], strict=True):
+        trainers = 1 + int(size * (high - low) / PARTS) // TRAINER
+        weights = train_round(texts.where((part >= low) & (part < high)).coalesce(trainers), path, layout, weights)
+    return layout, weights
 
 
-def _score(model: Model, table: dict[bytes, int], scorer: attention.Scorer, texts: pa.Array) -> tuple:
+def _score(path: str, layout: attention.Layout, weights: attention.Weights, table: dict[bytes, int], texts: pa.Array) -> tuple:
     """Of each text: log10 probability, tokens, known ones and the sum of log10(c + 0.1) over
     the tokens in the table; and its other words with how often it has them."""
-    distinct, which, edges = dictionary(texts)
-    own = distinct.to_pylist()
-    end = len(own)  # stands for the end of a text
-    ids, lengths = flat([*subwords(model.path, own), [len(model.kind) - 1]])
-    begin = np.cumsum(lengths) - lengths
-    line = np.insert(which, edges[1:], end)
-    heads = edges[:-1] + np.arange(len(edges) - 1)
-    sizes = lengths[line]
-    off = np.append(0, np.cumsum(sizes))
-    at = np.arange(off[-1]) + np.repeat(begin[line] - off[:-1], sizes)
-    tokens = ids[at]
-    cuts = off[np.append(heads, len(line))]
-    logs = scorer.log_probabilities(model.kind[tokens], cuts) + model.log_share(ids, lengths)[at]
-    score = np.add.reduceat(logs, cuts[:-1]) / np.log(10)
+    distinct, line, heads, ids, cuts = sequences(path, texts)
+    own, end = distinct.to_pylist(), len(distinct)
+    score = np.add.reduceat(attention.log_probabilities(weights, layout, ids, cuts).astype(np.float64), cuts[:-1]) / np.log(10)
     c = np.array([table.get(w, -1) for w in own] + [table.get(END, 0)], dtype=np.float64)
     worth = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.1), 0)
-    base, known = np.add.reduceat(worth[line], heads), np.add.reduceat((c > 0)[line].astype(np.int64), heads)
-    rare = np.flatnonzero(c[which] < 0)
-    doc = np.searchsorted(edges, rare, "right") - 1
-    pairs, times = np.unique(doc * (end + 1) + which[rare], return_counts=True)
-    offsets = np.searchsorted(pairs // (end + 1), np.arange(len(edges)))
+    base, known = np.add.reduceat(worth[line], heads[:-1]), np.add.reduceat((c > 0)[line].astype(np.int64), heads[:-1])
+    rare = np.flatnonzero(c[line] < 0)
+    doc = np.searchsorted(heads, rare, "right") - 1
+    pairs, times = np.unique(doc * (end + 1) + line[rare], return_counts=True)
+    offsets = np.searchsorted(pairs // (end + 1), np.arange(len(heads)))
     rest = pa.StructArray.from_arrays([distinct.take(pa.array(pairs % (end + 1))), pa.array(times, pa.int32())], ["word", "t"])
-    return score, np.diff(np.append(heads, len(line))), known, base, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)
+    return score, np.diff(heads), known, base, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)
 
 
-def lm_scores(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """Per row of df: its id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Rows whose crc32(id as text) mod 10 is not 0 are learnt from; without an id none is held
     out, and held_out is false. A null or empty text is its end alone. Repeated rows are learnt
-    from and scored each; an empty table gives none; other columns are not looked at.
+    from and scored each; an empty table gives none; other columns are not looked at. score
+    depends a little on how the training rows fall into tasks, as their weights are averaged;
+    n_tokens to base_score do not.
     """
     id_kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"))
     training = rows.where(~F.col("held_out"))
     counts = stored(word_counts(training), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    model = train(training, counts, model_path, rounds=rounds)
+    layout, weights = train(training, counts, model_path, rounds=rounds)
     top = frequent_counts(counts, frequent)
     table = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    shared: Broadcast = df.sparkSession.sparkContext.broadcast((model, table))
+    shared: Broadcast = df.sparkSession.sparkContext.broadcast((layout, weights, table))
     floor = float(np.log10(totals.n + 0.1 * (totals.v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_model, own_table = shared.value
-        scorer = attention.Scorer(own_model.weights)
+        own_layout, own_weights, own_table = shared.value
         for batch in batches:
             for at, to, texts in blocks(batch, "text"):
-                score, n_tokens, known, base, others = _score(own_model, own_table, scorer, texts)
+                score, n_tokens, known, base, others = _score(model_path, own_layout, own_weights, own_table, texts)
                 part = batch.slice(at, to - at)
                 keys = [xxhash.xxh3_128_digest(f"{i}/".encode() + x) for i, x in zip(part.column("id").to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True)]
                 arrays = [part.column("id"), part.column("held_out"), pa.array(keys, pa.binary()), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score), others]
