@@ -1,63 +1,59 @@
 """Licence scans through a positional index of rare words.
 
-Templates are word sequences with a label and a key phrase in them that must be present
-word for word. A pass over all documents counts in how many of them each template word
-occurs; the inverse document frequencies rank the words. The index holds, for the word of
-each key phrase with the highest IDF, its postings (template, offset). A scan looks up the
-licence words of a file from the highest IDF down, places each posting's template at the
-word's position minus the offset, intersects there the postings of the template's other
-words, and verifies the key phrase. Since a key phrase always holds its indexed word, no
+A template is a licence text or notice with a label and key phrases. A pass over all documents
+counts in how many of them each template word occurs; the inverse document frequencies rank
+the words. The index holds for every template a posting for each key phrase, its word of the
+highest IDF and that word's offset in the template, the rarest first. A scan looks up the places
+of the rarest word in a file; the next postings' places are intersected with those by their
+relative positions, give or take the template's slack, and a template ends as soon as nothing is
+left. What is left is verified: all key phrases word for word at those positions, and the share
+of the template's word pairs that stand there. Since a key phrase holds its posting's word, no
 place is missed.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fernweave.llm.license_texts import BASE, NOTICES, TEXTS
 from fernweave.llm.text import ALNUM, blocks, words
 
-# Fixed values: (label, whole template, its key phrase), as words in lower case.
-BASE = (
-    ("mit", "mit license", "mit license"),
-    ("apache", "apache license", "apache license"),
-    ("gpl", "general public license", "general public license"),
-)
-NOTICES = (
-    ("mit-notice", "released under the mit license", "under the mit license"),
-    ("apache-notice", "licensed under the apache license version", "under the apache license"),
-    ("gpl-notice", "this work is licensed under the gnu general public license version", "under the gnu general public license"),
-    ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("agpl", "gnu affero general public license", "affero general public license"),
-    ("mpl", "subject to the terms of the mozilla public license", "mozilla public license"),
-    ("cc-by", "licensed under cc by", "under cc by"),
-    ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
-    ("cc-notice", "licensed under a creative commons attribution license", "creative commons attribution"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-)
-TEMPLATES = BASE + NOTICES
-#: A label needs this share of its template's words at their places, besides the key phrase.
+#: A label needs this share of its template's pairs of neighbouring words, besides the key phrases.
 COVER = 0.6
-
-VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
-_CODE = {w: i for i, w in enumerate(VOCABULARY)}
+#: A key phrase may stand this share of the template's words away from its place after the first.
+SLACK = 8
 
 
 @dataclass
-class Index:
-    """Postings of the indexed words, and the templates they point to."""
+class Template:
+    label: str
+    words: list[str]
+    phrases: list[list[str]]
+    offsets: list[int] = field(init=False)  # of the phrases
+    slack: int = field(init=False)
+
+    def __post_init__(self) -> None:
+        where = lambda p: next(i for i in range(len(self.words)) if self.words[i : i + len(p)] == p)
+        self.offsets = [where(p) for p in self.phrases]
+        self.slack = len(self.words) // SLACK
+
 
-    codes: list[np.ndarray]  # each template's words
-    key: list[tuple[int, int]]  # where its key phrase is
-    postings: list[tuple[int, int, int]]  # (word, template, offset), highest IDF first
+def split(text: str) -> list[str]:
+    """Words as a scan sees them."""
+    w = words(pa.array([text]), ALNUM)
+    return [w.buffer[a:b].tobytes().decode() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
 
 
+TEMPLATES = [Template(label, split(text), [split(p) for p in phrases]) for label, text, phrases in BASE + NOTICES + TEXTS]
+VOCABULARY = sorted({w for t in TEMPLATES for w in t.words})
+_CODE = {w: i for i, w in enumerate(VOCABULARY)}
+
+
+@cache
 def _word_codes() -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the vocabulary, with each word's code."""
     h = words(pa.array([" ".join(VOCABULARY)]), ALNUM).hashes()
@@ -93,45 +89,87 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> tuple[int, di
     return by.pop(-1, 0), {VOCABULARY[k]: n for k, n in by.items()}
 
 
-def build_index(rows: int, held: dict[str, int]) -> Index:
-    """One posting for each template: the rarest word of its key phrase, the first of equals."""
+@dataclass
+class Posting:
+    """A key phrase's rarest word: its code, its offset in the template and in the phrase, the phrase."""
+
+    word: int
+    offset: int
+    within: int
+    phrase: int
+
+
+def build_index(rows: int, held: dict[str, int]) -> list[list[Posting]]:
+    """The postings of each template, highest IDF first; of equals the first."""
     idf = {w: np.log((rows + 1) / (held.get(w, 0) + 1)) for w in VOCABULARY}
-    codes, key, postings = [], [], []
-    for t, (_, text, phrase) in enumerate(TEMPLATES):
-        own, must = text.split(), phrase.split()
-        at = next(i for i in range(len(own)) if own[i : i + len(must)] == must)
-        rarest = max(range(len(must)), key=lambda i: (idf[must[i]], -i))
-        codes.append(np.array([_CODE[w] for w in own]))
-        key.append((at, at + len(must)))
-        postings.append((-idf[must[rarest]], _CODE[must[rarest]], t, at + rarest))
-    return Index(codes, key, [p[1:] for p in sorted(postings)])
-
-
-def places(index: Index, code: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each template: rows, word positions in the row of its key phrase, and the share of
-    the template's words that stand at their places."""
+    index = []
+    for t in TEMPLATES:
+        own = []
+        for k, (phrase, at) in enumerate(zip(t.phrases, t.offsets, strict=True)):
+            within = max(range(len(phrase)), key=lambda i: (idf[phrase[i]], -i))
+            own.append((-idf[phrase[within]], Posting(_CODE[phrase[within]], at + within, within, k)))
+        index.append([p for _, p in sorted(own, key=lambda x: x[0])])
+    return index
+
+
+def _near(sorted_: np.ndarray, keys: np.ndarray, slack: int) -> np.ndarray:
+    """Which keys have a value of the sorted array within the slack."""
+    spot = np.searchsorted(sorted_, keys - slack)
+    return (spot < len(sorted_)) & (sorted_[np.minimum(spot, max(len(sorted_) - 1, 0))] <= keys + slack) if len(sorted_) else np.zeros(len(keys), dtype=bool)
+
+
+def places(index: list[list[Posting]], code: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each template with any: rows, word positions in the row of its first key phrase, and
+    the share of the template's pairs of neighbouring words that stand about there."""
     at = np.flatnonzero(code >= 0)
-    own, row = code[at], np.searchsorted(edges, at, "right") - 1
-    padded = np.append(code, -1)
-    for word, t, offset in index.postings:
-        hit = own == word
-        start, r = at[hit] - offset, row[hit]
-        first, last = edges[r], edges[r + 1]
-        same = np.zeros((len(start), len(index.codes[t])), dtype=bool)
-        for i, c in enumerate(index.codes[t].tolist()):
-            p = start + i
-            inside = (p >= first) & (p < last)
-            same[:, i] = inside & (padded[np.where(inside, p, len(code))] == c)
-        a, b = index.key[t]
-        ok = same[:, a:b].all(axis=1)
-        yield t, r[ok], (start + a - first)[ok], same.mean(axis=1)[ok]
+    own = code[at]
+    order = np.argsort(own.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(len(VOCABULARY) + 1))
+    of = lambda w: at[order[cuts[w] : cuts[w + 1]]]  # noqa: E731  sorted places of a word
+    for t, (template, postings) in enumerate(zip(TEMPLATES, index, strict=True)):
+        starts = of(postings[0].word) - postings[0].offset
+        for p in postings[1:]:
+            if not len(starts):
+                break
+            starts = starts[_near(of(p.word) - p.offset, starts, 2 * template.slack)]
+        if not len(starts):
+            continue
+        found = []
+        for k, (phrase, offset) in enumerate(zip(template.phrases, template.offsets, strict=True)):
+            p = next(p for p in postings if p.phrase == k)
+            begin = of(p.word) - p.within
+            begin = begin[_near(starts, begin - offset, 2 * template.slack)]
+            row = np.searchsorted(edges, begin + p.within, "right") - 1
+            begin = begin[(begin >= edges[row]) & (begin + len(phrase) <= edges[row + 1])]
+            for i, w in enumerate(phrase):
+                begin = begin[code[begin + i] == _CODE[w]]
+            found.append(begin)
+        first = found[0]
+        row = np.searchsorted(edges, first, "right") - 1
+        for begin, offset in zip(found[1:], template.offsets[1:], strict=True):
+            # Only phrases of the same row: rows are moved apart by more than any slack.
+            apart = len(code) + 1
+            other = begin - offset + (np.searchsorted(edges, begin, "right") - 1) * apart
+            ok = _near(other, first - template.offsets[0] + row * apart, template.slack)
+            first, row = first[ok], row[ok]
+        if len(first):
+            yield t, row, first - edges[row], np.array([_cover(template, code, edges[r], edges[r + 1], p) for r, p in zip(row.tolist(), first.tolist(), strict=True)])
+
+
+def _cover(t: Template, code: np.ndarray, begin: int, end: int, first: int) -> float:
+    """The share of the template's distinct pairs of neighbouring words in its stretch of a row."""
+    start = first - t.offsets[0]
+    own = code[max(begin, start - t.slack) : min(end, start + len(t.words) + t.slack)].tolist()
+    codes = [_CODE[w] for w in t.words]
+    pairs = set(zip(codes, codes[1:], strict=False))
+    return len(pairs & set(zip(own, own[1:], strict=False))) / len(pairs)
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """Per row of df: its id; n_words; n_base, first_word and last_word (count, smallest and
     largest start of all places of base phrases); base_labels; labels (base ones and those of
-    templates with `cover` of their words in place), both distinct, sorted and comma-joined;
-    score, the best such share, 0 without a label; spans, the key phrases' places by label.
+    templates with `cover` of their word pairs in place), both distinct, sorted and comma-joined;
+    score, the best such share, 0 without a label; spans, the first key phrases' places by label.
 
     Null texts have no words. first_word and last_word are null without a place. Repeated
     rows repeat their results; an empty table has none; other columns are not looked at.
@@ -152,7 +190,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 code, edges = coded(texts)
                 n_words[at:to] = np.diff(edges)
                 for t, rows, first, share in places(index, code, edges):
-                    label, size = TEMPLATES[t][0], index.key[t][1] - index.key[t][0]
+                    label, size = TEMPLATES[t].label, len(TEMPLATES[t].phrases[0])
                     for r, p, s in zip((rows + at).tolist(), first.tolist(), share.tolist(), strict=True):
                         if t < len(BASE):
                             n_base[r] += 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
-from fernweave.llm import token_counts as T
+from fernweave.llm import license_texts as Z, token_counts as T
 from fernweave.llm.decontaminate import _scan, build_index, contaminated_spans, drop_contaminated, spans
 from fernweave.llm.licenses import license_scan
 from fernweave.llm.queries import QUERIES, op7_decontamination
@@ -149,10 +149,58 @@ def test_license_scan(docs, rows, none):
     assert license_scan(none).collect() == []
 
 
+def labelled(text):
+    """Labels and score by looking at every place of every template."""
+    w, labels, score = words(text), set(), 0.0
+    for label, template, phrases in Z.BASE + Z.NOTICES + Z.TEXTS:
+        own, keys = words(template), [words(p) for p in phrases]
+        at = [next(i for i in range(len(own)) if own[i : i + len(k)] == k) for k in keys]
+        slack = len(own) // 8
+        held = [[i for i in range(len(w)) if w[i : i + len(k)] == k] for k in keys]
+        for p in held[0]:
+            if all(any(abs((q - p) - (o - at[0])) <= slack for q in qs) for qs, o in zip(held[1:], at[1:], strict=True)):
+                part = w[max(0, p - at[0] - slack) : max(0, p - at[0] + len(own) + slack)]
+                pairs = set(zip(own, own[1:], strict=False))
+                share = len(pairs & set(zip(part, part[1:], strict=False))) / len(pairs)
+                if share >= 0.6:
+                    labels.add(label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def licence_files():
+    """Whole licences between other words, with words left out, added and changed, cut, and without a key phrase."""
+    rng, out = random.Random(12), []
+    for _, text, phrases in Z.TEXTS:
+        w = text.split()
+        noise = [f"n{rng.randrange(99)}" for _ in range(60)]
+        out += [" ".join(noise[:30] + w + noise[30:]), " ".join(w + w), " ".join(w[: len(w) // 2])]
+        for k in (1, 3, 8, len(w) // 3):
+            v = list(w)
+            for i in sorted(rng.sample(range(len(v)), min(k, len(v))), reverse=True):
+                v[i : i + 1] = rng.choice(([], [v[i], "extra"], ["other"]))
+            out.append(" ".join(noise[: rng.randrange(40)] + v))
+        out.append(" ".join(words(text)).replace(phrases[-1], "something else"))
+    return out
+
+
+def test_labels_and_scores_by_hand(spark):
+    texts = licence_files()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: labelled(t) for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(df).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+    whole = [want[i][0].split(",") for i in range(0, len(texts), 8)]
+    assert all(label in found for (label, *_), found in zip(Z.TEXTS, whole, strict=True))
+    assert all(label not in want[i][0].split(",") for (label, *_), i in zip(Z.TEXTS, range(7, len(texts), 8), strict=True))
+
+
 def test_license_scan_on_documents(spark, sf):
-    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in QUERIES["op5_license_scan"](spark, sf).collect()}
+    got = {r.doc_id: ((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels), (r.labels, round(r.score, 9))) for r in QUERIES["op5_license_scan"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
-        assert got[r.doc_id] == licences(r.text)
+        labels, score = labelled(r.text)
+        assert got[r.doc_id] == (licences(r.text), (labels, round(score, 9)))
 
 
 def test_partitioning_does_not_matter(docs, benchmark):
