@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from fernweave.llm.store import stored
+from fernweave.llm.store import released, stored
 
 
 def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -29,6 +29,7 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         large = around.join(small, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(small, "a")
-        edges = stored(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).where("a <> b").distinct(), name)
+        last, edges = edges, stored(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).where("a <> b").distinct(), name)
+        released(last)
     roots = edges.select(F.col("b").alias("node")).union(own.select("a")).distinct().join(edges.select(F.col("a").alias("node")), "node", "left_anti")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -71,7 +71,7 @@ def simhash_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For links between positions below n: the smallest position that each can reach."""
     label = np.arange(n)
     while True:
@@ -130,7 +130,7 @@ def linked_in_postings(key: np.ndarray, fp: np.ndarray, split: bool = False) ->
             if len(hit):
                 found.append((head + hit, head + order[spot[hit]]))
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    root = _forest(a, b, n)
+    root = reachable(a, b, n)
     node = np.flatnonzero(root != np.arange(n))
     return fp[node], fp[root[node]]
 

@@ -3,9 +3,11 @@
 Two sets of n and m shingles that are that like share one among the first n - ceil(bound n) + 1
 of the one and as many of the other, in any order that is the same for all; rare shingles come
 first. Those prefixes are the postings. SimHash links of the same shingles (simhash.simhash_links)
-are verified first, then each posting's members against one of them, so that large groups of
-copies are one component before the pairs of the postings are taken; only pairs across
-components are left. Every link is verified by its sets; postings are neither cut nor sampled.
+are verified first; of the postings, only pairs across the components that these make are left.
+Postings of up to SHORT members give their pairs, if sizes and places allow. The members of longer
+ones, joined to groups over the postings that they share, are compared in blocks: each task
+gets the sets of two blocks and hands out verified links only, so no pair is a row. Every link
+is verified by its sets; postings are neither cut nor sampled.
 """
 
 from collections.abc import Iterator
@@ -17,15 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fernweave.llm.components import connected_components
-from fernweave.llm.simhash import simhash_links
-from fernweave.llm.store import stored
+from fernweave.llm.simhash import reachable, simhash_links
+from fernweave.llm.store import released, stored
 from fernweave.llm.text import NON_SPACE, blocks, gram_hashes, words
 
 #: Documents in the sample that says which shingles are common, and most such shingles that are
 #: broadcast. They order the prefixes, which changes the work and never the links.
 SAMPLE, COMMON = 8_000, 1 << 17
-#: Pairs for each posting up to which all pairs are taken.
-PAIRS = 4
+#: Members of a posting up to which its pairs are rows, and of a block of a longer one's.
+SHORT, BLOCK = 64, 256
 #: Bytes of text, and rows, that a task handles at once.
 TEXT, ROWS = 1 << 20, 256
 #: Bits of the map of nodes that keeps sets from being shuffled which a join would drop.
@@ -131,7 +133,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float)
                     keep[i] = same >= bound * (len(p) + len(q) - same) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    verified = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    released(pairs)
+    released(held)
+    return verified
+
+
+def _compared(rows: list[tuple], bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the like pairs of one unit join, fewer than it has rows: (node, side,
+    root, shingles) of two blocks, or of one on side 0. Pairs of one root need no link, and
+    those whose sizes differ too much have none."""
+    nodes, side, roots = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+    sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
+    _, ids = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+    off = np.append(0, np.cumsum(sizes))
+    mark, found = np.zeros(int(ids.max()) + 1, dtype=np.int64), []
+    other = np.flatnonzero(side == side.max())
+    first, last = int(off[other[0]]), int(off[other[-1] + 1])
+    for i in np.flatnonzero(side == 0).tolist():
+        own = ids[off[i] : off[i + 1]]
+        fits = (roots[other] != roots[i]) & (np.minimum(sizes[other], sizes[i]) >= bound * np.maximum(sizes[other], sizes[i]) - 1e-9) & (other > i)
+        if fits.any():
+            mark[own] = 1
+            same = np.add.reduceat(mark[ids[first:last]], off[other] - first)
+            mark[own] = 0
+            near = other[fits & (same >= bound * (sizes[other] + sizes[i] - same) - 1e-9)]
+            found.append(np.stack([np.full(len(near), i), near]))
+    a, b = np.concatenate(found, axis=1) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    least = reachable(a, b, len(rows))
+    at = np.flatnonzero(least != np.arange(len(rows)))
+    return nodes[least[at]], nodes[at]
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[pa.RecordBatch]:
+    """batches: (unit, side, node, root, shingles) sorted by unit and side."""
+    unit, held = None, []
+
+    def out() -> pa.RecordBatch:
+        a, b = _compared(held, bound)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        shingles = batch.column("shingles")
+        for i, (u, s, n, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "node", "root")), strict=True)):
+            if held and u != unit:
+                yield out()
+                held = []
+            unit = u
+            held.append((n, s, r, shingles[i].values.to_numpy().copy()))
+    if held:
+        yield out()
+
+
+def _long_links(open_: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
+    """Links across components among the members of the postings open_ (s, node, root), in blocks."""
+    member = open_.select(F.concat(F.lit("s"), F.col("s")).alias("a"), F.concat(F.lit("n"), F.col("node")).alias("b"))
+    groups = stored(connected_components(member, "groups").where("node like 'n%'").select(F.expr("cast(substring(node, 2) as bigint)").alias("node"), F.col("root").alias("group")), "group")
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "group").join(open_.select("node", "root").distinct(), "node").join(nodes.select("node", "row"), "node")
+    placed = stored(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    held = _marked(sets.select("row", "node", "shingles"), placed.select("node")).drop("node").join(placed, "row")
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    units = dealt.select(F.xxhash64("group", low, high).alias("unit"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "node", "root", "shingles")
+    run = lambda batches: _block_links(batches, bound)
+    return stored(units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long"), "blocks")
 
 
 def similar_links(sets: DataFrame, bound: float) -> DataFrame:
@@ -141,35 +207,26 @@ def similar_links(sets: DataFrame, bound: float) -> DataFrame:
     first = stored(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("hub")), "first")
     bits = simhash_links(first).join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").toDF("u", "v", "a", "b").select("a", "b")
     links = _verified(nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(bits), sets, nodes, bound)
+    roots = connected_components(links, "likes")
     postings = stored(_postings(sets, nodes, bound), "postings")
-    rounds = 0
-    while True:
-        roots = connected_components(links, "likes")
-        own = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hubs = own.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node", F.lit(rounds))).alias("hub"))
-        hubs = stored(hubs.where("lo <> hi"), "hubs")
-        open_ = stored(own.join(hubs.select("s"), "s", "left_semi"), "open")
-        todo = hubs.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum(F.expr("k * (k - 1) / 2")), F.lit(0)).alias("pairs")).first()
-        if not todo.k:
-            return links
-        last = todo.pairs <= PAIRS * todo.k
-        other = open_.toDF(*[f"{c}2" if c != "s" else c for c in open_.columns]) if last else hubs.select("s", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "place", "root")])
-        found = _verified(_likely(open_.join(other, "s"), bound, last), sets, nodes, bound)
-        if last:
-            return links.union(found)
-        if not found.limit(1).count():  # hubs join nothing more: all pairs across components
-            rest = open_.toDF(*[f"{c}2" if c != "s" else c for c in open_.columns])
-            return links.union(_verified(_likely(open_.join(rest, "s"), bound, True), sets, nodes, bound))
-        links, rounds = stored(links.union(found), "links"), rounds + 1
-
-
-def _likely(pairs: DataFrame, bound: float, each: bool) -> DataFrame:
+    own = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "k")
+    open_ = stored(own.join(mixed, "s"), "open")
+    released(postings)
+    short = open_.where(F.col("k") <= SHORT)
+    other = short.select(*[F.col(c).alias(f"{c}2" if c != "s" else c) for c in short.columns])
+    links = links.union(_verified(_likely(short, other, bound), sets, nodes, bound))
+    long = open_.where(F.col("k") > SHORT)
+    return links.union(_long_links(long, sets, nodes, bound)) if long.limit(1).count() else links
+
+
+def _likely(postings: DataFrame, other: DataFrame, bound: float) -> DataFrame:
     """Pairs of postings across components that sizes and places allow: at the first shingle
     that both have, what follows it in the order must be enough for the bound."""
     least = F.ceil(F.lit(bound / (1 + bound)) * (F.col("n") + F.col("n2")) - 1e-9)
     rest = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    kept = pairs.where((F.col("root") != F.col("root2")) & (rest >= least))
-    return (kept.where("node < node2") if each else kept).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    allowed = (F.col("root") != F.col("root2")) & (rest >= least) & (F.col("node") < F.col("node2"))
+    return postings.join(other, (postings.s == other.s) & allowed).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bound: float = 0.8) -> DataFrame:

@@ -46,11 +46,13 @@ def test_stage_drops_all_pairs_of_five_word_likeness(spark, tmp_path):
     assert len(got) < drop_near_duplicates(docs).count()  # the 3-bit rule leaves near copies
 
 
-def test_postings_by_hubs_and_by_pairs_agree(spark, monkeypatch):
+def test_postings_by_pairs_and_in_blocks_agree(spark, monkeypatch):
     rows = edited()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(L, "PAIRS", 0)
-    assert sorted(r.doc_id for r in drop_near_duplicates(docs, shingle=5, similarity=0.8).collect()) == stay(rows)
+    for short, block in ((1, 4), (1, 256), (4, 16)):
+        monkeypatch.setattr(L, "SHORT", short)
+        monkeypatch.setattr(L, "BLOCK", block)
+        assert sorted(r.doc_id for r in drop_near_duplicates(docs, shingle=5, similarity=0.8).collect()) == stay(rows)
 
 
 def test_nulls_empty_and_repeated_rows(docs, rows, none):
