@@ -1,60 +1,92 @@
 """The percentiles that reports use; they differ and none stands for another.
 
-The first group are aggregates for groupBy().agg(); `percentile_disc` keeps the counts of a
-group's distinct values. counted_percentiles takes the same ranks from a shuffle of counted
-values instead, for groups with very many rows.
+nearest_rank and true_median are aggregates for groupBy().agg() over small groups: Spark keeps
+the counts of a group's distinct values in one task. ranked_values takes any ranks of groups of
+any size: values are counted before the shuffle, a group's values are cut into cells of their
+order, and no window spans more than the cells of a group or the values of a cell.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Cells: the range of a group in steps that are fine at its low end, CELLS for each doubling.
+CELLS, RANGE = 64, 1 << 20
+
 
 def nearest_rank(value: str, p: float) -> Column:
     """The value of rank ceil(n p), at least 1; null without values."""
     return F.expr(f"percentile_disc({p}) within group (order by `{value}`)")
 
 
-def _sorted(value: str, keep: Column | None = None) -> Column:
-    v = F.col(f"`{value}`")
-    return F.array_sort(F.collect_list(v if keep is None else F.when(keep, v)))
+def true_median(value: str) -> Column:
+    """The middle value or the mean of the two middle ones."""
+    return F.median(F.col(f"`{value}`"))
 
 
-def rounded_index(value: str, p: float) -> Column:
-    """The value at place round((n - 1) p), halves up, of the finite values; 0 without any."""
-    v = F.col(f"`{value}`")
-    ranked = _sorted(value, v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    at = F.floor((F.size(ranked) - 1) * F.lit(p) + 0.5).cast("int")
-    return F.coalesce(F.try_element_at(ranked, at + 1), F.lit(0.0))
+# Ranks, from 1, as columns of the count of values.
 
 
-def upper_median(value: str) -> Column:
-    """The middle value, the larger of two middle ones; null without values."""
-    ranked = _sorted(value)
-    return F.try_element_at(ranked, F.floor(F.size(ranked) / 2).cast("int") + 1)
+def rank_nearest(p: float):
+    """ceil(n p), at least 1."""
+    return lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(p) - 1e-9))
 
 
-def true_median(value: str) -> Column:
-    """The middle value or the mean of the two middle ones."""
-    return F.median(F.col(f"`{value}`"))
+def rank_rounded_index(p: float):
+    """The place round((n - 1) p), halves up."""
+    return lambda n: F.floor((n - 1) * F.lit(p) + 0.5) + 1
+
+
+def rank_upper_median(n: Column) -> Column:
+    """The middle, the larger of two."""
+    return F.floor(n / 2) + 1
+
+
+def rank_lower_median(n: Column) -> Column:
+    """The middle, the smaller of two."""
+    return F.floor((n + 1) / 2)
+
+
+def _running(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+    """keys, value, _w, _upto (the running weight up to and with the value) and _all, of the
+    distinct values of each group. Null values are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(weight.alias("_w"))
+    groups = counts.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"), F.sum("_w").alias("_all"))
+    mine = [F.col(f"g.{k}").alias(f"_g{i}") for i, k in enumerate(keys)]
+    joined = counts.join(groups.alias("g").select(*mine, "_lo", "_hi", "_all"), _same(keys, "_g"), "inner") if keys else counts.join(F.broadcast(groups), how="cross")  # one row
+    part = F.coalesce(F.try_divide(F.col(value).cast("double") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    celled = joined.withColumn("_cell", F.floor(F.log2(1 + F.when(part.between(0, 1), part).otherwise(1.0) * RANGE) * CELLS).cast("int")).select(*keys, value, "_w", "_all", "_cell")
+    sums = celled.groupBy(*keys, "_cell").agg(F.sum("_w").alias("_s"))
+    ahead = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_off"))
+    cells = celled.join(offsets, (F.col("_cell") == F.col("_c")) & _same(keys, "_o"))
+    inside = W.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return cells.select(*keys, value, "_w", "_all", (F.col("_off") + F.sum("_w").over(inside)).alias("_upto"))
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return out
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict, count: str | None = None) -> DataFrame:
+    """keys and, for each (name, rank), the value of that rank in ascending order; rank is a
+    function of the column with the group's count. count names a column of how many times a
+    row counts. Nulls are left out; a group of nulls does not appear. NaN is the greatest."""
+    run = _running(df, keys, value, F.count("*") if count is None else F.sum(count))
+    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= rank(F.col("_all")), F.col(value))).alias(name) for name, rank in ranks.items()])
 
 
 def counted_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """keys and, for each (name, p), the nearest-rank percentile, from counts of distinct
-    values: rows are combined before the shuffle, and a window runs over a group's distinct
-    values only. Nulls are left out; a group of nulls does not appear."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    along = W.partitionBy(*keys).orderBy(value)
-    run = counts.select(*keys, value, F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, 0)).alias("_upto"), F.sum("_n").over(W.partitionBy(*keys)).alias("_all"))
-    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(p) - 1e-9))
-    return run.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= rank(p), F.col(value))).alias(name) for name, p in ps.items()])
+    """keys and, for each (name, p), the nearest-rank percentile (see ranked_values)."""
+    return ranked_values(df, keys, value, {name: rank_nearest(p) for name, p in ps.items()})
 
 
 def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, p: float = 0.95) -> DataFrame:
     """keys, the weighted mean and the first value, in ascending order, at which the running
     weight reaches p of the total. Weights of equal values are summed before the shuffle.
     Null values or weights are left out."""
-    own = df.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    along = W.partitionBy(*keys).orderBy(value)
-    run = own.withColumn("_upto", F.sum("_w").over(along.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(W.partitionBy(*keys)))
+    run = _running(df.where(F.col(weight).isNotNull()), keys, value, F.sum(weight))
     return run.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col(value) * F.col("_w")), F.sum("_w")).alias("weighted_mean"),
         F.min(F.when(F.col("_upto") >= F.col("_all") * p, F.col(value))).alias("weighted_percentile"),

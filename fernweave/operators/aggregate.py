@@ -3,7 +3,7 @@ calibration and shares."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fernweave.functions.quantiles import nearest_rank
+from fernweave.functions.quantiles import nearest_rank, rank_nearest, ranked_values
 from fernweave.functions.scalar import clamp, guarded_rate, wilson_interval
 
 
@@ -16,12 +16,27 @@ def grouping_sets(df: DataFrame, grains: dict[str, list[str]], aggregates: list[
     return grouped.agg(F.grouping_id().cast("int").alias("_grain"), *aggregates).withColumn("grain", F.element_at(grain, F.col("_grain"))).drop("_grain")
 
 
-def slice_measures(measures: list[str]) -> list[Column]:
-    """Of each measure: how many rows have it, P50, P95 and maximum, nulls left out."""
-    out = [F.count("*").alias("rows")]
+def slices(df: DataFrame, grains: dict[str, list[str]], columns: list[str], measures: list[str]) -> DataFrame:
+    """Rows, and of each measure the count, P50, P95 and maximum (nulls left out), at several
+    grains: `grain` names the row's grain, columns that are not part of it are null.
+
+    Values are counted once at the finest grain and rolled up from there; ranks are taken as in
+    quantiles.ranked_values, so the overall grain needs no task of its own size.
+    """
+    long = df.select(*columns, F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).alias("_v")) for m in measures])))
+    counts = long.groupBy(*columns, "_m", "_v").agg(F.count("*").alias("_n"))
+    at = lambda name, own: F.struct(F.lit(name).alias("grain"), *[(F.col(c) if c in own else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in columns])
+    rolled = counts.select("_m", "_v", "_n", F.explode(F.array(*[at(name, own) for name, own in grains.items()])).alias("_g")).select("_g.*", "_m", "_v", "_n")
+    keys = ["grain", *columns]
+    whole = rolled.groupBy(*keys, "_m").agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("count"), F.max("_v").alias("max"))
+    ranks = ranked_values(rolled, [*keys, "_m"], "_v", {"p50": rank_nearest(0.5), "p95": rank_nearest(0.95)}, "_n")
+    both = whole.select(*keys, "_m", "rows", "count", "max", F.lit(None).cast("double").alias("p50"), F.lit(None).cast("double").alias("p95"))
+    both = both.unionByName(ranks.select(*keys, "_m", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95")), allowMissingColumns=True)
+    out = [F.max("rows").alias("rows")]
     for m in measures:
-        out += [F.count(m).alias(f"{m}_count"), nearest_rank(m, 0.5).alias(f"{m}_p50"), nearest_rank(m, 0.95).alias(f"{m}_p95"), F.max(m).alias(f"{m}_max")]
-    return out
+        of = lambda c, m=m: F.max(F.when(F.col("_m") == m, F.col(c))).alias(f"{m}_{c}")
+        out += [of("count"), of("p50"), of("p95"), of("max")]
+    return both.groupBy(*keys).agg(*out)
 
 
 def with_empty_groups(report: DataFrame, dim: DataFrame, key: str, counts: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fernweave.functions.scalar import half_up, oklab, oklab_distance
+from fernweave.sources.reports import scratch
 
 # Frame rates and palette sizes that a search steps down through; safety factor
 # of widths; least and greatest byte ratios that are believed.
@@ -17,7 +18,15 @@ def _even(v: Column) -> Column:
     return (F.floor(v / 2) * 2).cast("int")
 
 
-def next_candidates(observations: DataFrame, least_width: int = 96) -> DataFrame:
+def size_window(target: Column, tolerance_percent: float, symmetric: bool = True) -> tuple[Column, Column]:
+    """The least and greatest size that hit a target: within the tolerance of the symmetric
+    difference, or up to the target itself where that is a hard cap."""
+    t = min(max(tolerance_percent, 1.0), 25.0) / 100
+    least = F.ceil(target * F.lit((2 - tolerance_percent / 100) / (2 + tolerance_percent / 100)))
+    return least, F.floor(target * F.lit((2 + t) / (2 - t))) if symmetric else target
+
+
+def next_candidates(observations: DataFrame, least_width: int = 96, max_attempts: int = 20, tolerance_percent: float = 2.0, symmetric: bool = True) -> DataFrame:
     """The next candidate of each search, from its observations so far.
 
     observations: search, seq, target, base_width, width, fps, colours, bayer, size. The last
@@ -25,8 +34,11 @@ def next_candidates(observations: DataFrame, least_width: int = 96) -> DataFrame
     colours; else a width scaled by the root of the byte ratio; else the next lower frame rate
     at a width for it; else fewer colours; else one bayer step. Too small: halfway to the
     narrowest that is too large, else a scaled width up to the base, else halfway to the next
-    higher frame rate that is too large. No candidate: step null. A candidate that was tried is
-    passed over by the frame-rate and colour steps.
+    higher frame rate that is too large. A search ends, with step null, when it has max_attempts
+    observations or one of them hits the target (see size_window). Should the step chosen lead
+    to a candidate that was tried, the frame-rate, colour and bayer steps are taken instead;
+    the first two pass over what was tried. On the last attempt of a symmetric search whose last size is
+    beyond the window, the slope of bytes over area to the next wider candidate sets the width.
     """
     last = observations.groupBy("search").agg(F.max_by(F.struct("target", "base_width", "width", "fps", "colours", "bayer", "size"), "seq").alias("l"))
     tried = observations.groupBy("search").agg(F.collect_set(F.struct("width", "fps", "colours", "bayer")).alias("tried"))  # a dozen attempts a search
@@ -37,7 +49,13 @@ def next_candidates(observations: DataFrame, least_width: int = 96) -> DataFrame
         F.max(F.when(same & fits, F.col("width"))).alias("under"), F.min(F.when(same & ~fits, F.col("width"))).alias("over"),
         F.min(F.when(~fits & (F.col("width") == F.col("l.width")) & (F.col("colours") == F.col("l.colours")) & (F.col("fps") > F.col("l.fps")), F.col("fps"))).alias("over_fps"),
     )
-    s = last.join(bounds, "search").join(tried, "search").select("search", "l.*", "under", "over", "over_fps", "tried")
+    _, ceiling = size_window(F.col("target"), tolerance_percent, symmetric)
+    least, _ = size_window(F.col("target"), tolerance_percent, symmetric)
+    done = observations.groupBy("search").agg(F.count("*").alias("attempts"), F.some((F.col("size") >= least) & (F.col("size") <= ceiling)).alias("hit"))
+    wider = j.where(same & (F.col("bayer") == F.col("l.bayer")) & (F.col("width") > F.col("l.width")) & (F.col("size") > F.col("l.size")))
+    wider = wider.groupBy("search").agg(F.min_by(F.struct(F.col("width").alias("w"), F.col("size").alias("b")), F.struct("width", "seq")).alias("wider"))
+    s = last.join(bounds, "search").join(tried, "search").join(done, "search").join(wider, "search", "left")
+    s = s.select("search", "l.*", "under", "over", "over_fps", "tried", "attempts", "hit", "wider")
     width, fps, colours, bayer, base = map(F.col, ("width", "fps", "colours", "bayer", "base_width"))
     ratio = F.col("target") / F.greatest(F.col("size"), F.lit(1))
     held = lambda v, lo, hi: F.least(F.greatest(v, F.lit(lo)), F.lit(hi))
@@ -49,10 +67,17 @@ def next_candidates(observations: DataFrame, least_width: int = 96) -> DataFrame
     slower = F.transform(F.filter(F.array(*map(F.lit, FPS_LADDER)), lambda v: v < fps), lambda v: row("fps", F.least(scaled(held(ratio * fps / v, 0.01, MOST_RATIO)), base), v))
     fewer = F.transform(F.filter(F.array(*map(F.lit, COLOUR_LADDER)), lambda v: v < colours), lambda v: row("colours", c=v))
     first = lambda rows: F.get(F.filter(rows, untried), F.lit(0))
+    discrete = F.coalesce(first(slower), first(fewer), F.when(bayer < MOST_BAYER, row("bayer", b=bayer + 1)))
+    area = lambda w: w.cast("double") * w
+    slope = (F.col("wider.b") - F.col("size")) / (area(F.col("wider.w")) - area(width))
+    sloped = _even(F.floor(F.sqrt(F.greatest(area(width) - (F.col("size") - ceiling) / slope, F.lit(float(least_width**2))))))
+    sloped = F.least(F.greatest(sloped, F.lit(least_width)), F.greatest(width - 2, F.lit(0)))
+    last_chance = F.lit(symmetric) & F.col("wider").isNotNull() & (F.col("attempts") + 1 == max_attempts) & (F.col("size") > ceiling) & (sloped + 2 < width)
     smaller = (
         F.when((low > F.col("under")) & (low < width), row("halve", low))
+        .when(last_chance, row("slope", sloped))
         .when(shrunk + 2 < width, row("scale", shrunk))
-        .otherwise(F.coalesce(first(slower), first(fewer), F.when(bayer < MOST_BAYER, row("bayer", b=bayer + 1))))
+        .otherwise(discrete)
     )
     high = _even((width + F.col("over")) / 2)
     grown = F.least(F.greatest(F.least(scaled(held(ratio, 1.0, MOST_RATIO)), base), width + 2), base)
@@ -62,8 +87,9 @@ def next_candidates(observations: DataFrame, least_width: int = 96) -> DataFrame
         .when((width < base) & (grown > width), row("scale", grown))
         .when((faster > fps) & (faster < F.col("over_fps")), row("fps", f=faster))
     )
-    chosen = F.when(F.col("size") > F.col("target"), smaller).otherwise(larger)
-    return s.select("search", chosen.alias("n")).select("search", "n.*")
+    found = s.withColumn("n", F.when(F.col("size") > F.col("target"), smaller).otherwise(larger))
+    chosen = F.when((F.col("attempts") >= max_attempts) | F.col("hit"), None).when(F.col("n").isNotNull() & ~untried(F.col("n")), discrete).otherwise(F.col("n"))
+    return found.select("search", chosen.alias("n")).select("search", "n.*")
 
 
 def grid(spark, **choices: list) -> DataFrame:
@@ -79,16 +105,23 @@ def process_trees(processes: DataFrame, roots: DataFrame) -> DataFrame:
     """Per root: how many processes its tree has, the sum of their memory and its largest one
     (ties to the lower pid). processes: pid, parent, started, rss; roots: pid. A child belongs
     to its parent's tree only if both have start times and it started no earlier: a reused
-    pid does not. One join for each level of the deepest tree, 64 at most; Spark's limit of rows in a
-    recursive query (spark.sql.cteRecursionRowLimit) holds for all trees together."""
+    pid does not. Trees are of any depth and may hold cycles: each round adds the children of
+    what the round before has added and ends when that is nothing. Rounds are written to the
+    shared folder, so none is done twice.
+    """
     spark = processes.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        df.write.parquet(path := scratch(spark, "tree"))
+        return spark.read.schema(df.schema).parquet(path)
+
     edges = processes.alias("c").join(processes.select(F.col("pid").alias("parent"), F.col("started").alias("p_started")), "parent")
-    edges = edges.where("started > 0 and p_started > 0 and started >= p_started and pid <> parent").select("parent", F.col("c.pid").alias("pid"))
-    edges.createOrReplaceTempView("_edges")
-    roots.select(F.col("pid").alias("root")).distinct().createOrReplaceTempView("_roots")
-    members = spark.sql(
-        "WITH RECURSIVE tree(root, pid, depth) AS (SELECT root, root, 0 FROM _roots UNION ALL SELECT t.root, e.pid, t.depth + 1 FROM tree t JOIN _edges e ON e.parent = t.pid WHERE t.depth < 64) SELECT DISTINCT root, pid FROM tree"
-    )
+    edges = written(edges.where("started > 0 and p_started > 0 and started >= p_started and pid <> parent").select("parent", F.col("c.pid").alias("pid")).distinct())
+    members = added = written(roots.select(F.col("pid").alias("root"), "pid").distinct())
+    while added.limit(1).count():
+        reached = added.withColumnRenamed("pid", "parent").join(edges, "parent").select("root", "pid").distinct()
+        added = written(reached.join(members, ["root", "pid"], "left_anti"))
+        members = members.union(added)
     own = members.join(processes.select("pid", "rss"), "pid")
     return own.groupBy("root").agg(F.count("*").alias("processes"), F.sum("rss").alias("rss"), F.max_by("pid", F.struct("rss", -F.col("pid"))).alias("largest"))
 

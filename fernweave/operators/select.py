@@ -33,22 +33,24 @@ def fit_label(size: Column, target: Column, exact_percent: float, reachable: Col
     return F.when(symmetric_delta_percent(size, target) <= exact_percent, "exact").when(size <= target, "under").when(reachable, "over").otherwise("unreachable")
 
 
-def best_observation(df: DataFrame, keys: list[str], size: str, target: str, exact_percent: float, order: list[Column], seq: str, columns: list[str]) -> DataFrame:
-    """One row a key: of those in the exact window if there are any, else of those under the
-    target, else the closest in bytes; within the first two by the order given."""
-    exact = symmetric_delta_percent(F.col(size), F.col(target)) <= exact_percent
-    tier = F.when(exact, 2).when(F.col(size) <= F.col(target), 1).otherwise(0)
+def best_observation(df: DataFrame, keys: list[str], size: str, target: str, window: tuple[Column, Column], order: list[Column], seq: str, columns: list[str]) -> DataFrame:
+    """One row a key: of those in the window (least and greatest size that hit, as of
+    search.size_window) if there are any, else of those up to its upper end, the selection
+    ceiling, else the closest in bytes; within the first two by the order given."""
+    least, ceiling = window
+    tier = F.when((F.col(size) >= least) & (F.col(size) <= ceiling), 2).when(F.col(size) <= ceiling, 1).otherwise(0)
     near = F.when(tier == 0, -F.abs(F.col(size) - F.col(target)))
     return preferred(df, keys, [tier, near, *order], seq, columns)
 
 
-def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str]) -> DataFrame:
-    """Rows that no other row of the key dominates: as good in every column (less in `low`,
+def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], feasible: Column | None = None) -> DataFrame:
+    """Of the feasible rows, those that no other one of the key dominates: as good in every column (less in `low`,
     more in `high`) and better in one. Equal rows do not dominate each other.
 
     Distinct value combinations are compared, not rows; each first meets a sample skyline
     of its own key, the rows nearest the best of any one column, which removes most.
     """
+    df = df if feasible is None else df.where(feasible)
     values = [*low, *high]
     own = df.select(*keys, *values).distinct()
     pair = lambda a, b: (_all([F.col(f"{b}.{c}") <= F.col(f"{a}.{c}") for c in low] + [F.col(f"{b}.{c}") >= F.col(f"{a}.{c}") for c in high])) & (_any([F.col(f"{b}.{c}") < F.col(f"{a}.{c}") for c in low] + [F.col(f"{b}.{c}") > F.col(f"{a}.{c}") for c in high]))

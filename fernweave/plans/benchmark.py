@@ -22,7 +22,7 @@ def perf_slice_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority", "l_returnflag", F.col("l_extendedprice").alias("price"), F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).alias("quantity")
     )
     grains = {"overall": [], "priority": ["o_orderpriority"], "flag": ["l_returnflag"]}
-    return A.grouping_sets(runs, grains, A.slice_measures(["price", "quantity"]), ["o_orderpriority", "l_returnflag"])
+    return A.slices(runs, grains, ["o_orderpriority", "l_returnflag"], ["price", "quantity"])
 
 
 @query("""
@@ -30,10 +30,14 @@ SELECT event_type, coalesce(list_sort(list(value) FILTER (isfinite(value)))[CAST
   list_sort(list(value) FILTER (value IS NOT NULL))[count(value) // 2 + 1] AS upper_median, median(value) AS middle
 FROM events GROUP BY event_type""")
 def rounded_index_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three more percentiles, side by side."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        Q.rounded_index("value", 0.9).alias("p90"), Q.upper_median("value").alias("upper_median"), Q.true_median("value").alias("middle")
-    )
+    """Three more percentiles, side by side. p90 is of the finite values, 0 without any."""
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    finite = events.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value")))
+    ranks = Q.ranked_values(events, ["event_type"], "value", {"upper_median": Q.rank_upper_median, "_low": Q.rank_lower_median})
+    p90 = Q.ranked_values(finite, ["event_type"], "value", {"p90": Q.rank_rounded_index(0.9)})
+    every = events.select("event_type").distinct()
+    joined = every.join(ranks, "event_type", "left").join(p90, "event_type", "left")
+    return joined.select("event_type", F.coalesce("p90", F.lit(0.0)).alias("p90"), "upper_median", ((F.col("_low") + F.col("upper_median")) / 2).alias("middle"))
 
 
 @query("""
@@ -65,10 +69,10 @@ def paired_saving_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double")
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(net.alias("net"))
     pairs = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("saving", A.paired_saving(F.col("o_totalprice"), F.col("net")))
-    return pairs.groupBy("o_orderpriority").agg(
-        F.count("*").alias("pairs"), F.round(Q.true_median("saving"), 6).alias("median_saving"), F.round(F.max("saving"), 6).alias("max_saving"),
-        F.round(F.sum("net") / F.sum("o_totalprice"), 6).alias("ratio_of_sums"),
-    )
+    whole = pairs.groupBy("o_orderpriority").agg(F.count("*").alias("pairs"), F.round(F.max("saving"), 6).alias("max_saving"), F.round(F.sum("net") / F.sum("o_totalprice"), 6).alias("ratio_of_sums"))
+    middle = Q.ranked_values(pairs, ["o_orderpriority"], "saving", {"low": Q.rank_lower_median, "high": Q.rank_upper_median})
+    joined = whole.join(middle, "o_orderpriority", "left")
+    return joined.select("o_orderpriority", "pairs", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_saving"), "max_saving", "ratio_of_sums")
 
 
 _COMPARED = """
@@ -124,13 +128,13 @@ def vote_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT DISTINCT role, turn FROM conversations), k AS (SELECT role, t.turn FROM (SELECT DISTINCT role FROM conversations) CROSS JOIN (SELECT DISTINCT turn FROM conversations) t),
-s AS (SELECT role, turn, count(*) AS n FROM conversations WHERE conv_id < 40 GROUP BY ALL)
+WITH k AS (SELECT role, t.turn FROM (SELECT DISTINCT role FROM conversations) CROSS JOIN (SELECT DISTINCT turn FROM conversations) t),
+s AS (SELECT role, turn, count(*) AS n FROM conversations WHERE length(text) > 150 GROUP BY ALL)
 SELECT k.role, k.turn, coalesce(n, 0) AS n_seen, CASE WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS status FROM k LEFT JOIN s USING (role, turn) WHERE n IS NULL OR n > 1""")
 def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of roles x turns that some conversations do not fill once."""
-    talks = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn")
-    return J.matrix_gaps(talks.where("conv_id < 40").select("role", "turn"), talks.select("role"), talks.select("turn"))
+    """Cells of roles x turns that long messages do not fill once."""
+    talks = table(spark, sf_dir, "conversations").select("text", "role", "turn")
+    return J.matrix_gaps(talks.where("length(text) > 150").select("role", "turn"), talks.select("role"), talks.select("turn"))
 
 
 @query("""

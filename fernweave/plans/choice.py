@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweave.functions import scalar as S
 from fernweave.operators import relational as J, select as O
+from fernweave.operators.search import size_window
 from fernweave.plans.registry import query, table
 
 _CANDIDATES = """c AS (SELECT p_partkey AS seq, p_brand AS k, p_size AS width, CAST(p_partkey % 5 AS INT) * 6 AS fps, CAST(p_partkey % 3 AS INT) * 64 AS colours, CAST(floor(p_retailprice * 10) AS BIGINT) AS bytes FROM part)"""
@@ -29,12 +30,17 @@ def preference_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {_CANDIDATES}, s AS (SELECT *, CASE WHEN abs(bytes - 15000) * 200.0 / (bytes + 15000) <= 2 THEN 2 WHEN bytes <= 15000 THEN 1 ELSE 0 END AS tier FROM c)
-SELECT k, arg_max(seq, (tier, CASE WHEN tier = 0 THEN -abs(bytes - 15000) ELSE 0 END, width, fps, colours, -bytes, seq)) AS seq, arg_max(bytes, (tier, CASE WHEN tier = 0 THEN -abs(bytes - 15000) ELSE 0 END, width, fps, colours, -bytes, seq)) AS bytes FROM s GROUP BY k""")
+#: A target of 15000 bytes is hit from 14703 to 15303: 2 percent of the mean, either way.
+_TARGET, _LEAST, _CEILING = 15000, 14703, 15303
+
+
+@query(f"""WITH {_CANDIDATES}, s AS (SELECT *, CASE WHEN bytes BETWEEN {_LEAST} AND {_CEILING} THEN 2 WHEN bytes <= {_CEILING} THEN 1 ELSE 0 END AS tier FROM c)
+SELECT k, arg_max(seq, (tier, CASE WHEN tier = 0 THEN -abs(bytes - {_TARGET}) ELSE 0 END, width, fps, colours, -bytes, seq)) AS seq,
+arg_max(bytes, (tier, CASE WHEN tier = 0 THEN -abs(bytes - {_TARGET}) ELSE 0 END, width, fps, colours, -bytes, seq)) AS bytes FROM s GROUP BY k""")
 def best_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact window first, then what fits, then the closest."""
-    c = _candidates(spark, sf_dir).withColumn("target", F.lit(15000))
-    return O.best_observation(c, ["k"], "bytes", "target", 2.0, O.by_preference("balanced"), "seq", ["seq", "bytes"])
+    """The exact window first, then what is under the selection ceiling, then the closest."""
+    c = _candidates(spark, sf_dir).withColumn("target", F.lit(_TARGET))
+    return O.best_observation(c, ["k"], "bytes", "target", size_window(F.col("target"), 2.0), O.by_preference("balanced"), "seq", ["seq", "bytes"])
 
 
 @query(f"""WITH {_CANDIDATES} SELECT seq, CASE WHEN abs(bytes - 15000) * 200.0 / (bytes + 15000) <= 2 THEN 'exact' WHEN bytes <= 15000 THEN 'under' WHEN width > 5 THEN 'over' ELSE 'unreachable' END AS fit,
@@ -48,11 +54,14 @@ def fit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_CANDIDATES} SELECT k, seq, bytes, width, fps, colours FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.k = a.k AND b.bytes <= a.bytes AND b.width >= a.width AND b.fps >= a.fps AND b.colours >= a.colours
+@query(f"""WITH {_CANDIDATES}, f AS (SELECT * FROM c WHERE bytes <= {_CEILING})
+SELECT k, seq, bytes, width, fps, colours FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.k = a.k AND b.bytes <= a.bytes AND b.width >= a.width AND b.fps >= a.fps AND b.colours >= a.colours
 AND (b.bytes < a.bytes OR b.width > a.width OR b.fps > a.fps OR b.colours > a.colours))""")
 def pareto_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that none of their brand dominates."""
-    return O.skyline(_candidates(spark, sf_dir), ["k"], ["bytes"], ["width", "fps", "colours"]).select("k", "seq", "bytes", "width", "fps", "colours")
+    """Candidates under the selection ceiling that none of their brand dominates."""
+    _, ceiling = size_window(F.lit(_TARGET), 2.0)
+    found = O.skyline(_candidates(spark, sf_dir), ["k"], ["bytes"], ["width", "fps", "colours"], F.col("bytes") <= ceiling)
+    return found.select("k", "seq", "bytes", "width", "fps", "colours")
 
 
 @query(f"""WITH {_CANDIDATES} SELECT k, arg_max(seq, (-abs(bytes - 14000) * 200.0 / (bytes + 14000), -abs(bytes - 14000), width, -seq)) AS seq FROM c GROUP BY k""")

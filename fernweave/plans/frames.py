@@ -241,11 +241,11 @@ def frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {PX}, s AS (SELECT clip, frame % 4 AS frame, y, x, frame // 4 AS t, r // 64 AS r, g // 64 AS g, b // 64 AS b FROM px), d AS (SELECT clip, t AS frame, y, x, coalesce({_delta("{}", "lag({}) OVER w")} > 0, true) AS d FROM s WHERE frame = 0 WINDOW w AS (PARTITION BY clip, y, x ORDER BY t))
+WITH {PX}, s AS (SELECT clip, frame, y, x, r // 64 AS r, g // 64 AS g, b // 64 AS b FROM px), d AS (SELECT clip, frame, y, x, coalesce({_delta("{}", "lag({}) OVER w")} > 0, true) AS d FROM s WINDOW w AS (PARTITION BY clip, y, x ORDER BY frame))
 SELECT clip, frame, count(*) FILTER (d) AS changed, min(x) FILTER (d) AS x0, min(y) FILTER (d) AS y0, max(x) FILTER (d) AS x1, max(y) FILTER (d) AS y1 FROM d GROUP BY ALL""")
 def change_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of change."""
-    p = _pixels(spark, sf_dir).where("frame % 4 = 0").selectExpr("clip", "frame div 4 AS frame", "y", "x", *[f"{c} div 64 AS {c}" for c in "rgb"])
+    p = _pixels(spark, sf_dir).selectExpr("clip", "frame", "y", "x", *[f"{c} div 64 AS {c}" for c in "rgb"])
     return X.change_boxes(p)
 
 

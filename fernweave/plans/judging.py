@@ -139,57 +139,64 @@ def target_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT p_partkey AS k, (p_partkey % 60)::DOUBLE AS l, (p_partkey % 30)::DOUBLE AS t, (p_partkey % 90)::DOUBLE AS r, (p_partkey % 110)::DOUBLE AS b FROM part), q AS (SELECT *, 100 - l - least(r, 100 - l) AS w, 100 - t - least(b, 100 - t) AS h FROM c)
-SELECT k, l AS x, t AS y, w AS width, h AS height, 100 - l - w AS right, 100 - t - h AS bottom, k % 2 = 0 AS even, CASE WHEN k * 8 >= k % 50 * 10 THEN CAST(round(least(320.0, greatest(2.0, round(320.0 * (k * 8 + 2) / greatest(k * 8 + 2, k % 50 * 10 + 2))))) AS INT) // 2 * 2 END AS fit FROM q WHERE k > 100""")
+SELECT k, l AS x, t AS y, w AS width, h AS height, 100 - l - w AS right, 100 - t - h AS bottom, k % 2 = 0 AS even, greatest(2, CAST(floor((k * 8 + 2) * least(1.0, 320.0 / greatest(k * 8 + 2, k % 50 * 10 + 2)) / 2 + 0.5) * 2 AS INT)) AS fit FROM q""")
 def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insets, rectangles and back; dimensions that fit an edge."""
     k = F.col("p_partkey")
     d = lambda v: v.cast("double")
     rect = D.insets_to_rect(d(k % 60), d(k % 30), d(k % 90), d(k % 110))
     fit = S.even_fit(k * 8 + 2, k % 50 * 10 + 2, 320)
-    s = table(spark, sf_dir, "part").where("p_partkey > 100").select(k.alias("k"), rect.alias("r"), fit.alias("fit"))
+    s = table(spark, sf_dir, "part").select(k.alias("k"), rect.alias("r"), fit.alias("fit"))
     back = D.rect_to_insets(F.col("r.x"), F.col("r.y"), F.col("r.width"), F.col("r.height"))
     return s.select("k", "r.*", back.alias("i"), (F.col("k") % 2 == 0).alias("even"), "fit").select("k", "x", "y", "width", "height", "i.right", "i.bottom", "even", F.col("fit.width").cast("int").alias("fit"))
 
 
 @query("""
 WITH p AS (SELECT c_custkey AS pid, c_custkey // 3 AS parent, CASE WHEN c_custkey % 29 = 0 THEN 0 ELSE 100 + c_custkey - c_custkey % 13 * (CASE WHEN c_custkey % 17 = 0 THEN 50 ELSE 0 END) END AS started, CAST(floor(c_acctbal) AS BIGINT) AS rss FROM customer WHERE c_custkey > 0),
-t AS (WITH RECURSIVE r(root, pid, depth) AS (SELECT pid, pid, 0 FROM p WHERE pid <= 9 UNION ALL SELECT r.root, c.pid, depth + 1 FROM r JOIN p c ON c.parent = r.pid JOIN p q ON q.pid = c.parent WHERE c.started > 0 AND q.started > 0 AND c.started >= q.started AND c.pid <> c.parent) SELECT DISTINCT root, pid FROM r)
+t AS (WITH RECURSIVE r(root, pid, depth) AS (SELECT pid, pid, 0 FROM p WHERE pid % 50 < 3 UNION ALL SELECT r.root, c.pid, depth + 1 FROM r JOIN p c ON c.parent = r.pid JOIN p q ON q.pid = c.parent WHERE c.started > 0 AND q.started > 0 AND c.started >= q.started AND c.pid <> c.parent) SELECT DISTINCT root, pid FROM r)
 SELECT root, count(*) AS processes, CAST(sum(rss) AS BIGINT) AS rss, arg_max(pid, struct_pack(r := rss, p := -pid)) AS largest FROM t JOIN p USING (pid) GROUP BY 1""")
 def process_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory of process trees, guarded against reused ids."""
     k = F.col("c_custkey")
     started = F.when(k % 29 == 0, 0).otherwise(100 + k - k % 13 * F.when(k % 17 == 0, 50).otherwise(0))
     p = table(spark, sf_dir, "customer").where("c_custkey > 0").select(k.alias("pid"), F.expr("c_custkey div 3").alias("parent"), started.alias("started"), F.floor("c_acctbal").cast("long").alias("rss"))
-    return R.process_trees(p, p.where("pid <= 9").select("pid"))
+    return R.process_trees(p, p.where("pid % 50 < 3").select("pid"))
 
 
 @query("""
 WITH s AS (SELECT user_id AS export, event_type AS stage, event_id, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) - epoch_us(ts) AS us FROM events) SELECT export, stage, count(*) AS calls, CAST(sum(us) AS BIGINT) AS elapsed_us FROM s WHERE us IS NOT NULL GROUP BY ALL""")
 def stage_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exclusive time of stages."""
+    """Exclusive time of stages."""
     from fernweave.plans.registry import micros
 
     return R.stage_profile(table(spark, sf_dir, "events").select(F.col("user_id").alias("export"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), micros("ts").alias("at_us")))
 
 
-_OBS = "ob AS (SELECT o_custkey AS search, o_orderkey AS seq, 150000 AS target, 640 AS base_width, CAST(100 + o_orderkey % 27 * 20 AS INT) AS width, CAST(CASE o_custkey % 2 WHEN 0 THEN 15 ELSE 12 END AS INT) AS fps, 128 AS colours, 2 AS bayer, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders)"
+def search_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of a search for each customer: its orders, whose prices are the sizes."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("search"),
+        k.alias("seq"),
+        F.lit(150000).alias("target"),
+        F.lit(640).alias("base_width"),
+        (100 + k % 27 * 20).cast("int").alias("width"),
+        F.when(F.col("o_custkey") % 2 == 0, 15).otherwise(12).alias("fps"),
+        F.lit(128).alias("colours"),
+        F.lit(2).alias("bayer"),
+        F.floor("o_totalprice").cast("long").alias("size"),
+    )
 
 
-@query(f"""
-WITH {_OBS}, l AS (SELECT search, arg_max(struct_pack(target, base_width, width, fps, colours, bayer, size), seq) AS l FROM ob GROUP BY 1),
-b AS (SELECT ob.search, l, max(ob.width) FILTER (ob.fps = l.fps AND ob.colours = l.colours AND ob.size <= l.target) AS un, min(ob.width) FILTER (ob.fps = l.fps AND ob.colours = l.colours AND ob.size > l.target) AS ov FROM ob JOIN l USING (search) GROUP BY ALL),
-q AS (SELECT search, l.width AS w, l.fps AS fps, l.size AS size, l.target AS target, l.base_width AS base, un, ov, (un + l.width) // 4 * 2 AS lo, (ov + l.width) // 4 * 2 AS hi,
- greatest(96, CAST(floor(floor(l.width * sqrt(least(0.99, greatest(0.05, l.target / l.size))) * 0.985 + 0.5) / 2) * 2 AS INT)) AS sh, greatest(96, CAST(floor(floor(l.width * sqrt(least(16.0, greatest(1.0, l.target / l.size))) * 0.985 + 0.5) / 2) * 2 AS INT)) AS gr FROM b),
-n AS (SELECT *, CASE WHEN size > target THEN CASE WHEN lo > un AND lo < w THEN 'halve' WHEN sh + 2 < w THEN 'scale' ELSE 'fps' END ELSE CASE WHEN hi > w AND hi < ov THEN 'halve' WHEN w < base THEN 'scale' END END AS step FROM q)
-SELECT search, step, CAST(CASE WHEN step = 'halve' AND size > target THEN lo WHEN step = 'halve' THEN hi WHEN step = 'scale' AND size > target THEN sh WHEN step = 'scale' THEN least(greatest(least(gr, base), w + 2), base) END AS INT) AS width FROM n WHERE step IS DISTINCT FROM 'fps'""")
+#: Of next_candidates: most attempts of a search, and the tolerance in percent.
+ATTEMPTS, TOLERANCE = 20, 2.0
+
+
+@query()
 def next_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next width of each size search."""
-    k = F.col("o_orderkey")
-    obs = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("search"), k.alias("seq"), F.lit(150000).alias("target"), F.lit(640).alias("base_width"), (100 + k % 27 * 20).cast("int").alias("width"), F.when(F.col("o_custkey") % 2 == 0, 15).otherwise(12).alias("fps"),
-        F.lit(128).alias("colours"), F.lit(2).alias("bayer"), F.floor("o_totalprice").cast("long").alias("size"),
-    )
-    return R.next_candidates(obs).where("step is null or step <> 'fps'").select("search", "step", "width")
+    """The next candidate of each size search, or why there is none. A test holds it
+    against a plain loop."""
+    return R.next_candidates(search_observations(spark, sf_dir), max_attempts=ATTEMPTS, tolerance_percent=TOLERANCE)
 
 
 @query("""

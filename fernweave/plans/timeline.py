@@ -124,12 +124,12 @@ def number_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders WHERE o_custkey % 5 = 0), w AS (SELECT DISTINCT o_custkey, d * 100 AS ws, d * 100 + 60 AS we FROM o CROSS JOIN (SELECT unnest(range(20, 40)) AS d))
+WITH o AS (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders), w AS (SELECT DISTINCT o_custkey, d * 100 AS ws, d * 100 + 60 AS we FROM o CROSS JOIN (SELECT unnest(range(20, 40)) AS d))
 SELECT o.o_custkey, o_orderkey, s, s + 45 AS e, ws, we, greatest(s, ws) AS overlap_start, least(s + 45, we) AS overlap_end FROM o JOIN w ON o.o_custkey = w.o_custkey AND s < we AND ws < s + 45""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of ranges inside windows, by an equi-join on cells."""
     day = F.expr("cast(datediff(cast(o_orderdate as date), date'1990-01-01') as long)")
-    spans = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select("o_custkey", "o_orderkey", day.alias("s"), (day + 45).alias("e"))
+    spans = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("s"), (day + 45).alias("e"))
     windows = spans.select("o_custkey").distinct().withColumn("ws", F.explode(F.expr("transform(sequence(20, 39), d -> cast(d * 100 as long))"))).withColumn("we", F.col("ws") + 60)
     return J.overlaps(spans, windows, ["o_custkey"], ("s", "e"), ("ws", "we"), 100).select("o_custkey", "o_orderkey", "s", "e", "ws", "we", "overlap_start", "overlap_end")
 

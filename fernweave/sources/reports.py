@@ -15,10 +15,12 @@ OWN_MANIFEST = "bundle-manifest.json"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder of spark.checkpoint.dir, which driver and executors share; a
-    local one is set only where that is unset (tests)."""
+    """A new path below the folder of spark.checkpoint.dir, which driver and executors share.
+    Where that is unset, one of this machine is set on a local master (tests) only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
