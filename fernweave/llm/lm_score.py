@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fernweave.llm import attention
 from fernweave.llm.store import stored
-from fernweave.llm.text import NON_SPACE, blocks, words
+from fernweave.llm.text import LARGE, NON_SPACE, blocks, words
 
 #: Words whose counts are broadcast, and words a worker keeps the subwords of.
 FREQUENT, CACHED = 1 << 17, 300_000
@@ -197,7 +197,7 @@ def train_round(texts: DataFrame, path: str, layout: attention.Layout, start: at
             inputs, targets = inputs[stop:], targets[stop:]
 
         for batch in batches:
-            for _, _, some in blocks(batch, "text"):
+            for _, _, some in blocks(batch, "text", LARGE):
                 _, _, _, ids, edges = sequences(path, some)
                 x, where, fresh = attention.windows(ids.astype(np.int32), edges, end, attention.LENGTH)
                 order = rng.permutation(len(x))
@@ -289,7 +289,7 @@ def lm_scores(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_layout, own_weights, own_table = shared.value
         for batch in batches:
-            for at, to, texts in blocks(batch, "text"):
+            for at, to, texts in blocks(batch, "text", LARGE):
                 score, n_tokens, known, base, others = _score(model_path, own_layout, own_weights, own_table, texts)
                 part = batch.slice(at, to - at)
                 keys = [xxhash.xxh3_128_digest(f"{i}/".encode() + x) for i, x in zip(part.column("id").to_pylist(), texts.cast(pa.large_binary()).to_pylist(), strict=True)]

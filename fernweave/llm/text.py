@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; one longer text makes a longer block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text handled at once: arrays over bytes take a hundred times as much. LARGE is for
+#: work on the distinct words of a block. One longer text makes a longer block.
+BLOCK_BYTES, LARGE = 1 << 20, 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32

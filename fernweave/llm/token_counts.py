@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from fernweave.llm.text import blocks, raw
+from fernweave.llm.text import LARGE, blocks, raw
 
 #: Entries of the broadcast table, of a task's tally when emitted, and of a tally or cache before it is cut.
 TABLE, EMITTED, HELD = 65_536, 8_192, 400_000
@@ -68,7 +68,7 @@ def pretokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[bytes] = Counter()
     for batch in batches:
-        for _, _, texts in blocks(batch, "text"):
+        for _, _, texts in blocks(batch, "text", LARGE):
             coded, _ = pretokens(texts)
             times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).tolist()
             for word, n in zip(coded.dictionary.to_pylist(), times, strict=True):
@@ -108,7 +108,7 @@ def token_counts(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         table, cache = known.value, _cache.setdefault(model_path, {})
         for batch in batches:
             totals = np.zeros(batch.num_rows, dtype=np.int64)
-            for at, to, texts in blocks(batch, "text"):
+            for at, to, texts in blocks(batch, "text", LARGE):
                 coded, begins = pretokens(texts)
                 own = coded.dictionary.to_pylist()
                 sizes = [table.get(x, -1) for x in own]
