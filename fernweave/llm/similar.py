@@ -3,8 +3,8 @@
 Two sets of n and m shingles that are that like share one among the first n - ceil(bound n) + 1
 of the one and as many of the other, in any order that is the same for all; rare shingles come
 first. Those prefixes are the postings. SimHash links of the same shingles (simhash.simhash_links)
-are verified first; of the postings, only pairs across the components that these make are left.
-Postings of up to SHORT members give their pairs, if sizes and places allow. The members of longer
+are verified first, then the members of each posting against one of them; of the postings, only
+pairs across the components that these make are left. Postings of up to SHORT members give their pairs, if sizes and places allow. The members of longer
 ones, joined to groups over the postings that they share, are compared in blocks: each task
 gets the sets of two blocks and hands out verified links only, so no pair is a row. Every link
 is verified by its sets; postings are neither cut nor sampled.
@@ -117,7 +117,9 @@ def _postings(sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are as like as the bound says."""
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    sizes = nodes.select("node", "n")
+    sized = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
+    pairs = stored(sized.where(F.least("n", "m") >= F.lit(bound) * F.greatest("n", "m") - 1e-9).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = stored(_marked(sets.select("row", "node", "shingles"), wanted).join(nodes.join(wanted, "node").select("row"), "row", "left_semi").drop("row"), "wanted")
     both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
@@ -207,25 +209,38 @@ def similar_links(sets: DataFrame, bound: float) -> DataFrame:
     first = stored(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("hub")), "first")
     bits = simhash_links(first).join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").toDF("u", "v", "a", "b").select("a", "b")
     links = _verified(nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(bits), sets, nodes, bound)
-    roots = connected_components(links, "likes")
     postings = stored(_postings(sets, nodes, bound), "postings")
-    own = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "k")
-    open_ = stored(own.join(mixed, "s"), "open")
+    open_ = _open(postings, links)
+    hubs = open_.groupBy("s").agg(F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node")).alias("hub"))
+    hubs = hubs.select("s", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "place", "root")])
+    links = stored(links.union(_verified(_likely(open_, hubs, bound, False), sets, nodes, bound)), "hubs")
+    released(open_)
+    open_ = _open(postings, links)
     released(postings)
     short = open_.where(F.col("k") <= SHORT)
     other = short.select(*[F.col(c).alias(f"{c}2" if c != "s" else c) for c in short.columns])
-    links = links.union(_verified(_likely(short, other, bound), sets, nodes, bound))
+    links = links.union(_verified(_likely(short, other, bound, True), sets, nodes, bound))
     long = open_.where(F.col("k") > SHORT)
     return links.union(_long_links(long, sets, nodes, bound)) if long.limit(1).count() else links
 
 
-def _likely(postings: DataFrame, other: DataFrame, bound: float) -> DataFrame:
+def _open(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """The postings with members of several components, with each member's component as root
+    and their number k."""
+    roots = connected_components(links, "likes")
+    own = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("s").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "k")
+    return stored(own.join(mixed, "s"), "open")
+
+
+def _likely(postings: DataFrame, other: DataFrame, bound: float, each: bool) -> DataFrame:
     """Pairs of postings across components that sizes and places allow: at the first shingle
-    that both have, what follows it in the order must be enough for the bound."""
+    that both have, what follows it in the order must be enough for the bound. each: other
+    has the same rows, and a pair is wanted once."""
     least = F.ceil(F.lit(bound / (1 + bound)) * (F.col("n") + F.col("n2")) - 1e-9)
     rest = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    allowed = (F.col("root") != F.col("root2")) & (rest >= least) & (F.col("node") < F.col("node2"))
+    sized = F.least("n", "n2") >= F.lit(bound) * F.greatest("n", "n2") - 1e-9
+    allowed = (F.col("root") != F.col("root2")) & sized & (rest >= least) & (F.col("node") < F.col("node2") if each else F.lit(True))
     return postings.join(other, (postings.s == other.s) & allowed).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
