@@ -11,6 +11,7 @@ is verified by its sets; postings are neither cut nor sampled.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -28,6 +29,8 @@ from fernweave.llm.text import NON_SPACE, blocks, gram_hashes, words
 SAMPLE, COMMON = 8_000, 1 << 17
 #: Members of a posting up to which its pairs are rows, and of a block of a longer one's.
 SHORT, BLOCK = 64, 256
+#: Passes in which pairs are verified.
+PASSES = 4
 #: Bytes of text, and rows, that a task handles at once.
 TEXT, ROWS = 1 << 20, 256
 #: Bits of the map of nodes that keeps sets from being shuffled which a join would drop.
@@ -122,7 +125,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float)
     pairs = stored(sized.where(F.least("n", "m") >= F.lit(bound) * F.greatest("n", "m") - 1e-9).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     held = stored(_marked(sets.select("row", "node", "shingles"), wanted).join(nodes.join(wanted, "node").select("row"), "row", "left_semi").drop("row"), "wanted")
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,10 +137,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float)
                     keep[i] = same >= bound * (len(p) + len(q) - same) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    verified = stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    parts = []
+    for i in range(PASSES):  # a part of the pairs' sets is in shuffles at once
+        mine = F.pmod(F.xxhash64("a"), F.lit(PASSES)) == i
+        both = pairs.where(mine).join(held.toDF("a", "x").where(mine), "a").join(held.toDF("b", "y"), "b")
+        parts.append(stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified"))
     released(pairs)
     released(held)
-    return verified
+    return reduce(DataFrame.union, parts)
 
 
 def _compared(rows: list[tuple], bound: float) -> tuple[np.ndarray, np.ndarray]:
