@@ -19,8 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: While a table is written: shuffle files go when the statement ends, and Python workers get
-#: few rows at once, as rows hold whole texts or sets.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: few rows and bytes at once, as rows hold whole texts or sets. One longer row is a batch.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -28,14 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     repeat the work nor depend on an executor's disk. Its shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in _WRITING}
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
