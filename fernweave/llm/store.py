@@ -18,6 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a row group: a task holds one for each file that it writes or reads.
+ROW_GROUP = 16 << 20
+
 #: While a table is written: shuffle files go when the statement ends, and Python workers get
 #: few rows and bytes at once, as rows hold whole texts or sets. One longer row is a batch.
 _WRITING = {
@@ -36,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
