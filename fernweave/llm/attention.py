@@ -162,7 +162,7 @@ def _by_class(layout: Layout, kind: np.ndarray) -> list[tuple[int, int, np.ndarr
     return [(int(layout.begin[k]), int(layout.begin[k + 1]), order[cuts[k] : cuts[k + 1]]) for k in range(CLASSES) if cuts[k] < cuts[k + 1] and sizes[k] > 1]
 
 
-def log_probabilities(w: Weights, layout: Layout, ids: np.ndarray, edges: np.ndarray, batch: int = 1024) -> np.ndarray:
+def log_probabilities(w: Weights, layout: Layout, ids: np.ndarray, edges: np.ndarray, batch: int = 2048) -> np.ndarray:
     """Natural log probability of each id in its sequence; no sequence is empty."""
     inputs, where, fresh = windows(ids, edges, len(layout.kind), STRIDE)
     out = np.zeros(len(ids), dtype=np.float32)

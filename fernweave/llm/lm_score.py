@@ -12,7 +12,7 @@ corpus and is never broadcast.
 """
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from fernweave.llm.text import LARGE, NON_SPACE, blocks, words
 FREQUENT, CACHED = 1 << 17, 300_000
 #: Texts fall into PARTS parts by a hash; round r trains on the parts from ROUNDS[r] up to the next.
 PARTS, ROUNDS = 8, (0, 1, 4, 8)
-#: Windows in a step, step size, and bytes of text for which a task more is worth it.
-STEP, RATE, TRAINER = 256, 0.1, 4 << 20
+#: Windows in a step of each round, the last for any after: short steps move fast at first, long ones cost less a window.
+STEPS = (256, 1024, 1024)
+#: Step size, and bytes of text for which a task more is worth it.
+RATE, TRAINER = 0.2, 4 << 20
 #: Rows of weights that are averaged together.
 CHUNK = 1024
 #: The token after the last word of a text, as a key that no word can be.
@@ -177,8 +179,9 @@ def _mean(k: int, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["k", "n", "rows"])
 
 
-def train_round(texts: DataFrame, path: str, layout: attention.Layout, start: attention.Weights) -> attention.Weights:
-    """Each task trains from `start` on all windows of all its texts (column text). The weights
+def train_round(texts: DataFrame, path: str, layout: attention.Layout, start: attention.Weights, step: int) -> attention.Weights:
+    """Each task trains from `start` on all windows of all its texts (column text), `step` windows
+    a step. The weights
     that the tasks end with are averaged row by row, weighted by how often a task met the row."""
     shared = texts.sparkSession.sparkContext.broadcast((layout, start))
 
@@ -191,9 +194,9 @@ def train_round(texts: DataFrame, path: str, layout: attention.Layout, start: at
 
         def learn(last: bool) -> None:
             nonlocal inputs, targets
-            stop = len(inputs) if last else len(inputs) - len(inputs) % STEP
-            for i in range(0, stop, STEP):
-                trainer.step(inputs[i : i + STEP], targets[i : i + STEP])
+            stop = len(inputs) if last else len(inputs) - len(inputs) % step
+            for i in range(0, stop, step):
+                trainer.step(inputs[i : i + step], targets[i : i + step])
             inputs, targets = inputs[stop:], targets[stop:]
 
         for batch in batches:
@@ -243,9 +246,9 @@ def train(training: DataFrame, counts: DataFrame, path: str, text_col: str = "te
     size = counts.agg(F.coalesce(F.sum(F.col("c") * (F.octet_length("word") + 1)), F.lit(0)).alias("b")).first().b
     texts = training.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     part = F.pmod(F.xxhash64("text"), F.lit(PARTS))
-    for low, high in zip(rounds[:-1], rounds[1:], strict=True):
+    for low, high, step in zip(rounds[:-1], rounds[1:], chain(STEPS, repeat(STEPS[-1]))):
         trainers = 1 + int(size * (high - low) / PARTS) // TRAINER
-        weights = train_round(texts.where((part >= low) & (part < high)).coalesce(trainers), path, layout, weights)
+        weights = train_round(texts.where((part >= low) & (part < high)).coalesce(trainers), path, layout, weights, step)
     return layout, weights
 
 
