@@ -4,11 +4,14 @@ parameters, to its whole table. `ORACLE` has DuckDB SQL for those that SQL can e
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fernweave.llm.collocations import collocations
 from fernweave.llm.decontaminate import contaminated_spans
+from fernweave.llm.divergence import source_divergence
 from fernweave.llm.licenses import license_scan
 from fernweave.llm.lm_score import lm_scores
 from fernweave.llm.mixing import mix_sources, word_tokens
 from fernweave.llm.quality import learn_quality, quality_scores
+from fernweave.llm.quality_rules import learn_rules, quality_rules
 from fernweave.llm.sharding import hilbert_shards
 from fernweave.llm.simhash import simhash_components
 from fernweave.llm.store import stored
@@ -86,6 +89,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "n_active", "rule_domain", "rule_action", "blocked")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, learn_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 #: Of op4: most epochs of a source, tokens in a block, seed of the permutations.
 MAX_REPEAT, BLOCK_TOKENS, SEED = 1.25, 1 << 16, 17
 
@@ -118,6 +134,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -153,4 +172,37 @@ WITH l(domain, listed_on, action) AS (VALUES {", ".join(f"('{d}', TIMESTAMP '{t}
 p AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '[.]+$', ''), '') AS host, TIMESTAMP '2021-01-01' + to_days((page_id % 1461)::INT) AS seen FROM pages),
 a AS (SELECT page_id, v.domain, v.action, row_number() OVER (PARTITION BY page_id ORDER BY length(v.domain) DESC) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM p JOIN v ON (host = v.domain OR ends_with(host, '.' || v.domain)) AND listed_on <= seen AND (until IS NULL OR seen < until))
 SELECT p.page_id, host, strftime(seen, '%Y-%m-%d') AS fetched_on, coalesce(n, 0) AS n_active, a.domain AS rule_domain, a.action AS rule_action, coalesce(a.action = 'block', false) AS blocked FROM p LEFT JOIN a ON p.page_id = a.page_id AND k = 1""",
+    # All phrases of one to five words of all pieces are counted.
+    "op11_collocations": rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS k FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, array_to_string(w[k : k + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+parts AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+inside AS (SELECT lang, f, unnest([array_to_string(w[1 : m - 1], ' '), array_to_string(w[2 : m], ' ')]) AS phrase FROM parts WHERE m > 2),
+gone AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inside i ON f.lang = i.lang AND f.phrase = i.phrase AND 100 * i.f >= 100 * f.f),
+kept AS (SELECT * FROM parts WHERE m > 1 AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = parts.lang AND gone.phrase = parts.phrase)),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM kept),
+scored AS (SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+ FROM cuts c JOIN total USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 : c.m], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000""",
+    # Every group and language gives every kept term its probability.
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents),
+t AS (SELECT i, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+own AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM groups g LEFT JOIN own USING (lang, source) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1),
+p AS (SELECT s.lang, s.source, k.term, coalesce(o.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(o.c, 0) + 1) // (s.n + v) AS p, 1 + 1000000000::HUGEINT * (k.c + 1) // (l.n + v) AS q
+ FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = s.lang AND o.source = s.source AND o.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+rows AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM rows QUALIFY part = 'pair' OR rank <= 200""",
 }

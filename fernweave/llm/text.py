@@ -83,11 +83,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[off[0] : off[-1]], off - off[0]
 
 
-def words(texts: pa.Array, table: np.ndarray) -> Words:
-    """All words of the texts, A-Z lower-cased, where `table` says which bytes belong to words."""
+def words(texts: pa.Array, table: np.ndarray, lower: bool = True) -> Words:
+    """All words of the texts, A-Z lower-cased if `lower`, where `table` says which bytes belong to words."""
     data, off = raw(texts)
     buffer = np.zeros(len(data) + 8, dtype=np.uint8)
-    buffer[:-8] = _LOWER[data]
+    buffer[:-8] = _LOWER[data] if lower else data
     inside = np.append(table[buffer[:-8]], False)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -99,6 +99,35 @@ def words(texts: pa.Array, table: np.ndarray) -> Words:
     return Words(buffer, starts, ends, np.searchsorted(starts, off))
 
 
+def word_array(w: Words) -> pa.Array:
+    """The words' bytes themselves, one after another."""
+    sizes = w.ends - w.starts
+    offsets = np.append(0, np.cumsum(sizes))
+    data = w.buffer[np.repeat(w.starts - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def coded(arrays: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of the arrays, as text, and the number of each word in order."""
+    chunks = pa.chunked_array(arrays, pa.large_binary()).dictionary_encode().unify_dictionaries().chunks
+    dictionary = chunks[0].dictionary if chunks else pa.array([], pa.large_binary())
+    numbers = [c.indices.to_numpy() for c in chunks]
+    return dictionary.cast(pa.large_string()).cast(pa.string()), np.concatenate(numbers).astype(np.int64) if numbers else np.zeros(0, np.int64)
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, however long: the buffer ends in 8 more bytes."""
+    sizes = ends - starts
+    lanes = np.ndarray((max(len(buffer) - 7, 0),), dtype="<u8", buffer=buffer, strides=(1,))
+    n = (sizes + 7) // 8
+    first = np.cumsum(n) - n
+    k = np.arange(n.sum()) - np.repeat(first, n)
+    held = lanes[np.repeat(starts, n) + 8 * k] & _MASKS[np.minimum(np.repeat(sizes, n) - 8 * k, 8)]
+    mixed = mix(held + mix((k + 1).astype(np.uint64) * _C1))
+    total = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+    return mix(total[first + n] - total[first] ^ sizes.astype(np.uint64) * _C2)
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive word hashes, over row ends too: the caller masks those."""
     if len(hashes) < n:
