@@ -173,13 +173,14 @@ def grow(x: np.ndarray, bad: np.ndarray, conditions: int = CONDITIONS) -> Rule:
 
 def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     """The beginning of the rule with the highest (bad - good) / (bad + good) of what it
-    covers; of equals the shortest."""
+    covers, of equals the shortest; without conditions that a later one implies."""
 
     def worth(r: Rule) -> float:
         own = bad[covered(r, x)]
         return (2 * own.sum() - len(own)) / len(own) if len(own) else -1.0
 
-    return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
+    best = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (worth(r), -len(r)), default=())
+    return tuple(c for i, c in enumerate(best) if not any((d.feature, d.above) == (c.feature, c.above) for d in best[i + 1 :]))
 
 
 def learn_list(x: np.ndarray, bad: np.ndarray, precise: float = PRECISE, rules: int = RULES) -> list[Rule]:
