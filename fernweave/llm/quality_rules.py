@@ -2,8 +2,8 @@
 
 Sequential covering: a rule is a conjunction of thresholds on named statistics. It is grown
 on two thirds of the labelled rows, a condition at a time by information gain, then pruned
-from its end on the other third; the rows that it covers leave, and the next rule is grown
-from the rest, until none is precise enough. The list becomes one ordered CASE expression of
+from its end on the other third, for each third in turn; the rows that the best rule covers
+leave, and the next is grown from the rest, until none is precise enough. The list becomes one ordered CASE expression of
 Spark, whose first true rule names the reason to reject a document.
 """
 
@@ -184,18 +184,24 @@ def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
 
 
 def learn_list(x: np.ndarray, bad: np.ndarray, precise: float = PRECISE, rules: int = RULES) -> list[Rule]:
-    """x: rows of FEATURES; bad: which to reject. Every third row prunes. A rule that covers
-    too few rows there, or is not precise, ends the list; no bad rows: no rules."""
+    """x: rows of FEATURES; bad: which to reject. Each third of the rows prunes a rule of the
+    others; of those that are precise on their third, and cover enough rows there, the one that
+    covers most bad rows joins the list. None: the list ends; no bad rows: no rules."""
     found: list[Rule] = []
-    third = np.arange(len(x)) % 3 == 2
+    third = np.arange(len(x)) % 3
     left = np.ones(len(x), dtype=bool)
-    while len(found) < rules and bad[left & ~third].any():
-        rule = prune(grow(x[left & ~third], bad[left & ~third]), x[left & third], bad[left & third])
-        own = bad[left & third][covered(rule, x[left & third])]
-        if not rule or len(own) < COVERED or own.mean() < precise:
+    while len(found) < rules and bad[left].any():
+        offered = []
+        for k in range(3):
+            ours, theirs = left & (third != k), left & (third == k)
+            rule = prune(grow(x[ours], bad[ours]), x[theirs], bad[theirs])
+            own, every = (bad[rows][covered(rule, x[rows])] for rows in (theirs, left))
+            if rule and len(own) >= COVERED and min(own.mean(), every.mean()) >= precise:
+                offered.append((int(every.sum()), rule))
+        if not offered:
             break
-        found.append(rule)
-        left &= ~covered(rule, x)
+        found.append(max(offered, key=lambda r: (r[0], -len(r[1])))[1])
+        left &= ~covered(found[-1], x)
     return found
 
 

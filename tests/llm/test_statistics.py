@@ -170,5 +170,6 @@ def test_quality_rules_on_documents(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op12_quality_rules"](spark, sf).collect()}
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     y = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "quality", "crc32(cast(doc_id as string)) % 5 = 0 as held").where("held").collect()
-    good, bad = ([got[r.doc_id].kept for r in y if r.quality == q] for q in (1, 0))
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.03 * len(bad)
+    good, bad = ([got[r.doc_id] for r in y if r.quality == q] for q in (1, 0))
+    assert sum(r.rule is None for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.03 * len(bad)
+    assert all(r.kept == (r.rule is None and not r.base_failed) for r in got.values())
