@@ -4,16 +4,18 @@ The texts are cut into shards of some millions of words. In a shard, each word h
 of its positions, compressed to the 64-bit lanes that have a bit set; a position without a
 word stands between two pieces, so nothing reaches over a boundary. A phrase's bitmap holds
 its last words' positions: shifted by one and ANDed with the next word's it is the longer
-phrase's, and the bits set are its occurrences. Phrases are extended depth first, a bounded
-stretch of them at once, and their counts are summed over the shards.
+phrase's, and the bits set are its occurrences. Phrases are extended depth first, some of
+them at once, over bounded stretches of positions, and their counts are summed over the shards.
 
-What is extended is pruned by what is frequent in the whole corpus: first the words, then a
-map of co-occurrence, the pairs of neighbours. Both come back to the shards by joins on what
-the shard itself holds, so no task gets more than its shard's share of them.
+What is extended is pruned by what is frequent in the whole corpus, first the words, then the
+pairs of neighbours; both come back to the shards by joins on what the shard itself holds, so
+no task gets more than its shard's share of them. And by a map of co-occurrence: a phrase is
+only ANDed with words that follow its last two somewhere in the stretch.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from fernweave.llm.store import released, stored
 from fernweave.llm.text import blocks, coded, mix, word_array, words
 
-#: Words in a shard, and lanes that one step of the search looks up.
-SHARD, PROBES = 1 << 22, 1 << 21
+#: Words in a shard, positions of it that are searched at once, lanes that one step looks up.
+SHARD, STRETCH, PROBES = 1 << 20, 1 << 16, 1 << 20
+#: A bitmap that holds one lane in so many is kept open too, its lanes looked up by number.
+OPEN = 64
 #: Bits of the map of pairs that keeps neighbours from being shuffled which a join would drop.
 MARKS = 1 << 24
 #: Parts in which each language's best phrases are taken before the last ranking.
@@ -121,18 +125,48 @@ class Bitmaps:
     lane: np.ndarray
     bits: np.ndarray
 
-    def owners(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
+    @cached_property
+    def keys(self) -> np.ndarray:
+        """phrase << 32 | lane of all lanes, in order."""
+        return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off)) << 32 | self.lane
+
+    @cached_property
+    def opened(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which row of a table each dense phrase has, -1 for the others; and that table of
+        the bits of all lanes, which is at most OPEN times as large as what it holds."""
+        sizes, lanes = np.diff(self.off), int(self.lane.max(initial=0)) + 1
+        dense = np.flatnonzero(sizes * OPEN > lanes)
+        row = np.full(len(sizes), -1, dtype=np.int64)
+        row[dense] = np.arange(len(dense))
+        table = np.zeros((len(dense), lanes), dtype=np.uint64)
+        at, of = _spread(self.off, dense)
+        table[of, self.lane[at]] = self.bits[at]
+        return row, table
+
+    def held(self, phrase: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        """The bits of the phrases' lanes, 0 where there is none."""
+        out = np.zeros(len(lane), dtype=np.uint64)
+        row, table = self.opened
+        row = row[phrase]
+        fits = lane < table.shape[1]
+        some = (row >= 0) & fits
+        out[some] = table[row[some], lane[some]]
+        if len(rest := np.flatnonzero((row < 0) & fits)):
+            want = phrase[rest] << 32 | lane[rest]
+            spot = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            same = self.keys[spot] == want
+            out[rest[same]] = self.bits[spot[same]]
+        return out
 
     def counts(self) -> np.ndarray:
-        """Bits set of each phrase."""
-        total = np.append(0, np.cumsum(np.bitwise_count(self.bits).astype(np.int64)))
+        """Bits set of each phrase; those of lane 0 belong to the stretch before."""
+        total = np.append(0, np.cumsum(np.bitwise_count(self.bits).astype(np.int64) * (self.lane > 0)))
         return total[self.off[1:]] - total[self.off[:-1]]
 
     def shifted(self) -> "Bitmaps":
         """All positions one later: the top bit of a lane goes into the next lane."""
-        owner, top = self.owners(), (self.bits >> np.uint64(63)).astype(bool)
-        key = np.concatenate([owner, owner[top]]) << 32 | np.concatenate([self.lane, self.lane[top] + 1])
+        top = (self.bits >> np.uint64(63)).astype(bool)
+        key = np.concatenate([self.keys, self.keys[top] + 1])
         return _gathered(key, np.concatenate([self.bits << np.uint64(1), np.ones(int(top.sum()), np.uint64)]), len(self.off) - 1)
 
 
@@ -148,7 +182,7 @@ def _gathered(key: np.ndarray, bits: np.ndarray, n: int) -> Bitmaps:
 
 
 def word_bitmaps(ids: np.ndarray, n: int) -> Bitmaps:
-    """Of the words 0 to n - 1: where they stand in ids."""
+    """Of the words 0 to n - 1: where they stand in ids, a whole lane of what is before them first."""
     at = np.flatnonzero(ids >= 0)
     return _gathered(ids[at].astype(np.int64) << 32 | at >> 6, np.uint64(1) << (at & 63).astype(np.uint64), n)
 
@@ -168,52 +202,101 @@ def anded(x: Bitmaps, i: np.ndarray, y: Bitmaps, j: np.ndarray) -> Bitmaps:
     for side, (p, ip), (q, iq) in ((fewer, (x, i), (y, j)), (~fewer, (y, j), (x, i))):
         k = np.flatnonzero(side)
         at, of = _spread(p.off, ip[k])
-        index = q.owners() << 32 | q.lane
-        want = iq[k][of] << 32 | p.lane[at]
-        spot = np.minimum(np.searchsorted(index, want), max(len(index) - 1, 0))
-        same = index[spot] == want if len(index) else np.zeros(len(want), bool)
-        keys.append(k[of[same]] << 32 | p.lane[at[same]])
-        found.append(p.bits[at[same]] & q.bits[spot[same]])
+        bits = p.bits[at] & q.held(iq[k][of], p.lane[at])
+        some = np.flatnonzero(bits)
+        keys.append(k[of[some]] << 32 | p.lane[at[some]])
+        found.append(bits[some])
     return _gathered(np.concatenate(keys), np.concatenate(found), len(i))
 
 
-def extended(phrases: np.ndarray, maps: Bitmaps, single: Bitmaps, off: np.ndarray, follow: np.ndarray, most: int, probes: int = PROBES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(phrases, counts) of all that extend the given ones, to `most` words, depth first. Word
-    w may be followed by follow[off[w]] up to follow[off[w + 1]]."""
+@dataclass
+class Follow:
+    """A stretch's map of co-occurrence: the pairs of words that stand side by side in it, the
+    pairs that word w begins, first[w] up to first[w + 1], and those that begin with the last
+    word of pair i right after it somewhere, after[off[i]] up to after[off[i + 1]]."""
+
+    a: np.ndarray
+    b: np.ndarray
+    first: np.ndarray
+    off: np.ndarray
+    after: np.ndarray
+
+
+def co_occurring(ids: np.ndarray, n: int, allowed: np.ndarray) -> Follow:
+    """Of words 0 to n - 1 in ids and of the allowed pairs only, sorted codes n a + b."""
+    code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * n + ids[1:], -1)
+    present = np.intersect1d(code, allowed, assume_unique=False)
+    at = np.minimum(np.searchsorted(present, code), max(len(present) - 1, 0))
+    hit = present[at] == code if len(present) else np.zeros(len(code), bool)
+    beside = np.unique(at[:-1][hit[:-1] & hit[1:]] * max(len(present), 1) + at[1:][hit[:-1] & hit[1:]])
+    before, after = beside // max(len(present), 1), beside % max(len(present), 1)
+    x = present // max(n, 1)
+    return Follow(x, present % max(n, 1), np.searchsorted(x, np.arange(n + 1)), np.searchsorted(before, np.arange(len(present) + 1)), after)
+
+
+def extended(phrases: np.ndarray, last: np.ndarray, maps: Bitmaps, single: Bitmaps, follow: Follow, most: int, probes: int = PROBES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrases, counts) of all that extend the given ones, to `most` words, depth first. last:
+    the word of phrases of one word, or the pair that a longer phrase ends in."""
     moved = maps.shifted()
-    at, of = _spread(off, phrases[:, -1])
-    word = follow[at]
+    if phrases.shape[1] == 1:
+        pair, of = _spread(follow.first, last)
+    else:
+        at, of = _spread(follow.off, last)
+        pair = follow.after[at]
+    word = follow.b[pair]
     work = np.cumsum(np.minimum(moved.off[of + 1] - moved.off[of], single.off[word + 1] - single.off[word]))
     begin = 0
     while begin < len(of):
         end = max(begin + 1, int(np.searchsorted(work, (work[begin - 1] if begin else 0) + probes, side="right")))
         i, j = of[begin:end], word[begin:end]
         longer = anded(moved, i, single, j)
-        n = longer.counts()
-        some = np.flatnonzero(n)
+        some = np.flatnonzero(np.diff(longer.off))
         grown = np.column_stack([phrases[i[some]], j[some]])
         if len(some):
-            yield grown, n[some]
+            yield grown, longer.counts()[some]
             if grown.shape[1] < most:
                 kept = Bitmaps(np.append(longer.off[some], longer.off[-1]), longer.lane, longer.bits)
-                yield from extended(grown, kept, single, off, follow, most, probes)
+                yield from extended(grown, pair[begin:end][some], kept, single, follow, most, probes)
         begin = end
 
 
+def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stretch: int = STRETCH, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    """All phrases of two to `most` words of ids whose neighbours are all among the pairs a, b,
+    a row each with -1 after its words, and how often each occurs. A stretch begins with the
+    lane before it, so phrases that reach over its begin are found, and counted once."""
+    rows, counts = [np.zeros((0, most), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    padded = np.append(np.full(64, -1, dtype=np.int64), ids)
+    for at in range(0, len(ids), stretch):
+        word, local = np.unique(padded[at : at + stretch + 64], return_inverse=True)
+        gaps = int(word[0] < 0)
+        word, local = word[gaps:], local - gaps
+        if not len(word):
+            continue
+        x, y = (np.minimum(np.searchsorted(word, v), len(word) - 1) for v in (a, b))
+        follow = co_occurring(local, len(word), np.unique((x * len(word) + y)[(word[x] == a) & (word[y] == b)]))
+        single, each = word_bitmaps(local, len(word)), np.arange(len(word))
+        for phrases, n in extended(each[:, None], each, single, single, follow, most, probes):
+            row = np.full((len(phrases), most), -1, dtype=np.int64)
+            row[:, : phrases.shape[1]] = word[phrases]
+            rows.append(row[n > 0])
+            counts.append(n[n > 0])
+    row, n = np.concatenate(rows), np.concatenate(counts)
+    order = np.lexsort(row.T[::-1])
+    row, n = row[order], n[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]).any(axis=1))) if len(row) else np.zeros(0, np.int64)
+    return row[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _mined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """(gids, ids, pairs) of shards to (p, c): the phrases of two to `most` words whose
-    neighbours are all among the pairs, and how often they occur in the shard."""
+    """(gids, ids, pairs) of shards to (p, c): the shard's phrases and their counts."""
     for batch in batches:
-        for row in range(len(batch)):
-            gids = batch.column("gids")[row].values.to_numpy()
-            pairs = batch.column("pairs")[row].values
+        for i in range(len(batch)):
+            gids = batch.column("gids")[i].values.to_numpy()
+            pairs = batch.column("pairs")[i].values
             a, b = (np.searchsorted(gids, pairs.field(c).to_numpy(zero_copy_only=False)) for c in ("a", "b"))
-            order = np.argsort(a, kind="stable")
-            follow, off = b[order], np.searchsorted(a[order], np.arange(len(gids) + 1))
-            single = word_bitmaps(np.frombuffer(batch.column("ids")[row].as_buffer(), dtype=np.int32), len(gids))
-            for phrases, n in extended(np.arange(len(gids))[:, None], single, single, off, follow, most):
-                offsets = pa.array(np.arange(len(phrases) + 1) * phrases.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gids[phrases].ravel(), pa.int64())), pa.array(n, pa.int64())], ["p", "c"])
+            row, n = shard_phrases(np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32), a, b, most)
+            offsets = pa.array(np.append(0, np.cumsum((row >= 0).sum(axis=1))), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gids[row[row >= 0]], pa.int64())), pa.array(n, pa.int64())], ["p", "c"])
 
 
 def _marks(pairs: DataFrame) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Collocations, divergence of sources and quality rules against plain loops."""
 
+import itertools
 import re
 from collections import Counter, defaultdict
 
@@ -55,19 +56,18 @@ def test_collocations_of_other_columns_and_no_rows(docs, none):
     assert C.collocations(none, least=1).collect() == []
 
 
-@pytest.mark.parametrize("probes", [1, 50, 1 << 21])
-def test_bitmaps_extend_phrases_as_windows_do(probes):
+@pytest.mark.parametrize(("stretch", "probes"), [(64, 1), (128, 50), (1 << 16, 50), (1 << 16, 1 << 20)])
+def test_bitmaps_extend_phrases_as_windows_do(stretch, probes):
     rng = np.random.default_rng(3)
     ids = rng.integers(-1, 6, 5000).astype(np.int32)
     ids[60:70] = 2  # a run over the edge of a lane
-    single = C.word_bitmaps(ids, 6)
-    off, follow = np.arange(7) * 6, np.tile(np.arange(6), 6)
-    got = {}
-    for phrases, n in C.extended(np.arange(6)[:, None], single, single, off, follow, 4, probes):
-        assert not got.keys() & set(map(tuple, phrases.tolist()))
-        got |= dict(zip(map(tuple, phrases.tolist()), n.tolist(), strict=True))
-    want = Counter(tuple(ids[k : k + m].tolist()) for m in (2, 3, 4) for k in range(len(ids) - m + 1) if (ids[k : k + m] >= 0).all())
-    assert got == dict(want)
+    a, b = np.repeat(np.arange(6), 6), np.tile(np.arange(6), 6)
+    some = (a + 2 * b) % 7 > 0
+    row, n = C.shard_phrases(ids, a[some], b[some], 4, stretch, probes)
+    allowed = set(zip(a[some].tolist(), b[some].tolist(), strict=True))
+    windows = (ids[k : k + m].tolist() for m in (2, 3, 4) for k in range(len(ids) - m + 1))
+    want = Counter(tuple(w + [-1] * (4 - len(w))) for w in windows if min(w) >= 0 and set(itertools.pairwise(w)) <= allowed)
+    assert dict(zip(map(tuple, row.tolist()), n.tolist(), strict=True)) == dict(want) and len(row) == len(want)
 
 
 def test_scores_beyond_64_bits(spark):
