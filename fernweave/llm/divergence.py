@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fernweave.llm.store import released, stored
-from fernweave.llm.text import LARGE, blocks, coded, word_array, words
+from fernweave.llm.text import blocks, coded, word_array, words
 
 #: Words that a task gathers before it hands out their counts, buckets for each doubling of a
 #: count, parts in which a group's best terms are taken first.
-GATHERED, STEPS, PARTS = 1 << 22, 8, 8
+GATHERED, STEPS, PARTS = 1 << 20, 8, 8
 UNIT = 1_000_000_000
 
 #: Terms `[^\x00-\x40\x5B-\x60\x7B-\x7F]+` once A-Z are lower-cased.
@@ -52,7 +52,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, c, df): occurrences, and rows with the term, of a stretch of rows."""
     held, groups, total, rows = [], {}, 0, 0
     for batch in batches:
-        for at, to, texts in blocks(batch, "text", LARGE):
+        for at, to, texts in blocks(batch, "text"):
             w = words(texts, LETTERS)
             pairs = zip(*(batch.column(c).slice(at, to - at).to_pylist() for c in ("lang", "source")), strict=True)
             own = np.array([groups.setdefault(x, len(groups)) for x in pairs], dtype=np.int64)
