@@ -4,10 +4,11 @@ Two sets of n and m shingles that are that like share one among the first n - ce
 of the one and as many of the other, in any order that is the same for all; rare shingles come
 first. Those prefixes are the postings. SimHash links of the same shingles (simhash.simhash_links)
 are verified first, then the members of each posting against one of them; of the postings, only
-pairs across the components that these make are left. Postings of up to SHORT members give their pairs, if sizes and places allow. The members of longer
-ones, joined to groups over the postings that they share, are compared in blocks: each task
-gets the sets of two blocks and hands out verified links only, so no pair is a row. Every link
-is verified by its sets; postings are neither cut nor sampled.
+pairs across the components that these make are left. Postings of up to SHORT members give
+their pairs, if sizes and places allow. The members of a longer one are compared in blocks of
+that posting: each task gets the sets of two blocks and hands out verified links only, so no
+pair is a row. Postings of the same members count once, and a pair is compared in the first
+posting that it shares. Every link is verified by its sets; postings are neither cut nor sampled.
 """
 
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fernweave.llm.components import connected_components
 from fernweave.llm.simhash import reachable, simhash_links
@@ -32,7 +33,7 @@ SHORT, BLOCK = 64, 256
 #: Passes in which pairs are verified.
 PASSES = 4
 #: Bytes of text, and rows, that a task handles at once.
-TEXT, ROWS = 1 << 20, 256
+TEXT, ROWS = 1 << 18, 256
 #: Bits of the map of nodes that keeps sets from being shuffled which a join would drop.
 MARKS = 1 << 24
 
@@ -90,11 +91,11 @@ def _common(sets: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
-    """(s, node, n, place): the prefix of each distinct set, of the shingles that two sets have there."""
-    shared = sets.sparkSession.sparkContext.broadcast(_common(sets, nodes))
+    """Stored (s, node, n, place): the prefix of each distinct set, of the shingles that two sets have there."""
+    known = sets.sparkSession.sparkContext.broadcast(_common(sets, nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, held = shared.value
+        common, held = known.value
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             off, every = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").flatten().to_numpy()
             off = off - off[0]
@@ -114,8 +115,11 @@ def _postings(sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
 
     copied = nodes.where("copies > 1")
     one, some = (_marked(sets.select("node", "n", "shingles"), copied, x).mapInArrow(run, "s long, node long, n int, place int") for x in (False, True))
-    found = one.union(some.distinct())
-    return found.withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1").drop("k")
+    found = stored(one.union(some.distinct()), "prefixes")
+    shared = found.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+    postings = stored(found.join(shared, "s", "left_semi"), "postings")
+    released(found)
+    return postings
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
@@ -147,25 +151,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float)
     return reduce(DataFrame.union, parts)
 
 
-def _compared(rows: list[tuple], bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what the like pairs of one unit join, fewer than it has rows: (node, side,
-    root, shingles) of two blocks, or of one on side 0. Pairs of one root need no link, and
-    those whose sizes differ too much have none."""
-    nodes, side, roots = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-    sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
-    _, ids = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+def _compared(s: int, rows: list[tuple], bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the like pairs of one unit of posting s join, fewer than it has
+    rows: (side, node, root, own, shingles) of two blocks, or of one on side 0. Pairs of one
+    root need no link, those whose sizes differ too much have none, and those that share an
+    earlier posting of their own (sorted) are compared there."""
+    side, nodes, roots = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+    sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
+    _, ids = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
     off = np.append(0, np.cumsum(sizes))
-    mark, found = np.zeros(int(ids.max()) + 1, dtype=np.int64), []
+    early = [r[3][: np.searchsorted(r[3], s)] for r in rows]
+    _, first = np.unique(np.concatenate(early), return_inverse=True)
+    edge = np.append(0, np.cumsum([len(x) for x in early]))
+    mark, met = (np.zeros(len(x) + 1, dtype=np.int64) for x in (ids, first))
+    found = []
     other = np.flatnonzero(side == side.max())
-    first, last = int(off[other[0]]), int(off[other[-1] + 1])
     for i in np.flatnonzero(side == 0).tolist():
-        own = ids[off[i] : off[i + 1]]
         fits = (roots[other] != roots[i]) & (np.minimum(sizes[other], sizes[i]) >= bound * np.maximum(sizes[other], sizes[i]) - 1e-9) & (other > i)
-        if fits.any():
+        near = other[fits]
+        if len(near) and edge[i + 1] > edge[i]:
+            met[first[edge[i] : edge[i + 1]]] = 1
+            before = np.append(0, np.cumsum(met[first]))
+            met[first[edge[i] : edge[i + 1]]] = 0
+            near = near[before[edge[near + 1]] == before[edge[near]]]
+        if len(near):
+            own = ids[off[i] : off[i + 1]]
             mark[own] = 1
-            same = np.add.reduceat(mark[ids[first:last]], off[other] - first)
+            starts = np.cumsum(sizes[near]) - sizes[near]
+            at = np.arange(sizes[near].sum()) + np.repeat(off[near] - starts, sizes[near])
+            same = np.add.reduceat(mark[ids[at]], starts)
             mark[own] = 0
-            near = other[fits & (same >= bound * (sizes[other] + sizes[i] - same) - 1e-9)]
+            near = near[same >= bound * (sizes[near] + sizes[i] - same) - 1e-9]
             found.append(np.stack([np.full(len(near), i), near]))
     a, b = np.concatenate(found, axis=1) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     least = reachable(a, b, len(rows))
@@ -174,38 +190,51 @@ def _compared(rows: list[tuple], bound: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[pa.RecordBatch]:
-    """batches: (unit, side, node, root, shingles) sorted by unit and side."""
-    unit, held = None, []
+    """batches: (unit, s, side, node, root, own, shingles) sorted by unit and side."""
+    unit, posting, held = None, 0, []
 
     def out() -> pa.RecordBatch:
-        a, b = _compared(held, bound)
+        a, b = _compared(posting, held, bound)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
-        shingles = batch.column("shingles")
-        for i, (u, s, n, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "node", "root")), strict=True)):
+        own, shingles = batch.column("own"), batch.column("shingles")
+        columns = (batch.column(c).to_pylist() for c in ("unit", "s", "side", "node", "root"))
+        for i, (u, s, side, node, root) in enumerate(zip(*columns, strict=True)):
             if held and u != unit:
                 yield out()
                 held = []
-            unit = u
-            held.append((n, s, r, shingles[i].values.to_numpy().copy()))
+            unit, posting = u, s
+            held.append((side, node, root, own[i].values.to_numpy().copy(), shingles[i].values.to_numpy().copy()))
     if held:
         yield out()
 
 
-def _long_links(open_: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
-    """Links across components among the members of the postings open_ (s, node, root), in blocks."""
-    member = open_.select(F.concat(F.lit("s"), F.col("s")).alias("a"), F.concat(F.lit("n"), F.col("node")).alias("b"))
-    groups = stored(connected_components(member, "groups").where("node like 'n%'").select(F.expr("cast(substring(node, 2) as bigint)").alias("node"), F.col("root").alias("group")), "group")
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "group").join(open_.select("node", "root").distinct(), "node").join(nodes.select("node", "row"), "node")
-    placed = stored(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
-    held = _marked(sets.select("row", "node", "shingles"), placed.select("node")).drop("node").join(placed, "row")
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def block_units(open_: DataFrame) -> DataFrame:
+    """(unit, s, side, node, root): the members of each posting of open_ (s, node, root, k), dealt
+    to pairs of blocks of that posting. Of postings of the same members one is taken."""
+    members = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"x{i}") for i in range(2)]
+    shapes = open_.groupBy("s").agg(F.max("k").alias("k"), *members)
+    chosen = shapes.groupBy("k", "x0", "x1").agg(F.min("s").alias("s")).select("s")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    placed = open_.join(chosen, "s", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    units = dealt.select(F.xxhash64("group", low, high).alias("unit"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "node", "root", "shingles")
+    return dealt.select(F.xxhash64("s", low, high).alias("unit"), "s", F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "node", "root")
+
+
+def _long_links(open_: DataFrame, sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
+    """Stored links across components among the members of each posting of open_, in blocks."""
+    units = stored(block_units(open_), "units")
+    own = units.groupBy("node").agg(F.sort_array(F.collect_set("s")).alias("own"))  # at most a prefix of its set
+    wanted = stored(nodes.select("node", "row").join(own, "node"), "members")
+    held = _marked(sets.select("row", "node", "shingles"), wanted.select("node")).drop("node").join(wanted, "row").drop("row")
+    dealt = units.join(held, "node").select("unit", "s", "side", "node", "root", "own", "shingles")
     run = lambda batches: _block_links(batches, bound)
-    return stored(units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long"), "blocks")
+    links = stored(dealt.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "a long, b long"), "blocks")
+    released(units)
+    released(wanted)
+    return links
 
 
 def similar_links(sets: DataFrame, bound: float) -> DataFrame:
@@ -215,7 +244,7 @@ def similar_links(sets: DataFrame, bound: float) -> DataFrame:
     first = stored(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("hub")), "first")
     bits = simhash_links(first).join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").toDF("u", "v", "a", "b").select("a", "b")
     links = _verified(nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(bits), sets, nodes, bound)
-    postings = stored(_postings(sets, nodes, bound), "postings")
+    postings = _postings(sets, nodes, bound)
     open_ = _open(postings, links)
     hubs = open_.groupBy("s").agg(F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node")).alias("hub"))
     hubs = hubs.select("s", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "place", "root")])
@@ -227,7 +256,11 @@ def similar_links(sets: DataFrame, bound: float) -> DataFrame:
     other = short.select(*[F.col(c).alias(f"{c}2" if c != "s" else c) for c in short.columns])
     links = links.union(_verified(_likely(short, other, bound, True), sets, nodes, bound))
     long = open_.where(F.col("k") > SHORT)
-    return links.union(_long_links(long, sets, nodes, bound)) if long.limit(1).count() else links
+    if not long.isEmpty():
+        links = links.union(_long_links(long, sets, nodes, bound))
+    for done in (open_, first, nodes):
+        released(done)
+    return links
 
 
 def _open(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,5 +290,6 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = stored(shingle_sets(df, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "sets")
     roots = connected_components(similar_links(sets, bound), "similar")
     rows = stored(sets.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "rooted")
+    released(sets)
     names = rows.groupBy("root").agg(F.min("id").alias("component_id"))
     return rows.join(names, "root").select(F.col("id").alias(id_col), "component_id")

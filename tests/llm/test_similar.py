@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from fernweave.llm import similar as L
 from fernweave.llm.simhash import drop_near_duplicates
@@ -55,6 +57,23 @@ def test_postings_by_pairs_and_in_blocks_agree(spark, monkeypatch):
         assert sorted(r.doc_id for r in drop_near_duplicates(docs, shingle=5, similarity=0.8).collect()) == stay(rows)
 
 
+def test_postings_that_chain_all_texts_compare_few_pairs(spark):
+    """5,000 texts, each posting of 71 shares a member with the next: linear, not all pairs."""
+    members = [(p, 70 * p + i, 70 * p + i, 71) for p in range(71) for i in range(71)]
+    again = [(1000 + s, *rest) for s, *rest in members]  # the same members under another shingle
+    units = L.block_units(spark.createDataFrame(members + again, "s long, node long, root long, k long"))
+    sizes = units.groupBy("unit").pivot("side", [0, 1]).count().na.fill(0).collect()
+    pairs = sum(r["0"] * r["1"] or r["0"] * (r["0"] - 1) // 2 for r in sizes)
+    assert pairs == 71 * 71 * 70 // 2
+
+
+def test_shared_postings_compare_a_pair_once():
+    a, b = np.arange(10), np.arange(1, 10)
+    rows = [(0, n, n, np.array([3, 8]), x) for n, x in ((5, a), (6, b))]
+    assert [x.tolist() for x in L._compared(3, rows, 0.8)] == [[5], [6]]
+    assert [x.tolist() for x in L._compared(8, rows, 0.8)] == [[], []]
+
+
 def test_nulls_empty_and_repeated_rows(docs, rows, none):
     kept = drop_near_duplicates(docs, shingle=5, similarity=0.8)
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == stay([r[:2] for r in rows if r[0] is not None])
