@@ -14,7 +14,7 @@ from fernweave.llm.mixing import draw
 from fernweave.llm.quality import keep_quality, learn_quality
 from fernweave.llm.sharding import hilbert_shards
 from fernweave.llm.simhash import drop_near_duplicates
-from fernweave.llm.store import shared_dir
+from fernweave.llm.store import released, shared_dir
 
 #: How often the mix reads a source at most: sources that it reads less are thinned.
 MAX_REPEAT = 1.1
@@ -66,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if k:
+            released(docs)
         docs = spark.read.parquet(f"{base}/{k}")
     return docs.select("doc_id", "lang", "source", "size", F.crc32("text").alias("text_crc32"), "curve", "shard", "slot")
