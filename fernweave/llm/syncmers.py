@@ -3,9 +3,10 @@
 A k-mer of K words is kept if the smallest hash of its S-mers stands first or last among
 them. Whether it is kept depends on its own words only, so the same passage yields the
 same anchors in any context. A fingerprint holds all anchors of the whole text with their
-positions. Two fingerprints are matched by position: anchors of one hash that both hold
-give an offset, and those count whose offset at least one other pair of anchors has too.
-The likeness is the share of the anchors of both that are matched so.
+positions. Two fingerprints are matched by position: of each hash that both hold, the first
+anchors of the two and the last ones vote for an offset. At each of the offsets with most
+votes, anchors of one hash at that offset are matched, two at least. The likeness is the
+share of the anchors of both that are matched at any of them, each counted once.
 """
 
 import json
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Words in a k-mer and in an inner s-mer, and bits of an anchor's position.
 K, S, PLACE = 5, 2, 31
+#: Offsets at which two fingerprints are matched: those with most votes, the smaller first.
+OFFSETS = 8
 #: Longer runs of non-spaces count as words of this many characters.
 LONGEST = 24
 #: Documents in a bucket of neighbours, and most buckets, whose bounds are held by every task.
@@ -89,29 +92,65 @@ def as_text(found: Column) -> Column:
     return F.lower(F.array_join(_let(found, digits), ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the anchors matched by position over those of both. 1 for two without anchors.
-
-    All anchors are sorted by hash, position and side. Neighbours of one hash and different
-    sides are pairs; a pair counts if another has its offset, or if a side has one anchor only.
-    """
+def _votes(a: Column, b: Column) -> Column:
+    """Sorted offsets from a to b, one for each hash of both: a and b hold one anchor a hash."""
     both = F.sort_array(F.concat(F.transform(a, lambda x: F.shiftleft(x, 1)), F.transform(b, lambda x: F.shiftleft(x, 1).bitwiseOR(1))))
     side = lambda x: x.bitwiseAND(1)
     place = lambda x: _place(F.shiftright(x, 1))
 
-    def offsets(v: Column) -> Column:
-        def pair(x: Column, i: Column) -> Column:
+    def offset(v: Column) -> Callable[[Column, Column], Column]:
+        def of(x: Column, i: Column) -> Column:
             y = F.get(v, i + 1)
-            paired = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (side(x) != side(y))
+            paired = (F.shiftright(x, PLACE + 1) == F.shiftright(y, PLACE + 1)) & (side(x) != side(y))
             return F.when(paired, (place(y) - place(x)) * (side(y) - side(x)))
 
-        return F.sort_array(F.filter(F.transform(v, pair), lambda o: o.isNotNull()))
+        return of
+
+    return _let(both, lambda v: F.filter(F.transform(v, offset(v)), lambda o: o.isNotNull()))
+
+
+def _ends_of_runs(a: Column, step: int) -> Column:
+    """Of each hash in sorted anchors, the first (step -1) or the last one (step 1)."""
+    mer = lambda x: F.shiftright(x, PLACE)
+    return F.filter(a, lambda x, i: F.when(i + step >= 0, mer(F.get(a, i + step))).eqNullSafe(mer(x)) == F.lit(False))
+
+
+def _most_voted(votes: Column) -> Column:
+    """The OFFSETS offsets that occur most often in sorted votes, of equals the smaller."""
+    starts = lambda v: F.filter(_count(F.size(v)), lambda i: (i == 0) | (F.get(v, i) != F.when(i > 0, F.get(v, i - 1))))
+
+    def counted(v: Column) -> Column:
+        length = lambda s, i, k: F.coalesce(F.get(s, k + 1), F.size(v)) - i
+        return _let(starts(v), lambda s: F.transform(s, lambda i, k: F.struct((-length(s, i, k)).alias("n"), F.get(v, i).alias("o"))))
+
+    return F.transform(F.slice(F.sort_array(_let(votes, counted)), 1, OFFSETS), lambda x: x["o"])
+
+
+def _moved(a: Column, offset: Column) -> Column:
+    """Anchors with their positions changed by the offset, without those that leave the range."""
+    inside = lambda x: (_place(x) + offset >= 0) & (_place(x) + offset < 1 << PLACE)
+    return F.transform(F.filter(a, inside), lambda x: x + offset)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1: the anchors matched by position over those of both. 1 for two without anchors.
+    A side with one anchor only may match it alone."""
+
+    def match(x: Column, y: Column) -> Column:
+        votes = F.sort_array(F.concat(*[_votes(_ends_of_runs(x, step), _ends_of_runs(y, step)) for step in (-1, 1)]))
+        least = F.when(F.least(F.size(x), F.size(y)) == 1, 1).otherwise(2)
+        found = F.transform(_most_voted(votes), lambda o: F.struct(o.alias("o"), F.array_intersect(_moved(x, o), y).alias("b")))
+
+        def matched(f: Column) -> Column:
+            theirs = F.size(F.array_distinct(F.flatten(F.transform(f, lambda m: m["b"]))))
+            ours = F.size(F.array_distinct(F.flatten(F.transform(f, lambda m: F.transform(m["b"], lambda z: z - m["o"])))))
+            return F.when(F.size(f) == 0, 0).when(F.size(f) == 1, F.size(F.get(f, F.lit(0))["b"])).otherwise(F.least(ours, theirs))
+
+        return _let(F.filter(found, lambda m: F.size(m["b"]) >= least), matched)
 
-    fewer = F.least(F.size(a), F.size(b))
-    shared = lambda o, x, i: (x == F.get(o, i + 1)) | ((i > 0) & (x == F.get(o, i - 1)))
-    counted = lambda o: F.size(F.filter(o, lambda x, i: F.coalesce(shared(o, x, i), F.lit(False)) | (fewer == 1)))
-    matched = F.least(_let(_let(both, offsets), counted), fewer)
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(_let(matched, lambda m: m / (F.size(a) + F.size(b) - m)))
+    sorted_both = F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b"))
+    share = lambda m: m / (F.size(a) + F.size(b) - m)
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(_let(_let(sorted_both, lambda s: match(s["a"], s["b"])), share))
 
 
 def _bucket(key: Column, bounds: list, kind: str) -> Column:

@@ -1,3 +1,4 @@
+import collections
 import datetime
 import hashlib
 import itertools
@@ -220,15 +221,34 @@ def plain_text(found):
 
 
 def plain_likeness(a, b):
+    """By the definition: votes of first and last anchors of a hash, then all that match there."""
     if not a and not b:
         return 1.0
-    both = sorted([(h - (1 << 32) * (h >> 31), p, 0) for p, h in a] + [(h - (1 << 32) * (h >> 31), p, 1) for p, h in b])
-    offsets = [(q - p) * (t - s) for (g, p, s), (h, q, t) in zip(both, both[1:], strict=False) if g == h and s != t]
-    fewer = min(len(a), len(b))
-    m = min(fewer, sum(fewer == 1 or offsets.count(o) > 1 for o in offsets))
+    places = [collections.defaultdict(list) for _ in range(2)]
+    for held, side in zip(places, (a, b), strict=True):
+        for p, h in side:
+            held[h].append(p)
+    votes = collections.Counter(end(places[1][h]) - end(places[0][h]) for h in places[0].keys() & places[1].keys() for end in (min, max))
+    ours, theirs = set(), set()
+    for o, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[: Y.OFFSETS]:
+        same = {(p, h) for p, h in a if (p + o, h) in set(b)}
+        if len(same) >= (1 if min(len(a), len(b)) == 1 else 2):
+            ours |= same
+            theirs |= {(p + o, h) for p, h in same}
+    m = min(len(ours), len(theirs))
     return m / (len(a) + len(b) - m)
 
 
+def test_repeated_lines_inside_a_longer_text(spark):
+    """A is one line 50 times, B other words and then all of A; and the same without repetition."""
+    line, other = " ".join(f"l{i}" for i in range(20)), " ".join(f"o{i}" for i in range(1500))
+    repeated, single = " ".join([line] * 50), " ".join(f"s{i}" for i in range(1000))
+    pairs = [(x, f"{other} {x}") for x in (repeated, single)] + [(repeated, f"{repeated} {line}"), ("a " * 90, "a " * 99)]
+    got = [r.x for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(Y.likeness(Y.anchors(F.col("a")), Y.anchors(F.col("b"))).alias("x")).collect()]
+    assert got[0] > 0.35 and abs(got[0] - got[1]) < 0.1 and min(got[2:]) > 0.85
+    assert [round(x, 12) for x in got] == [round(plain_likeness(*map(plain_anchors, p)), 12) for p in pairs]
+
+
 def some_texts():
     rng = [xxhash.xxh64_intdigest(str(i).encode()) for i in range(400)]
     words = [f"w{x % 997}" for x in rng]
