@@ -7,10 +7,11 @@ its last words' positions: shifted by one and ANDed with the next word's it is t
 phrase's, and the bits set are its occurrences. Phrases are extended depth first, some of
 them at once, over bounded stretches of positions, and their counts are summed over the shards.
 
-What is extended is pruned by what is frequent in the whole corpus, first the words, then the
-pairs of neighbours; both come back to the shards by joins on what the shard itself holds, so
-no task gets more than its shard's share of them. And by a map of co-occurrence: a phrase is
-only ANDed with words that follow its last two somewhere in the stretch.
+What is extended is pruned by what is frequent in the whole corpus: by words, which come back
+to the shards by a join, so no task gets more than its shard's share of them; and by pairs of
+neighbours, which a bit map of bounded size names, some others with them, whose phrases go
+when the counts are summed. And by a map of co-occurrence: a phrase is only ANDed with words
+that follow its last two somewhere in the stretch.
 """
 
 from collections.abc import Iterator
@@ -28,8 +29,10 @@ from fernweave.llm.text import blocks, coded, mix, word_array, words
 SHARD, STRETCH, PROBES = 1 << 20, 1 << 16, 1 << 20
 #: A bitmap that holds one lane in so many is kept open too, its lanes looked up by number.
 OPEN = 64
-#: Bits of the map of pairs that keeps neighbours from being shuffled which a join would drop.
-MARKS = 1 << 24
+#: Bits of the map of frequent pairs for each of them, and at most: 32 MB, whatever their number.
+BITS, MOST_BITS = 32, 1 << 28
+#: Bytes of text that a task handles at once.
+TEXT = 1 << 18
 #: Parts in which each language's best phrases are taken before the last ranking.
 PARTS = 16
 
@@ -56,7 +59,7 @@ def _shard(held: list[tuple[pa.Array, np.ndarray, np.ndarray]], langs: list[str]
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, langs, total = [], {}, 0
     for batch in batches:
-        for at, to, texts in blocks(batch, "text"):
+        for at, to, texts in blocks(batch, "text", TEXT):
             w = words(texts, _INSIDE)
             own = [langs.setdefault(x, len(langs)) for x in batch.column("lang").slice(at, to - at).to_pylist()]
             row = np.repeat(np.arange(len(own)), np.diff(w.edges))
@@ -76,7 +79,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, ids, known: (local, gid)) to (shard, gids, ids): only frequent words, by their
+    """(ids, known: (local, gid)) of shards to (gids, ids): only frequent words, by their
     place in gids, and one -1 for whatever stands between them."""
     for batch in batches:
         for i in range(len(batch)):
@@ -90,30 +93,30 @@ def _frequent_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keep = ids >= 0
             keep[1:] |= ids[:-1] >= 0
             gids = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(gid[order], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("shard").slice(i, 1), gids, pa.array([ids[keep].tobytes()], pa.binary())], ["shard", "gids", "ids"])
+            yield pa.RecordBatch.from_arrays([gids, pa.array([ids[keep].tobytes()], pa.binary())], ["gids", "ids"])
 
 
-def _bit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)) & np.uint64(MARKS - 1)).astype(np.int64)
+def _bit(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """(shard, a, b, c): pairs of frequent words that stand side by side c times; of those
-    only the marked ones, if there are marks."""
+def _beside(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of words that stand side by side in ids, words 0 to n - 1, and how often."""
+    ids = ids.astype(np.int64)
+    both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+    code, times = np.unique(ids[:-1][both] * n + ids[1:][both], return_counts=True)
+    return code // max(n, 1), code % max(n, 1), times
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gids, ids) of shards to (a, b, c): frequent words side by side c times."""
     for batch in batches:
         for i in range(len(batch)):
             gids = batch.column("gids")[i].values.to_numpy()
-            ids = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32).astype(np.int64)
-            both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            code, n = np.unique(ids[:-1][both] * len(gids) + ids[1:][both], return_counts=True)
-            a, b = gids[code // max(len(gids), 1)], gids[code % max(len(gids), 1)]
-            if marks is not None:
-                bit = _bit(a, b)
-                some = (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) == 1
-                a, b, n = a[some], b[some], n[some]
+            a, b, n = _beside(np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32), len(gids))
             for at in range(0, len(a), 1 << 18):
-                part = [pa.array(x[at : at + (1 << 18)], pa.int64()) for x in (a, b, n)]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("shard")[i], len(part[0])), *part], ["shard", "a", "b", "c"])
+                part = [x[at : at + (1 << 18)] for x in (a, b, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(gids[part[0]]), pa.array(gids[part[1]]), pa.array(part[2], pa.int64())], ["a", "b", "c"])
 
 
 @dataclass
@@ -287,28 +290,31 @@ def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stre
     return row[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _mined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """(gids, ids, pairs) of shards to (p, c): the shard's phrases and their counts."""
+def _mined(batches: Iterator[pa.RecordBatch], most: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gids, ids) of shards to (p, c): the shard's phrases, of marked pairs, and their counts."""
     for batch in batches:
         for i in range(len(batch)):
             gids = batch.column("gids")[i].values.to_numpy()
-            pairs = batch.column("pairs")[i].values
-            a, b = (np.searchsorted(gids, pairs.field(c).to_numpy(zero_copy_only=False)) for c in ("a", "b"))
-            row, n = shard_phrases(np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32), a, b, most)
+            ids = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)
+            a, b, _ = _beside(ids, len(gids))
+            bit = _bit(gids[a], gids[b], len(marks) * 64)
+            marked = (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) == 1
+            row, n = shard_phrases(ids, a[marked], b[marked], most)
             offsets = pa.array(np.append(0, np.cumsum((row >= 0).sum(axis=1))), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gids[row[row >= 0]], pa.int64())), pa.array(n, pa.int64())], ["p", "c"])
 
 
 def _marks(pairs: DataFrame) -> np.ndarray:
-    """The bits of the pairs (a, b), MARKS at most."""
+    """A bit for each of the pairs (a, b), in a map with BITS for each, of MOST_BITS at most."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS * pairs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_bit(*(batch.column(c).to_numpy() for c in ("a", "b"))))
+            bit = np.unique(_bit(*(batch.column(c).to_numpy() for c in ("a", "b")), bits))
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
 
     masks = pairs.select("a", "b").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("mask")).toArrow()
-    marks = np.zeros(MARKS >> 6, dtype=np.uint64)
+    marks = np.zeros(bits >> 6, dtype=np.uint64)
     marks[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
     return marks
 
@@ -324,14 +330,13 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     frequent = vocab.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = stored(frequent.withColumn("gid", F.monotonically_increasing_id()), "words")
     known = vocab.join(frequent, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "gid")).alias("known"))
-    slim = stored(shards.select("shard", "ids").join(known, "shard").mapInArrow(_frequent_ids, "shard long, gids array<long>, ids binary"), "frequent")
+    slim = shards.select("shard", "ids").join(known, "shard").select("ids", "known").mapInArrow(_frequent_ids, "gids array<long>, ids binary")
+    slim = stored(slim, "frequent")
     released(shards)
-    side = "shard long, a long, b long, c long"
-    pairs = stored(slim.mapInArrow(_neighbours, side).groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("a", "b"), "pairs")
+    pairs = slim.select("gids", "ids").mapInArrow(_neighbours, "a long, b long, c long")
+    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("a", "b"), "pairs")
     shared = df.sparkSession.sparkContext.broadcast(_marks(pairs))
-    near = slim.mapInArrow(lambda batches: _neighbours(batches, shared.value), side).join(pairs, ["a", "b"], "left_semi")
-    lists = near.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    found = slim.join(lists, "shard").select("gids", "ids", "pairs").mapInArrow(lambda batches: _mined(batches, most), "p array<long>, c long")
+    found = slim.select("gids", "ids").mapInArrow(lambda batches: _mined(batches, most, shared.value), "p array<long>, c long")
     phrases = stored(found.groupBy("p").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrases")
     released(slim)
     released(pairs)
