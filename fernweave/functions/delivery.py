@@ -42,12 +42,15 @@ def comparison_class(size: Column, other_size: Column, score: Column, other_scor
     )
 
 
-def pooled(stored: Column, values: Column, least: bool = False) -> Column:
-    """A stored pooled value if it is finite, else the mean (or least) of the finite values; null without any."""
-    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    own = F.filter(values, finite)
-    mean = F.try_divide(F.aggregate(own, F.lit(0.0), lambda s, x: s + x), F.size(own).cast("double"))
-    return F.when(finite(stored), stored).otherwise(F.array_min(own) if least else mean)
+def finite(value: Column) -> Column:
+    """Not null, NaN or infinite."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+def pooled(value: Column, least: bool = False) -> Column:
+    """An aggregate: the mean (or least) of the finite values; null without any."""
+    own = F.when(finite(value), value)
+    return F.min(own) if least else F.avg(own)
 
 
 def cap_fill(size: Column, cap: Column) -> Column:

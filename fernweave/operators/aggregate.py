@@ -3,8 +3,9 @@ calibration and shares."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fernweave.functions.quantiles import nearest_rank, rank_nearest, ranked_values
+from fernweave.functions.quantiles import counted_percentiles, joined, rank_nearest, selected
 from fernweave.functions.scalar import clamp, guarded_rate, wilson_interval
+from fernweave.sources.shared import written
 
 
 def grouping_sets(df: DataFrame, grains: dict[str, list[str]], aggregates: list[Column], columns: list[str]) -> DataFrame:
@@ -20,23 +21,19 @@ def slices(df: DataFrame, grains: dict[str, list[str]], columns: list[str], meas
     """Rows, and of each measure the count, P50, P95 and maximum (nulls left out), at several
     grains: `grain` names the row's grain, columns that are not part of it are null.
 
-    Values are counted once at the finest grain and rolled up from there; ranks are taken as in
-    quantiles.ranked_values, so the overall grain needs no task of its own size.
+    Values are counted once at the finest grain, written, and rolled up from there; ranks are
+    selected as in quantiles.selected, so the overall grain needs no task of its own size.
     """
-    long = df.select(*columns, F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).alias("_v")) for m in measures])))
-    counts = long.groupBy(*columns, "_m", "_v").agg(F.count("*").alias("_n"))
+    long = df.select(*columns, F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_v")) for m in measures])))
+    counts = written(long.groupBy(*columns, "_m", "_v").agg(F.count("*").alias("_w")), "counted")
     at = lambda name, own: F.struct(F.lit(name).alias("grain"), *[(F.col(c) if c in own else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in columns])
-    rolled = counts.select("_m", "_v", "_n", F.explode(F.array(*[at(name, own) for name, own in grains.items()])).alias("_g")).select("_g.*", "_m", "_v", "_n")
+    rolled = counts.select("_m", "_v", "_w", F.explode(F.array(*[at(name, own) for name, own in grains.items()])).alias("_g")).select("_g.*", "_m", "_v", "_w")
     keys = ["grain", *columns]
-    whole = rolled.groupBy(*keys, "_m").agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("count"), F.max("_v").alias("max"))
-    ranks = ranked_values(rolled, [*keys, "_m"], "_v", {"p50": rank_nearest(0.5), "p95": rank_nearest(0.95)}, "_n")
-    both = whole.select(*keys, "_m", "rows", "count", "max", F.lit(None).cast("double").alias("p50"), F.lit(None).cast("double").alias("p95"))
-    both = both.unionByName(ranks.select(*keys, "_m", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95")), allowMissingColumns=True)
-    out = [F.max("rows").alias("rows")]
-    for m in measures:
-        of = lambda c, m=m: F.max(F.when(F.col("_m") == m, F.col(c))).alias(f"{m}_{c}")
-        out += [of("count"), of("p50"), of("p95"), of("max")]
-    return both.groupBy(*keys).agg(*out)
+    whole = rolled.groupBy(*keys, "_m").agg(F.sum("_w").alias("rows"), F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)).alias("count"), F.max("_v").alias("max"))
+    ranks = selected(rolled.where("_v is not null"), [*keys, "_m"], "_v", {"p50": rank_nearest(0.5), "p95": rank_nearest(0.95)})
+    both = joined(whole, ranks, [*keys, "_m"], "left")
+    of = lambda c, m: F.max(F.when(F.col("_m") == m, F.col(c))).alias(f"{m}_{c}")
+    return both.groupBy(*keys).agg(F.max("rows").alias("rows"), *[of(c, m) for m in measures for c in ("count", "p50", "p95", "max")])
 
 
 def with_empty_groups(report: DataFrame, dim: DataFrame, key: str, counts: list[str]) -> DataFrame:
@@ -53,17 +50,17 @@ def hard_cap_counts(size: Column, cap: Column, correct: Column) -> list[Column]:
     return [*[F.count_if(state == n).alias(f"n_{n}") for n in names], guarded_rate(F.count_if(state == "hit"), F.count_if(state != "unknown")).alias("hit_rate")]
 
 
-def calibration(ratio: str, corrected: Column) -> list[Column]:
-    """Of measured ratios: count, mean, P95, share of corrected rows, and a recommended factor
-    0.96 / sqrt(P95) held to 0.75 to 0.99 once there are 3."""
-    p95 = nearest_rank(ratio, 0.95)
-    return [
+def calibration(df: DataFrame, keys: list[str], ratio: str, corrected: Column) -> DataFrame:
+    """keys and, of the measured ratios: count, mean, P95, share of corrected rows, and a
+    recommended factor 0.96 / sqrt(P95) held to 0.75 to 0.99 once there are 3."""
+    whole = df.groupBy(*keys).agg(
         F.count(ratio).alias("samples"),
         F.avg(ratio).alias("mean_ratio"),
-        p95.alias("p95_ratio"),
         guarded_rate(F.count_if(corrected & F.col(ratio).isNotNull()), F.count(ratio)).alias("correction_rate"),
-        F.when(F.count(ratio) >= 3, clamp(0.96 / F.sqrt(p95), 0.75, 0.99)).alias("recommended_factor"),
-    ]
+    )
+    both = joined(whole, counted_percentiles(df, keys, ratio, {"p95_ratio": 0.95}), keys, "left")
+    factor = F.when(F.col("samples") >= 3, clamp(0.96 / F.sqrt("p95_ratio"), 0.75, 0.99))
+    return both.withColumn("recommended_factor", factor)
 
 
 def tally(outcome: str) -> list[Column]:
@@ -79,17 +76,18 @@ def tally(outcome: str) -> list[Column]:
     ]
 
 
-def metric_summary(value: str, reference: str, outcome: str, severe: str) -> list[Column]:
-    """Summary of signed improvements: outcomes, rates, mean, extremes, percentiles, severe losses."""
-    return [
+def metric_summary(df: DataFrame, keys: list[str], value: str, reference: str, outcome: str, severe: str) -> DataFrame:
+    """keys and a summary of signed improvements: outcomes, rates, mean, extremes, percentiles,
+    severe losses."""
+    whole = df.groupBy(*keys).agg(
         *tally(outcome)[:4],
         F.avg(value).alias("mean"),
         F.min(value).alias("min"),
-        *[nearest_rank(value, p).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))],
         F.max(value).alias("max"),
         F.avg(reference).alias("mean_reference"),
         F.count_if(F.col(severe)).alias("severe"),
-    ]
+    )
+    return joined(whole, counted_percentiles(df, keys, value, {"p05": 0.05, "p50": 0.5, "p95": 0.95}), keys, "left")
 
 
 def vote_coverage(votes: DataFrame, expected: DataFrame, reviewer: str, pair: str) -> DataFrame:

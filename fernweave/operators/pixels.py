@@ -9,6 +9,7 @@ more than a frame's line or a clip's frames.
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from fernweave.functions.media import dither_strength, is_skin, region_class
+from fernweave.functions.quantiles import counted_percentiles, joined
 from fernweave.functions.scalar import clamp, luma709, luma8, oklab, oklab_distance, ratio_or_zero
 
 FRAME = ["clip", "frame"]
@@ -424,7 +425,8 @@ def candidate_errors(pairs: DataFrame, before: list[str], after: list[str], scal
     near = by_frame(pairs).select("*", *[max_delta([F.col(c) for c in before], [F.lead(c).over(w) for c in before]).alias(n) for n, w in (("_sx", _along()), ("_sy", _down()))])
     weight = 1 + F.greatest(F.coalesce("_sx", F.lit(0)), F.coalesce("_sy", F.lit(0))) / 255.0
     seen = near.select("clip", oklab_distance(lab(before), lab(after)).alias("e"), weight.alias("w"))
-    out = seen.groupBy("clip").agg(F.avg("e").alias("mean_error"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY e)").alias("p95_error"), (F.sum(F.col("e") * F.col("w")) / F.sum("w")).alias("edge_weighted_error"))
+    out = seen.groupBy("clip").agg(F.avg("e").alias("mean_error"), (F.sum(F.col("e") * F.col("w")) / F.sum("w")).alias("edge_weighted_error"))
+    out = joined(out, counted_percentiles(seen, ["clip"], "e", {"p95_error": 0.95}), ["clip"], "left")
     for s in scales:
         boxes = pairs.groupBy(*FRAME, F.floor(F.col("y") / s).alias("_y"), F.floor(F.col("x") / s).alias("_x")).agg(*[F.round(F.avg(c)).alias(c) for c in [*before, *after]])
         out = out.join(boxes.groupBy("clip").agg(F.avg(oklab_distance(lab(before), lab(after))).alias(f"low_error_{s}")), "clip")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fernweave.functions.scalar import half_up, oklab, oklab_distance
-from fernweave.sources.reports import scratch
+from fernweave.sources.shared import written
 
 # Frame rates and palette sizes that a search steps down through; safety factor
 # of widths; least and greatest byte ratios that are believed.
@@ -109,18 +109,12 @@ def process_trees(processes: DataFrame, roots: DataFrame) -> DataFrame:
     what the round before has added and ends when that is nothing. Rounds are written to the
     shared folder, so none is done twice.
     """
-    spark = processes.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        df.write.parquet(path := scratch(spark, "tree"))
-        return spark.read.schema(df.schema).parquet(path)
-
     edges = processes.alias("c").join(processes.select(F.col("pid").alias("parent"), F.col("started").alias("p_started")), "parent")
-    edges = written(edges.where("started > 0 and p_started > 0 and started >= p_started and pid <> parent").select("parent", F.col("c.pid").alias("pid")).distinct())
-    members = added = written(roots.select(F.col("pid").alias("root"), "pid").distinct())
+    edges = written(edges.where("started > 0 and p_started > 0 and started >= p_started and pid <> parent").select("parent", F.col("c.pid").alias("pid")).distinct(), "edges")
+    members = added = written(roots.select(F.col("pid").alias("root"), "pid").distinct(), "tree")
     while added.limit(1).count():
         reached = added.withColumnRenamed("pid", "parent").join(edges, "parent").select("root", "pid").distinct()
-        added = written(reached.join(members, ["root", "pid"], "left_anti"))
+        added = written(reached.join(members, ["root", "pid"], "left_anti"), "tree")
         members = members.union(added)
     own = members.join(processes.select("pid", "rss"), "pid")
     return own.groupBy("root").agg(F.count("*").alias("processes"), F.sum("rss").alias("rss"), F.max_by("pid", F.struct("rss", -F.col("pid"))).alias("largest"))

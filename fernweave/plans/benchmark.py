@@ -70,9 +70,8 @@ def paired_saving_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(net.alias("net"))
     pairs = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("saving", A.paired_saving(F.col("o_totalprice"), F.col("net")))
     whole = pairs.groupBy("o_orderpriority").agg(F.count("*").alias("pairs"), F.round(F.max("saving"), 6).alias("max_saving"), F.round(F.sum("net") / F.sum("o_totalprice"), 6).alias("ratio_of_sums"))
-    middle = Q.ranked_values(pairs, ["o_orderpriority"], "saving", {"low": Q.rank_lower_median, "high": Q.rank_upper_median})
-    joined = whole.join(middle, "o_orderpriority", "left")
-    return joined.select("o_orderpriority", "pairs", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median_saving"), "max_saving", "ratio_of_sums")
+    joined = Q.joined(whole, Q.medians(pairs, ["o_orderpriority"], "saving", "median"), ["o_orderpriority"], "left")
+    return joined.select("o_orderpriority", "pairs", F.round("median", 6).alias("median_saving"), "max_saving", "ratio_of_sums")
 
 
 _COMPARED = """
@@ -97,7 +96,7 @@ def win_tie_loss_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "customer").join(J.small(reference), F.col("c_nationkey") == F.col("s_nationkey"))
     made = S.compare_metric(F.col("c_acctbal"), F.col("reference"), F.lit(True), F.lit(100), F.lit(0.05), F.lit(2000), F.lit(0.1))
     seen = pairs.select("c_mktsegment", "reference", made.alias("m")).select("c_mktsegment", "reference", "m.*")
-    out = seen.groupBy("c_mktsegment").agg(*A.metric_summary("improvement", "reference", "outcome", "severe"))
+    out = A.metric_summary(seen, ["c_mktsegment"], "improvement", "reference", "outcome", "severe")
     return out.select("c_mktsegment", "wins", "losses", "ties", F.round("decisive_rate", 9).alias("decisive_rate"), *[F.round(c, 4).alias(c) for c in ("mean", "min", "p05", "p50", "p95", "max", "mean_reference")], "severe")
 
 
@@ -220,7 +219,7 @@ FROM (SELECT l_returnflag, l_tax, CASE WHEN l_discount > 0 THEN 1 + l_discount E
 def reinvestment_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A factor from the measured ratios of a group."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_tax", F.when(F.col("l_discount") > 0, 1 + F.col("l_discount")).alias("ratio"))
-    found = lines.groupBy("l_returnflag").agg(*A.calibration("ratio", F.col("l_tax") > 0.04))
+    found = A.calibration(lines, ["l_returnflag"], "ratio", F.col("l_tax") > 0.04)
     return found.select("l_returnflag", "samples", F.round("mean_ratio", 9).alias("mean_ratio"), "p95_ratio", F.round("correction_rate", 9).alias("correction_rate"), F.round("recommended_factor", 9).alias("recommended_factor"))
 
 
@@ -264,9 +263,10 @@ SELECT o_orderpriority, (CASE WHEN n <= 100000 THEN 0 ELSE 1 END) + (CASE WHEN p
   n <= 100000 AND p95 <= 470000 AND coalesce(largest <= 1000000, false) AS passed FROM s""")
 def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice against its limits; what was not measured fails."""
-    slices = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), Q.nearest_rank("o_totalprice", 0.95).alias("p95"), F.when(F.col("o_orderpriority") != "5-LOW", F.max("o_totalprice")).alias("largest")
-    )
+    orders = table(spark, sf_dir, "orders")
+    largest = F.when(F.col("o_orderpriority") != "5-LOW", F.max("o_totalprice"))
+    slices = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), largest.alias("largest"))
+    slices = Q.joined(slices, Q.counted_percentiles(orders, ["o_orderpriority"], "o_totalprice", {"p95": 0.95}), ["o_orderpriority"], "left")
     found = G.budget_gate(slices, ["o_orderpriority"], {"n": 100000, "p95": 470000, "largest": 1000000})
     return found.select("o_orderpriority", F.size("violations").alias("n_violations"), "passed")
 

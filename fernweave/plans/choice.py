@@ -117,22 +117,22 @@ def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.ranked(_candidates(spark, sf_dir), ["k"], [score.desc(), F.col("seq")]).select("seq", "k", "rank")
 
 
-_CENTRES = [[round(((i * 7 + j * 3) % 11 - 5) / 20, 2) for j in range(4)] for i in range(5)]
+_CENTRES = [[round(((i * 7 + j * 3) % 11 - 5) / 20, 2) for j in range(64)] for i in range(5)]
 _DISTANCES = ", ".join(f"struct_pack(d := {' + '.join(f'(CAST(embedding[{j + 1}] AS DOUBLE) - {c}) * (CAST(embedding[{j + 1}] AS DOUBLE) - {c})' for j, c in enumerate(centre))}, centre := {i})" for i, centre in enumerate(_CENTRES))
 
 
 @query(f"""SELECT vec_id, b.centre AS centre, round(b.d, 6) AS distance_squared FROM (SELECT vec_id, list_min([{_DISTANCES}]) AS b FROM embeddings)""")
 def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of five centres in the first four dimensions."""
-    points = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    """The nearest of five centres."""
+    points = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return J.nearest_centres(points, "vec_id", "v", _CENTRES).withColumn("distance_squared", F.round("distance_squared", 6))
 
 
 @query()
 def kmeans_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted k-means with farthest-first seeds (iterative; tested by brute force)."""
+    """Weighted k-means with farthest-first seeds. Iterative; a test holds it against a plain loop."""
     from fernweave.operators.clusters import weighted_kmeans
 
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"), F.lit(1.0).alias("w"))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lit(1.0).alias("w"))
     centres = weighted_kmeans(points, 6)
     return spark.createDataFrame([(i, [round(x, 6) for x in c]) for i, c in enumerate(centres)], "centre int, v array<double>")

@@ -112,7 +112,7 @@ g AS (SELECT s.clip, s.frame, s.held, s.slot, t.reason, t.score FROM s LEFT JOIN
 z AS (SELECT *, sum((reason IS NOT NULL)::INT) OVER (PARTITION BY clip ORDER BY slot) AS segment FROM g)
 SELECT clip, CAST(segment AS INT) AS segment, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS frames, CAST(sum(held) AS BIGINT) AS duration, max(reason) AS reason, coalesce(max(score), 0) AS score FROM z GROUP BY clip, segment""")
 def palette_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries between frames and the segments they make."""
+    """Boundaries between frames and the segments they make."""
     s = X.scene_changes(_pixels(spark, sf_dir)).withColumn("kept", F.col("frame") % 3 != 1).withColumn("held", F.col("frame") % 4 + 1)
     return C.palette_segments(s)
 
@@ -253,7 +253,7 @@ def change_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {PX}, u AS (SELECT DISTINCT clip, r // 16 * 5 AS idx FROM px), n AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY idx) - 1 AS compact, count(*) OVER (PARTITION BY clip) AS n FROM u)
 SELECT clip, idx, CAST(compact AS INT) AS compact, CAST(greatest(2, pow(2, ceil(log2(n)))) AS INT) AS table_size FROM n""")
 def compact_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Used palette entries renumbered."""
+    """Used palette entries renumbered."""
     return X.compact_indices(_pixels(spark, sf_dir).select("clip", F.expr("r div 16 * 5").alias("idx")), ["clip"], "idx")
 
 
@@ -269,7 +269,7 @@ WITH {PX}, k AS (SELECT {_KNOWN}), c AS (SELECT clip, frame, y, x, {", ".join(f"
 f AS (SELECT clip, frame, y, x, list_sort([{_FAR}])[1:2] AS two, ({_BAYER} + 0.5) / 64.0 AS t FROM c CROSS JOIN k)
 SELECT clip, frame, y, x, CASE WHEN coalesce(two[1].d / nullif(two[1].d + two[2].d, 0), 0) * 160 / 255.0 > t THEN two[2].i ELSE two[1].i END AS index FROM f""")
 def ordered_dither(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest or second nearest palette entry by an ordered threshold."""
+    """The nearest or second nearest palette entry by an ordered threshold."""
     return X.ordered_dither(_pixels(spark, sf_dir).select("clip", "frame", "y", "x", "r", "g", "b"), _PALETTE, 160).select("clip", "frame", "y", "x", "index")
 
 

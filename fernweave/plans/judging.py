@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fernweave.functions import delivery as D, media as M, scalar as S
+from fernweave.functions import delivery as D, media as M, quantiles as Q, scalar as S
 from fernweave.operators import gates as G, relational as J, search as R
 from fernweave.plans.registry import query, table
 from fernweave.sources import documents as SD
@@ -35,10 +35,11 @@ def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sides' pairs under three filters."""
     p = _pairs(spark, sf_dir).withColumn("delta", F.round(F.col("sb") - F.col("sa"), 6)).withColumn("gap", S.symmetric_delta_percent(F.col("a"), F.col("b"))).withColumn("ok", F.least("sa", "sb") >= D.RELIABLE)
     won, near = F.col("delta") > D.WINNER_BAND, F.col("gap") <= D.NEAR_SIZE
-    return p.groupBy("p_brand").agg(
+    whole = p.groupBy("p_brand").agg(
         F.count("*").alias("pairs"), F.count_if(won).alias("wins"), F.count_if("ok").alias("reliable"), F.count_if(F.col("ok") & won).alias("reliable_wins"), F.count_if(F.col("ok") & near).alias("eligible"), F.count_if(near).alias("near_size"),
-        F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.median("delta"), 6).alias("median_delta"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.max(F.abs(F.col("sa") - F.col("sb"))), 6).alias("largest"),
+        F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.avg("gap"), 6).alias("mean_gap"), F.round(F.max(F.abs(F.col("sa") - F.col("sb"))), 6).alias("largest"),
     )
+    return Q.joined(whole, Q.medians(p, ["p_brand"], "delta", "median_delta"), ["p_brand"], "left").withColumn("median_delta", F.round("median_delta", 6))
 
 
 @query("""
@@ -55,14 +56,16 @@ def route_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT user_id, list(value ORDER BY event_id) AS v, max(CASE WHEN event_id % 3 = 0 THEN value END) AS m, bool_or(event_id % 2 = 0) AS st FROM events GROUP BY 1)
+WITH v AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1)
 SELECT user_id, round(CASE WHEN user_id % 3 = 0 THEN 7.5 ELSE list_avg(v) END, 6) AS pooled, round(CASE WHEN user_id % 3 = 0 THEN 7.5 ELSE list_min(v) END, 6) AS least, CASE WHEN user_id % 3 <> 0 AND 0 = 1 THEN 1 END AS none FROM v""")
 def pooled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored pooled values, or the mean of the finite frames' values."""
-    values = F.concat(F.collect_list("value"), F.array(F.lit(float("nan")), F.lit(float("inf"))))
-    v = table(spark, sf_dir, "events").groupBy("user_id").agg(values.alias("v"))
+    odd = F.explode(F.array(F.col("value"), F.lit(float("nan")), F.lit(float("inf"))))  # two frames without a measure beside each
+    frames = table(spark, sf_dir, "events").select("user_id", odd.alias("value"))
+    v = frames.groupBy("user_id").agg(*[D.pooled(F.col("value"), least).alias(n) for n, least in (("mean", False), ("min", True))])
     stored = F.when(F.col("user_id") % 3 == 0, 7.5).when(F.col("user_id") % 3 == 1, float("nan"))
-    return v.select("user_id", F.round(D.pooled(stored, F.col("v")), 6).alias("pooled"), F.round(D.pooled(stored, F.col("v"), least=True), 6).alias("least"), S.guarded_rate(F.lit(1), F.lit(0)).cast("int").alias("none"))
+    own = lambda c: F.when(D.finite(stored), stored).otherwise(F.col(c))
+    return v.select("user_id", F.round(own("mean"), 6).alias("pooled"), F.round(own("min"), 6).alias("least"), S.guarded_rate(F.lit(1), F.lit(0)).cast("int").alias("none"))
 
 
 @query("""
@@ -112,7 +115,7 @@ def output_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT o_orderkey AS k, o_orderkey % 400 AS dim FROM orders)
 SELECT k, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'format' END, CASE WHEN dim = 0 THEN 'dimensions' END, CASE WHEN dim > 300 THEN 'width over limit' END, CASE WHEN dim > 0 AND abs(dim / 200.0 - 1.0) > 0.01 THEN 'aspect off' END) AS violations,
  CASE WHEN k % 4 = 0 THEN 'inferred' WHEN k % 3 = 0 OR k % 4 = 1 THEN 'invalid' WHEN k % 4 = 2 THEN 'expired' ELSE 'verified' END AS state,
- CASE WHEN k % 2 = 0 THEN 'alpha_mask' WHEN k % 5 < 2 THEN 'insufficient' WHEN dim >= 288 THEN 'unsuitable' WHEN dim <= 152 THEN 'motion_baseline' ELSE 'content_saliency' END AS roi FROM c WHERE dim > 0""")
+ CASE WHEN k % 2 = 0 THEN 'alpha_mask' WHEN k % 5 < 2 THEN 'insufficient' WHEN dim >= 288 THEN 'unsuitable' WHEN dim <= 152 THEN 'motion_baseline' ELSE 'content_saliency' END AS roi FROM c""")
 def delivery_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Platform limits, evidence and regions of interest."""
     k, dim = F.col("o_orderkey"), F.col("o_orderkey") % 400
@@ -122,7 +125,7 @@ def delivery_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tested = F.when(k % 4 == 0, F.lit(None).cast("timestamp")).when(k % 4 == 1, F.lit("2026-02-01").cast("timestamp")).when(k % 4 == 2, F.lit("2025-01-01").cast("timestamp")).otherwise(F.lit("2025-12-01").cast("timestamp"))
     state = M.evidence_state(F.when(k % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")), tested, now)
     roi = M.roi_readiness(k % 2 == 0, k % 5, F.lit(0), dim / 400.0)
-    return table(spark, sf_dir, "orders").where(dim > 0).select(k.alias("k"), F.array_join(M.envelope_violations(out, limit), ",").alias("violations"), state.alias("state"), roi.alias("roi"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.array_join(M.envelope_violations(out, limit), ",").alias("violations"), state.alias("state"), roi.alias("roi"))
 
 
 @query("""
@@ -152,14 +155,14 @@ def crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT c_custkey AS pid, c_custkey // 3 AS parent, CASE WHEN c_custkey % 29 = 0 THEN 0 ELSE 100 + c_custkey - c_custkey % 13 * (CASE WHEN c_custkey % 17 = 0 THEN 50 ELSE 0 END) END AS started, CAST(floor(c_acctbal) AS BIGINT) AS rss FROM customer WHERE c_custkey > 0),
+WITH p AS (SELECT c_custkey AS pid, c_custkey // 3 AS parent, CASE WHEN c_custkey % 29 = 0 THEN 0 ELSE 100 + c_custkey - c_custkey % 13 * (CASE WHEN c_custkey % 17 = 0 THEN 50 ELSE 0 END) END AS started, CAST(floor(c_acctbal) AS BIGINT) AS rss FROM customer),
 t AS (WITH RECURSIVE r(root, pid, depth) AS (SELECT pid, pid, 0 FROM p WHERE pid % 50 < 3 UNION ALL SELECT r.root, c.pid, depth + 1 FROM r JOIN p c ON c.parent = r.pid JOIN p q ON q.pid = c.parent WHERE c.started > 0 AND q.started > 0 AND c.started >= q.started AND c.pid <> c.parent) SELECT DISTINCT root, pid FROM r)
 SELECT root, count(*) AS processes, CAST(sum(rss) AS BIGINT) AS rss, arg_max(pid, struct_pack(r := rss, p := -pid)) AS largest FROM t JOIN p USING (pid) GROUP BY 1""")
 def process_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory of process trees, guarded against reused ids."""
     k = F.col("c_custkey")
     started = F.when(k % 29 == 0, 0).otherwise(100 + k - k % 13 * F.when(k % 17 == 0, 50).otherwise(0))
-    p = table(spark, sf_dir, "customer").where("c_custkey > 0").select(k.alias("pid"), F.expr("c_custkey div 3").alias("parent"), started.alias("started"), F.floor("c_acctbal").cast("long").alias("rss"))
+    p = table(spark, sf_dir, "customer").select(k.alias("pid"), F.expr("c_custkey div 3").alias("parent"), started.alias("started"), F.floor("c_acctbal").cast("long").alias("rss"))
     return R.process_trees(p, p.where("pid % 50 < 3").select("pid"))
 
 

@@ -1,11 +1,11 @@
 """Report sinks and content-addressed bundles."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fernweave.operators.relational import inventory_diff
+from fernweave.sources.shared import scratch
+
+__all__ = ["scratch"]
 
 # Roles of bundle files by name, then by ending; those that must be there.
 ROLES = {"report.json": "report_json", "report.csv": "report_csv", "build-provenance.json": "build_provenance"}
@@ -14,18 +14,6 @@ REQUIRED = ["report_json", "report_csv", "build_provenance", "blind_html"]
 OWN_MANIFEST = "bundle-manifest.json"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder of spark.checkpoint.dir, which driver and executors share.
-    Where that is unset, one of this machine is set on a local master (tests) only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_csv_report(runs: DataFrame, sources: DataFrame, profiles: DataFrame, path: str) -> None:
     """One line for each run with the columns of its source and profile; missing ones are empty.
     Written in parts, each with a header, as a directory that the committer makes whole."""

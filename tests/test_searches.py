@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from fernweave.functions import quantiles as Q
 from fernweave.operators import aggregate as A, search as R
@@ -144,6 +145,21 @@ def test_ranks_of_groups(spark):
     assert Q.ranked_values(df.limit(0), ["g"], "v", ranks).collect() == []
 
 
+@pytest.mark.parametrize(("ordered", "cells"), [(4, 8), (30, 16)])
+def test_ranks_of_groups_that_are_cut_again_and_again(spark, monkeypatch, ordered, cells):
+    monkeypatch.setattr(Q, "ORDERED", ordered)
+    monkeypatch.setattr(Q, "CELLS", cells)
+    test_ranks_of_groups(spark)
+
+
+def test_an_outlier_leaves_cells_of_like_numbers(spark):
+    """20,000 values of one group, one of them 1e15: no cell holds more than a few percent."""
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 7, 1e15).otherwise(F.col("id") / 1000).alias("v"))
+    held = Q.counted(df, ["g"], "v", F.count("*"))
+    cells = Q.joined(held, Q._measured(held, ["g"], "v"), ["g"]).withColumn("_d", F.lit(1 << 40)).groupBy(Q._cell("v").alias("c")).count().collect()
+    assert len(cells) > 200 and max(r["count"] for r in cells) < 0.02 * 20_000
+
+
 def test_slices_count_nulls_and_grains(spark):
     rows = [("a", "x", 1.0, None), ("a", None, 3.0, 5.0), (None, "x", None, None), ("b", "x", 2.0, 7.0)]
     df = spark.createDataFrame(rows, "k string, f string, m double, n double")
