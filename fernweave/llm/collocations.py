@@ -26,7 +26,7 @@ from fernweave.llm.store import released, stored
 from fernweave.llm.text import blocks, coded, mix, word_array, words
 
 #: Words in a shard, positions of it that are searched at once, lanes that one step looks up.
-SHARD, STRETCH, PROBES = 1 << 20, 1 << 16, 1 << 20
+SHARD, STRETCH, PROBES = 1 << 20, 1 << 16, 1 << 17
 #: A bitmap that holds one lane in so many is kept open too, its lanes looked up by number.
 OPEN = 64
 #: Bits of the map of frequent pairs for each of them, and at most: 32 MB, whatever their number.
@@ -267,7 +267,7 @@ def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stre
     """All phrases of two to `most` words of ids whose neighbours are all among the pairs a, b,
     a row each with -1 after its words, and how often each occurs. A stretch begins with the
     lane before it, so phrases that reach over its begin are found, and counted once."""
-    rows, counts = [np.zeros((0, most), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    rows, counts = [np.zeros((0, most), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
     padded = np.append(np.full(64, -1, dtype=np.int64), ids)
     for at in range(0, len(ids), stretch):
         word, local = np.unique(padded[at : at + stretch + 64], return_inverse=True)
@@ -279,10 +279,17 @@ def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stre
         follow = co_occurring(local, len(word), np.unique((x * len(word) + y)[(word[x] == a) & (word[y] == b)]))
         single, each = word_bitmaps(local, len(word)), np.arange(len(word))
         for phrases, n in extended(each[:, None], each, single, single, follow, most, probes):
-            row = np.full((len(phrases), most), -1, dtype=np.int64)
+            row = np.full((len(phrases), most), -1, dtype=np.int32)
             row[:, : phrases.shape[1]] = word[phrases]
             rows.append(row[n > 0])
             counts.append(n[n > 0])
+        if sum(map(len, rows)) > 4 * len(rows[0]) + probes:
+            rows, counts = [[x] for x in _merged(rows, counts)]
+    return _merged(rows, counts)
+
+
+def _merged(rows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows once, with the sum of their counts."""
     row, n = np.concatenate(rows), np.concatenate(counts)
     order = np.lexsort(row.T[::-1])
     row, n = row[order], n[order]
