@@ -64,21 +64,26 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, fp long, n int, shingles array<long>")
 
 
-def _marked(sets: DataFrame, nodes: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of sets whose node may be in nodes, all that are among them; or the others."""
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A map of MARKS bits with those of the nodes set."""
     bit = nodes.select(F.expr(f"node & {MARKS - 1}L").alias("bit"))
     masks = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toArrow()
     marks = np.zeros(MARKS >> 6, dtype=np.uint64)
     marks[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
-    shared = sets.sparkSession.sparkContext.broadcast(marks)
+    return marks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = batch.column("node").to_numpy() & (MARKS - 1)
-            found = shared.value[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)
-            yield batch.filter(pa.array((found == 1) == inside))
 
-    return sets.mapInArrow(run, sets.schema)
+def _inside(batch: pa.RecordBatch, marks: np.ndarray, inside: bool = True) -> pa.RecordBatch:
+    """The rows whose node may be among the marked ones, all that are; or the others."""
+    bits = batch.column("node").to_numpy() & (MARKS - 1)
+    found = marks[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)
+    return batch.filter(pa.array((found == 1) == inside))
+
+
+def _marked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of sets whose node may be in nodes, all that are among them."""
+    shared = sets.sparkSession.sparkContext.broadcast(_marks(nodes))
+    return sets.mapInArrow(lambda batches: (_inside(b, shared.value) for b in batches), sets.schema)
 
 
 def _common(sets: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +97,11 @@ def _common(sets: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _postings(sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
     """Stored (s, node, n, place): the prefix of each distinct set, of the shingles that two sets have there."""
-    known = sets.sparkSession.sparkContext.broadcast(_common(sets, nodes))
+    known = sets.sparkSession.sparkContext.broadcast((*_common(sets, nodes), _marks(nodes.where("copies > 1"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, held = known.value
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
+    def run(batches: Iterator[pa.RecordBatch], copied: bool) -> Iterator[pa.RecordBatch]:
+        common, held, marks = known.value
+        for batch in (_inside(b.slice(at, ROWS), marks, copied) for b in batches for at in range(0, len(b), ROWS)):
             off, every = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").flatten().to_numpy()
             off = off - off[0]
             c = np.zeros(len(every), dtype=np.int64)
@@ -113,8 +118,8 @@ def _postings(sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
             node, n = (np.repeat(batch.column(x).to_numpy(), sizes) for x in ("node", "n"))
             yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(node), pa.array(n), pa.array(np.concatenate(places) if places else np.zeros(0, np.int32))], ["s", "node", "n", "place"])
 
-    copied = nodes.where("copies > 1")
-    one, some = (_marked(sets.select("node", "n", "shingles"), copied, x).mapInArrow(run, "s long, node long, n int, place int") for x in (False, True))
+    own, kind = sets.select("node", "n", "shingles"), "s long, node long, n int, place int"
+    one, some = own.mapInArrow(lambda b: run(b, False), kind), own.mapInArrow(lambda b: run(b, True), kind)
     found = stored(one.union(some.distinct()), "prefixes")
     shared = found.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     postings = stored(found.join(shared, "s", "left_semi"), "postings")
