@@ -54,7 +54,7 @@ def counted(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataF
     return written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(weight.alias("_w")), "counted")
 
 
-def _measured(held: DataFrame, keys: list[str], value: str) -> DataFrame:
+def measured(held: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: its weight, its number of values, and bounds between its cells."""
     steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
     finite = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
@@ -62,22 +62,23 @@ def _measured(held: DataFrame, keys: list[str], value: str) -> DataFrame:
     return written(held.groupBy(*keys).agg(F.sum("_w").alias("_all"), F.count("*").alias("_d"), bounds.alias("_b")), "groups")
 
 
-def _cell(value: str) -> Column:
-    """How many of the sorted bounds _b are not beyond the value, by binary search."""
+def cell_of(value: str, ordered: int | None = None) -> Column:
+    """How many of the sorted bounds _b are not beyond the value, by binary search; 0 in groups
+    of up to `ordered` values. _d and _b are those of measured()."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(CELLS.bit_length()))])
     further = lambda lo, s: (lo + s <= F.size("_b")) & (F.get("_b", lo + s - 1) <= F.col(value))
-    return F.when((F.col("_d") > ORDERED) & F.col("_b").isNotNull(), F.aggregate(steps, F.lit(0), lambda lo, s: F.when(further(lo, s), lo + s).otherwise(lo))).otherwise(0)
+    return F.when((F.col("_d") > (ORDERED if ordered is None else ordered)) & F.col("_b").isNotNull(), F.aggregate(steps, F.lit(0), lambda lo, s: F.when(further(lo, s), lo + s).otherwise(lo))).otherwise(0)
 
 
 def selected(held: DataFrame, keys: list[str], value: str, thresholds: dict) -> DataFrame:
     """held: keys, value, _w, written. keys and, for each (name, threshold), the first value in
     ascending order at which the running _w reaches the threshold, a function of their sum."""
-    groups = _measured(held, keys, value)
+    groups = measured(held, keys, value)
     every = F.array(*[F.struct(F.lit(n).alias("_name"), t(F.col("_all")).cast("double").alias("_at")) for n, t in thresholds.items()])
     wants, by = groups.select(*keys, F.inline(every)), list(keys)
     while (groups.agg(F.max("_d").alias("d")).first().d or 0) > ORDERED:
         cell = f"_cell{len(by)}"
-        celled = joined(held, groups.select(*by, "_d", "_b"), by).withColumn(cell, _cell(value)).select(*by, cell, value, "_w")
+        celled = joined(held, groups.select(*by, "_d", "_b"), by).withColumn(cell, cell_of(value)).select(*by, cell, value, "_w")
         sums = celled.groupBy(*by, cell).agg(F.sum("_w").cast("double").alias("_s"))
         along = W.partitionBy(*by).orderBy(cell)
         runs = sums.withColumn("_upto", F.sum("_s").over(along.rowsBetween(W.unboundedPreceding, 0)))
@@ -87,7 +88,7 @@ def selected(held: DataFrame, keys: list[str], value: str, thresholds: dict) ->
         wants = written(joined(runs, wants, by).where(hit).select(*by, cell, "_name", rest.alias("_at")), "ranks")
         by = [*by, cell]
         held = written(joined(celled, wants.select(*by).distinct(), by).select(*by, value, "_w"), "cells")
-        groups = _measured(held, by, value)
+        groups = measured(held, by, value)
     inside = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     run = held.select(*by, value, F.sum("_w").over(inside).cast("double").alias("_upto"))
     found = joined(run, wants, by).where("_upto >= _at").groupBy(*keys, "_name").agg(F.min(value).alias("_v"))

@@ -199,31 +199,6 @@ def upsert_keyframes(keys: DataFrame, edits: DataFrame, by: list[str], values: l
     return kept.where(some)
 
 
-def history_state(log: DataFrame, depth: int = 100) -> DataFrame:
-    """Per project of a log (project, seq, action, revision; actions commit, undo, redo): the
-    current revision, and how many steps can be undone and redone. A commit ends what could be
-    redone; at most `depth` steps can be undone. A fold over a project's log, gathered in one row."""
-    steps = F.sort_array(F.collect_list(F.struct("seq", "action", "revision")))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("past"), F.lit(None).cast("bigint").alias("now"), none.alias("ahead"))
-
-    def step(s: Column, x: Column) -> Column:
-        commit, undo, redo = x["action"] == "commit", (x["action"] == "undo") & (F.size(s["past"]) > 0), (x["action"] == "redo") & (F.size(s["ahead"]) > 0)
-        own = F.when(s["now"].isNull(), none).otherwise(F.array(s["now"]))
-        longer = F.concat(s["past"], own)
-        kept = F.slice(longer, F.greatest(F.lit(1), F.size(longer) - depth + 1), F.lit(depth))
-        last = lambda a: F.try_element_at(a, F.lit(-1))
-        but = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-        return F.struct(
-            F.when(commit | redo, kept).when(undo, but(s["past"])).otherwise(s["past"]).alias("past"),
-            F.when(commit, x["revision"].cast("bigint")).when(undo, last(s["past"])).when(redo, last(s["ahead"])).otherwise(s["now"]).alias("now"),
-            F.when(commit, none).when(undo, F.concat(s["ahead"], own)).when(redo, but(s["ahead"])).otherwise(s["ahead"]).alias("ahead"),
-        )
-
-    folded = log.groupBy("project").agg(F.aggregate(steps, start, step).alias("s"))
-    return folded.select("project", F.col("s.now").alias("revision"), F.size("s.past").alias("undoable"), F.size("s.ahead").alias("redoable"))
-
-
 def draft_state(payload: Column, version: Column, saved_ms: Column, now_ms: Column, current: int, max_age_ms: int) -> Column:
     """empty, corrupt, unsupported, expired or ready: what a saved session is worth."""
     return (

@@ -1,8 +1,10 @@
 """Searches and trees: next candidates of many size searches at once, grids, process trees."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fernweave.functions.scalar import half_up, oklab, oklab_distance
+from fernweave.functions.scalar import half_up, oklab, oklab_distance, symmetric_delta_percent
 from fernweave.sources.shared import written
 
 # Frame rates and palette sizes that a search steps down through; safety factor
@@ -19,18 +21,28 @@ def _even(v: Column) -> Column:
 
 
 def size_window(target: Column, tolerance_percent: float, symmetric: bool = True) -> tuple[Column, Column]:
-    """The least and greatest size that hit a target: within the tolerance of the symmetric
-    difference, or up to the target itself where that is a hard cap."""
+    """The least and greatest size that hit a target: within the tolerance, held to 1 to 25
+    percent, of the symmetric difference, or up to the target itself where that is a hard cap."""
     t = min(max(tolerance_percent, 1.0), 25.0) / 100
-    least = F.ceil(target * F.lit((2 - tolerance_percent / 100) / (2 + tolerance_percent / 100)))
+    least = F.ceil(target * F.lit((2 - t) / (2 + t)))
     return least, F.floor(target * F.lit((2 + t) / (2 - t))) if symmetric else target
 
 
-def next_candidates(observations: DataFrame, least_width: int = 96, max_attempts: int = 20, tolerance_percent: float = 2.0, symmetric: bool = True) -> DataFrame:
+def recorded(observations: DataFrame) -> DataFrame:
+    """The attempts of each search: a candidate that was measured again keeps its place and has
+    its last size. Palettes have 3 colours at least."""
+    own = observations.withColumn("colours", F.greatest("colours", F.lit(3)))
+    return own.groupBy("search", "width", "fps", "colours", "bayer").agg(
+        F.min("seq").alias("seq"), F.max_by("size", "seq").alias("size"), F.max_by("target", "seq").alias("target"), F.max_by("base_width", "seq").alias("base_width")
+    )
+
+
+def next_candidates(observations: DataFrame, least_width: int = 96, max_attempts: int = 12, tolerance_percent: float = 2.0, symmetric: bool = False) -> DataFrame:
     """The next candidate of each search, from its observations so far.
 
-    observations: search, seq, target, base_width, width, fps, colours, bayer, size. The last
-    one (by seq) decides. Too large: halfway to the widest that fits at its frame rate and
+    observations: search, seq, target, base_width, width, fps, colours, bayer, size, of which
+    recorded() makes attempts; max_attempts is held to 1 to 12. The target is a hard cap, or
+    symmetric, hit from either side. The last attempt (by seq) decides. Too large: halfway to the widest that fits at its frame rate and
     colours; else a width scaled by the root of the byte ratio; else the next lower frame rate
     at a width for it; else fewer colours; else one bayer step. Too small: halfway to the
     narrowest that is too large, else a scaled width up to the base, else halfway to the next
@@ -40,6 +52,8 @@ def next_candidates(observations: DataFrame, least_width: int = 96, max_attempts
     the first two pass over what was tried. On the last attempt of a symmetric search whose last size is
     beyond the window, the slope of bytes over area to the next wider candidate sets the width.
     """
+    max_attempts = min(max(max_attempts, 1), 12)
+    observations = recorded(observations)
     last = observations.groupBy("search").agg(F.max_by(F.struct("target", "base_width", "width", "fps", "colours", "bayer", "size"), "seq").alias("l"))
     tried = observations.groupBy("search").agg(F.collect_set(F.struct("width", "fps", "colours", "bayer")).alias("tried"))  # a dozen attempts a search
     j = observations.join(last, "search")
@@ -92,6 +106,52 @@ def next_candidates(observations: DataFrame, least_width: int = 96, max_attempts
     return found.select("search", chosen.alias("n")).select("search", "n.*")
 
 
+def quality_search(searches: DataFrame, measure: Callable[[DataFrame], DataFrame], reach: int = 4) -> DataFrame:
+    """The setting of each search whose size is closest to its target: search, quality, mode,
+    bytes, delta (symmetric, in percent) and attempts, how many settings were measured.
+
+    searches: search, target. measure: rows (search, quality, mode) to the same with bytes; it
+    is asked for no setting twice, and what it gives no row for ends the halving there. Quality
+    1 to 100 is halved in mode `default` by all searches at once, a round each; then the ends, 90
+    and what lies within reach of where the halving ended; then, in mode `extra`, 100 and what
+    lies within reach of the closest so far (ties: fewer bytes off, then the one asked first,
+    then the lower quality). Chosen: closest in percent, in bytes, the higher quality, `extra`.
+    """
+    target = searches.select("search", "target")
+    state = written(searches.select("search", F.lit(1).alias("low"), F.lit(100).alias("high")), "halved")
+    memo, known, turn = None, None, 0
+
+    def ask(wanted: DataFrame) -> DataFrame:
+        """What was not asked for yet, measured and added to the memo."""
+        nonlocal memo, known, turn
+        new = wanted if known is None else wanted.join(known, ["search", "quality", "mode"], "left_anti")
+        new = written(new.select("search", "quality", "mode"), "asked")
+        got = written(measure(new).select("search", "quality", "mode", "bytes", F.lit(turn).alias("turn")), "measured")
+        memo, known, turn = (got, new, 1) if memo is None else (memo.union(got), known.union(new), turn + 1)
+        return got
+
+    while True:
+        middle = state.where("low <= high").select("search", F.expr("(low + high) div 2").cast("int").alias("quality"), F.lit("default").alias("mode"))
+        if middle.isEmpty():
+            break
+        size = ask(middle).select("search", "quality", "bytes").join(target, "search")
+        open_, step = F.col("low") <= F.col("high"), F.expr("(low + high) div 2").cast("int")
+        j = state.join(size, "search", "left")
+        low = F.when(open_ & (F.col("bytes") < F.col("target")), step + 1).otherwise(F.col("low"))
+        high = F.when(open_ & F.col("bytes").isNull(), F.col("low") - 1).when(open_ & (F.col("bytes") >= F.col("target")), step - 1).otherwise(F.col("high"))
+        state = written(j.select("search", low.alias("low"), high.alias("high")), "halved")
+
+    near = lambda c: F.sequence(F.greatest(F.lit(1), c - reach), F.least(F.lit(100), c + reach))
+    spread = lambda df, own, mode: df.select("search", F.explode(F.array_distinct(own)).alias("quality"), F.lit(mode).alias("mode"))
+    ask(spread(state, F.concat(F.array(*map(F.lit, (1, 100, 90))), near(F.col("low"))), "default"))
+    rated = lambda: memo.join(target, "search").select("search", "quality", "mode", "bytes", "turn", symmetric_delta_percent(F.col("bytes"), F.col("target")).alias("delta"), F.abs(F.col("bytes") - F.col("target")).alias("off"))
+    closest = rated().groupBy("search").agg(F.min_by("quality", F.struct("delta", "off", "turn", "quality")).alias("q"))
+    ask(spread(closest, F.concat(F.array(F.lit(100)), near(F.col("q"))), "extra"))
+    order = F.struct("delta", "off", -F.col("quality"), F.col("mode") != "extra")
+    best = rated().groupBy("search").agg(F.min_by(F.struct("quality", "mode", "bytes", "delta"), order).alias("b"), F.count("*").alias("attempts"))
+    return best.select("search", "b.*", "attempts")
+
+
 def grid(spark, **choices: list) -> DataFrame:
     """All combinations of parameter values: one row each, numbered in order."""
     out = None
@@ -147,9 +207,3 @@ def stage_profile(switches: DataFrame) -> DataFrame:
     along = W.partitionBy("export").orderBy("seq")
     spans = switches.select("export", "stage", (F.lead("at_us").over(along) - F.col("at_us")).alias("us")).where("us is not null")
     return spans.groupBy("export", "stage").agg(F.count("*").alias("calls"), F.sum("us").alias("elapsed_us"))
-
-
-def timelines_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per clip: whether two run-length timelines (clip, run, hash, delay) show the same."""
-    same = F.col("a.hash").eqNullSafe(F.col("b.hash")) & F.col("a.delay").eqNullSafe(F.col("b.delay"))
-    return a.alias("a").join(b.alias("b"), ["clip", "run"], "full").groupBy("clip").agg(F.every(same).alias("equal"), F.count("*").alias("runs"))

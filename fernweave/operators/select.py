@@ -1,8 +1,12 @@
 """Choosing rows: preferences, skylines, champions, adoption of a candidate over a baseline."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fernweave.functions.quantiles import joined
 from fernweave.functions.scalar import guarded_rate, symmetric_delta_percent
+from fernweave.sources.shared import written
 
 
 def preferred(df: DataFrame, keys: list[str], order: list[Column], seq: str, columns: list[str], last_of_ties: bool = True) -> DataFrame:
@@ -28,9 +32,44 @@ def by_preference(preference: str) -> list[Column]:
     return [*map(F.col, PREFERENCES[preference]), -F.col("bytes")]
 
 
-def fit_label(size: Column, target: Column, exact_percent: float, reachable: Column) -> Column:
-    """exact, under, over, or unreachable where no candidate comes under."""
-    return F.when(symmetric_delta_percent(size, target) <= exact_percent, "exact").when(size <= target, "under").when(reachable, "over").otherwise("unreachable")
+def fit_label(size: Column, target: Column, window: tuple[Column, Column], searching: Column) -> Column:
+    """How a search's best size fits: exact in the window (as of search.size_window), under up to
+    the target, over while the search has a next candidate, else unreachable, also without any size."""
+    least, ceiling = window
+    exact = (size >= least) & (size <= ceiling)
+    return F.when(exact, "exact").when(size <= target, "under").when(size.isNotNull() & searching, "over").otherwise("unreachable")
+
+
+#: Routes of re-spent bytes by rank, the route that comes first otherwise, the one
+#: that clarity avoids, and the dithers that clarity and the other preferences look for.
+REINVESTED = {"perceptual_reinvest_corrected": 2, "perceptual_reinvest": 1}
+BASELINE, PERCEPTUAL, CLEAR_DITHER, PLAIN_DITHER = "baseline", "perceptual_timeline", "sierra2_4a", "bayer"
+
+
+def select_route(routes: DataFrame, keys: list[str], seq: str, preference: str, stats: Column, target: Column, tolerance_percent: float, symmetric: bool = False) -> DataFrame:
+    """One row a key: the route chosen from those that were encoded (size not null), or no row.
+
+    routes: keys, seq, route, dither, stats_mode, size, cfr. A symmetric match takes the routes
+    of constant rate: within the tolerance first, then the closest, the baseline, the first.
+    A hard cap takes what the target holds if any does: clarity by re-spent bytes, dither,
+    recommended statistics, no perceptual timeline, baseline, fewest bytes; smallest by bytes
+    alone (the first of ties); else baseline, recommended statistics, dither, fewest bytes.
+    Of other ties the last is taken.
+    """
+    made = routes.where("size is not null")
+    size, route = F.col("size"), F.col("route")
+    if symmetric:
+        apart = symmetric_delta_percent(size, target)
+        order = [apart <= min(max(tolerance_percent, 1.0), 25.0), -apart, route == BASELINE]
+        return preferred(made.where("cfr"), keys, order, seq, [seq, "route", "size"], last_of_ties=False)
+    fits = size <= target
+    reinvested = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in REINVESTED.items() for x in pair]), route), F.lit(0))
+    recommended = F.col("stats_mode") == stats
+    order = {
+        "clarity": [reinvested, F.col("dither") == CLEAR_DITHER, recommended, route != PERCEPTUAL, route == BASELINE, -size],
+        "smallest": [-size],
+    }.get(preference, [route == BASELINE, recommended, F.col("dither") == PLAIN_DITHER, -size])
+    return preferred(made, keys, [fits, *order], seq, [seq, "route", "size"], last_of_ties=preference != "smallest")
 
 
 def best_observation(df: DataFrame, keys: list[str], size: str, target: str, window: tuple[Column, Column], order: list[Column], seq: str, columns: list[str]) -> DataFrame:
@@ -43,43 +82,90 @@ def best_observation(df: DataFrame, keys: list[str], size: str, target: str, win
     return preferred(df, keys, [tier, near, *order], seq, columns)
 
 
-def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], feasible: Column | None = None) -> DataFrame:
-    """Of the feasible rows, those that no other one of the key dominates: as good in every column (less in `low`,
-    more in `high`) and better in one. Equal rows do not dominate each other.
+#: Values of a dimension are cut so that a key has about so many cells; rows of a cell that one
+#: task compares at once before the cell is put together; rows of a block of comparisons.
+CELLS, PART, BLOCK = 1024, 1 << 15, 512
 
-    Distinct value combinations are compared, not rows; each first meets a sample skyline
-    of its own key, the rows nearest the best of any one column, which removes most.
-    """
-    df = df if feasible is None else df.where(feasible)
-    values = [*low, *high]
-    own = df.select(*keys, *values).distinct()
-    pair = lambda a, b: (_all([F.col(f"{b}.{c}") <= F.col(f"{a}.{c}") for c in low] + [F.col(f"{b}.{c}") >= F.col(f"{a}.{c}") for c in high])) & (_any([F.col(f"{b}.{c}") < F.col(f"{a}.{c}") for c in low] + [F.col(f"{b}.{c}") > F.col(f"{a}.{c}") for c in high]))
-    score = F.struct(*values)
-    picks = own.groupBy(*keys) if keys else own.groupBy()
-    corner = picks.agg(F.array_distinct(F.array(*[F.min_by(score, F.struct(c, *[x for x in low], *[-F.col(x) for x in high])) for c in low], *[F.max_by(score, F.struct(c, *[-F.col(x) for x in low], *[F.col(x) for x in high])) for c in high])).alias("_c"))
-    filters = corner.select(*keys, F.inline("_c"))
-    alive = _minus(own, filters, keys, pair)
-    return df.join(_minus(alive, alive, keys, pair), [*keys, *values], "left_semi")
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
+
+def _dominated(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows another one is as low as in every column, and lower in one."""
+    out = np.zeros(len(rows), dtype=bool)
+    for at in range(0, len(rows), BLOCK):
+        own = rows[at : at + BLOCK, None, :]
+        for to in range(0, len(others), 8 * BLOCK):
+            them = others[None, to : to + 8 * BLOCK, :]
+            out[at : at + BLOCK] |= ((them <= own).all(axis=2) & (them < own).any(axis=2)).any(axis=1)
     return out
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
+def local_skyline(rows: np.ndarray) -> np.ndarray:
+    """Places of the distinct rows that no other dominates. Of two columns, in order of the first,
+    those below all before them in the second. Of more, in the order of their sums no row
+    dominates an earlier one, so a block meets those kept before it, and itself."""
+    if rows.shape[1] == 2 and len(rows):
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        below = np.append(np.inf, np.minimum.accumulate(rows[order, 1])[:-1])
+        return order[(rows[order, 1] < below) | (np.arange(len(order)) == 0)]
+    order = np.lexsort((*rows.T, rows.sum(axis=1)))
+    kept = np.zeros(0, dtype=np.int64)
+    for at in range(0, len(order), BLOCK):
+        own = order[at : at + BLOCK]
+        own = own[~_dominated(rows[own], rows[own])]
+        own = own[~_dominated(rows[own], rows[kept])]
+        kept = np.append(kept, own)
+    return kept
 
 
-def _minus(own: DataFrame, others: DataFrame, keys: list[str], dominated) -> DataFrame:
-    a, b = own.alias("a"), others.alias("b")
-    same = _all([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    return a.join(b, same & dominated("a", "b"), "left_anti")
+def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], feasible: Column | None = None) -> DataFrame:
+    """Of the feasible rows, those that no other one of the key dominates: as good in every column
+    (less in `low`, more in `high`) and better in one. Equal rows do not dominate each other; a
+    row with a null in any column neither dominates nor is dominated. Columns are numbers.
+
+    Distinct value combinations are compared, not rows. Each key's space is cut into cells by
+    bounds between like numbers of values. A cell that lies beyond an occupied one in every
+    dimension goes as a whole; the others keep their local skylines, large cells in parts first.
+    A survivor then meets those of the cells that are not beyond its own in any dimension: the
+    only ones that could dominate it.
+    """
+    df = df if feasible is None else df.where(feasible)
+    values = [*low, *high]
+    d, some = len(values), F.lit(True)
+    for c in values:
+        some = some & F.col(c).isNotNull()
+    least = [F.col(c).cast("double") for c in low] + [-F.col(c).cast("double") for c in high]
+    own = written(df.where(some).select(*keys, *values).distinct().withColumn("_v", F.array(*least)), "combinations")
+    steps = max(2, round(CELLS ** (1 / d)))
+    cuts = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    bounds = own.groupBy(*keys).agg(F.array(*[F.percentile_approx(F.col("_v")[i], cuts, 1 << 12) for i in range(d)]).alias("_b"))
+    at = F.zip_with("_v", "_b", lambda x, b: F.size(F.filter(b, lambda y: y < x)))
+    celled = written(joined(own, bounds, keys).withColumn("_cell", at).drop("_b"), "celled")
+    cells = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    every = lambda a, b, less: F.forall(F.zip_with(a, b, (lambda x, y: x < y) if less else (lambda x, y: x <= y)), lambda ok: ok)
+    other = cells.select(*keys, F.col("_cell").alias("_other"))
+    pairs = written(joined(cells, other, keys).where(every("_other", "_cell", False)), "cells")
+    beyond = pairs.where(every("_other", "_cell", True)).select(*keys, "_cell").distinct()
+    open_ = joined(cells, beyond, [*keys, "_cell"], "left_anti")
+    alive = joined(celled, open_, [*keys, "_cell"]).withColumn("_part", F.pmod(F.xxhash64("_v"), F.ceil(F.col("_n") / PART)).cast("int")).drop("_n")
+    schema = alive.schema
+
+    def local(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return group.iloc[local_skyline(np.array(group["_v"].tolist(), dtype=float))]
+
+    def met(key: tuple, own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(others):
+            return own.iloc[:0]
+        return own[_dominated(np.array(own["_v"].tolist(), dtype=float), np.array(others["_v"].tolist(), dtype=float))]
+
+    parts = alive.groupBy(*keys, "_cell", "_part").applyInPandas(local, schema)
+    whole = written(parts.groupBy(*keys, "_cell").applyInPandas(local, schema).drop("_part"), "survivors")
+    held = whole.select(*keys, "_cell").distinct()
+    meet = joined(joined(pairs.where("_cell <> _other").select(*keys, "_cell", "_other"), held, [*keys, "_cell"], "left_semi"), held.withColumnRenamed("_cell", "_other"), [*keys, "_other"], "left_semi")
+    tested = joined(whole, meet, [*keys, "_cell"])
+    testing = joined(whole.withColumnRenamed("_cell", "_other"), meet, [*keys, "_other"]).select(*tested.columns).toDF(*tested.columns)
+    unit = [*keys, "_cell", "_other"]
+    gone = tested.groupBy(*unit).cogroup(testing.groupBy(*unit)).applyInPandas(met, tested.schema).select(*keys, *values).distinct()
+    kept = joined(whole.select(*keys, *values), gone, [*keys, *values], "left_anti")
+    return joined(df.where(some), kept, [*keys, *values], "left_semi").union(df.where(~some))
 
 
 def size_matched(df: DataFrame, keys: list[str], size: str, target: str, quality: str, seq: str, columns: list[str]) -> DataFrame:

@@ -43,17 +43,48 @@ def best_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.best_observation(c, ["k"], "bytes", "target", size_window(F.col("target"), 2.0), O.by_preference("balanced"), "seq", ["seq", "bytes"])
 
 
-@query(f"""WITH {_CANDIDATES} SELECT seq, CASE WHEN abs(bytes - 15000) * 200.0 / (bytes + 15000) <= 2 THEN 'exact' WHEN bytes <= 15000 THEN 'under' WHEN width > 5 THEN 'over' ELSE 'unreachable' END AS fit,
+@query(f"""WITH {_CANDIDATES} SELECT seq, CASE WHEN bytes BETWEEN {_LEAST} AND {_CEILING} THEN 'exact' WHEN bytes <= 15000 THEN 'under' WHEN width > 5 THEN 'over' ELSE 'unreachable' END AS fit,
 round(abs(bytes - 15000) * 200.0 / (bytes + 15000), 9) AS deviation, abs(bytes - 15000) * 200.0 / (bytes + 15000) <= 3 AND bytes <= 15000 AS under_cap FROM c""")
 def fit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How candidates fit a target."""
+    """How candidates fit a target."""
     target = F.lit(15000)
     return _candidates(spark, sf_dir).select(
-        "seq", O.fit_label(F.col("bytes"), target, 2.0, F.col("width") > 5).alias("fit"), F.round(S.symmetric_delta_percent(F.col("bytes"), target), 9).alias("deviation"),
+        "seq", O.fit_label(F.col("bytes"), target, size_window(target, 2.0), F.col("width") > 5).alias("fit"), F.round(S.symmetric_delta_percent(F.col("bytes"), target), 9).alias("deviation"),
         S.within_tolerance(F.col("bytes"), target, 3.0, hard_cap=True).alias("under_cap"),
     )
 
 
+_ROUTES = ["baseline", "sierra_quality", "alternate_stats", "perceptual_timeline", "perceptual_reinvest", "perceptual_reinvest_corrected"]
+_ROUTE = f"""r AS (SELECT o_custkey AS k, o_orderkey AS seq, {_ROUTES}[o_orderkey % 6 + 1] AS route,
+ CASE WHEN o_orderkey % 4 = 1 THEN 'sierra2_4a' ELSE 'bayer' END AS dither, CASE WHEN o_orderkey % 3 = 0 THEN 'full' ELSE 'diff' END AS stats_mode,
+ CASE WHEN o_orderkey % 11 > 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS size, o_orderkey % 6 < 3 AS cfr, 150000 AS target FROM orders),
+e AS (SELECT *, size <= target AS fits, abs(size - target) * 200.0 / (size + target) AS apart FROM r WHERE size IS NOT NULL)"""
+_RANK = "CASE route WHEN 'perceptual_reinvest_corrected' THEN 2 WHEN 'perceptual_reinvest' THEN 1 ELSE 0 END"
+_BY = {
+    "symmetric": "(apart <= 5, -apart, route = 'baseline', -seq)",
+    "clarity": f"(fits, {_RANK}, dither = 'sierra2_4a', stats_mode = 'diff', route <> 'perceptual_timeline', route = 'baseline', -size, seq)",
+    "smallest": "(fits, -size, -seq)",
+    "balanced": "(fits, route = 'baseline', stats_mode = 'diff', dither = 'bayer', -size, seq)",
+}
+
+
+@query(f"WITH {_ROUTE} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, k, arg_max(seq, {o}) AS seq, arg_max(route, {o}) AS route, arg_max(size, {o}) AS size FROM e {'WHERE cfr' if n == 'symmetric' else ''} GROUP BY k" for n, o in _BY.items()))
+def selected_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route that each customer's target chooses, by three preferences under a hard cap
+    and by a symmetric match."""
+    k = F.col("o_orderkey")
+    routes = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("k"), k.alias("seq"), F.element_at(F.array(*map(F.lit, _ROUTES)), (k % 6 + 1).cast("int")).alias("route"),
+        F.when(k % 4 == 1, "sierra2_4a").otherwise("bayer").alias("dither"), F.when(k % 3 == 0, "full").otherwise("diff").alias("stats_mode"),
+        F.when(k % 11 > 0, F.floor("o_totalprice").cast("long")).alias("size"), (k % 6 < 3).alias("cfr"),
+    )
+    chosen = lambda n, symmetric: O.select_route(routes, ["k"], "seq", n, F.lit("diff"), F.lit(150000), 5.0, symmetric).select(F.lit("symmetric" if symmetric else n).alias("rule"), "k", "seq", "route", "size")
+    out = chosen("balanced", True)
+    for name in ("clarity", "smallest", "balanced"):
+        out = out.union(chosen(name, False))
+    return out
+
+
 @query(f"""WITH {_CANDIDATES}, f AS (SELECT * FROM c WHERE bytes <= {_CEILING})
 SELECT k, seq, bytes, width, fps, colours FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.k = a.k AND b.bytes <= a.bytes AND b.width >= a.width AND b.fps >= a.fps AND b.colours >= a.colours
 AND (b.bytes < a.bytes OR b.width > a.width OR b.fps > a.fps OR b.colours > a.colours))""")

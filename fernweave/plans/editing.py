@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from fernweave.operators import edits as E
+from fernweave.operators.history import history_state
 from fernweave.plans.registry import query, table
 
 _CLIPS = """c0 AS (SELECT o_custkey AS project, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS pos, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 50 * 10000 AS in_us, o_orderkey % 50 * 10000 + 100000 + o_orderkey % 97 * 1000 AS out_us,
@@ -121,10 +122,10 @@ def upserted_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undo and redo over each user's log; a fold."""
+    """Undo and redo over each user's log, by stretches; a test holds it against a fold."""
     kind = F.element_at(F.array(*map(F.lit, ["commit", "commit", "undo", "redo", "undo"])), (F.col("event_id") % 5 + 1).cast("int"))
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), kind.alias("action"), F.col("event_id").alias("revision"))
-    return E.history_state(log)
+    return history_state(log)
 
 
 @query("""
@@ -146,3 +147,35 @@ def items_to_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "done").otherwise("draft")
     items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("collection"), F.col("o_orderkey").alias("id"), F.lit(1).alias("revision"), status.alias("status"), F.col("o_orderpriority").alias("settings"))
     return E.to_retry(E.edit_items(items, items.where("id % 4 = 0").select("collection", "id", F.lit("5-LOW").alias("settings"))))
+
+
+_SHOWN = """f AS (SELECT o_orderkey // 64 AS clip, o_orderkey % 64 AS frame, o_orderstatus AS hash, CASE WHEN o_orderkey // 64 % 5 = 0 AND o_orderkey % 64 = 3 THEN 1 ELSE 2 + o_orderkey % 4 END AS delay FROM orders),
+g AS (SELECT clip, frame * 2 + part AS frame, hash, CASE WHEN part = 1 THEN 2 WHEN delay >= 4 THEN delay - 2 ELSE delay END + CASE WHEN clip % 7 = 1 AND frame = 40 AND part = 0 THEN 1 ELSE 0 END AS delay
+ FROM f, (SELECT unnest([0, 1]) AS part) WHERE part = 0 OR delay >= 4)"""
+
+
+def _runs(name: str, source: str) -> str:
+    return f"""{name}u AS (SELECT clip, frame + cycle * (max(frame) OVER (PARTITION BY clip) + 1) AS place, hash, delay FROM {source}, (SELECT unnest([0, 1]) AS cycle) WHERE cycle = 0 OR clip % 3 > 0),
+{name}n AS (SELECT *, CASE WHEN min(delay) OVER (PARTITION BY clip) >= 2 AND lag(hash) OVER w = hash THEN 0 ELSE 1 END AS new FROM {name}u WINDOW w AS (PARTITION BY clip ORDER BY place)),
+{name}r AS (SELECT clip, run, any_value(hash) AS hash, sum(delay)::BIGINT AS delay FROM (SELECT *, sum(new) OVER (PARTITION BY clip ORDER BY place) AS run FROM {name}n) GROUP BY clip, run),
+{name} AS (SELECT clip, list(struct_pack(hash := hash, delay := delay) ORDER BY run) AS shown FROM {name}r GROUP BY clip)"""
+
+
+@query(f"""
+WITH {_SHOWN}, {_runs("a", "f")}, {_runs("b", "g")}
+SELECT clip, clip % 11 <> 2 AND a.shown = b.shown AS equal, CASE WHEN clip % 11 = 2 THEN 'canvas' WHEN a.shown <> b.shown THEN 'display' END AS reason FROM a JOIN b USING (clip)""")
+def presentation_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether clips show the same after their frames were split, over two cycles where they repeat."""
+    from fernweave.operators.presentation import presentations_equal
+
+    k = F.col("o_orderkey")
+    clip, frame = F.expr("o_orderkey div 64"), (k % 64)
+    delay = F.when((clip % 5 == 0) & (frame == 3), 1).otherwise(2 + k % 4)
+    a = table(spark, sf_dir, "orders").select(clip.alias("clip"), frame.alias("frame"), F.col("o_orderstatus").alias("hash"), delay.alias("delay"))
+    two = a.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).where("part = 0 or delay >= 4")
+    late = F.when((F.col("clip") % 7 == 1) & (F.col("frame") == 40) & (F.col("part") == 0), 1).otherwise(0)
+    cut = F.when(F.col("part") == 1, 2).when(F.col("delay") >= 4, F.col("delay") - 2).otherwise(F.col("delay"))
+    b = two.select("clip", (F.col("frame") * 2 + F.col("part")).alias("frame"), "hash", (cut + late).alias("delay"))
+    canvas = a.select("clip").distinct().select("clip", F.lit(320).alias("width"), F.lit(180).alias("height"), F.when(F.col("clip") % 3 > 0, 0).alias("repeat"))
+    other = canvas.withColumn("height", F.when(F.col("clip") % 11 == 2, 181).otherwise(180))
+    return presentations_equal(a, b, canvas, other).select("clip", "equal", "reason")

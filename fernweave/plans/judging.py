@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweave.functions import delivery as D, media as M, quantiles as Q, scalar as S
-from fernweave.operators import gates as G, relational as J, search as R
+from fernweave.operators import gates as G, relational as J, search as R, select as O
 from fernweave.plans.registry import query, table
 from fernweave.sources import documents as SD
 
@@ -192,14 +192,65 @@ def search_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Of next_candidates: most attempts of a search, and the tolerance in percent.
-ATTEMPTS, TOLERANCE = 20, 2.0
+ATTEMPTS, TOLERANCE = 12, 2.0
 
 
 @query()
 def next_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next candidate of each size search, or why there is none. A test holds it
-    against a plain loop."""
-    return R.next_candidates(search_observations(spark, sf_dir), max_attempts=ATTEMPTS, tolerance_percent=TOLERANCE)
+    """The next candidate of each size search, or why there is none, under a hard cap
+    and for a symmetric match. A test holds it against a plain loop."""
+    seen = search_observations(spark, sf_dir)
+    modes = [R.next_candidates(seen, max_attempts=ATTEMPTS, tolerance_percent=TOLERANCE, symmetric=s).withColumn("symmetric", F.lit(s)) for s in (False, True)]
+    return modes[0].union(modes[1])
+
+
+_SEEN = """o AS (SELECT o_custkey AS search, o_orderkey AS seq, 100 + o_orderkey % 27 * 20 AS width, CASE WHEN o_custkey % 2 = 0 THEN 15 ELSE 12 END AS fps, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
+a AS (SELECT search, width, fps, min(seq) AS seq, arg_max(size, seq) AS size FROM o GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_SEEN}, t AS (SELECT *, CASE WHEN size BETWEEN 147030 AND 150000 THEN 2 WHEN size <= 150000 THEN 1 ELSE 0 END AS tier FROM a),
+b AS (SELECT search, arg_max(size, (tier, CASE WHEN tier = 0 THEN -abs(size - 150000) ELSE 0 END, width, fps, -size, seq)) AS size, count(*) AS attempts FROM t GROUP BY 1)
+SELECT search, size, attempts, CASE WHEN size BETWEEN 147030 AND 150000 THEN 'exact' WHEN size <= 150000 THEN 'under' WHEN attempts < 12 THEN 'over' ELSE 'unreachable' END AS fit FROM b""")
+def search_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each search's best attempt fits its hard cap; over while it has a next candidate."""
+    seen = R.recorded(search_observations(spark, sf_dir))
+    window = R.size_window(F.col("target"), TOLERANCE, symmetric=False)
+    order = [F.col("width"), F.col("fps"), F.col("colours"), -F.col("size")]
+    best = O.best_observation(seen, ["search"], "size", "target", window, order, "seq", ["size", "target"])
+    n = seen.groupBy("search").agg(F.count("*").alias("attempts"))
+    ahead = R.next_candidates(seen, max_attempts=ATTEMPTS, tolerance_percent=TOLERANCE).select("search", F.col("step").isNotNull().alias("searching"))
+    fit = O.fit_label(F.col("size"), F.col("target"), window, F.col("searching"))
+    return best.join(n, "search").join(ahead, "search").select("search", "size", "attempts", fit.alias("fit"))
+
+
+_BYTES = "CAST(floor(p_retailprice * (4 + quality * 0.3) + p_partkey * quality % 97 * 5) AS BIGINT) + CASE WHEN mode = 'extra' THEN p_partkey % 13 * quality - 300 ELSE 0 END"
+_GAP = "abs(bytes - target) * 200.0 / (bytes + target)"
+
+
+@query(f"""
+WITH RECURSIVE s AS (SELECT p_partkey AS search, 8000 + p_size * 600 AS target FROM part),
+m AS (SELECT p_partkey AS search, quality, mode, {_BYTES} AS bytes FROM part, (SELECT unnest(range(1, 101)) AS quality), (SELECT unnest(['default', 'extra']) AS mode)),
+h(search, target, low, high, turn, asked) AS (SELECT search, target, 1, 100, 0, [] FROM s UNION ALL
+ SELECT h.search, target, CASE WHEN bytes < target THEN quality + 1 ELSE low END, CASE WHEN bytes < target THEN high ELSE quality - 1 END, turn + 1, list_append(asked, quality::INT)
+ FROM h JOIN m ON m.search = h.search AND mode = 'default' AND quality = (low + high) // 2 WHERE low <= high),
+e AS (SELECT * FROM h WHERE low > high),
+d AS (SELECT DISTINCT search, target, quality, asked FROM (SELECT search, target, asked, unnest(list_concat(asked, [1, 100, 90], range(greatest(1, low - 4), least(100, low + 4) + 1))) AS quality FROM e)),
+x AS (SELECT d.search, target, quality, bytes, coalesce(list_position(asked, quality::INT), 99) AS turn FROM d JOIN m USING (search, quality) WHERE mode = 'default'),
+c AS (SELECT search, target, arg_min(quality, ({_GAP}, abs(bytes - target), turn, quality)) AS q FROM x GROUP BY ALL),
+y AS (SELECT DISTINCT search, target, unnest(list_concat([100], range(greatest(1, q - 4), least(100, q + 4) + 1))) AS quality FROM c),
+r AS (SELECT search, target, quality, 'default' AS mode, bytes FROM x UNION ALL SELECT y.search, target, quality, mode, bytes FROM y JOIN m USING (search, quality) WHERE mode = 'extra')
+SELECT search, CAST(arg_min(quality, o) AS INT) AS quality, arg_min(mode, o) AS mode, arg_min(bytes, o) AS bytes, round(arg_min({_GAP}, o), 9) AS delta, count(*) AS attempts
+FROM (SELECT *, ({_GAP}, abs(bytes - target), -quality, mode <> 'extra') AS o FROM r) GROUP BY search""")
+def quality_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality and mode closest to each part's target, halved by all parts at once."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+
+    def measure(asked: DataFrame) -> DataFrame:
+        return asked.join(parts, F.col("search") == F.col("p_partkey")).selectExpr("search", "quality", "mode", f"{_BYTES} AS bytes")
+
+    found = R.quality_search(parts.select(F.col("p_partkey").alias("search"), (8000 + F.col("p_size") * 600).alias("target")), measure)
+    return found.withColumn("delta", F.round("delta", 9))
 
 
 @query("""

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernweave.functions import quantiles as Q
-from fernweave.operators import aggregate as A, search as R
+from fernweave.operators import aggregate as A, search as R, select as O
+from fernweave.operators.presentation import presentations_equal
 from fernweave.plans.judging import ATTEMPTS, TOLERANCE, next_candidates, search_observations
 from fernweave.sources import reports
 
@@ -21,11 +22,20 @@ def half_up(v):
     return math.floor(v + 0.5)
 
 
-def plain_next(obs, attempts, tolerance, least_width=96):
-    """The next candidate (step, width, fps, colours, bayer) of one search; obs in order of seq."""
+def plain_next(measured, attempts, tolerance, symmetric, least_width=96):
+    """The next candidate (step, width, fps, colours, bayer) of one search; measured in order of
+    seq: a candidate that comes again has a new size in its old place."""
+    obs, attempts = [], min(max(attempts, 1), 12)
+    for m in measured:
+        m = m | {"width": min(max(m["width"], 96), 1920) // 2 * 2, "fps": min(max(m["fps"], 1), 60), "colours": min(max(m["colours"], 3), 256), "bayer": min(m["bayer"], 5)}
+        old = [o for o in obs if all(o[c] == m[c] for c in ("width", "fps", "colours", "bayer"))]
+        if old:
+            old[0]["size"] = m["size"]
+        else:
+            obs.append(dict(m))
     target, base = obs[-1]["target"], obs[-1]["base_width"]
-    t = tolerance / 100
-    low_end, ceiling = math.ceil(target * (2 - t) / (2 + t)), math.floor(target * (2 + t) / (2 - t))
+    t = min(max(tolerance, 1), 25) / 100
+    low_end, ceiling = math.ceil(target * (2 - t) / (2 + t)), math.floor(target * (2 + t) / (2 - t)) if symmetric else target
     if len(obs) >= attempts or any(low_end <= o["size"] <= ceiling for o in obs):
         return None
     last = obs[-1]
@@ -49,7 +59,7 @@ def plain_next(obs, attempts, tolerance, least_width=96):
         if under and max(under) < even((max(under) + w) / 2) < w:
             return ("halve", even((max(under) + w) / 2), fps, colours, bayer)
         wider = [o for o in same if o["bayer"] == bayer and o["width"] > w and o["size"] > last["size"]]
-        if len(obs) + 1 == attempts and last["size"] > ceiling and wider:
+        if symmetric and len(obs) + 1 == attempts and last["size"] > ceiling and wider:
             near = min(wider, key=lambda o: (o["width"], o["seq"]))
             slope = (near["size"] - last["size"]) / (near["width"] ** 2 - w * w)
             v = even(math.floor(math.sqrt(max(w * w - (last["size"] - ceiling) / slope, least_width**2))))
@@ -76,34 +86,121 @@ def plain_next(obs, attempts, tolerance, least_width=96):
     return discrete() if found is not None and found[1:] in tried else found
 
 
-def by_loops(rows, attempts, tolerance):
+def by_loops(rows, attempts, tolerance, symmetric):
     searches = defaultdict(list)
     for r in sorted(rows, key=lambda r: r["seq"]):
         searches[r["search"]].append(r)
-    return {k: plain_next(v, attempts, tolerance) or (None,) * 5 for k, v in searches.items()}
+    return {k: plain_next(v, attempts, tolerance, symmetric) or (None,) * 5 for k, v in searches.items()}
 
 
 def test_next_candidates_of_random_searches(spark):
+    """Candidates that come again among them; budgets and tolerances beyond their limits."""
     rng, rows = random.Random(7), []
     for search in range(1500):
-        seen = set()
-        for seq in range(rng.randrange(1, 9)):
+        for seq in range(rng.randrange(1, 15)):
             c = (rng.choice((96, 98, 100, 120, 200, 320, 322, 640)), rng.choice((1, 2, 3, 10, 12, 15)), rng.choice((3, 4, 128)), rng.choice((2, 5)))
-            if c not in seen:
-                seen.add(c)
-                rows.append({"search": search, "seq": seq, "target": 10_000, "base_width": 640, "width": c[0], "fps": c[1], "colours": c[2], "bayer": c[3], "size": rng.choice((0, 500, 9_000, 9_801, 10_000, 10_202, 10_203, 14_000, 90_000))})
+            if rows and rows[-1]["search"] == search and rng.random() < 0.2:
+                c = tuple(rng.choice([tuple(r[k] for k in ("width", "fps", "colours", "bayer")) for r in rows if r["search"] == search]))
+            size = rng.choice((0, 500, 9_000, 9_801, 9_899, 10_000, 10_099, 10_202, 10_203, 14_000, 90_000))
+            rows.append({"search": search, "seq": seq, "target": 10_000, "base_width": 640, "width": c[0], "fps": c[1], "colours": c[2], "bayer": c[3], "size": size})
     schema = "search int, seq int, target int, base_width int, width int, fps int, colours int, bayer int, size long"
-    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
-    for attempts in (4, 20):
-        want = by_loops(rows, attempts, 2.0)
-        got = {r.search: tuple(r)[1:] for r in R.next_candidates(df, max_attempts=attempts).collect()}
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema).persist()
+    for attempts, tolerance, symmetric in ((4, 2.0, True), (40, 0.5, True), (8, 2.0, False)):
+        want = by_loops(rows, attempts, tolerance, symmetric)
+        got = {r.search: tuple(r)[1:] for r in R.next_candidates(df, max_attempts=attempts, tolerance_percent=tolerance, symmetric=symmetric).collect()}
         assert got == want
         assert {w[0] for w in want.values()} >= {"halve", "scale", "fps", "colours", None}
 
 
 def test_next_candidates_of_orders(spark, sf):
     rows = [r.asDict() for r in search_observations(spark, sf).collect()]
-    assert {r.search: tuple(r)[1:] for r in next_candidates(spark, sf).collect()} == by_loops(rows, ATTEMPTS, TOLERANCE)
+    found = next_candidates(spark, sf).collect()
+    for symmetric in (False, True):
+        assert {r.search: tuple(r)[1:-1] for r in found if r.symmetric == symmetric} == by_loops(rows, ATTEMPTS, TOLERANCE, symmetric)
+
+
+def test_no_quality_is_measured_twice_and_gaps_end_a_search(spark):
+    """Sizes of a table with holes: each setting is asked for once, against a loop a search."""
+    rng = random.Random(3)
+    sizes = {(s, q, m): 100 * q + rng.randrange(400) + (m == "extra") * rng.randrange(-50, 50) for s in range(12) for q in range(1, 101) for m in ("default", "extra") if s < 9 or rng.random() < 0.7}
+    targets = {s: rng.choice((1, 60, 2_000, 5_000, 9_999, 40_000)) for s in range(12)}
+    known = spark.createDataFrame([(*k, v) for k, v in sizes.items()], "search int, quality int, mode string, bytes long")
+    asked = []
+
+    def measure(rows):
+        asked.extend(map(tuple, rows.collect()))
+        return known.join(rows, ["search", "quality", "mode"])
+
+    got = {r.search: tuple(r)[1:] for r in R.quality_search(spark.createDataFrame(list(targets.items()), "search int, target long"), measure).collect()}
+    assert len(asked) == len(set(asked))
+    for s, target in targets.items():
+        memo, low, high = {}, 1, 100
+
+        def ask(q, m="default", s=s, memo=memo):
+            if (q, m) not in memo and (s, q, m) in sizes:
+                memo[q, m] = sizes[s, q, m]
+            return memo.get((q, m))
+
+        while low <= high:
+            q = (low + high) // 2
+            b = ask(q)
+            if b is None:
+                high = low - 1
+            elif b < target:
+                low = q + 1
+            else:
+                high = q - 1
+        gap = lambda b, target=target: (abs(b - target) * 200.0 / (b + target), abs(b - target))
+        first = list(memo)
+        for q in sorted({1, 100, 90, *range(max(1, low - 4), min(100, low + 4) + 1)}):
+            ask(q)
+        turn = lambda k, first=first: first.index(k) if k in first else len(first)
+        near = min(memo, key=lambda k: (gap(memo[k]), turn(k), k[0]))[0]
+        for q in {100, *range(max(1, near - 4), min(100, near + 4) + 1)}:
+            ask(q, "extra")
+        best = min(memo, key=lambda k: (gap(memo[k]), -k[0], k[1] != "extra"))
+        assert got[s][:3] == (*best, memo[best]) and got[s][4] == len(memo), s
+
+
+def test_presentations(spark):
+    """Frames split in another way show the same, one unit more or less does not; with a short
+    delay every frame counts; a run over the seam is one run."""
+    def frames(clip, *shown):
+        return [(clip, i, h, d) for i, (h, d) in enumerate(shown)]
+
+    a = frames(1, ("x", 4), ("y", 3)) + frames(2, ("x", 4), ("y", 3)) + frames(3, ("x", 1), ("x", 3)) + frames(4, ("x", 2), ("y", 5), ("x", 3)) + frames(5, ("x", 4)) + frames(6, ("x", 0), ("y", 0), ("x", 4)) + frames(7, ("x", 2))
+    b = frames(1, ("x", 2), ("x", 2), ("y", 3)) + frames(2, ("x", 2), ("x", 2), ("y", 4)) + frames(3, ("x", 2), ("x", 2)) + frames(4, ("x", 2), ("y", 2), ("y", 3), ("x", 3)) + frames(5, ("x", 4)) + frames(6, ("x", 0), ("y", 0), ("x", 4))
+    schema = "clip int, frame int, hash string, delay int"
+    sides = [spark.createDataFrame(x, schema).repartition(3) for x in (a, b)]
+    canvas = [spark.createDataFrame([(c, 8, 8 + (c == 5 and i), 0 if c != 3 else None) for c in range(1, 8)], "clip int, width int, height int, repeat int") for i in range(2)]
+    got = {r.clip: (r.equal, r.reason) for r in presentations_equal(*sides, *canvas).collect()}
+    assert got == {1: (True, None), 2: (False, "display"), 3: (False, "display"), 4: (True, None), 5: (False, "canvas"), 6: (True, None), 7: (False, "frames")}
+
+
+def plain_skyline(rows):
+    worse = lambda a, b: all(y <= x for x, y in zip(a, b, strict=True)) and a != b
+    return {r for r in rows if None in r or not any(None not in o and worse(r, o) for o in rows)}
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+def test_skylines_of_cells(spark, d):
+    rng, rows = random.Random(d), []
+    for key in ("wide", "ties", "line", None):
+        for _ in range(600):
+            v = [rng.random() * 9 if key == "wide" else rng.randrange(4) for _ in range(d)]
+            if key == "line":
+                v[-1] = -sum(v[:-1])
+            rows.append((key, *(None if rng.random() < 0.003 else float(x) for x in v)))
+    names = [f"v{i}" for i in range(d)]
+    df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = sorted(map(str, (tuple(r) for r in O.skyline(df, ["k"], names, []).collect())))
+    want = [r for r in rows if r[1:] in plain_skyline({x[1:] for x in rows if x[0] == r[0]})]
+    assert got == sorted(map(str, want))
+
+
+def test_a_long_anti_correlated_line_is_a_skyline(spark):
+    df = spark.range(200_000).selectExpr("id as x", "1000000 - id as y", "1 as k")
+    assert O.skyline(df, ["k"], ["x", "y"], []).count() == 200_000
 
 
 def test_trees_of_any_depth_and_cycles(spark):
@@ -156,7 +253,7 @@ def test_an_outlier_leaves_cells_of_like_numbers(spark):
     """20,000 values of one group, one of them 1e15: no cell holds more than a few percent."""
     df = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 7, 1e15).otherwise(F.col("id") / 1000).alias("v"))
     held = Q.counted(df, ["g"], "v", F.count("*"))
-    cells = Q.joined(held, Q._measured(held, ["g"], "v"), ["g"]).withColumn("_d", F.lit(1 << 40)).groupBy(Q._cell("v").alias("c")).count().collect()
+    cells = Q.joined(held, Q.measured(held, ["g"], "v"), ["g"]).withColumn("_d", F.lit(1 << 40)).groupBy(Q.cell_of("v").alias("c")).count().collect()
     assert len(cells) > 200 and max(r["count"] for r in cells) < 0.02 * 20_000
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import media as M
 from fernweave.operators import edits as E, pixels as X, schedule as C, search as R
+from fernweave.operators.history import history_state
 from fernweave.sources import documents as SD, reports as SR
 
 FRAMES = "clip long, frame int, duration_us long, excluded boolean, motion double, changed_area double, scene_change double, importance double"
@@ -116,11 +117,34 @@ def test_held_colours(spark):
     assert got == want
 
 
+def plain_history(log, depth):
+    past, now, ahead = [], None, []
+    for _, action, revision in sorted(log):
+        if action == "commit":
+            past, now, ahead = [*past, *([] if now is None else [now])][-depth:], revision, []
+        elif action == "undo" and past:
+            ahead, now = [*ahead, now], past.pop()
+        elif action == "redo" and ahead:
+            past, now = [*past, now][-depth:], ahead.pop()
+    return now, len(past), len(ahead)
+
+
 def test_history(spark):
     log = [(1, i, a, r) for i, (a, r) in enumerate([("undo", 0), ("commit", 1), ("commit", 2), ("undo", 0), ("redo", 0), ("undo", 0), ("commit", 3), ("redo", 0)])]
-    log += [(2, i, "commit", i) for i in range(9)]
+    log += [(2, i, "commit", i) for i in range(9)] + [(3, 0, "undo", 0)]
+    df = spark.createDataFrame(log, "project int, seq int, action string, revision int").repartition(3)
+    assert sorted(map(tuple, history_state(df, depth=4).collect())) == [(1, 3, 1, 0), (2, 8, 4, 0), (3, None, 0, 0)]
+
+
+@pytest.mark.parametrize(("depth", "stretch"), [(100, 40), (3, 10), (7, 500), (100, 1 << 14)])
+def test_history_by_any_stretches_is_that_of_a_fold(spark, depth, stretch):
+    rng, log = random.Random(depth), []
+    for project in (*range(5), None):
+        kinds = rng.choice((("commit", "undo", "redo"), ("commit", "commit", "undo"), ("undo", "undo", "redo", "commit")))
+        log += [(project, i, rng.choice(kinds) if i else "undo", 1000 * i) for i in range(rng.choice((1, 30, 700, 1500)))]
     df = spark.createDataFrame(log, "project int, seq int, action string, revision int").repartition(3)
-    assert sorted(map(tuple, E.history_state(df, depth=4).collect())) == [(1, 3, 1, 0), (2, 8, 4, 0)]
+    got = {r.project: tuple(r)[1:] for r in history_state(df, depth, stretch).collect()}
+    assert got == {p: plain_history([x[1:] for x in log if x[0] == p], depth) for p in {x[0] for x in log}}
 
 
 def test_split_near_an_end_holds_the_shorter_part(spark):
