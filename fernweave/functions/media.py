@@ -177,7 +177,7 @@ def envelope_violations(out: dict[str, Column], limit: dict[str, Column]) -> Col
         (free(out["fps"] <= limit["fps"], "fps"), "fps over limit"),
         (free(out["duration_s"] <= limit["duration_s"], "duration_s"), "duration over limit"),
         (free(out["bytes"] <= limit["bytes"], "bytes"), "size over limit"),
-        (free(F.abs(out["width"] / out["height"] - limit["aspect"]) / limit["aspect"] <= 0.01, "aspect"), "aspect off"),
+        (free((out["width"] <= 0) | (out["height"] <= 0) | (F.abs(out["width"] / out["height"] - limit["aspect"]) / limit["aspect"] <= 0.01), "aspect"), "aspect off"),
     )
 
 

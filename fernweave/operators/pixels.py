@@ -8,11 +8,11 @@ more than a frame's line or a clip's frames.
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
-from fernweave.functions.media import dither_strength, is_skin, region_class
+from fernweave.functions.media import dither_strength, region_class
 from fernweave.functions.quantiles import counted_percentiles, joined
 from fernweave.functions.scalar import clamp, luma709, luma8, oklab, oklab_distance, ratio_or_zero
+from fernweave.operators.frames import FRAME, SPATIAL, over_frames, packed, spatial_sums
 
-FRAME = ["clip", "frame"]
 RGB = ["r", "g", "b"]
 # Least change of a channel that counts as changed, least mean gradient of an
 # edge, largest step of a smooth gradient, largest colour distance of a static pixel, and
@@ -58,37 +58,7 @@ def spatial_signals(pixels: DataFrame) -> DataFrame:
     """Per clip and frame, in 0 to 1: edge_text, subject_saliency, skin_ratio, noise,
     smooth_gradient_ratio and color_complexity, besides the number of pixels and of distinct
     colours of 4 bits a channel. Frames without pixels do not appear."""
-    spans = W.partitionBy(*FRAME)
-    sized = by_frame(pixels).select(
-        *FRAME, "y", "x", *RGB, luma8(*[F.col(c) for c in RGB]).alias("l"),
-        (F.max("x").over(spans) + 1).alias("w"), (F.max("y").over(spans) + 1).alias("h"),
-    )
-    near = sized.select(
-        "*",
-        *[F.lead(c).over(w).alias(f"{c}_{n}") for n, w in (("right", _along()), ("down", _down())) for c in ("l", *RGB)],
-        *[F.lag("l").over(w).alias(f"l_{n}") for n, w in (("left", _along()), ("up", _down()))],
-    )
-    has = [F.col("l_right").isNotNull(), F.col("l_down").isNotNull()]
-    steps = sum(h.cast("int") for h in has)
-    gradient = F.floor(F.try_divide(sum(F.coalesce(F.abs(F.col("l") - F.col(f"l_{n}")), F.lit(0)) for n in ("right", "down")), steps))
-    smooth = [max_delta([F.col(c) for c in RGB], [F.col(f"{c}_{n}") for c in RGB]).between(1, SMOOTH).cast("int") for n in ("right", "down")]
-    quarter = lambda v, size: (F.col(v) >= F.floor(F.col(size) / 4)) & (F.col(v) < F.col(size) - F.floor(F.col(size) / 4))
-    inner = F.col("l_left").isNotNull() & has[0] & F.col("l_up").isNotNull() & has[1]
-    laplacian = F.when(inner, F.abs(F.col("l") * 4 - sum(F.col(f"l_{n}") for n in ("left", "right", "up", "down"))))
-    cells = near.select(
-        *FRAME, *RGB, "l", gradient.alias("g_mean"), steps.alias("steps"), (F.coalesce(smooth[0], F.lit(0)) + F.coalesce(smooth[1], F.lit(0))).alias("smooth"),
-        (quarter("x", "w") & quarter("y", "h")).alias("center"), laplacian.alias("lap"), is_skin(*[F.col(c) for c in RGB]).alias("skin"),
-        F.expr("(shiftright(r, 4) << 8) | (shiftright(g, 4) << 4) | shiftright(b, 4)").alias("colour"),
-    )
-    n = lambda cond: F.count_if(cond)
-    of = lambda value, cond: F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0))
-    center, outer, edged = F.col("center"), ~F.col("center"), F.col("g_mean").isNotNull()
-    sums = cells.groupBy(*FRAME).agg(
-        F.count("*").alias("pixels"), F.count_distinct("colour").alias("colours"), n(F.col("skin")).alias("n_skin"), n(center).alias("n_c"), n(outer).alias("n_o"), n(center & F.col("skin")).alias("skin_c"),
-        of("l", center).alias("l_c"), of("l", outer).alias("l_o"), F.count("g_mean").alias("n_g"), F.coalesce(F.sum("g_mean"), F.lit(0)).alias("s_g"), n(F.col("g_mean") >= EDGE).alias("n_edge"),
-        of("g_mean", center).alias("g_c"), n(center & edged).alias("ng_c"), of("g_mean", outer).alias("g_o"), n(outer & edged).alias("ng_o"),
-        F.sum("smooth").alias("n_smooth"), F.sum("steps").alias("n_steps"), F.coalesce(F.sum("lap"), F.lit(0)).alias("s_lap"), F.count("lap").alias("n_lap"),
-    )
+    sums = over_frames(packed(pixels, *map(F.col, RGB)), lambda rgb, there: spatial_sums(rgb, there, EDGE, SMOOTH), SPATIAL)
     density, mean_gradient = ratio_or_zero(F.col("n_edge"), F.col("n_g")), _mean(F.col("s_g"), F.col("n_g"), 255.0)
     noise = clamp(_mean(F.col("s_lap"), F.col("n_lap"), 1020.0) * 2.8 - density * 0.24, 0.0, 1.0)
     complexity = clamp(F.col("colours") / F.least(F.col("pixels"), F.lit(512)), 0.0, 1.0)

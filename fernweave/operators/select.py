@@ -122,7 +122,7 @@ def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], fea
     row with a null in any column neither dominates nor is dominated. Columns are numbers.
 
     Distinct value combinations are compared, not rows. Each key's space is cut into cells by
-    bounds between like numbers of values. A cell that lies beyond an occupied one in every
+    bounds between like numbers of values, unless one task compares it all. A cell that lies beyond an occupied one in every
     dimension goes as a whole; the others keep their local skylines, large cells in parts first.
     A survivor then meets those of the cells that are not beyond its own in any dimension: the
     only ones that could dominate it.
@@ -136,9 +136,9 @@ def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], fea
     own = written(df.where(some).select(*keys, *values).distinct().withColumn("_v", F.array(*least)), "combinations")
     steps = max(2, round(CELLS ** (1 / d)))
     cuts = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-    bounds = own.groupBy(*keys).agg(F.array(*[F.percentile_approx(F.col("_v")[i], cuts, 1 << 12) for i in range(d)]).alias("_b"))
-    at = F.zip_with("_v", "_b", lambda x, b: F.size(F.filter(b, lambda y: y < x)))
-    celled = written(joined(own, bounds, keys).withColumn("_cell", at).drop("_b"), "celled")
+    bounds = own.groupBy(*keys).agg(F.count("*").alias("_all"), F.array(*[F.percentile_approx(F.col("_v")[i], cuts, 1 << 12) for i in range(d)]).alias("_b"))
+    at = F.zip_with("_v", "_b", lambda x, b: F.when(F.col("_all") > PART, F.size(F.filter(b, lambda y: y < x))).otherwise(0))
+    celled = written(joined(own, bounds, keys).withColumn("_cell", at).drop("_b", "_all"), "celled")
     cells = celled.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     every = lambda a, b, less: F.forall(F.zip_with(a, b, (lambda x, y: x < y) if less else (lambda x, y: x <= y)), lambda ok: ok)
     other = cells.select(*keys, F.col("_cell").alias("_other"))

@@ -313,3 +313,24 @@ def write_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of what a writer is given."""
     frames = _pixels(spark, sf_dir).groupBy("clip", "frame").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.max("delay").alias("delay_cs"))
     return X.write_totals(frames.withColumn("table_size", F.when(F.col("frame") % 2 == 0, 16)).withColumn("disposal", F.expr(_DISPOSAL)))
+
+
+def large_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 64 by 64: each order is a block of 8 by 8 pixels, 16 frames a clip. Colours
+    rise in steps, as quantised skies do, with some noise of the order's price."""
+    blocks = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey DIV 1024 AS clip", "o_orderkey DIV 64 % 16 AS frame", "cast(o_orderkey DIV 8 % 8 * 8 as int) AS y0", "cast(o_orderkey % 8 * 8 as int) AS x0", f"{_V} AS v"
+    )
+    p = blocks.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63)))).selectExpr("clip", "frame", "y0 + p DIV 8 AS y", "x0 + p % 8 AS x", "v")
+    wave = {"r": "20 + (x + clip * 7) DIV 9 * 2 + y DIV 16", "g": "40 + (x + y + frame) DIV 12 * 3 + CASE WHEN v % 5 = 0 THEN x % 2 ELSE 0 END", "b": "60 + y DIV 10 * 2 + CASE WHEN v % 7 = 0 THEN v % 90 ELSE 0 END"}
+    return p.selectExpr("clip", "frame", "y", "x", *[f"cast({e} as int) AS {c}" for c, e in wave.items()])
+
+
+@query()
+def banding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible steps in frames of 64 by 64. A stencil over five scales; a test holds it
+    against plain loops."""
+    from fernweave.operators.frames import banding
+
+    found = banding(large_pixels(spark, sf_dir), *map(F.col, "rgb"))
+    return found.select("clip", "frames", F.round("banding", 9).alias("banding"))

@@ -231,7 +231,7 @@ _GAP = "abs(bytes - target) * 200.0 / (bytes + target)"
 @query(f"""
 WITH RECURSIVE s AS (SELECT p_partkey AS search, 8000 + p_size * 600 AS target FROM part),
 m AS (SELECT p_partkey AS search, quality, mode, {_BYTES} AS bytes FROM part, (SELECT unnest(range(1, 101)) AS quality), (SELECT unnest(['default', 'extra']) AS mode)),
-h(search, target, low, high, turn, asked) AS (SELECT search, target, 1, 100, 0, [] FROM s UNION ALL
+h(search, target, low, high, turn, asked) AS (SELECT search, target, 1, 100, 0, []::INT[] FROM s UNION ALL
  SELECT h.search, target, CASE WHEN bytes < target THEN quality + 1 ELSE low END, CASE WHEN bytes < target THEN high ELSE quality - 1 END, turn + 1, list_append(asked, quality::INT)
  FROM h JOIN m ON m.search = h.search AND mode = 'default' AND quality = (low + high) // 2 WHERE low <= high),
 e AS (SELECT * FROM h WHERE low > high),

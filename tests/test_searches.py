@@ -182,8 +182,10 @@ def plain_skyline(rows):
     return {r for r in rows if None in r or not any(None not in o and worse(r, o) for o in rows)}
 
 
-@pytest.mark.parametrize("d", [1, 2, 4])
-def test_skylines_of_cells(spark, d):
+@pytest.mark.parametrize(("d", "part"), [(1, 1 << 15), (2, 100), (3, 200)])
+def test_skylines_of_cells(spark, monkeypatch, d, part):
+    monkeypatch.setattr(O, "PART", part)
+    monkeypatch.setattr(O, "CELLS", 27)
     rng, rows = random.Random(d), []
     for key in ("wide", "ties", "line", None):
         for _ in range(600):
