@@ -7,11 +7,12 @@ its last words' positions: shifted by one and ANDed with the next word's it is t
 phrase's, and the bits set are its occurrences. Phrases are extended depth first, some of
 them at once, over bounded stretches of positions, and their counts are summed over the shards.
 
-What is extended is pruned by what is frequent in the whole corpus: by words, which come back
-to the shards by a join, so no task gets more than its shard's share of them; and by pairs of
-neighbours, which a bit map of bounded size names, some others with them, whose phrases go
-when the counts are summed. And by a map of co-occurrence: a phrase is only ANDed with words
-that follow its last two somewhere in the stretch.
+What is extended is pruned by what is frequent in the whole corpus, words first, then pairs of
+neighbours. Bit maps of bounded size name them, and some others with them, whose phrases go
+when the counts are summed: nothing is joined back to the shards. And by a map of
+co-occurrence: a phrase is only ANDed with words that follow its last two somewhere in the
+stretch. A word is known by a 64-bit hash of its language and itself; its seed is chosen so
+that no two frequent words share one.
 """
 
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from fernweave.llm.text import blocks, coded, mix, word_array, words
 SHARD, STRETCH, PROBES = 1 << 20, 1 << 16, 1 << 17
 #: A bitmap that holds one lane in so many is kept open too, its lanes looked up by number.
 OPEN = 64
-#: Bits of the map of frequent pairs for each of them, and at most: 32 MB, whatever their number.
+#: Bits of a map of frequent words or pairs for each of them, and at most: 32 MB, whatever their number.
 BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of text that a task handles at once.
 TEXT = 1 << 18
@@ -78,28 +79,31 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _shard(held, list(langs))
 
 
-def _frequent_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ids, known: (local, gid)) of shards to (gids, ids): only frequent words, by their
-    place in gids, and one -1 for whatever stands between them."""
+def _frequent_ids(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(hashes, ids) of shards to (gids, ids): only words with a marked hash, by their place in
+    gids, and one -1 for whatever stands between them."""
     for batch in batches:
         for i in range(len(batch)):
-            known = batch.column("known")[i].values
-            local, gid = (known.field(c).to_numpy(zero_copy_only=False) for c in ("local", "gid"))
-            order = np.argsort(gid)
-            ids = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)
-            to = np.full(int(max(ids.max(initial=-1), local.max(initial=-1))) + 2, -1, dtype=np.int32)
-            to[local[order]] = np.arange(len(order))
-            ids = to[ids]
+            hashes = batch.column("hashes")[i].values.to_numpy()
+            gids, local = np.unique(hashes, return_inverse=True)
+            gids = gids[kept := _marked(gids, gids, marks)]
+            to = np.append(np.where(kept, np.cumsum(kept) - 1, -1)[local], -1).astype(np.int32)
+            ids = to[np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)]
             keep = ids >= 0
             keep[1:] |= ids[:-1] >= 0
-            gids = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(gid[order], pa.int64()))
-            yield pa.RecordBatch.from_arrays([gids, pa.array([ids[keep].tobytes()], pa.binary())], ["gids", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(gids)], pa.int32()), pa.array(gids, pa.int64())), pa.array([ids[keep].tobytes()], pa.binary())], ["gids", "ids"])
 
 
 def _bit(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return (mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _marked(a: np.ndarray, b: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the pairs have their bit in the map."""
+    bit = _bit(a, b, len(marks) * 64)
+    return (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) == 1
+
+
 def _beside(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of words that stand side by side in ids, words 0 to n - 1, and how often."""
     ids = ids.astype(np.int64)
@@ -304,9 +308,8 @@ def _mined(batches: Iterator[pa.RecordBatch], most: int, marks: np.ndarray) -> I
             gids = batch.column("gids")[i].values.to_numpy()
             ids = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)
             a, b, _ = _beside(ids, len(gids))
-            bit = _bit(gids[a], gids[b], len(marks) * 64)
-            marked = (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) == 1
-            row, n = shard_phrases(ids, a[marked], b[marked], most)
+            some = _marked(gids[a], gids[b], marks)
+            row, n = shard_phrases(ids, a[some], b[some], most)
             offsets = pa.array(np.append(0, np.cumsum((row >= 0).sum(axis=1))), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gids[row[row >= 0]], pa.int64())), pa.array(n, pa.int64())], ["p", "c"])
 
@@ -330,20 +333,25 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """Three tables of a language's words and phrases that occur `least` times or more:
     (gid, lang, word, f), (p, f) for phrases of two to `most` words as arrays of gid, and
     (lang, n), all word occurrences of each language."""
+    spark = df.sparkSession
     own = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = stored(own.mapInArrow(_shards, "vocab array<struct<lang:string,word:string,n:bigint>>, ids binary").withColumn("shard", F.monotonically_increasing_id()), "shards")
-    vocab = shards.select("shard", F.posexplode("vocab").alias("local", "v")).select("shard", "local", "v.lang", "v.word", "v.n")
+    shards = stored(own.mapInArrow(_shards, "vocab array<struct<lang:string,word:string,n:bigint>>, ids binary"), "shards")
+    vocab = shards.select(F.explode("vocab").alias("v")).select("v.lang", "v.word", "v.n")
     totals = stored(vocab.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    frequent = vocab.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    frequent = stored(frequent.withColumn("gid", F.monotonically_increasing_id()), "words")
-    known = vocab.join(frequent, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "gid")).alias("known"))
-    slim = shards.select("shard", "ids").join(known, "shard").select("ids", "known").mapInArrow(_frequent_ids, "gids array<long>, ids binary")
-    slim = stored(slim, "frequent")
+    counted = stored(vocab.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "counted")
+    seed = 0
+    while not counted.groupBy(F.xxhash64(F.lit(seed), "lang", "word")).count().where("count > 1").isEmpty():
+        seed += 1
+    frequent = stored(counted.withColumn("gid", F.xxhash64(F.lit(seed), "lang", "word")), "words")
+    known = spark.sparkContext.broadcast(_marks(frequent.select(F.col("gid").alias("a"), F.col("gid").alias("b"))))
+    hashed = shards.select(F.transform("vocab", lambda v: F.xxhash64(F.lit(seed), v["lang"], v["word"])).alias("hashes"), "ids")
+    slim = stored(hashed.mapInArrow(lambda batches: _frequent_ids(batches, known.value), "gids array<long>, ids binary"), "frequent")
     released(shards)
-    pairs = slim.select("gids", "ids").mapInArrow(_neighbours, "a long, b long, c long")
+    released(counted)
+    pairs = slim.mapInArrow(_neighbours, "a long, b long, c long")
     pairs = stored(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("a", "b"), "pairs")
-    shared = df.sparkSession.sparkContext.broadcast(_marks(pairs))
-    found = slim.select("gids", "ids").mapInArrow(lambda batches: _mined(batches, most, shared.value), "p array<long>, c long")
+    shared = spark.sparkContext.broadcast(_marks(pairs))
+    found = slim.mapInArrow(lambda batches: _mined(batches, most, shared.value), "p array<long>, c long")
     phrases = stored(found.groupBy("p").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrases")
     released(slim)
     released(pairs)
