@@ -5,10 +5,15 @@ applyInPandas: a clip's frames are the group, some thousands of rows of a few nu
 Everything else is windows over a clip's frames.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
+from fernweave.functions.quantiles import joined
+from fernweave.sources.shared import written
+
 # Fixed values of the presentation safety: longest hold after a material change in
 # microseconds; least motion, changed area and scene change that are material; least and most
 # changed area, factor over the neighbours' median and excess over it of a local spike.
@@ -149,27 +154,88 @@ def normal_keyframes(keys: DataFrame, track: str, time: str, start: float, end:
     return inside.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > slack)).drop("_gap")
 
 
-def simplified_keyframes(keys: DataFrame, track: str, time: str, values: list[str], confidence: str, tolerance: float = 0.7) -> DataFrame:
+#: Confidence under which a keyframe is unsure, and what that adds to its distance.
+UNSURE, PENALTY = 0.55, 4.0
+#: Points of a gap that one task takes as they are; longer gaps are cut in rounds first.
+GAP = 1 << 14
+
+
+def _farthest_first(t: np.ndarray, v: np.ndarray, u: np.ndarray, tolerance: float) -> list[int]:
+    """Places that lines between kept ones, the first and last among them, miss, again and again."""
+    keep, todo = [], [(0, len(t) - 1)]
+    while todo:
+        a, b = todo.pop()
+        inner = np.arange(a + 1, b)
+        if len(inner):
+            share = np.clip((t[inner] - t[a]) / max(1e-4, t[b] - t[a]), 0, 1)
+            off = np.abs(v[inner] - (v[a] + (v[b] - v[a]) * share[:, None])).max(axis=1) + u[inner]
+            i = int(inner[np.argmax(off)])
+            if off.max() > tolerance:
+                keep.append(i)
+                todo += [(a, i), (i, b)]
+    return keep
+
+
+def simplified_keyframes(keys: DataFrame, track: str, time: str, values: list[str], confidence: str, tolerance: float = 0.7, most: int | None = 28, gap: int = GAP) -> DataFrame:
     """The keyframes of each track that a line between kept ones misses by more than the
     tolerance: first and last, then in every gap the farthest one (a low confidence adds to its
-    distance), again and again. One task handles a track."""
-
-    def simplify(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([time, *values], ignore_index=True)
-        t, v = own[time].to_numpy(float), own[values].to_numpy(float)
-        unsure = np.maximum(0.55 - own[confidence].to_numpy(float), 0) * 4
-        keep, todo = {0, len(own) - 1}, [(0, len(own) - 1)]
-        while todo:
-            a, b = todo.pop()
-            inner = np.arange(a + 1, b)
-            if not len(inner):
-                continue
-            share = np.clip((t[inner] - t[a]) / max(1e-4, t[b] - t[a]), 0, 1)
-            off = np.abs(v[inner] - (v[a] + (v[b] - v[a]) * share[:, None])).max(axis=1) + unsure[inner]
-            i = int(np.argmax(off))
-            if off[i] > tolerance:
-                keep.add(int(inner[i]))
-                todo += [(a, int(inner[i])), (int(inner[i]), b)]
-        return own.iloc[sorted(keep)]
-
-    return keys.groupBy(track).applyInPandas(simplify, keys.schema)
+    distance; ties to the first), again and again; of those at most `most` a track.
+
+    All open gaps of all tracks with more than `gap` points are looked at in one aggregation a
+    round. One that is cut gives its points to its two parts, one that is not loses them; a
+    task finishes one that is short. Of too many, the first and last stay, then the least sure ones, then others evenly chosen.
+    """
+    columns = keys.columns
+    numbered = written(keys.withColumn("_id", F.monotonically_increasing_id()), "keys")
+    place = F.struct(F.col(time).cast("double").alias("t"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)], F.col("_id").alias("id"))
+    points = numbered.select(F.col(track).alias("_track"), place.alias("p"), (F.greatest(F.lit(UNSURE) - F.col(confidence), F.lit(0.0)) * PENALTY).alias("u"))
+    ends = points.groupBy("_track").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    kept = [ends.select(F.explode(F.array("a", "b")).alias("p")).select(F.col("p.id").alias("_id"))]
+    gaps = written(ends.withColumn("gap", F.lit("")).select("_track", "gap", "a", "b"), "gaps")
+    inside = joined(points, gaps, ["_track"]).where((F.col("p") > F.col("a")) & (F.col("p") < F.col("b")))
+    inside = written(inside.select("_track", "gap", "p", "u"), "inside")
+    v = [f"v{i}" for i in range(len(values))]
+
+    def finish(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["t", *v, "id"], ignore_index=True)
+        ends = [pd.DataFrame([{c: own[f"{side}{c}"].iloc[0] for c in ("t", *v)}]) for side in "ab"]
+        whole = pd.concat([ends[0], own[["t", *v]], ends[1]], ignore_index=True)
+        found = _farthest_first(whole["t"].to_numpy(float), whole[v].to_numpy(float), np.pad(own["u"].to_numpy(float), 1), tolerance)
+        return pd.DataFrame({"_id": own["id"].to_numpy()[np.array(found, dtype=np.int64) - 1]})
+
+    while not inside.isEmpty():
+        sizes = inside.groupBy("_track", "gap").agg(F.count("*").alias("n"))
+        every = joined(joined(inside, gaps, ["_track", "gap"]), sizes, ["_track", "gap"])
+        short = every.where(F.col("n") <= gap).select("_track", "gap", "p.*", "u", *[F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "ab" for c in ("t", *v)])
+        kept.append(written(short.groupBy("_track", "gap").applyInPandas(finish, "_id long"), "kept"))
+        seen = every.where(F.col("n") > gap)
+        share = F.least(F.greatest((F.col("p.t") - F.col("a.t")) / F.greatest(F.lit(1e-4), F.col("b.t") - F.col("a.t")), F.lit(0.0)), F.lit(1.0))
+        miss = [F.abs(F.col(f"p.v{i}") - (F.col(f"a.v{i}") + (F.col(f"b.v{i}") - F.col(f"a.v{i}")) * share)) for i in range(len(values))]
+        off = (F.greatest(*miss) if len(miss) > 1 else miss[0]) + F.col("u")
+        far = seen.select("_track", "gap", "a", "b", "p", off.alias("off")).groupBy("_track", "gap", "a", "b").agg(F.min(F.struct((-F.col("off")).alias("o"), "p")).alias("far"))
+        cut = written(far.where(-F.col("far.o") > tolerance).select("_track", "gap", "a", "b", F.col("far.p").alias("m")), "cuts")
+        kept.append(cut.select(F.col("m.id").alias("_id")))
+        part = lambda bit, a, b: F.struct(F.concat("gap", F.lit(bit)).alias("gap"), F.col(a).alias("a"), F.col(b).alias("b"))
+        gaps = cut.select("_track", F.inline(F.array(part("0", "a", "m"), part("1", "m", "b"))))
+        rest = joined(inside, cut.select("_track", "gap", "m"), ["_track", "gap"]).where(F.col("p") != F.col("m"))
+        inside = written(rest.select("_track", F.concat("gap", F.when(F.col("p") < F.col("m"), "0").otherwise("1")).alias("gap"), "p", "u"), "inside")
+    found = numbered.join(reduce(DataFrame.union, kept).distinct(), "_id")
+    return (found if most is None else capped_keyframes(found, track, [time, *values, "_id"], confidence, most)).select(*columns)
+
+
+def capped_keyframes(keys: DataFrame, track: str, order: list[str], confidence: str, most: int) -> DataFrame:
+    """keys, at most `most` (2 at least) of a track: see simplified_keyframes."""
+    most = max(2, most)
+    own = W.partitionBy(track)
+    n = F.count("*").over(own)
+    placed = keys.withColumn("_k", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_n", n)
+    end = (F.col("_k") == 0) | (F.col("_k") == F.col("_n") - 1)
+    weak = ~end & (F.col(confidence) < UNSURE)
+    turn = F.when(weak, F.row_number().over(W.partitionBy(track, weak).orderBy(confidence, "_k")))
+    first = placed.withColumn("_first", end | F.coalesce(turn <= most - 2, F.lit(False)))
+    slots = first.withColumn("_open", most - F.count_if("_first").over(own)).withColumn("_m", F.count_if(~F.col("_first")).over(own))
+    rest = F.when(~F.col("_first"), F.row_number().over(W.partitionBy(track, "_first").orderBy("_k")) - 1)
+    at = lambda s: F.least(F.col("_m") - 1, F.greatest(F.lit(0), F.floor((s + 1) * (F.col("_m") + 1) / (F.col("_open") + 1) + 0.5) - 1))
+    chosen = F.when(F.col("_open") > 0, F.array_contains(F.transform(F.sequence(F.lit(0), F.greatest(F.col("_open").cast("int") - 1, F.lit(0))), lambda s: at(s).cast("int")), F.col("_rest"))).otherwise(False)
+    marked = slots.withColumn("_rest", rest.cast("int"))
+    return marked.where((F.col("_n") <= most) | F.col("_first") | chosen).select(*keys.columns)

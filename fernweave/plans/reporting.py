@@ -60,6 +60,7 @@ def normal_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simplified_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyframes that lines between the others miss; recursive in each track."""
+    """Keyframes that lines between the others miss, 28 a track at most; gaps of all tracks
+    are cut in rounds. A test holds it against the recursion."""
     keys = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("double").alias("t"), (F.col("value") % 50).alias("x"), (F.col("event_id") % 10 / 10.0).cast("double").alias("confidence"))
     return C.simplified_keyframes(keys, "user_id", "t", ["x"], "confidence", tolerance=20.0)

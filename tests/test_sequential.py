@@ -88,14 +88,29 @@ def test_simplified_keyframes(spark):
                 far, at = d, i
         return set() if at is None or far <= 0.7 else {at} | simple(p, a, at) | simple(p, at, b)
 
+    def capped(p, kept, most):
+        """kept places, at most `most` of them."""
+        kept = sorted(kept)
+        if len(kept) <= most:
+            return set(kept)
+        chosen = {0, len(kept) - 1}
+        for i in sorted((i for i in range(1, len(kept) - 1) if p[kept[i]][2] < 0.55), key=lambda i: p[kept[i]][2]):
+            if len(chosen) < max(2, most):
+                chosen.add(i)
+        rest = [i for i in range(len(kept)) if i not in chosen]
+        slots = max(2, most) - len(chosen)
+        return {kept[i] for i in chosen | {rest[min(len(rest) - 1, max(0, int((s + 1) * (len(rest) + 1) / (slots + 1) + 0.5) - 1))] for s in range(slots)}}
+
     rng = random.Random(3)
-    tracks = {k: [(float(t), rng.random() * 4, rng.choice([0.2, 0.9])) for t in range(n)] for k, n in ((1, 1), (2, 2), (3, 40))}
+    tracks = {k: [(float(t), rng.random() * 4, rng.choice([0.2, 0.5, 0.9])) for t in range(n)] for k, n in ((1, 1), (2, 2), (3, 40), (4, 90))}
     rows = [(k, *p) for k, v in tracks.items() for p in v]
     df = spark.createDataFrame(rows, "track int, t double, x double, confidence double").repartition(3)
-    got = {}
-    for r in C.simplified_keyframes(df, "track", "t", ["x"], "confidence").collect():
-        got.setdefault(r.track, set()).add(int(r.t))
-    assert got == {k: {0, len(v) - 1} | simple(v, 0, len(v) - 1) for k, v in tracks.items()}
+    for most, gap in ((None, 12), (28, 1000), (20, 1000), (2, 1000)):
+        got = {}
+        for r in C.simplified_keyframes(df, "track", "t", ["x"], "confidence", most=most, gap=gap).collect():
+            got.setdefault(r.track, set()).add(int(r.t))
+        want = {k: {0, len(v) - 1} | simple(v, 0, len(v) - 1) for k, v in tracks.items()}
+        assert got == (want if most is None else {k: capped(tracks[k], v, most) for k, v in want.items()})
 
 
 def test_held_colours(spark):
