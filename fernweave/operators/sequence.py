@@ -100,19 +100,24 @@ def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, width: in
     return run.groupBy(*keys, "_run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("merged")).drop("_run")
 
 
-def removed_before(times: DataFrame, ranges: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """times with how much of the key's disjoint ranges (start, end) lies before each time:
-    what is subtracted to get the time after the ranges are cut out."""
-    joined = times.select(*keys, time).distinct().join(ranges.select(*keys, "start", "end"), keys).where(F.col("start") < F.col(time))
-    sums = joined.groupBy(*keys, time).agg(F.sum(F.least("end", time) - F.col("start")).alias("removed"))
-    return times.join(sums, [*keys, time], "left").na.fill(0, ["removed"])
-
-
-def next_outside(times: DataFrame, merged: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """times with `playable`: the time itself, or the end of the merged range that holds it."""
-    inside = merged.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = times.select(*keys, time).distinct().join(inside, keys).where((F.col("_s") <= F.col(time)) & (F.col(time) < F.col("_e"))).groupBy(*keys, time).agg(F.max("_e").alias("_to"))
-    return times.join(hit, [*keys, time], "left").withColumn("playable", F.coalesce("_to", time)).drop("_to")
+def removed_before(times: DataFrame, ranges: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
+    """times with how much of the key's disjoint ranges (start, end) lies before each time: what is
+    subtracted to get the time after the ranges are cut out. The range that began last says what
+    of it lies before, a running sum what all before it removed. Times are integers."""
+    spans = ranges.select(*keys, "start", "end", (F.col("end") - F.col("start")).alias("_length"))
+    summed = prefix_sums(spans, keys, "start", ["end"], "_length", width, "_before")
+    last = summed.select(*keys, F.col("start").alias("_start"), F.col("end").alias("_end"), "_before")
+    found = asof(times, last, keys, time, "_start", ["_start", "_end", "_before"], width)
+    own = F.col("_before") + F.least("_end", time) - F.col("_start")
+    return found.withColumn("removed", F.coalesce(own, F.lit(0)).cast("long")).drop("_start", "_end", "_before")
+
+
+def next_outside(times: DataFrame, merged: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
+    """times with `playable`: the time itself, or the end of the merged range that holds it, which
+    is the one that began last."""
+    last = merged.select(*keys, F.col("start").alias("_start"), F.col("end").alias("_end"))
+    found = asof(times, last, keys, time, "_start", ["_start", "_end"], width)
+    return found.withColumn("playable", F.greatest(F.col(time), F.coalesce("_end", time))).drop("_start", "_end")
 
 
 def apportion(df: DataFrame, keys: list[str], order: str, amount: str, unit: int) -> DataFrame:

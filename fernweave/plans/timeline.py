@@ -105,14 +105,14 @@ SELECT t.o_custkey, t.t, CAST(coalesce(sum(least("end", t) - start), 0) AS BIGIN
 def removed_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much was cut before each time."""
     asked = table(spark, sf_dir, "orders").select("o_custkey").distinct().withColumn("t", F.explode(F.expr("transform(sequence(10, 19), d -> cast(d * 200 as long))")))
-    return W.removed_before(asked, _ranges(spark, sf_dir), ["o_custkey"], "t")
+    return W.removed_before(asked, _ranges(spark, sf_dir), ["o_custkey"], "t", 365)
 
 
 @query(f"""WITH {_RANGES}, {_TIMES} SELECT t.o_custkey, t.t, coalesce(max("end"), t.t) AS playable FROM t LEFT JOIN m ON t.o_custkey = m.o_custkey AND start <= t AND t < "end" GROUP BY t.o_custkey, t.t""")
 def next_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next time that is in no range."""
     asked = table(spark, sf_dir, "orders").select("o_custkey").distinct().withColumn("t", F.explode(F.expr("transform(sequence(10, 19), d -> cast(d * 200 as long))")))
-    return W.next_outside(asked, _ranges(spark, sf_dir), ["o_custkey"], "t")
+    return W.next_outside(asked, _ranges(spark, sf_dir), ["o_custkey"], "t", 365)
 
 
 @query("""
