@@ -53,3 +53,58 @@ def unknown_fields(df: DataFrame, keys: list[str], json_col: str, allowed: list[
     extra, missing = F.array_except(have, F.array(*map(F.lit, allowed))), F.array_except(F.array(*map(F.lit, required)), F.coalesce(have, F.array().cast("array<string>")))
     found = df.select(*keys, F.array_sort(F.coalesce(extra, F.array().cast("array<string>"))).alias("unknown"), F.array_sort(missing).alias("missing"))
     return found.where((F.size("unknown") > 0) | (F.size("missing") > 0))
+
+
+# Fixed values of the report gate: each metric's factor and allowance over the baseline, of the
+# regional and of the diffusion checks, and the factor and allowance of a material gain in it.
+METRICS = {
+    "mean_oklab_error": ((1.06, 0.001), (1.01, 0.0001), (0.97, 0.0005)),
+    "p95_oklab_error": ((1.08, 0.002), (1.01, 0.0002), None),
+    "edge_weighted_mean_oklab_error": ((1.05, 0.001), (1.01, 0.0001), None),
+    "multiscale_low_frequency_oklab_error": ((1.04, 0.00075), (1.01, 0.0001), (0.96, 0.0004)),
+    "multiscale_banding_score": ((1.02, 0.0005), (1.01, 0.0001), (0.98, 0.0005)),
+    "edge_gradient_error": ((1.05, 0.002), (1.01, 0.0002), None),
+    "static_temporal_residual": ((1.02, 0.0005), (1.005, 0.000005), (0.95, 0.0002)),
+    "multiscale_static_temporal_residual": ((1.02, 0.0004), (1.005, 0.000005), (0.95, 0.00015)),
+}
+# Counts that must be equal, and residuals by time, of which the seam's may both be missing.
+COUNTS = ("sampled_static_transition_count", "sampled_multiscale_static_transition_count")
+WEIGHTED = ("weighted_static_temporal_residual", "weighted_multiscale_static_temporal_residual")
+SEAM = ("loop_seam_static_temporal_residual", "loop_seam_multiscale_static_temporal_residual")
+TIMING, BYTES, BANDING = (1.005, 0.0000001), 105, ("multiscale_banding_score", 0.0001, 0.92)
+
+
+def report_gate(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with `failures`, in the order of the checks, and `passed`, of a candidate report
+    against its baseline.
+
+    pairs: keys, structs candidate and baseline of METRICS, COUNTS, WEIGHTED and SEAM, and
+    candidate_bytes, baseline_bytes, eligible and diffused pixels. Regional: no metric over its
+    limit; more than 105 percent of the bytes (rounded up) only with a material gain in quality.
+    Diffusion: some pixels were eligible and diffused, the same metrics within narrower limits,
+    the bytes without an excuse. Timing: equal counts, residuals within their limit; a seam that
+    only one side has is a failure of its own. At last the banding must have gained. A metric
+    that is null fails its checks and gains nothing.
+    """
+    c, b = (lambda m, s=s: F.col(f"{s}.{m}").cast("double") for s in ("candidate", "baseline"))
+    fails = lambda ok: ~F.coalesce(ok, F.lit(False))
+    within = lambda m, limit: c(m) <= b(m) * limit[0] + limit[1]
+    gains = [c(m) + gain[1] < b(m) * gain[0] for m, (_, _, gain) in METRICS.items() if gain]
+    gained = F.coalesce(gains[0], F.lit(False))
+    for g in gains[1:]:
+        gained = gained | F.coalesce(g, F.lit(False))
+    light = F.col("candidate_bytes") <= F.ceil(F.col("baseline_bytes") * BYTES / 100)
+    failed = [(fails(within(m, regional)), f"regional:{m}") for m, (regional, _, _) in METRICS.items()]
+    failed.append((fails(light | gained), "regional:serialized_bytes"))
+    failed.append((fails((F.col("eligible") > 0) & (F.col("diffused") > 0)), "diffusion:no_material_work"))
+    failed += [(fails(within(m, diffusion)), f"diffusion:{m}") for m, (_, diffusion, _) in METRICS.items()]
+    failed.append((fails(light), "diffusion:serialized_bytes"))
+    failed += [(fails(c(m) == b(m)), f"timing:{m}") for m in COUNTS]
+    failed += [(fails(within(m, TIMING)), f"timing:{m}") for m in WEIGHTED]
+    for m in SEAM:
+        one, both = c(m).isNull() != b(m).isNull(), c(m).isNotNull() & b(m).isNotNull()
+        failed += [(one, f"timing:{m}:contract"), (both & fails(within(m, TIMING)), f"timing:{m}")]
+    name, least, factor = BANDING
+    failed.append((fails((b(name) > least) & (c(name) + least < b(name) * factor)), "diffusion:material_banding_gain"))
+    names = F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in failed]))
+    return pairs.select(*keys, names.alias("failures"), (F.size(names) == 0).alias("passed"))

@@ -247,7 +247,7 @@ c AS (SELECT p_brand, avg(p_size) AS size, avg(CAST(p_retailprice AS DECIMAL(18,
 SELECT p_brand, failures, failures = '' AS passed FROM (SELECT p_brand, concat_ws(',', CASE WHEN NOT (c.size <= b.size * 1.02) THEN 'size' END, CASE WHEN NOT (CAST(c.price AS DOUBLE) <= CAST(b.price AS DOUBLE) + abs(CAST(b.price AS DOUBLE)) * 0.0 + 5.0) THEN 'price' END,
   CASE WHEN NOT coalesce(c.largest <= b.largest, c.largest IS NULL AND b.largest IS NULL) THEN 'largest' END) AS failures FROM c JOIN b USING (p_brand))""")
 def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate metrics against a baseline with relative and absolute slack."""
+    """Candidate metrics against a baseline with relative and absolute slack."""
     parts = table(spark, sf_dir, "part")
     price = F.avg(F.col("p_retailprice").cast("decimal(18,4)")).alias("price")
     largest = F.max("p_size")
@@ -257,6 +257,43 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_brand", F.array_join("failures", ",").alias("failures"), "passed")
 
 
+#: Names of the report gate's columns, and each side's value of the i-th, of a part.
+_GATED = [*G.METRICS, *G.COUNTS, *G.WEIGHTED, *G.SEAM]
+_BASE = [f"CAST(p_size + {i} AS DOUBLE) / CAST(1000 AS DOUBLE)" for i in range(len(_GATED))]
+_RATIO = [f"CAST(80 + p_partkey * {i + 3} % 23 + p_partkey % 11 AS DOUBLE) / CAST(100 AS DOUBLE)" for i in range(len(_GATED))]
+_REPORT = {f"b_{m}": e for m, e in zip(_GATED, _BASE, strict=True)} | {f"c_{m}": f"({e}) * ({r})" for m, e, r in zip(_GATED, _BASE, _RATIO, strict=True)}
+_REPORT |= {f"{s}_{m}": f"CAST(p_size + CASE WHEN {n} THEN 0 ELSE {i} END AS DOUBLE)" for i, m in enumerate(G.COUNTS, 1) for s, n in (("b", "true"), ("c", f"p_partkey % {9 + i} > 0"))}
+_REPORT |= {f"{s}_{m}": f"CASE WHEN p_partkey % {n + i} > 0 THEN {_REPORT[f'{s}_{m}']} END" for i, m in enumerate(G.SEAM) for s, n in (("b", 5), ("c", 7))}
+_REPORT |= {
+    "p_partkey": "p_partkey", "baseline_bytes": "CAST(floor(p_retailprice * 100) AS BIGINT)", "candidate_bytes": "CAST(floor(p_retailprice * (94 + p_partkey % 14)) AS BIGINT)",
+    "eligible": "p_partkey % 19", "diffused": "p_partkey % 17",
+}
+
+
+def _report_sql() -> str:
+    """Each rule of the gate as a CASE of DuckDB."""
+    over = lambda m, limit: f"c_{m} > b_{m} * {limit[0]}::DOUBLE + {limit[1]:.10f}::DOUBLE"
+    heavy = f"candidate_bytes > ceil(baseline_bytes * {G.BYTES} / 100.0)"
+    gains = " OR ".join(f"c_{m} + {g[1]:.10f}::DOUBLE < b_{m} * {g[0]}::DOUBLE" for m, (_, _, g) in G.METRICS.items() if g)
+    rules = [(over(m, r), f"regional:{m}") for m, (r, _, _) in G.METRICS.items()] + [(f"{heavy} AND NOT ({gains})", "regional:serialized_bytes")]
+    rules += [("eligible = 0 OR diffused = 0", "diffusion:no_material_work"), *((over(m, d), f"diffusion:{m}") for m, (_, d, _) in G.METRICS.items()), (heavy, "diffusion:serialized_bytes")]
+    rules += [(f"c_{m} <> b_{m}", f"timing:{m}") for m in G.COUNTS] + [(over(m, G.TIMING), f"timing:{m}") for m in G.WEIGHTED]
+    rules += [x for m in G.SEAM for x in ((f"(c_{m} IS NULL) <> (b_{m} IS NULL)", f"timing:{m}:contract"), (over(m, G.TIMING), f"timing:{m}"))]
+    name, least, factor = G.BANDING
+    rules.append((f"NOT (b_{name} > {least}::DOUBLE AND c_{name} + {least}::DOUBLE < b_{name} * {factor}::DOUBLE)", "diffusion:material_banding_gain"))
+    cases = ", ".join(f"CASE WHEN {cond} THEN '{text}' END" for cond, text in rules)
+    return f"WITH r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _REPORT.items())} FROM part), f AS (SELECT p_partkey, concat_ws(',', {cases}) AS failures FROM r) SELECT *, failures = '' AS passed FROM f"
+
+
+@query(_report_sql())
+def report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of candidates against their baselines: regional, diffusion and timing checks."""
+    rows = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {n}" for n, e in _REPORT.items()])
+    side = lambda s, n: F.struct(*[F.col(f"{s}_{m}").alias(m) for m in _GATED]).alias(n)
+    pairs = rows.select("p_partkey", side("c", "candidate"), side("b", "baseline"), "candidate_bytes", "baseline_bytes", "eligible", "diffused")
+    return G.report_gate(pairs, ["p_partkey"]).withColumn("failures", F.array_join("failures", ","))
+
+
 @query("""
 WITH s AS (SELECT o_orderpriority, count(*) AS n, quantile_disc(o_totalprice, 0.95) AS p95, CASE WHEN o_orderpriority <> '5-LOW' THEN max(o_totalprice) END AS largest FROM orders GROUP BY 1)
 SELECT o_orderpriority, (CASE WHEN n <= 100000 THEN 0 ELSE 1 END) + (CASE WHEN p95 <= 470000 THEN 0 ELSE 1 END) + (CASE WHEN largest <= 1000000 THEN 0 ELSE 1 END) AS n_violations,
