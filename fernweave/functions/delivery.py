@@ -58,10 +58,6 @@ def cap_fill(size: Column, cap: Column) -> Column:
     return F.bround(F.try_divide(size * 100.0, cap.cast("double")), 2)
 
 
-def priority_score(impact: Column, confidence: Column, effort: Column) -> Column:
-    return F.bround(F.try_divide(impact * confidence, effort.cast("double")), 2)
-
-
 def oklab_to_rgb(lab: Column) -> Column:
     """struct(r, g, b), 0 to 255, of a struct(l, a, b): the inverse of oklab()."""
     cube = lambda a, b: F.pow(lab["l"] + lab["a"] * a + lab["b"] * b, 3)

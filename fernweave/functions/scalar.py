@@ -30,11 +30,6 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
-def half_even(value: Column, digits: int) -> Column:
-    """Rounding to the even neighbour, as statistics scripts do."""
-    return F.bround(value, digits)
-
-
 def half_up(value: Column) -> Column:
     """Rounding of halves towards plus infinity, as timeline editors do."""
     return F.floor(value + 0.5)
@@ -131,16 +126,6 @@ def file_kind(path: Column, kinds: dict[str, str]) -> Column:
     return F.element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
 
 
-def next_rung(estimate: Column, ladder: list[int]) -> Column:
-    """The smallest rung of a ladder that reaches the estimate, else its last."""
-    rungs = F.array(*map(F.lit, ladder))
-    return F.coalesce(F.array_min(F.filter(rungs, lambda x: x >= estimate)), F.lit(max(ladder)))
-
-
-def is_sha256(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
-
-
 def is_plain_id(text: Column) -> Column:
     """Lower-case letters and digits in parts joined by hyphens."""
     return F.coalesce(text.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False))

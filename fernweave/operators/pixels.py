@@ -100,17 +100,6 @@ def scene_changes(pixels: DataFrame) -> DataFrame:
     return both.select(*FRAME, "histogram", "motion", "changed_area", F.when(first, 0.0).otherwise(clamp(F.col("histogram") * 0.72 + F.col("motion") * 0.42, 0.0, 1.0)).alias("scene_change"))
 
 
-def frame_signals(pixels: DataFrame) -> DataFrame:
-    """All signals of each frame."""
-    return spatial_signals(pixels).join(scene_changes(pixels), FRAME)
-
-
-def clip_summary(signals: DataFrame) -> DataFrame:
-    """Per clip the means of its frames' signals."""
-    names = ["motion", "changed_area", "edge_text", "subject_saliency", "skin_ratio", "noise", "smooth_gradient_ratio"]
-    return signals.groupBy("clip").agg(*[F.avg(c).alias(c) for c in names])
-
-
 def _sobel(luma: str) -> Column:
     """Gradient magnitude / 4 from `luma` and its eight neighbours; null at borders."""
     at = {(dx, dy): F.col(f"{luma}_{dx + 1}{dy + 1}") for dx in (-1, 0, 1) for dy in (-1, 0, 1)}

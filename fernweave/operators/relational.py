@@ -129,12 +129,6 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tupl
     return joined.withColumn("overlap_start", start).withColumn("overlap_end", end).drop("_cell")
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Keys with the columns of their last row in the order given: a later observation replaces
-    an earlier one. An aggregate, without a window over the key."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_m")).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in columns])
-
-
 def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """old patched with new: columns of new win where they are not null, new keys are added."""
     both = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in columns]).join(new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns]), keys, "full")

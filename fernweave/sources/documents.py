@@ -21,11 +21,6 @@ def rows_of(df: DataFrame, array: str, keep: list[str] | None = None) -> DataFra
     return df.select(*(keep or []), F.explode(array).alias("_row")).select(*(keep or []), "_row.*")
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of given values."""
-    return spark.createDataFrame(rows, schema)
-
-
 def manifest_violations(fixtures: DataFrame, minima: dict[str, int]) -> DataFrame:
     """What a corpus manifest breaks: name and detail. fixtures: id, category. Ids are unique
     and plain, and each category has its least number of fixtures."""
