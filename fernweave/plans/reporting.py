@@ -22,7 +22,7 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT n_name AS name, count(*) AS customers, max(c_acctbal) AS best FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report as JSON, read back with its schema, a malformed line failing."""
+    """A report as JSON, read back with its schema, a malformed line failing."""
     report = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("customers"), F.max("c_acctbal").alias("best"))
     SR.write_json_report(report, path := SR.scratch(spark, "json"))
     return SD.read_typed(spark, path, report.schema)
