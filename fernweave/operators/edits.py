@@ -26,10 +26,10 @@ def timeline(clips: DataFrame) -> DataFrame:
     return length.withColumn("end_us", end).withColumn("start_us", F.col("end_us") - F.col("_length")).drop("_length")
 
 
-def renumbered(clips: DataFrame, order: list[Column | str]) -> DataFrame:
-    """clips with pos counted from 0 in the given order."""
+def renumbered(clips: DataFrame, order: list[Column | str], columns: list[str] = CLIP) -> DataFrame:
+    """The columns of clips with pos counted from 0 in the given order."""
     along = W.partitionBy("project").orderBy(*order)
-    return clips.withColumn("_pos", (F.row_number().over(along) - 1).cast("int")).select(*[F.col("_pos").alias("pos") if c == "pos" else F.col(c) for c in CLIP])
+    return clips.withColumn("_pos", (F.row_number().over(along) - 1).cast("int")).select(*[F.col("_pos").alias("pos") if c == "pos" else F.col(c) for c in columns])
 
 
 def split_clips(clips: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -73,19 +73,19 @@ def split_clips(clips: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def remove_clips(clips: DataFrame, gone: DataFrame) -> DataFrame:
-    """clips without those of gone (project, id)."""
-    return renumbered(clips.join(gone.select("project", "id"), ["project", "id"], "left_anti"), ["pos"])
+    """clips (or layers: project, id, pos) without those of gone (project, id)."""
+    return renumbered(clips.join(gone.select("project", "id"), ["project", "id"], "left_anti"), ["pos"], clips.columns)
 
 
 def move_clips(clips: DataFrame, moves: DataFrame) -> DataFrame:
-    """clips with one clip of each project of moves (project, id, to_pos) at another place."""
+    """clips (or layers) with one of each project of moves (project, id, to_pos) at another place."""
     m = moves.select("project", F.col("id").alias("_moved"), "to_pos")
     seen = clips.join(m, "project", "left")
     is_moved = F.coalesce(F.col("id") == F.col("_moved"), F.lit(False))
     rank = (F.row_number().over(W.partitionBy("project", is_moved).orderBy("pos")) - 1).cast("double")
     # The others keep their order; the moved one goes just before the one now at its place.
     place = F.when(is_moved, F.col("to_pos") - 0.5).otherwise(rank)
-    return renumbered(seen.withColumn("_place", place), ["_place"])
+    return renumbered(seen.withColumn("_place", place), ["_place"], clips.columns)
 
 
 def insert_clips(clips: DataFrame, added: DataFrame) -> DataFrame:
