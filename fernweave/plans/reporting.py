@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fernweave.operators import schedule as C
 from fernweave.plans.registry import query, table
-from fernweave.sources import documents as SD, reports as SR
+from fernweave.sources import containers as SC, documents as SD, reports as SR, sink as SK
 
 
 @query("""
@@ -28,6 +28,47 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SD.read_typed(spark, path, report.schema)
 
 
+@query("""
+SELECT o_custkey AS customer, count(*) AS n, max(o_orderpriority) AS priority FROM orders GROUP BY 1""")
+def committed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side files first, then the report that names them, read back through the report."""
+    report = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("priority"))
+    SK.write_committed(report, path := SR.scratch(spark, "committed"))
+    return SK.read_committed(spark, path, report.schema)
+
+
+# The frames of an order's file: one for each line number, 10 ms for each unit of a day; every
+# ninth order's file has a byte too many, every seventh's is cut short.
+_FILES = """f AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {_FILES}, g AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS i FROM f WHERE o % 9 > 0 AND o % 7 > 0)
+SELECT 'o' || o AS path, CASE WHEN o % 2 = 0 THEN 'gif' ELSE 'webp' END AS kind, CAST(i AS INT) AS frame, CASE WHEN o % 2 = 0 THEN p % 500 * 10 ELSE p % 70000 END AS delay_ms, CAST(p % 200 + 1 AS INT) AS width, CAST(n AS INT) AS height,
+  CAST(o % 300 AS INT) AS loop, CAST(NULL AS VARCHAR) AS error FROM g
+UNION ALL SELECT DISTINCT 'o' || o, CASE WHEN o % 2 = 0 THEN 'gif' ELSE 'webp' END, NULL, NULL, NULL, NULL, NULL, CASE WHEN o % 2 > 0 THEN 'size differs' WHEN o % 9 = 0 THEN 'incomplete, or data after the trailer' ELSE 'ends too early' END
+FROM f WHERE o % 9 = 0 OR o % 7 = 0""")
+def container_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a GIF or WebP file for each order, made of its lines by column
+    functions, with those of malformed files as errors."""
+    c, p, o = F.col, F.col("p"), F.col("o")
+    raw = lambda text: F.unhex(F.lit(text))
+    little = lambda value, n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)]))
+    # A control block with a delay, then an image of one data block.
+    gif = F.concat(raw("21F90400"), little(p % 500, 2), raw("00002C00000000"), little(p % 200 + 1, 2), little(c("n"), 2), raw("000202440100"))
+    # A frame chunk: place, size less 1, delay, flags and two bytes of data.
+    webp = F.concat(raw("414E4D4612000000000000000000"), little(p % 200, 3), little(c("n") - 1, 3), little(p % 70000, 3), raw("004142"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("o"), c("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    files = lines.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("n", F.when(o % 2 == 0, gif).otherwise(webp).alias("frame")))).alias("frames"))
+    body = F.unhex(F.array_join(F.transform("frames", lambda f: F.hex(f["frame"])), ""))
+    chunks = F.concat(raw("57454250414E494D0600000000000000"), little(o % 300, 2), body)
+    head = F.concat(raw("474946383961020001000000"), raw("0021FF0B4E45545343415045322E300301"), little(o % 300, 2), raw("00"))
+    whole = F.when(o % 2 == 0, F.concat(head, body, raw("3B"))).otherwise(F.concat(raw("52494646"), little(F.octet_length(chunks), 4), chunks))
+    broken = F.when(o % 9 == 0, F.concat(whole, raw("00"))).when(o % 7 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).otherwise(whole)
+    found = SC.frames_of(files.select(F.concat(F.lit("o"), o.cast("string")).alias("path"), broken.alias("content")))
+    return found.select("path", "kind", "frame", "delay_ms", "width", "height", "loop", "error")
+
+
 @query("""
 SELECT r_name AS name, true AS same_bytes, r_regionkey AS value FROM region""")
 def json_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,16 +77,17 @@ def webp_frames(data: bytes) -> list[dict]:
     return [f | {"loop": loop, "rest_sha256": None} for f in frames or still]
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """One row a frame of all GIF and WebP files of a path: path, kind, frame (from 0), at (the
+def frames_of(files: DataFrame) -> DataFrame:
+    """One row a frame of GIF and WebP files (path, content): path, kind, frame (from 0), at (the
     byte of its delay or chunk), delay_ms, width, height, loop (null: not said), rest_sha256
-    (GIF), bytes of the file. A file that is neither or malformed has one row with its error;
-    the reader leaves files without any byte out."""
+    (GIF), bytes of the file. A file that is neither, null, empty or malformed has one row with
+    its error."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                data = data or b""
                 kind = "webp" if data[:4] == b"RIFF" else "gif"
                 base = {"path": name, "kind": kind, "bytes": len(data)}
                 try:
@@ -97,7 +98,12 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
             kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[c.split()[1]]) for n, c in zip(_NAMES, _ROW.split(", "), strict=True)], _NAMES)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(walk, _ROW)
+    return files.select("path", "content").mapInArrow(walk, _ROW)
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """frames_of all files of a path; the reader leaves files without any byte out."""
+    return frames_of(spark.read.format("binaryFile").load(path))
 
 
 def tail_delays(frames: DataFrame, total_ms: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import hashlib
 import struct
 
-from fernweave.sources.containers import gif_frames, read_frames, tail_delays
+from fernweave.sources.containers import frames_of, gif_frames, read_frames, tail_delays
 
 
 def gif(delays, extra=b""):
@@ -42,3 +42,8 @@ def test_containers(spark, tmp_path):
     assert a[0].rest_sha256 == hashlib.sha256(data).hexdigest() == gif_frames(gif([1, 2, 3]))[0]["rest_sha256"]
     fixed = tail_delays(read_frames(spark, f"file://{tmp_path}/a.gif").selectExpr("*", "251 AS total"), "total")
     assert [r.fixed_ms for r in sorted(fixed.collect(), key=lambda r: r.frame)] == [30, 70, 150]
+
+
+def test_rows_without_content(spark):
+    got = frames_of(spark.createDataFrame([("a", None), ("b", b"")], "path string, content binary")).collect()
+    assert [(r.path, r.error, r.bytes) for r in got] == [("a", "no GIF header", 0), ("b", "no GIF header", 0)]
