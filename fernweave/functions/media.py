@@ -24,23 +24,34 @@ CONCURRENCY = {"short": 4, "standard": 3, "long": 2, "extreme": 1}
 COLOUR_LADDER = [3, 4, 8, 16, 24, 32, 48, 64, 80, 96, 112, 128, 160, 192, 224, 256]
 # Patterns of failure texts, first match wins.
 FAILURES = (
-    ("cancelled", r"_task_cancelled|\bcancell?ed\b|operation was aborted"),
-    ("disk-space", r"no space left|disk (?:is )?full|enospc"),
-    ("permission", r"permission denied|access (?:is )?denied|eacces|eperm|cannot write|could not create|read-only"),
-    ("dependency", r"(?:ffmpeg|ffprobe).*(?:not found|missing|unavailable)|(?:not found|failed to (?:find|locate)).*(?:ffmpeg|ffprobe)|missing dependency|encoder .*not found|unknown (?:encoder|filter)"),
-    ("output-path", r"invalid (?:output|path|filename)|output (?:directory|path).*not (?:found|exist)|points to a file|not a folder|parent directory"),
-    ("input-media", r"invalid data found|could not find codec parameters|unsupported (?:video|format|codec)|moov atom not found|decode failed|decode(?:r|ing)? (?:error|failed)"),
+    ("cancelled", r"_task_cancelled|\bcancell?ed\b|operation was aborted|任务已(?:取消|停止)"),
+    ("disk-space", r"no space left|disk (?:is )?full|enospc|磁盘空间不足|空间不够"),
+    ("permission", r"permission denied|access (?:is )?denied|eacces|eperm|cannot write|could not create|read-only|拒绝访问|没有权限|不可写"),
+    ("dependency", r"(?:ffmpeg|ffprobe).*(?:not found|missing|unavailable)|(?:not found|failed to (?:find|locate)).*(?:ffmpeg|ffprobe)|missing dependency|encoder .*not found|unknown (?:encoder|filter)|转换组件"),
+    ("output-path", r"invalid (?:output|path|filename)|output (?:directory|path).*not (?:found|exist)|points to a file|not a folder|parent directory|路径.*(?:无效|不存在)|文件名.*无效"),
+    ("input-media", r"invalid data found|could not find codec parameters|unsupported (?:video|format|codec)|moov atom not found|decode failed|decode(?:r|ing)? (?:error|failed)|素材.*(?:损坏|无法读取|不支持)"),
 )
 # Kinds of file extensions.
 KINDS = {"gif": "animation", "webp": "animation", "apng": "animation", "png": "image", "jpg": "image", "jpeg": "image", "mp4": "video", "mov": "video", "webm": "video", "mkv": "video", "avi": "video"}
 TASK, PLACE = "[task]", "[path]"
+# Passes of the redaction, in their order.
+REDACTED = (
+    (r"(?i)\b(?:task[_ -]?id\s*[:=]\s*|[a-z]+_task_cancelled:)[\w{}.-]+", TASK),
+    (r"(?i)\btask-[a-z0-9][\w.-]*", TASK),
+    (r"(?i)\b[a-f0-9]{8}-[a-f0-9]{4}-[1-5][a-f0-9]{3}-[89ab][a-f0-9]{3}-[a-f0-9]{12}\b", TASK),
+    (r"[\"'][a-zA-Z]:[\\/][^\"'\r\n]+[\"']", PLACE),
+    (r"(?i)\b[a-z]:[\\/].*?(?=\s+(?:/(?:Users|home|tmp|var|private|mnt|media|opt)/|task(?:[_ -]?id|-)|(?:input|output)=)|[\r\n;,]|$)", PLACE),
+    (r"[a-zA-Z]:[\\/][^\s<>:\"|?*]*", PLACE),
+    (r"(^|[\s='\"(])/(?:Users|home|tmp|var|private|mnt|media|opt)(?:/[^\s'\"),;]+)+", "$1" + PLACE),
+    (r"\[path\](?:[\\/][^\s'\"),;]+)+", PLACE),
+)
 
 
 def frame_importance(signals: dict[str, Column], focus: Column) -> Column:
-    """Weighted sum of a frame's signals for a focus, held to 0 to 1; null for another focus."""
+    """Weighted sum of a frame's signals for a focus, held to 0 to 1; an unknown focus takes flat art."""
     have = signals | {"calm": 1 - signals["noise"]}
     score = {name: clamp(sum(have[s] * w for s, w in weights.items()), 0.0, 1.0) for name, weights in IMPORTANCE.items()}
-    out = F.lit(None).cast("double")
+    out = score["flat_art"]
     for name, s in score.items():
         out = F.when(focus == name, s).otherwise(out)
     return out
@@ -124,16 +135,10 @@ def failure_category(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Task ids, UUIDs, and Windows, home and temporary paths replaced by marks."""
-    passes = (
-        (r"(?i)\btask[_ -]?id\s*[:=]\s*[\w{}.-]+", TASK),
-        (r"(?i)\btask-[a-z0-9][\w.-]*", TASK),
-        (r"(?i)\b[a-f0-9]{8}-[a-f0-9]{4}-[1-5][a-f0-9]{3}-[89ab][a-f0-9]{3}-[a-f0-9]{12}\b", TASK),
-        (r"[\"'][a-zA-Z]:[\\/][^\"'\r\n]+[\"']", PLACE),
-        (r"\b[a-zA-Z]:[\\/][^\s<>:\"|?*;,]*", PLACE),
-        (r"(^|[\s='\"(])/(?:Users|home|tmp|var|private|mnt|media|opt)(?:/[^\s'\"),;]+)+", "$1" + PLACE),
-    )
-    for pattern, mark in passes:
+    """Task ids, UUIDs, and Windows, home and temporary paths replaced by marks, one pass after
+    another. A bare Windows path may hold spaces: it goes on to the next path, task, argument,
+    comma, semicolon or end of the line."""
+    for pattern, mark in REDACTED:
         text = F.regexp_replace(text, pattern, mark)
     return text
 

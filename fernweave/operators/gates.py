@@ -108,3 +108,168 @@ def report_gate(pairs: DataFrame, keys: list[str]) -> DataFrame:
     failed.append((fails((b(name) > least) & (c(name) + least < b(name) * factor)), "diffusion:material_banding_gain"))
     names = F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in failed]))
     return pairs.select(*keys, names.alias("failures"), (F.size(names) == 0).alias("passed"))
+
+
+# Fixed values of the blind review's gate.
+REVIEWERS, OVERALL_RATE, CATEGORY_RATE = 3, 0.60, 0.45
+
+
+def reviewer_gate(votes: DataFrame, expected: DataFrame) -> DataFrame:
+    """The checks of a blind review: check, category (null but for the checks of a category),
+    value and passed; the review passes if all do.
+
+    votes: reviewer, pair, outcome (win, loss or tie). expected: pair, category, formal; a pair
+    once. Only votes on formal pairs count; of several by one reviewer on a pair the least outcome
+    by name stands for all. Checks: at least REVIEWERS reviewers; votes cover all formal pairs of
+    all reviewers (value: the share; none due: 0); each reviewer has voted on all; the rate of
+    wins among decisive votes overall and in each category with a formal pair. A rate is null
+    where no vote was decisive, and fails.
+    """
+    due = expected.where("formal").select("pair", "category")
+    reviewers = votes.select("reviewer").where("reviewer is not null").distinct()
+    cast = votes.where("reviewer is not null").groupBy("reviewer", "pair").agg(F.min("outcome").alias("outcome")).join(due, "pair")
+    n_due = due.agg(F.count("*").alias("_due"))
+    each = reviewers.join(cast.groupBy("reviewer").agg(F.count("*").alias("_n")), "reviewer", "left").join(F.broadcast(n_due), how="cross")
+    own = each.agg(
+        F.count("*").alias("_reviewers"),
+        F.coalesce(F.try_divide(F.sum(F.coalesce("_n", F.lit(0))), F.sum("_due")), F.lit(0.0)).alias("_coverage"),
+        F.count_if(F.coalesce("_n", F.lit(0)) == F.col("_due")).alias("_complete"),
+    )
+    rate = F.try_divide(F.count_if(F.col("outcome") == "win").cast("double"), F.count_if(F.col("outcome").isin("win", "loss")))
+    check = lambda name, value, ok: F.struct(F.lit(name).alias("check"), F.lit(None).cast("string").alias("category"), value.cast("double").alias("value"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    n, coverage, complete = F.col("_reviewers"), F.col("_coverage"), F.col("_complete")
+    whole = own.select(F.explode(F.array(check("reviewers", n, n >= REVIEWERS), check("coverage", coverage, coverage == 1), check("complete reviewers", complete, complete == n)))).select("col.*")
+    overall = cast.agg(rate.alias("_rate")).select(check("overall", F.col("_rate"), F.col("_rate") >= OVERALL_RATE).alias("c")).select("c.*")
+    by = due.select("category").distinct().join(cast.groupBy("category").agg(rate.alias("value")), "category", "left")
+    categories = by.select(F.lit("category").alias("check"), "category", "value", F.coalesce(F.col("value") >= CATEGORY_RATE, F.lit(False)).alias("passed"))
+    return whole.unionAll(overall).unionAll(categories)
+
+
+# Fixed values of the acceptance: least pairs and categories; by metric the most losses (rate)
+# and the least mean improvement, overall and in a category, and the least rate of wins overall.
+# Other metrics take OTHERS, whose means are in units of their tie bands.
+PAIRS, CATEGORIES, WIN_RATE = 28, 7, {"vmaf_neg_mean": 0.60}
+MEAN_LIMITS = {"vmaf_neg_mean": ((0.10, 0.50), (0.25, -0.25)), "vmaf_neg_p05": ((0.25, -0.50), (0.25, None))}
+OTHERS = ((0.25, 0.0), (0.25, -0.5))
+
+
+def acceptance_slices(sources: DataFrame, compared: DataFrame, metrics: list[str]) -> DataFrame:
+    """Metrics of a comparison overall (category null) and by category: wins, losses, ties,
+    severe, applicable, expected and eligible pairs, and passed.
+
+    sources: fixture, category; a fixture once, its category not null. compared: fixture, metric,
+    outcome, improvement, tie_units, severe; a sound pair once a metric. A pair is eligible if it has any
+    row. A metric fails with a severe loss or outside its limits; one that nothing has passes
+    in a category and fails overall.
+    """
+    pairs = compared.join(sources.select("fixture", "category"), "fixture")
+    grouped = lambda df, keys, aggs: df.groupBy(*keys).agg(*aggs)
+    count = [F.count_if(F.col("outcome") == o).alias(name) for o, name in (("win", "wins"), ("loss", "losses"), ("tie", "ties"))]
+    found = [*count, F.count_if("severe").alias("severe"), F.count("*").alias("applicable"), F.avg("improvement").alias("_mean"), F.avg("tie_units").alias("_units")]
+    # Sums of the categories would add up to those of the whole but for the rounding of means.
+    tallied = grouped(pairs, ["category", "metric"], found).unionByName(grouped(pairs, ["metric"], found).withColumn("category", F.lit(None).cast("string")), allowMissingColumns=True)
+    eligible = pairs.select("fixture", "category").distinct()
+    sized = sources.groupBy("category").agg(F.count("*").alias("expected")).join(eligible.groupBy("category").agg(F.count("*").alias("eligible")), "category", "left").na.fill(0, ["eligible"])
+    sized = sized.unionByName(sized.agg(F.sum("expected").alias("expected"), F.sum("eligible").alias("eligible")).withColumn("category", F.lit(None).cast("string")).na.fill(0))
+    cells = sized.select("*", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    same = cells["category"].eqNullSafe(tallied["category"]) & (cells["metric"] == tallied["metric"])
+    both = cells.join(tallied, same, "left").select(cells["*"], *[tallied[c] for c in tallied.columns if c not in ("category", "metric")])
+    counts = ["wins", "losses", "ties", "severe", "applicable"]
+    both = both.na.fill(0, counts)
+    rate = lambda c: F.col(c).cast("double") / F.col("applicable")
+    own = F.lit(False)
+    for at, whole in ((0, True), (1, False)):
+        ok = F.lit(False)
+        for name in metrics:
+            losses, mean = MEAN_LIMITS.get(name, OTHERS)[at]
+            value = F.col("_mean" if name in MEAN_LIMITS else "_units")
+            this = (rate("losses") <= losses) & (F.lit(True) if mean is None else value >= mean)
+            if whole and name in WIN_RATE:
+                this = this & (rate("wins") >= WIN_RATE[name])
+            ok = F.when(F.col("metric") == name, this).otherwise(ok)
+        own = F.when(F.col("category").isNull() if whole else F.col("category").isNotNull(), ok).otherwise(own)
+    passed = F.when(F.col("applicable") == 0, F.col("category").isNotNull()).otherwise((F.col("severe") == 0) & F.coalesce(own, F.lit(False)))
+    return both.select("category", "metric", *counts, "expected", "eligible", passed.alias("passed"))
+
+
+def acceptance_violations(slices: DataFrame) -> DataFrame:
+    """What keeps the slices of a comparison from acceptance: rule, category, metric; no row, accepted."""
+    c, none = F.col, F.lit(None).cast("string")
+    row = lambda rule, category, metric: F.struct(F.lit(rule).alias("rule"), category.alias("category"), metric.alias("metric"))
+    overall, by = slices.where("category is null"), slices.where("category is not null")
+    sizes = overall.agg(F.max("expected").alias("_expected"), F.max("eligible").alias("_eligible"))
+    few = by.agg(F.countDistinct("category").alias("_n"))
+    rules = [
+        sizes.where(F.coalesce(c("_expected"), F.lit(0)) < PAIRS).select(row("pairs", none, none).alias("r")),
+        sizes.where(F.coalesce((c("_expected") == 0) | (c("_eligible") < c("_expected")), F.lit(True))).select(row("coverage", none, none).alias("r")),
+        few.where(c("_n") < CATEGORIES).select(row("categories", none, none).alias("r")),
+        overall.where(~c("passed")).select(row("overall", none, c("metric")).alias("r")),
+        by.groupBy("category").agg(F.every(c("passed") & (c("eligible") == c("expected"))).alias("_ok")).where(~c("_ok")).select(row("category", c("category"), none).alias("r")),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionAll(r)
+    return out.select("r.*")
+
+
+# Fixed values of delivery evidence: formats, largest width, frame rate, seconds and bytes, and
+# the aspect (width by height) of each policy; null: no limit. All policies are of revision 1.
+POLICIES = {
+    "qq_chat": (["gif"], 560, 18, None, 1.9, None),
+    "wechat_chat": (["gif"], 420, 15, None, 1.9, None),
+    "wechat_sticker": (["gif"], 240, 12, 3, 0.48, 1.0),
+    "feishu_chat": (["gif"], 560, 18, None, None, None),
+    "xiaohongshu_live": (["live_photo"], 1080, 30, 3, None, 3 / 4),
+    "douyin_live": (["live_photo"], 1080, 30, 3, None, 9 / 16),
+    "web_animation": (["webp", "gif"], 960, 24, None, None, None),
+    "web_transparent_ui": (["apng", "webp"], 960, 30, None, None, None),
+}
+REVISION, MAX_AGE_DAYS, ASPECT_ERROR = "1", 180, 0.01
+FORMATS, PLATFORMS = ("gif", "webp", "apng", "mp4", "live_photo"), ("windows", "macos", "ios", "android", "web")
+LIFECYCLE = ("send", "receiver_playback", "forward", "download", "reopen")
+
+
+def evidence_errors(records: DataFrame, now: Column) -> DataFrame:
+    """(bundle, place, code, field) of everything wrong with records of delivery evidence; a
+    bundle without a row is valid.
+
+    records: bundle, place, evidence_id, policy_id, policy_revision, tested_at (text), name,
+    version, os_version, platform, artifact_sha256, format, width, height, fps, duration_s,
+    size_bytes and the booleans LIFECYCLE. Of records of one sound id in a bundle the one of the
+    least place is no repetition. A null value breaks the rule of its field.
+    """
+    c = F.col
+    table = records.sparkSession.createDataFrame([(k, *v) for k, v in POLICIES.items()], "policy_id string, _formats array<string>, _width int, _fps int, _s int, _mb double, _aspect double")
+    plain = c("evidence_id").rlike("^[a-z0-9][a-z0-9._-]{2,127}$")
+    first = records.where(plain).groupBy("bundle", "evidence_id").agg(F.min("place").alias("_first"))
+    r = records.join(F.broadcast(table), "policy_id", "left").join(first, ["bundle", "evidence_id"], "left")
+    shaped = c("tested_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$")
+    at = F.when(shaped, F.try_to_timestamp("tested_at"))
+    held = lambda value, most: most.isNull() | value.isNull() | (value <= most)
+    positive = lambda n: (c(n) > 0) & (c(n) < float("inf"))
+    known = c("_formats").isNotNull()
+    ratio = c("width") / c("height")
+    rules = [
+        ("invalid_evidence_id", "evidence_id", plain),
+        ("duplicate_evidence_id", "evidence_id", c("_first").isNull() | (c("place") == c("_first"))),
+        ("unknown_policy_id", "policy_id", known),
+        ("policy_revision_mismatch", "policy_revision", known & (c("policy_revision") == REVISION)),
+        ("invalid_iso_date", "tested_at", at.isNotNull()),
+        ("future_date", "tested_at", at.isNull() | (at <= now)),
+        ("evidence_expired", "tested_at", at.isNull() | (at > now) | (F.unix_micros(now) - F.unix_micros(at) <= MAX_AGE_DAYS * 86_400_000_000)),
+        *[("invalid_string", n, c(n).rlike(r"\S")) for n in ("name", "version", "os_version")],
+        ("invalid_platform", "platform", c("platform").isin(*PLATFORMS)),
+        ("invalid_sha256", "artifact_sha256", c("artifact_sha256").rlike("^[a-f0-9]{64}$")),
+        ("invalid_format", "format", c("format").isin(*FORMATS)),
+        *[("invalid_positive_integer", n, positive(n) & (c(n) == F.floor(n))) for n in ("width", "height", "size_bytes")],
+        *[("invalid_positive_number", n, positive(n)) for n in ("fps", "duration_s")],
+        ("format_outside_policy", "format", ~known | F.array_contains("_formats", c("format"))),
+        ("width_exceeds_policy", "width", held(c("width"), c("_width"))),
+        ("fps_exceeds_policy", "fps", held(c("fps"), c("_fps"))),
+        ("duration_exceeds_policy", "duration_s", held(c("duration_s"), c("_s"))),
+        ("size_exceeds_policy", "size_bytes", held(c("size_bytes"), c("_mb") * 1024 * 1024)),
+        ("aspect_outside_policy", "width", c("_aspect").isNull() | ~F.coalesce((c("width") > 0) & (c("height") > 0), F.lit(False)) | (F.abs(ratio - c("_aspect")) / c("_aspect") <= ASPECT_ERROR)),
+        *[("lifecycle_incomplete", n, c(n)) for n in LIFECYCLE],
+    ]
+    wrong = [F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"))) for code, field, ok in rules]
+    return r.select("bundle", "place", F.explode(F.array_compact(F.array(*wrong))).alias("e")).select("bundle", "place", "e.*")

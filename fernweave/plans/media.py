@@ -75,21 +75,24 @@ def canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT page_id, url || ' task-' || page_id || 'x in /home/u' || page_id || '/a.gif, then task_id=' || page_id || ' at "C:\tmp\' || page_id || '.png"' AS t FROM pages)
-SELECT page_id, url || ' [task] in [path], then [task] at [path]' AS redacted FROM pages""")
+SELECT page_id, regexp_replace(url, '[a-zA-Z]:[/\\][^\s<>:"|?*]*', '[path]', 'g') || ' [task] in [path], then [task] at [path], [task] from [path] input=[path]; last [path]' AS redacted FROM pages""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and local paths replaced by marks."""
+    """Ids and local paths replaced by marks; the end of a scheme looks like a drive."""
     i = F.col("page_id").cast("string")
-    text = F.concat("url", F.lit(" task-"), i, F.lit("x in /home/u"), i, F.lit("/a.gif, then task_id="), i, F.lit(' at "C:\\tmp\\'), i, F.lit('.png"'))
-    return table(spark, sf_dir, "pages").select("page_id", M.redact(text).alias("redacted"))
+    said = [
+        "url", F.lit(" task-"), i, F.lit("x in /home/u"), i, F.lit("/a.gif, then task_id="), i, F.lit(' at "C:\\tmp\\'), i, F.lit('.png", APP_TASK_CANCELLED:'), i,
+        F.lit("-z from D:\\My Files\\"), i, F.lit(" b.gif input=e:/x/"), i, F.lit("; last f:\\a b\\c d.gif"),
+    ]
+    return table(spark, sf_dir, "pages").select("page_id", M.redact(F.concat(*said)).alias("redacted"))
 
 
 @query("""
-SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'disk-space' WHEN 1 THEN 'permission' WHEN 2 THEN 'dependency' WHEN 3 THEN 'output-path' WHEN 4 THEN 'input-media' WHEN 5 THEN 'cancelled' ELSE 'unknown' END AS category FROM pages""")
+SELECT page_id, CASE page_id % 13 % 7 WHEN 0 THEN 'disk-space' WHEN 1 THEN 'permission' WHEN 2 THEN 'dependency' WHEN 3 THEN 'output-path' WHEN 4 THEN 'input-media' WHEN 5 THEN 'cancelled' ELSE 'unknown' END AS category FROM pages""")
 def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failure texts by the first pattern that they have."""
+    """Failure texts by the first pattern that they have, in two languages."""
     said = ["No space left on device", "Access is denied", "ffmpeg: not found", "Output path does not exist", "Invalid data found when processing", "Operation was aborted", "strange"]
-    text = F.element_at(F.array(*map(F.lit, said)), (F.col("page_id") % 7 + 1).cast("int"))
+    said += ["磁盘空间不足", "没有权限", "转换组件", "输出路径 C 不存在", "素材已损坏", "任务已停止"]
+    text = F.element_at(F.array(*map(F.lit, said)), (F.col("page_id") % 13 + 1).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", M.failure_category(text).alias("category"))
 
 
@@ -124,15 +127,16 @@ def load_and_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT p_partkey AS id, (p_partkey % 11) / 10.0 AS a, (p_partkey % 7) / 6.0 AS b, (p_partkey % 5) / 50.0 AS c FROM part)
-SELECT id, round(greatest(0, least(1, a * 0.39 + b * 0.22 + c * 0.2 + a * 0.06 + b * 0.08 - c * 0.06)), 9) AS importance,
+SELECT id, round(greatest(0, least(1, CASE WHEN id % 2 = 0 THEN a * 0.39 + b * 0.22 + c * 0.2 + a * 0.06 + b * 0.08 - c * 0.06
+  ELSE a * 0.28 + c * 0.21 + b * 0.15 + a * 0.12 + b * 0.09 + (1 - c) * 0.08 - c * 0.07 END)), 9) AS importance,
  CASE WHEN b >= 0.18 AND (a >= 0.025 OR c >= 0.02) AND a <= 0.32 THEN 'skin_subject' WHEN c >= 0.08 AND a <= 0.38 AND b <= 0.20 THEN 'text_edge' WHEN c >= 0.012 THEN 'texture' WHEN a <= 0.08 AND c <= 0.05 THEN 'flat' ELSE 'texture' END AS region FROM s""")
 def frame_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance of frames and classes of regions."""
+    """Importance of frames, of an unknown focus too, and classes of regions."""
     p = F.col("p_partkey")
     s = table(spark, sf_dir, "part").select(p.alias("id"), ((p % 11) / 10.0).alias("a"), ((p % 7) / 6.0).alias("b"), ((p % 5) / 50.0).alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     signals = {"motion": a, "changed_area": b, "scene_change": c, "edge_text": a, "subject_saliency": b, "compression_cost": c, "noise": c, "skin_ratio": a}
-    return s.select("id", F.round(M.frame_importance(signals, F.lit("motion")), 9).alias("importance"), M.region_class(a, c, b, b, c).alias("region"))
+    return s.select("id", F.round(M.frame_importance(signals, F.when(F.col("id") % 2 == 0, "motion").otherwise("auto")), 9).alias("importance"), M.region_class(a, c, b, b, c).alias("region"))
 
 
 @query("""
