@@ -183,3 +183,47 @@ def banding(pixels: DataFrame, red: Column, green: Column, blue: Column) -> Data
     some = pixels.join(place.where(chosen).select(*FRAME), FRAME, "left_semi")
     scored = over_frames(packed(some, red, green, blue), lambda rgb, _: (frame_banding(rgb),), "score double")
     return scored.groupBy("clip").agg(F.count("*").alias("frames"), F.avg("score").alias("banding"))
+
+
+# Fixed value: a pixel with a neighbour further off than this lies on an edge and stays.
+EDGE = 24
+
+
+def _reused(threshold: int) -> Callable[[np.ndarray, np.ndarray], tuple]:
+    """A kernel that gives the number of changed pixels and all colours. A pixel waits for those
+    left of it and above it, so each diagonal is worked on at once."""
+
+    def kernel(rgb: np.ndarray, there: np.ndarray) -> tuple:
+        h, w = there.shape
+        calm = there.copy()
+        for dy, dx in ((0, -1), (0, 1), (-1, 0), (1, 0)):
+            far = np.abs(rgb - _shifted(rgb, dy, dx, 0)).max(axis=2)
+            calm &= _shifted(there, dy, dx, False) & (far <= EDGE)
+        out = rgb.copy()
+        for d in range(2, h + w - 3):
+            y = np.arange(max(1, d - w + 2), min(h - 2, d - 1) + 1)
+            y = y[calm[y, d - y]]
+            x = d - y
+            own, near = rgb[y, x], np.stack([out[y, x - 1], out[y - 1, x]])
+            far = np.abs(near - own).max(axis=2)
+            far = np.where((far > 0) & (far <= threshold), far, 256)
+            best = far.argmin(axis=0)
+            use = far[best, np.arange(len(y))] <= threshold
+            out[y[use], x[use]] = near[best[use], np.flatnonzero(use)]
+        changed = int((out != rgb).any(axis=2).sum())
+        packed_out = out[..., 0] << 16 | out[..., 1] << 8 | out[..., 2]
+        return changed, packed_out[there].astype(np.int32)
+
+    return kernel
+
+
+def reused_colours(frames: DataFrame, threshold: int) -> DataFrame:
+    """clip, frame, changed (pixels) and rgb, the colours of the frame's pixels by place, after
+    the reuse of neighbours' colours.
+
+    A pixel whose four neighbours are there and differ by at most EDGE in each channel takes the
+    closer of the colours that the pixels left and above have by then, the left one in a tie, if
+    it differs from its own by at most the threshold (below 256) in each channel. So no
+    error adds up along a run; borders of the frame, edges and pixels beside missing ones stay.
+    """
+    return over_frames(frames, _reused(threshold), "changed long, rgb array<int>")

@@ -334,3 +334,13 @@ def banding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = banding(large_pixels(spark, sf_dir), *map(F.col, "rgb"))
     return found.select("clip", "frames", F.round("banding", 9).alias("banding"))
+
+
+@query()
+def reused_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """neighbours' colours reused within a bound of 6, in frames of 64 by 64. Each pixel
+    follows those before it; a test holds it against a plain loop."""
+    from fernweave.operators.frames import packed, reused_colours
+
+    found = reused_colours(packed(large_pixels(spark, sf_dir), *map(F.col, "rgb")), 6)
+    return found.select("clip", "frame", "changed", F.size(F.array_distinct("rgb")).alias("colours"), F.sha2(F.array_join(F.col("rgb").cast("array<string>"), ","), 256).alias("sha256"))

@@ -107,3 +107,36 @@ def test_spatial_sums_of_large_frames_with_holes(spark):
         mid = [p for p in there if w // 4 <= p[1] < w - w // 4 and h // 4 <= p[0] < h - h // 4]
         want = {"pixels": len(there), "colours": len({tuple(v >> 4 for v in c) for c in there.values()}), "n_c": len(mid), "l_c": sum(l[p] for p in mid), "n_g": len(grad), "s_g": sum(grad.values()), "n_edge": sum(g >= pixels.EDGE for g in grad.values()), "ng_c": sum(p in grad for p in mid), "g_c": sum(grad.get(p, 0) for p in mid), "n_smooth": smooth, "n_steps": sum(map(len, near.values())), "s_lap": bend, "n_lap": len(inner)}
         assert {k: got[k] for k in want} == want
+
+
+def plain_reuse(pixels, w, h, threshold):
+    """pixels: place to colour; in reading order, against the original neighbours and the new ones before."""
+    apart = lambda a, b: max(abs(p - q) for p, q in zip(a, b, strict=True))
+    out = dict(pixels)
+    for y in range(h):
+        for x in range(w):
+            around = [(y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)]
+            if (y, x) not in pixels or any(n not in pixels or apart(pixels[n], pixels[y, x]) > 24 for n in around):
+                continue
+            own = pixels[y, x]
+            near = [out[n] for n in (around[0], around[2]) if 0 < apart(out[n], own) <= threshold]
+            if near:
+                out[y, x] = min(near, key=lambda c: apart(c, own))
+    return out
+
+
+def test_reuse_is_that_of_a_loop(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for frame, (w, h, threshold_like) in enumerate(((1, 1, 0), (3, 3, 2), (31, 17, 3), (16, 40, 8), (64, 64, 14))):
+        there = {(y, x): tuple(100 + rng.randrange(threshold_like + 1) + (60 if rng.random() < 0.01 else 0) for _ in range(3)) for y in range(h) for x in range(w) if rng.random() < 0.99 or (y, x) == (h - 1, w - 1)}
+        rows += [(0, frame, y, x, *c) for (y, x), c in there.items()]
+        want[frame] = (there, plain_reuse(there, w, h, 5))
+    df = spark.createDataFrame(rows, "clip int, frame int, y int, x int, r int, g int, b int").repartition(5)
+    got = X.reused_colours(X.packed(df, *map(F.col, "rgb")), 5).collect()
+    assert len(got) == len(want)
+    for r in got:
+        before, after = want[r.frame]
+        assert r.changed == sum(before[k] != after[k] for k in before)
+        assert r.rgb == [after[k][0] << 16 | after[k][1] << 8 | after[k][2] for k in sorted(after)]
+    assert sum(r.changed for r in got) > 100
