@@ -195,9 +195,9 @@ def adopt(candidate: Column, original: Column, control: Column, cap: Column, pas
     return F.struct(status.alias("status"), F.when(status == "adopted", candidate).otherwise(original).alias("bytes"))
 
 
-def first_fit(df: DataFrame, keys: list[str], size: str, cap: str, ladder: str, columns: list[str]) -> DataFrame:
-    """One row a key: the highest rung of the ladder that fits under the cap."""
-    return df.where(F.col(size) <= F.col(cap)).groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(ladder)).alias("_b")).select(*keys, "_b.*")
+def first_fit(df: DataFrame, keys: list[str], size: str, cap: str, ladder: str, seq: str, columns: list[str]) -> DataFrame:
+    """One row a key: the highest rung of the ladder that fits under the cap, the first of equal rungs."""
+    return preferred(df.where(F.col(size) <= F.col(cap)), keys, [F.col(ladder)], seq, columns, last_of_ties=False)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:

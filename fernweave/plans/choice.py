@@ -121,7 +121,7 @@ def adopt_or_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest rung of a ladder under a cap."""
     c = _candidates(spark, sf_dir).withColumn("cap", F.lit(14500)).withColumn("rung", F.col("colours") * 100000 + F.col("width") * 1000 + F.col("seq") % 1000)
-    return O.first_fit(c, ["k"], "bytes", "cap", "rung", ["seq", "rung"])
+    return O.first_fit(c, ["k"], "bytes", "cap", "rung", "seq", ["seq", "rung"])
 
 
 @query(f"""WITH {_CANDIDATES} SELECT seq, CASE WHEN bytes < 15000 THEN greatest(width, least(CAST(floor(width * sqrt(15000.0 / bytes) * 0.96) AS INT), 60)) ELSE width END AS grown,

@@ -279,3 +279,10 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError):
         reports.scratch(Cluster, "x")
+
+
+def test_the_first_of_equal_rungs_fits(spark):
+    rows = [("a", seq, 10, 20, 7) for seq in (9, 4, 6)] + [("a", 1, 30, 20, 8), ("b", 3, 20, 20, 1)]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: -r[1])):
+        df = spark.createDataFrame(order, "k string, seq long, bytes int, cap int, rung int").coalesce(1)
+        assert sorted(map(tuple, O.first_fit(df, ["k"], "bytes", "cap", "rung", "seq", ["seq", "rung"]).collect())) == [("a", 4, 7), ("b", 3, 1)]
