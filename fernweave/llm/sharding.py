@@ -16,7 +16,7 @@ from fernweave.llm.store import stored
 
 #: Bits of each dimension; steps of a size for each doubling.
 BITS, STEPS = 4, 16
-#: Distinct values of a dimension up to which each is ranked itself; of more, their first two bytes.
+#: Distinct values of a dimension whose cells are broadcast.
 VALUES = 100_000
 #: Most combinations of values whose cells are broadcast.
 COMBINATIONS = 200_000
@@ -54,19 +54,19 @@ def hilbert_index(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, down, lambda s: s["h"])
 
 
-def _leading(value: Column) -> Column:
-    """The first two bytes of a text's UTF-8, in hexadecimal: at most 65,792 values, in its order."""
-    return F.hex(F.substring(F.encode(value, "utf-8"), 1, 2))
-
-
 def _quantile_cells(sums: DataFrame, key: str, bits: int) -> DataFrame:
     """(key, cell): the cell in which the middle row of each value falls, when the rows are
-    cut into 2^bits runs in the order of values. sums: key and its count of rows `n`, with a
-    bounded number of keys (see VALUES), so they are ranked in one window; null comes first."""
+    cut into 2^bits runs in the order of values; null comes first. sums: key and its count of
+    rows `n`. Values, however many, are dealt into ranges, whose totals are summed up first."""
     by = sums.groupBy(key).agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    middle = by.select(key, (before + F.col("n") / 2).alias("m"), F.sum("n").over(W.partitionBy()).alias("all"))
-    return middle.select(key, F.least(F.lit((1 << bits) - 1), F.floor(F.col("m") * (1 << bits) / F.col("all"))).cast("int").alias("cell"))
+    ranged = stored(by.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "values")
+    totals = ranged.groupBy("_range").agg(F.sum("n").alias("_t"))  # a row a range
+    before = W.partitionBy().orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"), F.sum("_t").over(W.partitionBy()).alias("all"))
+    inside = W.partitionBy("_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    middle = F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("n") / 2
+    placed = ranged.join(F.broadcast(offsets), "_range").select(key, middle.alias("m"), "all")
+    return placed.select(key, F.least(F.lit((1 << bits) - 1), F.floor(F.col("m") * (1 << bits) / F.col("all"))).cast("int").alias("cell"))
 
 
 def curve_places(rows: DataFrame, bits: int) -> DataFrame:
@@ -75,14 +75,10 @@ def curve_places(rows: DataFrame, bits: int) -> DataFrame:
     sums = stored(rows.groupBy("source", "lang", "step").agg(F.count("*").alias("n")), "combinations")
     out = sums
     for c in ("source", "lang", "step"):
-        own = sums.select(c, "n").withColumn("_k", F.col(c))
-        if c != "step" and sums.select(c).distinct().count() > VALUES:
-            own = own.withColumn("_k", _leading(F.col(c)))
-            out = out.withColumn("_k", _leading(F.col(c)))
-        else:
-            out = out.withColumn("_k", F.col(c))
-        cells = _quantile_cells(own.select("_k", "n"), "_k", bits).withColumnRenamed("_k", "_key")
-        out = out.join(F.broadcast(cells), F.col("_k").eqNullSafe(F.col("_key"))).withColumnRenamed("cell", f"_{c}").drop("_k", "_key")
+        cells = stored(_quantile_cells(sums.select(c, "n"), c, bits), "cells").withColumnRenamed(c, "_key")
+        if cells.limit(VALUES + 1).count() <= VALUES:
+            cells = F.broadcast(cells)
+        out = out.join(cells, F.col(c).eqNullSafe(F.col("_key"))).withColumnRenamed("cell", f"_{c}").drop("_key")
     return stored(out.select("source", "lang", "step", hilbert_index(F.col("_source"), F.col("_lang"), F.col("_step"), bits).alias("curve")), "curve")
 
 

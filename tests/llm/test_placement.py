@@ -376,3 +376,14 @@ def test_names_without_an_entry_are_not_joined(spark, monkeypatch):
     held = spark.createDataFrame([("h7.com", 1)], "domain string, x int")
     left, _ = U.listed_names(both, held)
     assert left.where("domain = 'com'").count() == 0 and left.count() == 1000
+
+
+def test_cells_do_not_depend_on_how_many_values_there_are(spark, monkeypatch):
+    rows = [(f"host{i:03d}", "en", i % 5) for i in range(300) for _ in range(1 + i % 3)] + [(None, None, 1)]
+    df = spark.createDataFrame(rows, "source string, lang string, step int").repartition(7)
+    some = sorted(map(str, S.curve_places(df, 4).collect()))
+    cells = quantile_cells([r[0] for r in rows], 4)
+    sums = df.groupBy("source").agg(F.count("*").alias("n"))
+    assert {r.source: r.cell for r in S._quantile_cells(sums, "source", 4).collect()} == cells and len(set(cells.values())) == 16
+    monkeypatch.setattr(S, "VALUES", 2)
+    assert sorted(map(str, S.curve_places(df, 4).collect())) == some
