@@ -234,3 +234,34 @@ def test_features_of_rows_do_not_depend_on_neighbours():
 def test_words_are_counted_once_for_each_partition_count(docs):
     total = lambda d: sorted((bytes(r.word), r.c) for r in L.word_counts(d).collect())
     assert total(docs) == total(docs.coalesce(1)) and total(docs.where(F.lit(False))) == []
+
+
+def test_every_label_and_every_pair_teaches(spark):
+    """More labelled rows than were once read, against the same fit in one process."""
+    rng = np.random.default_rng(5)
+    n = 22_000
+    y = (rng.random(n) < 0.7).astype(int)
+    words = rng.integers(0, 9, n)
+    texts = [("Aa!| #9" * (1 + (i % 3)) if not k or i % 7 == 0 else "some plain words " * (1 + int(m))) + " x" * (i % 11) for i, (k, m) in enumerate(zip(y, words, strict=True))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)], "doc_id long, quality int")
+    own = np.array([i for i in range(n) if not held(i, 5)])
+    rows = Q.labelled_features(docs, labels, "doc_id", "text", "quality")
+    assert rows.count() == len(own)
+    whole = Q.fit_ranking(Q.features(pa.array([texts[i] for i in own])), y[own])
+    found = Q.learn_quality(docs, labels)
+    assert np.allclose(found.weights, whole.weights, atol=1e-6) and abs(found.threshold - whole.threshold) < 1e-6
+
+
+def test_sums_over_cells_are_sums_over_pairs():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 4)) * [1, 2, 5, 0.3]
+    y = (x[:, 0] + rng.standard_normal(300) > 0.4).astype(int)
+    w = np.array([0.4, -1.2, 0.8, 2.0])
+    d = (x[y == 1][:, None, :] - x[y == 0][None, :, :]).reshape(-1, 4)
+    p = 1 / (1 + np.exp(d @ w))
+    want = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(4), d.T @ p / len(d) - 1e-3 * w)
+    assert np.allclose(Q._step(Q.pair_sums(x, y, w), w, 1e-3), want, rtol=1e-8, atol=1e-9)
+    parts = [Q.pair_sums(x[i::3], y[i::3], w) for i in range(3)]
+    added = {k: sum(q[k] for q in parts if k in q) for q0 in parts for k in q0}
+    assert np.allclose(Q._step(added, w, 1e-3), want, rtol=1e-8, atol=1e-9)
