@@ -83,8 +83,9 @@ def best_observation(df: DataFrame, keys: list[str], size: str, target: str, win
 
 
 #: Values of a dimension are cut so that a key has about so many cells; rows of a cell that one
-#: task compares at once before the cell is put together; rows of a block of comparisons.
-CELLS, PART, BLOCK = 1024, 1 << 15, 512
+#: task compares at once before the cell is put together; rows of a block of comparisons;
+#: survivors of cells that meet others together.
+CELLS, PART, BLOCK, MET = 1024, 1 << 15, 512, 4096
 
 
 def _dominated(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], fea
     bounds between like numbers of values, unless one task compares it all. A cell that lies beyond an occupied one in every
     dimension goes as a whole; the others keep their local skylines, large cells in parts first.
     A survivor then meets those of the cells that are not beyond its own in any dimension: the
-    only ones that could dominate it.
+    only ones that could dominate it. They meet in blocks of cells of about MET survivors.
     """
     df = df if feasible is None else df.where(feasible)
     values = [*low, *high]
@@ -145,7 +146,7 @@ def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], fea
     pairs = written(joined(cells, other, keys).where(every("_other", "_cell", False)), "cells")
     beyond = pairs.where(every("_other", "_cell", True)).select(*keys, "_cell").distinct()
     open_ = joined(cells, beyond, [*keys, "_cell"], "left_anti")
-    alive = joined(celled, open_, [*keys, "_cell"]).withColumn("_part", F.pmod(F.xxhash64("_v"), F.ceil(F.col("_n") / PART)).cast("int")).drop("_n")
+    alive = joined(celled, open_, [*keys, "_cell"]).withColumn("_part", F.pmod(F.xxhash64("_v"), F.ceil(F.col("_n") / PART)).cast("int")).withColumn("_several", F.col("_n") > PART).drop("_n")
     schema = alive.schema
 
     def local(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -156,13 +157,23 @@ def skyline(df: DataFrame, keys: list[str], low: list[str], high: list[str], fea
             return own.iloc[:0]
         return own[_dominated(np.array(own["_v"].tolist(), dtype=float), np.array(others["_v"].tolist(), dtype=float))]
 
-    parts = alive.groupBy(*keys, "_cell", "_part").applyInPandas(local, schema)
-    whole = written(parts.groupBy(*keys, "_cell").applyInPandas(local, schema).drop("_part"), "survivors")
-    held = whole.select(*keys, "_cell").distinct()
-    meet = joined(joined(pairs.where("_cell <> _other").select(*keys, "_cell", "_other"), held, [*keys, "_cell"], "left_semi"), held.withColumnRenamed("_cell", "_other"), [*keys, "_other"], "left_semi")
-    tested = joined(whole, meet, [*keys, "_cell"])
-    testing = joined(whole.withColumnRenamed("_cell", "_other"), meet, [*keys, "_other"]).select(*tested.columns).toDF(*tested.columns)
-    unit = [*keys, "_cell", "_other"]
+    parts = written(alive.groupBy(*keys, "_cell", "_part").applyInPandas(local, schema), "parts")
+    together = parts.where("_several").groupBy(*keys, "_cell").applyInPandas(local, schema)
+    whole = written(parts.where("not _several").union(together).drop("_part", "_several"), "survivors")
+    # Survivors are put together to blocks, so that blocks meet, not the many small cells.
+    held = whole.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    ahead = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # a row a cell
+    block = F.floor(F.coalesce(F.sum("_n").over(ahead), F.lit(0)) / MET).cast("long")
+    subs = F.when(F.col("_n") > MET, F.ceil(F.col("_n") / MET)).otherwise(1).cast("int")
+    blocks = written(held.select(*keys, "_cell", block.alias("_at"), subs.alias("_subs")), "blocks")
+    deal = lambda side: joined(side, blocks, [*keys, "_cell"]).withColumn("_block", F.array("_at", F.pmod(F.xxhash64("_v"), F.col("_subs"))))
+    dealt = written(deal(whole).drop("_at", "_subs", "_cell"), "dealt")
+    parts_of = lambda name: blocks.select(*keys, F.col("_cell").alias(name), F.explode(F.transform(F.sequence(F.lit(0), F.col("_subs") - 1), lambda i: F.array("_at", i.cast("long")))).alias(f"{name}_block"))
+    near = joined(joined(pairs.where("_cell <> _other").select(*keys, "_cell", "_other"), parts_of("_cell"), [*keys, "_cell"]), parts_of("_other"), [*keys, "_other"])
+    meet = near.select(*keys, F.col("_cell_block").alias("_block"), F.col("_other_block").alias("_with")).distinct()
+    tested = joined(dealt, meet, [*keys, "_block"])
+    testing = joined(dealt.withColumnRenamed("_block", "_with"), meet, [*keys, "_with"]).select(*tested.columns).toDF(*tested.columns)
+    unit = [*keys, "_block", "_with"]
     gone = tested.groupBy(*unit).cogroup(testing.groupBy(*unit)).applyInPandas(met, tested.schema).select(*keys, *values).distinct()
     kept = joined(whole.select(*keys, *values), gone, [*keys, *values], "left_anti")
     return joined(df.where(some), kept, [*keys, *values], "left_semi").union(df.where(~some))

@@ -286,3 +286,18 @@ def test_the_first_of_equal_rungs_fits(spark):
     for order in (rows, rows[::-1], sorted(rows, key=lambda r: -r[1])):
         df = spark.createDataFrame(order, "k string, seq long, bytes int, cap int, rung int").coalesce(1)
         assert sorted(map(tuple, O.first_fit(df, ["k"], "bytes", "cap", "rung", "seq", ["seq", "rung"]).collect())) == [("a", 4, 7), ("b", 3, 1)]
+
+
+@pytest.mark.parametrize("met", [100, 4096])
+def test_cells_meet_in_blocks(spark, monkeypatch, met):
+    monkeypatch.setattr(O, "PART", 64)
+    monkeypatch.setattr(O, "MET", met)
+    joins, real = [], O.joined
+    monkeypatch.setattr(O, "joined", lambda left, right, *more: joins.append(right) or real(left, right, *more))
+    rng = random.Random(3)
+    rows = sorted({("a", *(rng.randrange(60) for _ in range(4))) for _ in range(800)}) + [("b", 1, 2, 3, 4), ("b", 2, 1, 3, 4), ("b", 2, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "k string, w int, x int, y int, z int")
+    got = sorted(map(tuple, O.skyline(df, ["k"], ["w", "x", "y", "z"], []).collect()))
+    assert got == sorted((k, *r) for k in "ab" for r in plain_skyline({x[1:] for x in rows if x[0] == k}))
+    meetings = [d for d in joins if "_with" in d.columns][0]
+    assert met == 100 or meetings.count() == 1  # one a key of several cells, not one a pair of cells
