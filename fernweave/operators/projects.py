@@ -2,10 +2,10 @@
 
 A project is a row of `projects`; assets, clips, layers and keyframes are rows of their own
 tables with its key. No rule gathers a project: limits are counts, references are joins on
-(project, id), and neighbours of an ordered list are joined on their place.
+(project, id), and only a layer's keyframes are put in order.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fernweave.functions.scalar import file_kind
 
@@ -32,11 +32,19 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _steps(rows: DataFrame, keys: list[str], place: str, time: str) -> DataFrame:
-    """rows with `_last`, the time of the row one place before; joined on the place, so a list
-    of any length spreads over tasks."""
-    before = rows.select(*keys, (F.col(place) + 1).alias(place), F.col(time).alias("_last"))
-    return rows.join(before, [*keys, place], "left")
+def _keyed(keyframes: DataFrame, layers: DataFrame) -> DataFrame:
+    """keyframes with `_last`, the time at the place before, `_span`, the longest layer of their
+    id, and in the first row of each layer `_n`, how many it has; a row without a keyframe
+    (`_key` null) stands for each layer. All come of one exchange and one order: lists are
+    short, and longer ones spill."""
+    own = W.partitionBy("project", "layer_id")
+    rows = keyframes.select("project", "layer_id", "place", "time_us", F.lit(None).cast("long").alias("_us"), F.lit(True).alias("_key"))
+    ends = layers.select("project", F.col("id").alias("layer_id"), F.lit(None).alias("place"), F.lit(None).alias("time_us"), (F.col("end_us") - F.col("start_us")).alias("_us"), F.lit(None).alias("_key"))
+    along = own.orderBy("place")
+    first = F.when(F.row_number().over(along) == 1, F.count("_key").over(own))
+    there = lambda v: F.when(F.col("project").isNotNull() & F.col("layer_id").isNotNull(), v)
+    last = F.when(F.col("place").isNotNull(), F.max("time_us").over(along.rangeBetween(-1, -1)))
+    return rows.unionAll(ends).select("*", there(last).alias("_last"), there(F.max("_us").over(own)).alias("_span"), first.alias("_n"))
 
 
 def clip_duration(clip: dict[str, Column]) -> Column:
@@ -82,50 +90,55 @@ def project_violations(projects: DataFrame, assets: DataFrame, clips: DataFrame,
         },
     )
     known = assets.groupBy("project", c("id").alias("asset_id")).agg(F.max(F.struct("kind", "duration_us")).alias("_asset"))
-    timed = clips.join(known, ["project", "asset_id"], "left").withColumn("_us", clip_duration({n: c(n) for n in ("hold_us", "duration_us", "in_us", "out_us", "rate")}))
+    timed = clips.withColumn("_us", clip_duration({n: c(n) for n in ("hold_us", "duration_us", "in_us", "out_us", "rate")}))
     there, held = c("_asset").isNotNull(), F.coalesce(c("hold_us") > 0, F.lit(False))
     of_clips = _broken(
         timed,
         "id",
         {
-            "clip.asset": there,
             "clip.times": c("in_us").between(0, SOURCE_US) & c("out_us").between(0, SOURCE_US) & (c("hold_us") >= 0),
             "clip.range": (c("out_us") > c("in_us")) | (held & (c("out_us") == c("in_us"))),
             "clip.rate": c("rate").between(0.05, 16),
             "clip.duration": c("_us") >= 1,
             "clip.fit": c("fit").isin("contain", "cover"),
+        },
+    )
+    # Only what the asset decides meets it.
+    of_sources = _broken(
+        clips.select("project", "asset_id", "id", "in_us", "out_us").join(known, ["project", "asset_id"], "left"),
+        "id",
+        {
+            "clip.asset": there,
             "clip.source": ~there | (c("_asset.kind") == "image") | ((c("out_us") <= c("_asset.duration_us")) & (c("in_us") < c("_asset.duration_us"))),
         },
     )
     total = timed.groupBy("project").agg(F.sum("_us").alias("_total"))
     too_long = _broken(total, "_total", {"project.duration": c("_total") <= PROJECT_US})
-    seen = layers.join(known, ["project", "asset_id"], "left")
     media, text = c("kind") == "media", c("kind") == "text"
     of_layers = _broken(
-        seen,
+        layers,
         "id",
         {
             "layer.kind": media | text,
             "layer.times": c("start_us").between(0, PROJECT_US) & c("end_us").between(1, PROJECT_US) & (c("end_us") > c("start_us")),
-            "layer.asset": ~media | c("_asset").isNotNull(),
             "layer.width": ~media | c("width").between(0.01, 2),
             "layer.text": ~text | (c("font_size").between(1, 512) & c("stroke_width").between(0, 32) & c("colour").rlike(COLOUR)),
         },
     )
-    spans = layers.groupBy("project", c("id").alias("layer_id")).agg(F.max(c("end_us") - c("start_us")).alias("_span"))
-    keys = _steps(keyframes, ["project", "layer_id"], "place", "time_us").join(spans, ["project", "layer_id"], "left")
-    of_keys = _broken(
-        keys,
-        "layer_id",
-        {
-            "keyframe.time": c("time_us").between(0, c("_span")),
-            "keyframe.order": (c("place") == 0) | (c("time_us") > c("_last")),
-        },
+    shown = layers.where(F.coalesce(media, F.lit(True))).select("project", "asset_id", "id").join(known, ["project", "asset_id"], "left")
+    of_shown = _broken(shown, "id", {"layer.asset": there})
+    keys, broken = _keyed(keyframes, layers), lambda ok: c("_key") & ~F.coalesce(ok, F.lit(False))
+    told = lambda fails, name, detail: F.when(fails, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
+    three = F.array(
+        told(broken(c("time_us").between(0, c("_span"))), "keyframe.time", c("layer_id")),
+        told(broken((c("place") == 0) | (c("time_us") > c("_last"))), "keyframe.order", c("layer_id")),
+        told(c("_n") > LIMITS["keyframes"], "too many keyframes", c("_n")),
     )
-    tables = {"assets": (assets, ["project"]), "clips": (clips, ["project"]), "layers": (layers, ["project"]), "keyframes": (keyframes, ["project", "layer_id"])}
-    found = [own, of_assets, of_clips, too_long, of_layers, of_keys]
-    for name, (rows, by) in tables.items():
-        found.append(_broken(rows.groupBy(*by).agg(F.count("*").alias("_n")), "_n", {f"too many {name}": c("_n") <= LIMITS[name]}))
+    of_keys = keys.select("project", F.inline(F.array_compact(three)))
+    tables = {"assets": assets, "clips": clips, "layers": layers}
+    found = [own, of_assets, of_clips, of_sources, too_long, of_layers, of_shown, of_keys]
+    for name, rows in tables.items():
+        found.append(_broken(rows.groupBy("project").agg(F.count("*").alias("_n")), "_n", {f"too many {name}": c("_n") <= LIMITS[name]}))
     ids = assets.select("project", "id").unionAll(clips.select("project", "id")).unionAll(layers.select("project", "id"))
     found.append(_broken(ids, "id", {"id.empty": F.col("id").rlike(r"\S")}))
     found.append(_broken(ids.groupBy("project", "id").agg(F.count("*").alias("_n")), "id", {"id.repeated": c("_n") == 1}))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from fernweave.operators import edits as E, projects as P
 from fernweave.plans.registry import query, table
+from fernweave.sources.shared import written
 
 # A tenth of the orders is one large project. The columns hold some value that breaks each rule.
 _LINES = """
@@ -33,7 +34,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    orders, lines = table(spark, sf_dir, "orders"), _lines(spark, sf_dir)
+    orders, lines = table(spark, sf_dir, "orders"), written(_lines(spark, sf_dir), "lines")
     made = {"projects": spark.sql(_PROJECTS.replace("FROM orders", "FROM {o}"), o=orders)}
     for name, text in {"assets": _ASSETS, "clips": _CLIPS, "layers": _LAYERS}.items():
         made[name] = spark.sql(text.replace("FROM l", "FROM {l}"), l=lines)

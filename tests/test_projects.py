@@ -1,5 +1,7 @@
 """Project tables: every rule by one small case, nulls, and the sound project that breaks none."""
 
+import re
+
 from fernweave.operators import projects as P
 
 SCHEMAS = {
@@ -78,3 +80,17 @@ def test_layers_and_files(spark):
     assert [(r.path, r.width) for r in P.relinked_assets(t["assets"], other).collect()] == [("C:/a.gif", 10)]
     paths = spark.createDataFrame([(1, 0, "d:/n/B.png"), (1, 1, "c:\\A.gif"), (1, 2, "x")], "project long, place int, path string")
     assert sorted((r.place, r.path) for r in P.replaced_paths(paths, plans).collect()) == [(0, "d:/n/B.png"), (2, "x")]
+
+
+def test_keyframes_are_dealt_out_once(spark):
+    """One exchange of keyframes serves their order, their layers' lengths and their number."""
+    rows = {name: [] for name in SCHEMAS} | {
+        "layers": [(1, "l", "text", 0, 50, None, None, 9.0, 1.0, "#00ff00", True), (1, "l", "text", 0, 80, None, None, 9.0, 1.0, "#00ff00", True)],
+        "keyframes": [(1, "l", 2, 30), (1, "l", 0, 0), (1, "l", 1, 30), (1, "l", 3, 81), (1, "l", 5, 82), (1, "x", 0, 0), (1, None, 0, 0), (None, "l", 0, 0), (1, "l", None, 40)],
+    }
+    found = P.project_violations(**frames(spark, rows))
+    got = sorted(((r.project, r.rule, r.detail) for r in found.collect() if r.rule.startswith("keyframe")), key=str)
+    late, order = [(1, "keyframe.time", "l")] * 2, [(1, "keyframe.order", "l")] * 3  # places 3 and 5; places 2, 5 and none
+    assert got == sorted([*late, *order, (1, "keyframe.time", "x"), (1, "keyframe.time", None), (None, "keyframe.time", "l")], key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(project#\d+L?, layer_id", plan.split("Initial Plan")[0])) == 1
