@@ -140,3 +140,19 @@ def test_reuse_is_that_of_a_loop(spark):
         assert r.changed == sum(before[k] != after[k] for k in before)
         assert r.rgb == [after[k][0] << 16 | after[k][1] << 8 | after[k][2] for k in sorted(after)]
     assert sum(r.changed for r in got) > 100
+
+
+def test_levels_of_all_neighbours_are_counted_at_once(monkeypatch):
+    """No shifted copies for each of 25 neighbours; the counts of a plain loop."""
+    monkeypatch.setattr(X, "_shifted", None)
+    rng = np.random.default_rng(2)
+    for shape in ((9, 7), (1, 4), (16, 16)):
+        image, flat = rng.integers(400, 408, shape), rng.random(shape) < 0.7
+        values = []
+        for y, x in np.ndindex(shape):
+            near = [int(image[j, i] - image[y, x]) for j in range(max(y - 2, 0), min(y + 3, shape[0])) for i in range(max(x - 2, 0), min(x + 3, shape[1])) if flat[j, i]]
+            same, n = near.count(0), [max(near.count(-k), near.count(k)) for k in range(1, 5)]
+            seen = [k for k in range(1, 5) if n[k - 1] and image[y, x] <= X.VISIBLE[k - 1] and flat[y, x]]
+            values.append(max((k * same * n[k - 1] / (same + n[k - 1]) for k in seen), default=0.0))
+        pooled = max(len(values) * 3 // 5, 1)
+        assert abs(X._steps(image, flat) - sum(sorted(values)[::-1][:pooled]) / pooled / 25) < 1e-12
