@@ -156,3 +156,16 @@ def test_levels_of_all_neighbours_are_counted_at_once(monkeypatch):
             values.append(max((k * same * n[k - 1] / (same + n[k - 1]) for k in seen), default=0.0))
         pooled = max(len(values) * 3 // 5, 1)
         assert abs(X._steps(image, flat) - sum(sorted(values)[::-1][:pooled]) / pooled / 25) < 1e-12
+
+
+def test_a_pixel_crosses_the_shuffle_as_one_number(spark):
+    """The largest places, channels beyond 255 and none at all; a missing frame has no row."""
+    rows = [(1, 0, 0, 65_535, 255, 0, 7), (1, 0, 2, 0, 40_000, 3, 0), (1, 1, 40_000, 1, 0, 0, 0), (2, 0, 1, 1, 1, 2, 300)]
+    df = spark.createDataFrame(rows, "clip long, frame int, y int, x int, r int, g int, b int")
+    found = X.packed(df, *map(F.col, "rgb"))
+    got = {(r.clip, r.frame): (r.width, r.height, sorted(zip(r.at, r.rgb, strict=True))) for r in found.collect()}
+    wide = (40_000 << 16 | 3 << 8) - (1 << 32)  # as a 32-bit number
+    assert got == {(1, 0): (65_536, 3, [(65_535, 255 << 16 | 7), (131_072, wide)]), (1, 1): (2, 40_001, [(80_001, 0)]), (2, 0): (2, 2, [(3, 1 << 16 | 2 << 8 | 300)])}
+    assert "struct" not in found._jdf.queryExecution().analyzed().toString() and found.schema["rgb"].dataType.simpleString() == "array<int>"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(_p" in plan
