@@ -4,12 +4,15 @@ Of a history, where its pointer stands and how long it is decide all that an act
 most depth + 1 lengths and places, and the history before the first commit. So a stretch of a
 log is a function on those states, made without knowing the stretch before; functions of a
 project's stretches are put together in order, which says where each one begins, and then all
-run at once. A commit writes its revision to a slot, numbered from the project's first one;
+run at once, in one pass over each partition's ordered rows. A commit writes its revision to a slot, numbered from the project's first one;
 the current revision is the last one written to the slot that the pointer ends on.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fernweave.functions.quantiles import cell_of, joined, measured
@@ -58,8 +61,9 @@ def history_state(log: DataFrame, depth: int = 100, stretch: int = STRETCH) -> D
     kind = log.schema["project"].dataType.simpleString()
     own = log.where("seq is not null").select("project", "seq", "action", F.col("revision").cast("bigint").alias("revision"))
     own = written(own.withColumn("_w", F.lit(1)), "log")
-    sizes = measured(own, ["project"], "seq")
-    cut = written(joined(own, sizes, ["project"]).withColumn("cell", cell_of("seq", stretch)).select("project", "cell", "seq", "action", "revision"), "stretches")
+    long = own.groupBy("project").agg(F.count("*").alias("_n")).where(F.col("_n") > stretch).select("project")
+    sizes = measured(joined(own, long, ["project"], "left_semi"), ["project"], "seq")  # only of logs that are cut
+    cut = written(joined(own, sizes, ["project"], "left").withColumn("cell", cell_of("seq", stretch)).select("project", "cell", "seq", "action", "revision"), "stretches")
     cells = written(cut.groupBy("project").agg(F.max("cell").alias("last"), F.count_distinct("cell").alias("cells")), "cells")
     along = ["seq", "action", "revision"]
 
@@ -82,21 +86,46 @@ def history_state(log: DataFrame, depth: int = 100, stretch: int = STRETCH) -> D
     alone = cells.where("cells = 1").select("project", F.col("last").alias("cell"), F.lit(0).alias("place"), F.lit(-1).alias("length"), F.lit(0).cast("bigint").alias("base"))
     starts = written(starts.union(alone), "starts")
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(along)
-        first = group.iloc[0]
-        place, length, base, slots = stepped(group["action"].tolist(), np.array([first["place"]]), np.array([first["length"]]), depth)
-        begun = int(first["base"])
-        wrote = pd.DataFrame({"slot": slots + begun, "seq": group["seq"].to_numpy(), "revision": group["revision"].to_numpy()})[slots >= 0]
-        wrote = wrote.drop_duplicates("slot", keep="last").assign(undoable=None, redoable=None)
-        end = pd.DataFrame({"slot": [begun + int(base[0]) + int(place[0]) if length[0] >= 0 else -1], "seq": [None], "revision": [None], "undoable": [int(place[0])], "redoable": [max(int(length[0]) - int(place[0]), 0)]})
-        out = pd.concat([wrote.astype(object), end.astype(object)], ignore_index=True)
-        out.insert(0, "project", key[0])
-        out.insert(1, "cell", key[1])
-        return out.convert_dtypes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ends and writes of stretches that follow each other, whose rows are in order. Slots
+        before where a history then begins are out of reach of all that follows."""
+        key = kinds = place = length = base = None
+        wrote, out = {}, []
+
+        def end() -> None:
+            out.append((*key, base + place if length >= 0 else -1, None, None, place, max(length - place, 0)))
+            out.extend((*key, slot, *last, None, None) for slot, last in wrote.items() if slot >= base)
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+        for batch in batches:
+            kinds = {"project": batch.schema.field("project").type, "cell": pa.int32(), "slot": pa.int64(), "seq": pa.int64(), "revision": pa.int64(), "undoable": pa.int32(), "redoable": pa.int32()}
+            columns = (batch.column(c).to_pylist() for c in ("project", "cell", "seq", "action", "revision", "place", "length", "base"))
+            for project, cell, seq, action, revision, *start in zip(*columns, strict=True):
+                if (project, cell) != key:
+                    if key is not None:
+                        end()
+                    key, wrote, (place, length, base) = (project, cell), {}, start
+                if action == "commit":
+                    base += place == depth
+                    place = 0 if length < 0 else min(place + 1, depth)
+                    length = place
+                    wrote[base + place] = (seq, revision)
+                elif action == "undo":
+                    place = max(place - 1, 0)
+                elif action == "redo":
+                    place = max(min(place + 1, length), 0)
+            yield told()
+            out.clear()
+        if key is not None:
+            end()
+            yield told()
 
     found = f"project {kind}, cell int, slot bigint, seq bigint, revision bigint, undoable int, redoable int"
-    ran = written(joined(cut, starts, ["project", "cell"]).groupBy("project", "cell").applyInPandas(run, found), "ran")
+    dealt = joined(cut, starts, ["project", "cell"]).repartition("project", "cell").sortWithinPartitions("project", "cell", "seq", F.asc_nulls_last("action"), F.asc_nulls_last("revision"))
+    ran = written(dealt.select("project", "cell", "seq", "action", "revision", "place", "length", "base").mapInArrow(run, found), "ran")
     ends = joined(ran.where("undoable is not null"), cells.select("project", F.col("last").alias("cell")), ["project", "cell"], "left_semi")
     ends = ends.select("project", "slot", "undoable", "redoable")
     writes = ran.where("undoable is null").select("project", "slot", "seq", "revision")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import media as M
 from fernweave.operators import edits as E, pixels as X, schedule as C, search as R
+from fernweave.functions import quantiles
+from fernweave.operators import history
 from fernweave.operators.history import history_state
 from fernweave.sources import documents as SD, reports as SR
 
@@ -162,6 +164,18 @@ def test_history_by_any_stretches_is_that_of_a_fold(spark, depth, stretch):
     assert got == {p: plain_history([x[1:] for x in log if x[0] == p], depth) for p in {x[0] for x in log}}
 
 
+def test_many_short_logs_meet_in_batches(spark, monkeypatch):
+    """No call of Python a project where logs are short, and no bounds of logs that are not cut."""
+    measured = []
+    monkeypatch.setattr(history, "measured", lambda held, *more: measured.append(held.count()) or quantiles.measured(held, *more))
+    log = [(p, i, ("commit", "commit", "undo", "redo", "undo")[(p + i) % 5], 10 * p + i) for p in range(300) for i in range(p % 9 + 1)]
+    log += [(-1, i, "commit" if i % 3 else "undo", i) for i in range(60)] + [(7, 99, "commit", None)]
+    df = spark.createDataFrame(log, "project int, seq int, action string, revision int").repartition(3)
+    got = {r.project: tuple(r)[1:] for r in history_state(df, 4, 50).collect()}
+    assert measured == [60]
+    assert got == {p: plain_history(sorted(x[1:] for x in log if x[0] == p), 4) for p in {x[0] for x in log}}
+
+
 def test_split_near_an_end_holds_the_shorter_part(spark):
     clips = spark.createDataFrame([(1, 0, "a", 100, 103, 0.001, False, 0, None)], "project int, pos int, id string, in_us long, out_us long, rate double, reverse boolean, hold_us long, duration_us long")
     cut = E.split_clips(clips, spark.createDataFrame([(1, 10)], "project int, at_us long"))
