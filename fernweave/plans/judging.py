@@ -247,7 +247,7 @@ def quality_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
 
     def measure(asked: DataFrame) -> DataFrame:
-        return asked.join(parts, F.col("search") == F.col("p_partkey")).selectExpr("search", "quality", "mode", f"{_BYTES} AS bytes")
+        return asked.join(parts.hint("merge"), F.col("search") == F.col("p_partkey")).selectExpr("search", "quality", "mode", f"{_BYTES} AS bytes")
 
     found = R.quality_search(parts.select(F.col("p_partkey").alias("search"), (8000 + F.col("p_size") * 600).alias("target")), measure)
     return found.withColumn("delta", F.round("delta", 9))

@@ -119,6 +119,16 @@ def test_next_candidates_of_orders(spark, sf):
         assert {r.search: tuple(r)[1:-1] for r in found if r.symmetric == symmetric} == by_loops(rows, ATTEMPTS, TOLERANCE, symmetric)
 
 
+def test_no_table_of_all_searches_is_sent_to_the_driver(spark, monkeypatch):
+    plans, real = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    sizes = spark.range(40).selectExpr("cast(id as int) AS search", "explode(sequence(1, 100)) AS quality", "explode(array('default', 'extra')) AS mode").selectExpr("*", "cast(90 * quality + search AS long) AS bytes")
+    found = R.quality_search(spark.range(40).selectExpr("cast(id as int) AS search", "200 * id AS target"), lambda rows: rows.join(sizes.hint("merge"), ["search", "quality", "mode"]))
+    assert found.count() == 40
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
 def test_no_quality_is_measured_twice_and_gaps_end_a_search(spark):
     """Sizes of a table with holes: each setting is asked for once, against a loop a search."""
     rng = random.Random(3)
