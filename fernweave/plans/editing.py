@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from fernweave.operators import edits as E
 from fernweave.operators.history import history_state
 from fernweave.plans.registry import query, table
+from fernweave.sources.shared import written
 
 _CLIPS = """c0 AS (SELECT o_custkey AS project, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS pos, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 50 * 10000 AS in_us, o_orderkey % 50 * 10000 + 100000 + o_orderkey % 97 * 1000 AS out_us,
  CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 0.5 END::DOUBLE AS rate, o_orderkey % 4 = 0 AS reverse, CASE WHEN o_orderkey % 5 = 0 THEN 50000 ELSE 0 END::BIGINT AS hold_us, CASE WHEN o_orderkey % 11 = 0 THEN 70000 END::BIGINT AS duration_us FROM orders),
@@ -76,9 +77,10 @@ SELECT project, k * 40000 AS start_us, least(total, (k + 1) * 40000) AS end_us,
 def frame_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame in the middle of each project, and how long the project is once it is
     deleted or frozen for 120 ms."""
-    clips = _clips(spark, sf_dir)
-    spans = E.frame_span(_cuts(clips).withColumn("fps", F.lit(25.0)), clips, "at_us", "fps").drop("at_us", "fps")
-    total = lambda c, n: E.timeline(c).groupBy("project").agg(F.max("end_us").alias(n))
+    # Written step by step, so that no task holds the sorts of several edits at once.
+    clips = written(_clips(spark, sf_dir), "clips")
+    spans = written(E.frame_span(_cuts(clips).withColumn("fps", F.lit(25.0)), clips, "at_us", "fps").drop("at_us", "fps"), "spans")
+    total = lambda c, n: written(E.timeline(c).groupBy("project").agg(F.max("end_us").alias(n)), n)
     deleted, frozen = total(E.delete_frames(clips, spans), "left_us"), total(E.freeze_frames(clips, spans.withColumn("freeze_us", F.lit(120000).cast("long"))), "frozen_us")
     return spans.join(deleted, "project", "left").join(frozen, "project", "left").select("project", "start_us", "end_us", F.coalesce("left_us", F.lit(0).cast("long")).alias("left_us"), "frozen_us")
 

@@ -10,6 +10,7 @@ from fernweave.operators import edits as E, pixels as X, schedule as C, search a
 from fernweave.functions import quantiles
 from fernweave.operators import history
 from fernweave.operators.history import history_state
+from fernweave.plans import editing
 from fernweave.sources import documents as SD, reports as SR
 
 FRAMES = "clip long, frame int, duration_us long, excluded boolean, motion double, changed_area double, scene_change double, importance double"
@@ -176,6 +177,14 @@ def test_many_short_logs_meet_in_batches(spark, monkeypatch):
     assert got == {p: plain_history(sorted(x[1:] for x in log if x[0] == p), 4) for p in {x[0] for x in log}}
 
 
+def test_edits_of_frames_do_not_hold_their_sorts_at_once(spark, sf, monkeypatch):
+    """Every written step has a few sorts, and the last one only joins totals."""
+    plans, real = [], editing.written
+    monkeypatch.setattr(editing, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    plans.append(editing.frame_edits(spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 5 and plans[-1].count("Sort [") <= 4 and max(p.count("Sort [") for p in plans) <= 16
+
+
 def test_split_near_an_end_holds_the_shorter_part(spark):
     clips = spark.createDataFrame([(1, 0, "a", 100, 103, 0.001, False, 0, None)], "project int, pos int, id string, in_us long, out_us long, rate double, reverse boolean, hold_us long, duration_us long")
     cut = E.split_clips(clips, spark.createDataFrame([(1, 10)], "project int, at_us long"))
