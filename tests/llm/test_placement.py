@@ -185,6 +185,20 @@ def test_quotas_and_ties_by_hand(spark):
         assert quota <= left < quota + 11  # the last row read begins before the quota
 
 
+@pytest.mark.parametrize(("limit", "mosts"), [(100_000, (1.1, 2.6)), (0, (1.3,))])
+def test_draw_reads_what_the_mix_reads_and_shuffles_no_text(spark, monkeypatch, limit, mosts):
+    """Equal rows, of which the last epoch may read some, included; also with salted sources."""
+    monkeypatch.setattr(X, "BROADCAST_SOURCES", limit)
+    rows = [(i % 5 if i % 3 else None, "abc"[i % 7 % 3], " ".join(["w"] * (i % 4)), i % 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n int").repartition(5)
+    for most in mosts:
+        drawn = X.draw(df, max_repeat=most)
+        assert sorted(map(str, drawn.collect())) == sorted(map(str, X.mix_sources(df, max_repeat=most).select(*df.columns).collect()))
+    if limit:
+        plan = drawn._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_no_source_is_read_more_often_than_allowed(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     most = 1.25
