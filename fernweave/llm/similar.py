@@ -1,11 +1,12 @@
 """Documents whose sets of word shingles have a Jaccard likeness of at least a bound: all of them.
 
 Two sets of n and m shingles that are that like share one among the first n - ceil(bound n) + 1
-of the one and as many of the other, in any order that is the same for all; rare shingles come
-first. Those prefixes are the postings. SimHash links of the same shingles (simhash.simhash_links)
-are verified first, then the members of each posting against one of them; of the postings, only
-pairs across the components that these make are left. Postings of up to SHORT members give
-their pairs, if sizes and places allow. The members of a longer one are compared in blocks of
+of the one and as many of the other, in any order that is the same for all; those that fewest
+rows hold come first, by exact counts. Those prefixes are the postings. SimHash links of the
+same shingles (simhash.simhash_links) are verified first, then the members of each posting
+against one of them; of the postings, only pairs across the components that these make are left.
+Postings of up to SHORT members give their pairs, if sizes and places allow. The members of a
+longer one are compared in blocks of
 that posting: each task gets the sets of two blocks and hands out verified links only, so no
 pair is a row. Postings of the same members count once, and a pair is compared in the first
 posting that it shares. Every link is verified by its sets; postings are neither cut nor sampled.
@@ -13,29 +14,27 @@ posting that it shares. Every link is verified by its sets; postings are neither
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fernweave.llm.components import connected_components
 from fernweave.llm.simhash import reachable, simhash_links
 from fernweave.llm.store import released, stored
 from fernweave.llm.text import NON_SPACE, blocks, gram_hashes, words
 
-#: Documents in the sample that says which shingles are common, and most such shingles that are
-#: broadcast. They order the prefixes, which changes the work and never the links.
-SAMPLE, COMMON = 8_000, 1 << 17
 #: Members of a posting up to which its pairs are rows, and of a block of a longer one's.
 SHORT, BLOCK = 64, 256
-#: Passes in which pairs are verified.
+#: Passes in which shingles are counted and pairs are verified.
 PASSES = 4
 #: Bytes of text, and rows, that a task handles at once.
 TEXT, ROWS = 1 << 18, 256
 #: Bits of the map of nodes that keeps sets from being shuffled which a join would drop.
 MARKS = 1 << 24
+#: Bits of the map of a pass's shared shingles, which keeps most others from being shuffled.
+SIEVE = 1 << 26
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -64,66 +63,62 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, fp long, n int, shingles array<long>")
 
 
-def _marks(nodes: DataFrame) -> np.ndarray:
-    """A map of MARKS bits with those of the nodes set."""
-    bit = nodes.select(F.expr(f"node & {MARKS - 1}L").alias("bit"))
+def _marks(keys: DataFrame, bits: int = MARKS) -> np.ndarray:
+    """A map of so many bits with those of the keys (one long) set."""
+    bit = keys.toDF("key").select(F.expr(f"key & {bits - 1}L").alias("bit"))
     masks = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toArrow()
-    marks = np.zeros(MARKS >> 6, dtype=np.uint64)
+    marks = np.zeros(bits >> 6, dtype=np.uint64)
     marks[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
     return marks
 
 
-def _inside(batch: pa.RecordBatch, marks: np.ndarray, inside: bool = True) -> pa.RecordBatch:
-    """The rows whose node may be among the marked ones, all that are; or the others."""
-    bits = batch.column("node").to_numpy() & (MARKS - 1)
-    found = marks[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)
-    return batch.filter(pa.array((found == 1) == inside))
+def _in(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which keys may be among the marked ones, all that are."""
+    bits = keys & (len(marks) * 64 - 1)
+    return marks[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1) == 1
 
 
 def _marked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of sets whose node may be in nodes, all that are among them."""
     shared = sets.sparkSession.sparkContext.broadcast(_marks(nodes))
-    return sets.mapInArrow(lambda batches: (_inside(b, shared.value) for b in batches), sets.schema)
+    return sets.mapInArrow(lambda batches: (b.filter(pa.array(_in(b.column("node").to_numpy(), shared.value))) for b in batches), sets.schema)
 
 
-def _common(sets: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample hold, sorted, and how many hold them."""
-    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-nodes.count() // SAMPLE)))) == 0)
-    held = sets.join(F.broadcast(some.select("row")), "row", "left_semi").select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    top = held.orderBy(F.desc("c"), "s").limit(COMMON).toArrow()
-    order = np.argsort(top.column("s").to_numpy())
-    return top.column("s").to_numpy()[order], top.column("c").to_numpy()[order]
+def _holders(sets: DataFrame, shared: DataFrame, part: int) -> DataFrame:
+    """(s, node, n): who holds the shingles of a part that are in `shared`, and some others."""
+    known = sets.sparkSession.sparkContext.broadcast(_marks(shared.select("s"), SIEVE))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
+            off, every = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").flatten().to_numpy()
+            at = np.flatnonzero(every % PASSES == part)
+            at = at[_in(every[at] // PASSES, known.value)]
+            of = np.searchsorted(off - off[0], at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(every[at]), *(batch.column(c).take(pa.array(of)) for c in ("node", "n"))], ["s", "node", "n"])
 
-def _postings(sets: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
-    """Stored (s, node, n, place): the prefix of each distinct set, of the shingles that two sets have there."""
-    known = sets.sparkSession.sparkContext.broadcast((*_common(sets, nodes), _marks(nodes.where("copies > 1"))))
+    return sets.select("node", "n", "shingles").mapInArrow(run, "s long, node long, n int")
 
-    def run(batches: Iterator[pa.RecordBatch], copied: bool) -> Iterator[pa.RecordBatch]:
-        common, held, marks = known.value
-        for batch in (_inside(b.slice(at, ROWS), marks, copied) for b in batches for at in range(0, len(b), ROWS)):
-            off, every = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").flatten().to_numpy()
-            off = off - off[0]
-            c = np.zeros(len(every), dtype=np.int64)
-            if len(common):
-                spot = np.minimum(np.searchsorted(common, every), len(common) - 1)
-                c = np.where(common[spot] == every, held[spot], 0)
-            keep, places = [], []
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                most = b - a - ceil(bound * (b - a) - 1e-9) + 1 if b > a else 0
-                keep.append(a + np.lexsort((every[a:b], c[a:b]))[:most])
-                places.append(np.arange(most, dtype=np.int32))
-            sizes = np.fromiter(map(len, keep), dtype=np.int64, count=len(keep))
-            at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
-            node, n = (np.repeat(batch.column(x).to_numpy(), sizes) for x in ("node", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(node), pa.array(n), pa.array(np.concatenate(places) if places else np.zeros(0, np.int32))], ["s", "node", "n", "place"])
-
-    own, kind = sets.select("node", "n", "shingles"), "s long, node long, n int, place int"
-    one, some = own.mapInArrow(lambda b: run(b, False), kind), own.mapInArrow(lambda b: run(b, True), kind)
-    found = stored(one.union(some.distinct()), "prefixes")
-    shared = found.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    postings = stored(found.join(shared, "s", "left_semi"), "postings")
-    released(found)
+
+def _postings(sets: DataFrame, bound: float) -> DataFrame:
+    """Stored (s, node, n, place): the prefix of each distinct set, of the shingles that two rows have.
+
+    All shingles are counted, a part of them at once. Those of one row alone come first in
+    every prefix and are no postings; the fewer rows hold one of the others, the earlier it comes.
+    """
+    parts = []
+    for i in range(PASSES):
+        every = sets.select(F.explode("shingles").alias("s")).where(F.pmod("s", F.lit(PASSES)) == i)
+        shared = stored(every.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+        held = _holders(sets, shared.select(F.expr(f"(s - {i}) div {PASSES}").alias("s")), i).distinct()  # copies once
+        parts.append(stored(held.join(shared, "s"), "held"))
+        released(shared)
+    own = W.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(own)
+    place = (alone + F.row_number().over(own.orderBy("c", "s")) - 1).cast("int")
+    first = reduce(DataFrame.union, parts).select("s", "node", "n", place.alias("place"))
+    postings = stored(first.where(F.col("place") < F.col("n") - F.ceil(F.lit(bound) * F.col("n") - 1e-9) + 1), "postings")
+    for done in parts:
+        released(done)
     return postings
 
 
@@ -249,7 +244,7 @@ def similar_links(sets: DataFrame, bound: float) -> DataFrame:
     first = stored(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("hub")), "first")
     bits = simhash_links(first).join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").toDF("u", "v", "a", "b").select("a", "b")
     links = _verified(nodes.join(first, "fp").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(bits), sets, nodes, bound)
-    postings = _postings(sets, nodes, bound)
+    postings = _postings(sets, bound)
     open_ = _open(postings, links)
     hubs = open_.groupBy("s").agg(F.min_by(F.struct("node", "n", "place", "root"), F.xxhash64("node")).alias("hub"))
     hubs = hubs.select("s", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("node", "n", "place", "root")])

@@ -67,6 +67,17 @@ def test_postings_that_chain_all_texts_compare_few_pairs(spark):
     assert pairs == 71 * 71 * 70 // 2
 
 
+def test_shingles_of_one_text_alone_come_first_and_are_no_postings(spark):
+    """400 texts that share four passages pairwise rarely: their own words fill the prefixes."""
+    rng = random.Random(5)
+    shared = [" ".join(f"s{k}x{j}" for j in range(5)) for k in range(120)]
+    rows = [(i, " ".join([f"o{i}x{j}" for j in range(80)] + [shared[rng.randrange(120)] for _ in range(4)])) for i in range(400)]
+    rows += [(400, " ".join(shared[:9])), (401, " ".join(shared[:9]) + " more")]
+    sets = L.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).cache()
+    node = {r.id: r.node for r in sets.collect()}
+    assert {r.node for r in L._postings(sets, 0.8).collect()} == {node[400], node[401]}
+
+
 def test_shared_postings_compare_a_pair_once():
     a, b = np.arange(10), np.arange(1, 10)
     rows = [(0, n, n, np.array([3, 8]), x) for n, x in ((5, a), (6, b))]
