@@ -1,6 +1,6 @@
 """Phrases of two to five words that stand together oftener than their parts would.
 
-The texts are cut into shards of some millions of words. In a shard, each word has a bitmap
+The texts are cut into shards of a million words. In a shard, each word has a bitmap
 of its positions, compressed to the 64-bit lanes that have a bit set; a position without a
 word stands between two pieces, so nothing reaches over a boundary. A phrase's bitmap holds
 its last words' positions: shifted by one and ANDed with the next word's it is the longer
@@ -8,14 +8,15 @@ phrase's, and the bits set are its occurrences. Phrases are extended depth first
 them at once, over bounded stretches of positions, and their counts are summed over the shards.
 
 What is extended is pruned by what is frequent in the whole corpus, words first, then pairs of
-neighbours. Bit maps of bounded size name them, and some others with them, whose phrases go
-when the counts are summed: nothing is joined back to the shards. And by a map of
-co-occurrence: a phrase is only ANDed with words that follow its last two somewhere in the
-stretch. A word is known by a 64-bit hash of its language and itself; its seed is chosen so
+neighbours, then three in a row. Pairs and threes are counted by a code of 42 bits, packed in
+buckets, four bytes each. Bit maps of bounded size name the frequent ones, and some others with
+them, whose phrases go when the counts are summed: nothing is joined back to the shards. And by
+a map of co-occurrence: a phrase is only ANDed with words that follow its last two somewhere in
+the stretch. A word is known by a 64-bit hash of its language and itself; its seed is chosen so
 that no two frequent words share one.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -34,9 +35,15 @@ OPEN = 64
 BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of text that a task handles at once.
 TEXT = 1 << 18
+#: Buckets of the codes of pairs and threes, positions that are coded at once, codes of a task
+#: that are packed at once, and phrases of a task that are counted before the shuffle.
+BUCKETS, CODED, PACKED, COUNTED = 1 << 10, 1 << 17, 1 << 19, 1 << 17
 #: Parts in which each language's best phrases are taken before the last ranking.
 PARTS = 16
 
+#: Which of the three words of arrays may stand in a row.
+Three = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _INSIDE = ~_ENDS
@@ -48,8 +55,8 @@ def _shard(held: list[tuple[pa.Array, np.ndarray, np.ndarray]], langs: list[str]
     those, -1 where a piece ends."""
     dictionary, numbers = coded([x for x, _, _ in held])
     lang, gap = (np.concatenate([h[i] for h in held]) for i in (1, 2))
-    found, local, n = np.unique(lang * max(len(dictionary), 1) + numbers, return_inverse=True, return_counts=True)
-    place = np.arange(len(local)) + np.cumsum(gap)
+    found, local, n = np.unique(lang.astype(np.int64) * max(len(dictionary), 1) + numbers, return_inverse=True, return_counts=True)
+    place = np.arange(len(local)) + np.cumsum(gap, dtype=np.int64)
     ids = np.full(place[-1] + 1 if len(place) else 0, -1, dtype=np.int32)
     ids[place] = local
     of = pa.array(langs, pa.string()).take(pa.array(found // max(len(dictionary), 1)))
@@ -65,16 +72,17 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [langs.setdefault(x, len(langs)) for x in batch.column("lang").slice(at, to - at).to_pylist()]
             row = np.repeat(np.arange(len(own)), np.diff(w.edges))
             ends = np.append(0, np.cumsum(_ENDS[w.buffer[:-8]]))
-            gap = np.ones(len(row), dtype=np.int64)
+            gap = np.ones(len(row), dtype=np.uint8)
             gap[1:] = (ends[w.starts[1:]] > ends[w.ends[:-1]]) | (row[1:] != row[:-1])
             if not held:
                 gap[:1] = 0
             if len(row):
-                held.append((word_array(w), np.array(own, dtype=np.int64)[row], gap))
+                held.append((word_array(w), np.array(own, dtype=np.int32)[row], gap))
                 total += len(row)
             if total >= SHARD:
                 yield _shard(held, list(langs))
                 held, langs, total = [], {}, 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield _shard(held, list(langs))
 
@@ -94,13 +102,19 @@ def _frequent_ids(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Itera
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(gids)], pa.int32()), pa.array(gids, pa.int64())), pa.array([ids[keep].tobytes()], pa.binary())], ["gids", "ids"])
 
 
-def _bit(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(mix(a.astype(np.uint64)) + b.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the pairs."""
+    return mix(mix(a.astype(np.uint64)) + b.astype(np.uint64))
+
+
+def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The pairs' codes: a bucket and 32 bits."""
+    return (_joint(a, b) & np.uint64((BUCKETS << 32) - 1)).astype(np.int64)
 
 
 def _marked(a: np.ndarray, b: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Which of the pairs have their bit in the map."""
-    bit = _bit(a, b, len(marks) * 64)
+    bit = _code(a, b) & (len(marks) * 64 - 1)
     return (marks[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) == 1
 
 
@@ -112,15 +126,85 @@ def _beside(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return code // max(n, 1), code % max(n, 1), times
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gids, ids) of shards to (a, b, c): frequent words side by side c times."""
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal codes once, in order, with the sum of their counts."""
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first, dtype=n.dtype) if len(first) else n
+
+
+def _packed(found: Iterator[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
+    """The codes of all occurrences, an array at a time, to rows (bucket, codes, counts): those
+    of a bucket in order, 32 bits each. Counts stop at `least`, as more says no more."""
+
+    def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        first = np.searchsorted(code, np.arange(BUCKETS) << 32)
+        bucket = np.flatnonzero(np.diff(first, append=len(code)))
+        off = pa.py_buffer((np.append(first[bucket], len(code)) * 4).astype(np.int32))
+        data = [x.astype(np.uint32) for x in (code & 0xFFFFFFFF, np.minimum(n, least))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.Array.from_buffers(pa.binary(), len(bucket), [None, off, pa.py_buffer(x)]) for x in data]], ["bucket", "codes", "counts"])
+
+    codes, counts = [], []
+    for every in found:
+        code, n = np.unique(every, return_counts=True)
+        codes.append(code)
+        counts.append(n.astype(np.int32))
+        if sum(map(len, codes)) > PACKED:
+            code, n = _summed(codes, counts)
+            codes, counts = [code], [n]
+            if 2 * len(code) > PACKED:
+                yield rows(code, n)
+                codes, counts = [], []
+    if codes:
+        yield rows(*_summed(codes, counts))
+
+
+def _often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Over (bucket, codes, counts) sorted by bucket: the codes that occur `least` times or more."""
+
+    def frequent(bucket: int, codes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = _summed(codes, counts)
+        return pa.RecordBatch.from_arrays([pa.array(code[n >= least].astype(np.int64) | bucket << 32)], ["code"])
+
+    held: tuple | None = None
+    for batch in batches:
+        for bucket, codes, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "codes", "counts")), strict=True):
+            if held is not None and held[0] != bucket:
+                yield frequent(*held)
+                held = None
+            held = held or (bucket, [], [])
+            held[1].append(np.frombuffer(codes, dtype=np.uint32))
+            held[2].append(np.frombuffer(counts, dtype=np.int32))
+    if held is not None:
+        yield frequent(*held)
+
+
+def _side_by_side(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(gids, ids) of shards to the n words of all places where so many stand in a row."""
     for batch in batches:
         for i in range(len(batch)):
             gids = batch.column("gids")[i].values.to_numpy()
-            a, b, n = _beside(np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32), len(gids))
-            for at in range(0, len(a), 1 << 18):
-                part = [x[at : at + (1 << 18)] for x in (a, b, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(gids[part[0]]), pa.array(gids[part[1]]), pa.array(part[2], pa.int64())], ["a", "b", "c"])
+            ids = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)
+            for k in range(0, len(ids) - n + 1, CODED):
+                part = ids[k : k + CODED + n - 1]
+                each = [part[j : len(part) - n + 1 + j] for j in range(n)]
+                some = np.flatnonzero(np.min(each, axis=0) >= 0)
+                yield tuple(gids[x[some]] for x in each)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """(gids, ids) of shards to the codes of all frequent words that stand side by side."""
+    for a, b in _side_by_side(batches, 2):
+        yield _code(a, b)
+
+
+def _threes(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[np.ndarray]:
+    """(gids, ids) of shards to the codes of all three words in a row of two marked pairs."""
+    for a, b, c in _side_by_side(batches, 3):
+        some = _marked(a, b, marks) & _marked(b, c, marks)
+        yield _code(_joint(a[some], b[some]), c[some])
 
 
 @dataclass
@@ -229,16 +313,20 @@ class Follow:
     after: np.ndarray
 
 
-def co_occurring(ids: np.ndarray, n: int, allowed: np.ndarray) -> Follow:
-    """Of words 0 to n - 1 in ids and of the allowed pairs only, sorted codes n a + b."""
+def co_occurring(ids: np.ndarray, n: int, allowed: np.ndarray, three: Three | None = None) -> Follow:
+    """Of words 0 to n - 1 in ids and of the allowed pairs only, sorted codes n a + b; if given,
+    `three` says which three words may stand in a row."""
     code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * n + ids[1:], -1)
     present = np.intersect1d(code, allowed, assume_unique=False)
     at = np.minimum(np.searchsorted(present, code), max(len(present) - 1, 0))
     hit = present[at] == code if len(present) else np.zeros(len(code), bool)
     beside = np.unique(at[:-1][hit[:-1] & hit[1:]] * max(len(present), 1) + at[1:][hit[:-1] & hit[1:]])
     before, after = beside // max(len(present), 1), beside % max(len(present), 1)
-    x = present // max(n, 1)
-    return Follow(x, present % max(n, 1), np.searchsorted(x, np.arange(n + 1)), np.searchsorted(before, np.arange(len(present) + 1)), after)
+    x, y = present // max(n, 1), present % max(n, 1)
+    if three is not None:
+        some = three(x[before], y[before], y[after])
+        before, after = before[some], after[some]
+    return Follow(x, y, np.searchsorted(x, np.arange(n + 1)), np.searchsorted(before, np.arange(len(present) + 1)), after)
 
 
 def extended(phrases: np.ndarray, last: np.ndarray, maps: Bitmaps, single: Bitmaps, follow: Follow, most: int, probes: int = PROBES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -267,9 +355,9 @@ def extended(phrases: np.ndarray, last: np.ndarray, maps: Bitmaps, single: Bitma
         begin = end
 
 
-def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stretch: int = STRETCH, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stretch: int = STRETCH, probes: int = PROBES, three: Three | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All phrases of two to `most` words of ids whose neighbours are all among the pairs a, b,
-    a row each with -1 after its words, and how often each occurs. A stretch begins with the
+    and, if given, whose threes in a row `three` allows: a row each with -1 after its words, and how often each occurs. A stretch begins with the
     lane before it, so phrases that reach over its begin are found, and counted once."""
     rows, counts = [np.zeros((0, most), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
     padded = np.append(np.full(64, -1, dtype=np.int64), ids)
@@ -280,7 +368,8 @@ def shard_phrases(ids: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, stre
         if not len(word):
             continue
         x, y = (np.minimum(np.searchsorted(word, v), len(word) - 1) for v in (a, b))
-        follow = co_occurring(local, len(word), np.unique((x * len(word) + y)[(word[x] == a) & (word[y] == b)]))
+        own = three and (lambda *some, word=word: three(*(word[v] for v in some)))
+        follow = co_occurring(local, len(word), np.unique((x * len(word) + y)[(word[x] == a) & (word[y] == b)]), own)
         single, each = word_bitmaps(local, len(word)), np.arange(len(word))
         for phrases, n in extended(each[:, None], each, single, single, follow, most, probes):
             row = np.full((len(phrases), most), -1, dtype=np.int32)
@@ -301,34 +390,60 @@ def _merged(rows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return row[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _mined(batches: Iterator[pa.RecordBatch], most: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gids, ids) of shards to (p, c): the shard's phrases, of marked pairs, and their counts."""
+def _mined(batches: Iterator[pa.RecordBatch], most: int, pairs: np.ndarray, threes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gids, ids) of shards to (p, c): the task's phrases, of marked pairs and threes, and
+    their counts, up to COUNTED of them at once. A row held is a phrase's length and words."""
+
+    def out(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array(np.append(0, np.cumsum(rows[:, 0])), pa.int32())
+        words = rows[:, 1:][np.arange(most) < rows[:, :1]]
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(words, pa.int64())), pa.array(counts, pa.int64())], ["p", "c"])
+
+    rows, counts = [], []
     for batch in batches:
         for i in range(len(batch)):
             gids = batch.column("gids")[i].values.to_numpy()
             ids = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)
+            if not len(gids):
+                continue
             a, b, _ = _beside(ids, len(gids))
-            some = _marked(gids[a], gids[b], marks)
-            row, n = shard_phrases(ids, a[some], b[some], most)
-            offsets = pa.array(np.append(0, np.cumsum((row >= 0).sum(axis=1))), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(gids[row[row >= 0]], pa.int64())), pa.array(n, pa.int64())], ["p", "c"])
-
-
-def _marks(pairs: DataFrame) -> np.ndarray:
-    """A bit for each of the pairs (a, b), in a map with BITS for each, of MOST_BITS at most."""
-    bits = min(MOST_BITS, max(64, 1 << (BITS * pairs.count()).bit_length()))
+            some = _marked(gids[a], gids[b], pairs)
+            row, n = shard_phrases(ids, a[some], b[some], most, three=lambda x, y, z, gids=gids: _marked(_joint(gids[x], gids[y]), gids[z], threes))
+            rows.append(np.column_stack([(row >= 0).sum(axis=1), np.where(row >= 0, gids[row], 0)]))
+            counts.append(n)
+            del row, n, a, b, some
+            if sum(map(len, rows)) > COUNTED:
+                row, n = _merged(rows, counts)
+                rows, counts = [row], [n]
+                if len(row) > COUNTED:
+                    yield out(row, n)
+                    rows, counts = [], []
+    if rows:
+        yield out(*_merged(rows, counts))
+
+
+def _marks(df: DataFrame) -> np.ndarray:
+    """A bit for each of the codes, or of the pairs (a, b), in a map with BITS for each, of MOST_BITS at most."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS * df.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_bit(*(batch.column(c).to_numpy() for c in ("a", "b")), bits))
+            code, *other = (c.to_numpy() for c in batch.columns)
+            bit = np.unique((_code(code, *other) if other else code) & (bits - 1))
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["word", "bit"])
 
-    masks = pairs.select("a", "b").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("mask")).toArrow()
+    masks = df.mapInArrow(run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("mask")).toArrow()
     marks = np.zeros(bits >> 6, dtype=np.uint64)
     marks[masks.column("word").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
     return marks
 
 
+def _frequent_codes(packed: DataFrame, least: int, name: str) -> DataFrame:
+    """(code) of those that occur `least` times or more in rows of _packed()."""
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return stored(dealt.mapInArrow(lambda batches: _often(batches, least), "code long"), name)
+
+
 def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables of a language's words and phrases that occur `least` times or more:
     (gid, lang, word, f), (p, f) for phrases of two to `most` words as arrays of gid, and
@@ -348,13 +463,16 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     slim = stored(hashed.mapInArrow(lambda batches: _frequent_ids(batches, known.value), "gids array<long>, ids binary"), "frequent")
     released(shards)
     released(counted)
-    pairs = slim.mapInArrow(_neighbours, "a long, b long, c long")
-    pairs = stored(pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("a", "b"), "pairs")
-    shared = spark.sparkContext.broadcast(_marks(pairs))
-    found = slim.mapInArrow(lambda batches: _mined(batches, most, shared.value), "p array<long>, c long")
+    kind = "bucket int, codes binary, counts binary"
+    pairs = _frequent_codes(slim.mapInArrow(lambda batches: _packed(_pairs(batches), least), kind), least, "pairs")
+    twos = spark.sparkContext.broadcast(_marks(pairs))
+    triples = _frequent_codes(slim.mapInArrow(lambda batches: _packed(_threes(batches, twos.value), least), kind), least, "threes")
+    threes = spark.sparkContext.broadcast(_marks(triples))
+    found = slim.mapInArrow(lambda batches: _mined(batches, most, twos.value, threes.value), "p array<long>, c long")
     phrases = stored(found.groupBy("p").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrases")
     released(slim)
     released(pairs)
+    released(triples)
     return frequent, phrases, totals
 
 

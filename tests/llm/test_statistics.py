@@ -70,6 +70,37 @@ def test_bitmaps_extend_phrases_as_windows_do(stretch, probes):
     assert dict(zip(map(tuple, row.tolist()), n.tolist(), strict=True)) == dict(want) and len(row) == len(want)
 
 
+def test_a_task_sends_each_phrase_once_and_none_around_a_rare_three():
+    """Five words deal all their pairs often; of the threes in a row only one is frequent."""
+    rng = np.random.default_rng(4)
+    gids = np.sort(rng.integers(-(1 << 62), 1 << 62, 40))
+    shards = []
+    for _ in range(3):
+        ids = rng.integers(0, 40, 3000).astype(np.int32)
+        ids[::7], ids[1::7], ids[2::7], ids[3::7] = -1, 1, 2, 3  # 1 2 3 in each piece
+        shards.append(pa.RecordBatch.from_arrays([pa.array([gids.tolist()], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())], ["gids", "ids"]))
+    windows = Counter()
+    for shard in shards:
+        ids = np.frombuffer(shard.column("ids")[0].as_py(), dtype=np.int32)
+        windows += Counter(tuple(ids[k : k + m].tolist()) for m in (2, 3, 4, 5) for k in range(len(ids) - m + 1) if ids[k : k + m].min() >= 0)
+
+    def frequent(packed, least):
+        rows = sorted(((r["bucket"], r["codes"], r["counts"]) for b in packed for r in b.to_pylist()), key=lambda r: r[0])
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["bucket", "codes", "counts"])
+        found = np.concatenate([b.column("code").to_numpy() for b in C._often(iter([batch.slice(0, 5), batch.slice(5)]), least)])
+        marks = np.zeros(1 << 16, dtype=np.uint64)
+        np.bitwise_or.at(marks, (found & ((1 << 22) - 1)) >> 6, np.uint64(1) << (found & 63).astype(np.uint64))
+        return found, marks
+
+    pairs, twos = frequent(C._packed(C._pairs(iter(shards)), 3), 3)
+    assert len(pairs) == sum(n >= 3 for w, n in windows.items() if len(w) == 2)
+    triples, threes = frequent(C._packed(C._threes(iter(shards), twos), 20), 20)
+    assert len(triples) == sum(n >= 20 for w, n in windows.items() if len(w) == 3)
+    got = [(tuple(np.searchsorted(gids, r["p"]).tolist()), r["c"]) for b in C._mined(iter(shards), 5, twos, threes) for r in b.to_pylist()]
+    fits = lambda w: all(windows[x] >= 3 for x in itertools.pairwise(w)) and all(windows[x] >= 20 for x in zip(w, w[1:], w[2:], strict=False))
+    assert sorted(got) == sorted((w, n) for w, n in windows.items() if fits(w))
+
+
 def test_scores_beyond_64_bits(spark):
     df = spark.sql("select cast(4e15 as bigint) a, cast(9e15 as bigint) n, cast(5e15 as bigint) l, cast(6e15 as bigint) r")
     exact = df.selectExpr("cast((cast(1000 * a as decimal(20,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as bigint) as s").first().s
