@@ -9,7 +9,7 @@ them at once, over bounded stretches of positions, and their counts are summed o
 
 What is extended is pruned by what is frequent in the whole corpus, words first, then pairs of
 neighbours, then three in a row. Pairs and threes are counted by a code of 42 bits, packed in
-buckets, four bytes each. Bit maps of bounded size name the frequent ones, and some others with
+buckets, four bytes each; phrases cross the shuffle packed in buckets too, a row for many. Bit maps of bounded size name the frequent ones, and some others with
 them, whose phrases go when the counts are summed: nothing is joined back to the shards. And by
 a map of co-occurrence: a phrase is only ANDed with words that follow its last two somewhere in
 the stretch. A word is known by a 64-bit hash of its language and itself; its seed is chosen so
@@ -27,17 +27,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from fernweave.llm.store import released, stored
 from fernweave.llm.text import blocks, coded, mix, word_array, words
 
-#: Words in a shard, positions of it that are searched at once, lanes that one step looks up.
-SHARD, STRETCH, PROBES = 1 << 20, 1 << 16, 1 << 17
+#: Words in a shard, positions of it that make a row of frequent words, at least, and that are
+#: searched at once, lanes that one step looks up.
+SHARD, PIECE, STRETCH, PROBES = 1 << 20, 1 << 18, 1 << 16, 1 << 17
 #: A bitmap that holds one lane in so many is kept open too, its lanes looked up by number.
 OPEN = 64
 #: Bits of a map of frequent words or pairs for each of them, and at most: 32 MB, whatever their number.
 BITS, MOST_BITS = 32, 1 << 28
 #: Bytes of text that a task handles at once.
 TEXT = 1 << 18
-#: Buckets of the codes of pairs and threes, positions that are coded at once, codes of a task
-#: that are packed at once, and phrases of a task that are counted before the shuffle.
-BUCKETS, CODED, PACKED, COUNTED = 1 << 10, 1 << 17, 1 << 19, 1 << 17
+#: Buckets of codes and phrases, positions that are coded at once, codes of a task that are
+#: packed at once, and phrases of a task that are counted before the shuffle, and after it.
+BUCKETS, CODED, PACKED, COUNTED = 1 << 10, 1 << 17, 1 << 19, 1 << 20
 #: Parts in which each language's best phrases are taken before the last ranking.
 PARTS = 16
 
@@ -88,8 +89,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent_ids(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(hashes, ids) of shards to (gids, ids): only words with a marked hash, by their place in
-    gids, and one -1 for whatever stands between them."""
+    """(hashes, ids) of shards to (gids, ids), a row for each PIECE or so of positions: only
+    words with a marked hash, by their place in gids, and one -1 for whatever stands between
+    them. Rows end at such a -1."""
     for batch in batches:
         for i in range(len(batch)):
             hashes = batch.column("hashes")[i].values.to_numpy()
@@ -99,7 +101,22 @@ def _frequent_ids(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Itera
             ids = to[np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32)]
             keep = ids >= 0
             keep[1:] |= ids[:-1] >= 0
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(gids)], pa.int32()), pa.array(gids, pa.int64())), pa.array([ids[keep].tobytes()], pa.binary())], ["gids", "ids"])
+            ids = ids[keep]
+            for part in np.split(ids, _cuts(ids, PIECE)):
+                used = np.zeros(len(gids) + 1, dtype=bool)
+                used[part] = True
+                used[-1] = False
+                to = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)
+                own = gids[used[:-1]]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own, pa.int64())), pa.array([to[part].tobytes()], pa.binary())], ["gids", "ids"])
+
+
+def _cuts(ids: np.ndarray, least: int) -> list[int]:
+    """Where ids are cut: behind a -1, `least` places or more after the cut before."""
+    ends, cuts = np.flatnonzero(ids < 0) + 1, [0]
+    while (k := int(np.searchsorted(ends, cuts[-1] + least))) < len(ends) and ends[k] < len(ids):
+        cuts.append(int(ends[k]))
+    return cuts[1:]
 
 
 def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -392,14 +409,23 @@ def _merged(rows: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def _mined(batches: Iterator[pa.RecordBatch], most: int, pairs: np.ndarray, threes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(gids, ids) of shards to (p, c): the task's phrases, of marked pairs and threes, and
-    their counts, up to COUNTED of them at once. A row held is a phrase's length and words."""
-
-    def out(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        offsets = pa.array(np.append(0, np.cumsum(rows[:, 0])), pa.int32())
-        words = rows[:, 1:][np.arange(most) < rows[:, :1]]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(words, pa.int64())), pa.array(counts, pa.int64())], ["p", "c"])
-
-    rows, counts = [], []
+    their counts, up to COUNTED of them at once. Those held are kept apart by length."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (m, rows), (_, n) in zip(held.items(), counts.items(), strict=True):
+            offsets = pa.array(np.arange(len(rows[0]) + 1) * m, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(rows[0].ravel(), pa.int64())), pa.array(n[0], pa.int64())], ["p", "c"])
+        held.clear()
+        counts.clear()
+
+    def merge() -> int:
+        for m in held:
+            row, n = _merged(held[m], counts[m])
+            held[m], counts[m] = [row], [n]
+        return sum(len(rows[0]) for rows in held.values())
+
+    held: dict[int, list[np.ndarray]] = {}
+    counts: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for i in range(len(batch)):
             gids = batch.column("gids")[i].values.to_numpy()
@@ -409,17 +435,60 @@ def _mined(batches: Iterator[pa.RecordBatch], most: int, pairs: np.ndarray, thre
             a, b, _ = _beside(ids, len(gids))
             some = _marked(gids[a], gids[b], pairs)
             row, n = shard_phrases(ids, a[some], b[some], most, three=lambda x, y, z, gids=gids: _marked(_joint(gids[x], gids[y]), gids[z], threes))
-            rows.append(np.column_stack([(row >= 0).sum(axis=1), np.where(row >= 0, gids[row], 0)]))
-            counts.append(n)
-            del row, n, a, b, some
-            if sum(map(len, rows)) > COUNTED:
-                row, n = _merged(rows, counts)
-                rows, counts = [row], [n]
-                if len(row) > COUNTED:
-                    yield out(row, n)
-                    rows, counts = [], []
-    if rows:
-        yield out(*_merged(rows, counts))
+            size = (row >= 0).sum(axis=1)
+            for m in np.unique(size).tolist():
+                held.setdefault(m, []).append(gids[row[size == m, :m]])
+                counts.setdefault(m, []).append(n[size == m])
+            del row, n, size, a, b, some
+            if sum(len(x) for rows in held.values() for x in rows) > COUNTED and 2 * merge() > COUNTED:
+                yield from out()
+    merge()
+    yield from out()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(p, c) to rows (bucket, words, counts): the phrases of a bucket, all of one length, which
+    is the remainder of the bucket by most + 1."""
+    for batch in batches:
+        off, n = batch.column("p").offsets.to_numpy(), batch.column("c").to_numpy()
+        every, size = batch.column("p").values.to_numpy(), np.diff(off)
+        for m in np.unique(size).tolist():
+            some = np.flatnonzero(size == m)
+            words = every[off[some][:, None] + np.arange(m)]
+            h = np.zeros(len(words), dtype=np.int64)
+            for word in words.T:
+                h = _joint(h, word)
+            bucket = (h & np.uint64(BUCKETS - 1)).astype(np.int64) * (most + 1) + m
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+            columns = [pa.array(bucket[order[first]], pa.int32())]
+            for data, width in ((words[order], 8 * m), (n[some][order].astype(np.int64), 8)):
+                edges = pa.py_buffer((np.append(first, len(order)) * width).astype(np.int32))
+                columns.append(pa.Array.from_buffers(pa.binary(), len(first), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]))
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "words", "counts"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], most: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Over the rows of _dealt() sorted by bucket: (p, f) of the phrases with f >= least."""
+
+    def frequent(bucket: int, words: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        row, n = _merged(words, counts)
+        row, n, m = row[n >= least], n[n >= least], bucket % (most + 1)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * m, pa.int32()), pa.array(row.ravel(), pa.int64())), pa.array(n, pa.int64())], ["p", "f"])
+
+    held: tuple | None = None
+    for batch in batches:
+        for bucket, words, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "counts")), strict=True):
+            if held is not None and held[0] != bucket:
+                yield frequent(*held)
+                held = None
+            held = held or (bucket, [], [])
+            held[1].append(np.frombuffer(words, dtype=np.int64).reshape(-1, bucket % (most + 1)))
+            held[2].append(np.frombuffer(counts, dtype=np.int64))
+            if sum(map(len, held[2])) > 2 * len(held[2][0]) + COUNTED:
+                held = (bucket, *([x] for x in _merged(*held[1:])))
+    if held is not None:
+        yield frequent(*held)
 
 
 def _marks(df: DataFrame) -> np.ndarray:
@@ -450,7 +519,7 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     (lang, n), all word occurrences of each language."""
     spark = df.sparkSession
     own = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards = stored(own.mapInArrow(_shards, "vocab array<struct<lang:string,word:string,n:bigint>>, ids binary"), "shards")
+    shards = stored(own.mapInArrow(_shards, "vocab array<struct<lang:string,word:string,n:bigint>>, ids binary"), "shards", large=True)
     vocab = shards.select(F.explode("vocab").alias("v")).select("v.lang", "v.word", "v.n")
     totals = stored(vocab.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     counted = stored(vocab.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "counted")
@@ -460,7 +529,7 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     frequent = stored(counted.withColumn("gid", F.xxhash64(F.lit(seed), "lang", "word")), "words")
     known = spark.sparkContext.broadcast(_marks(frequent.select(F.col("gid").alias("a"), F.col("gid").alias("b"))))
     hashed = shards.select(F.transform("vocab", lambda v: F.xxhash64(F.lit(seed), v["lang"], v["word"])).alias("hashes"), "ids")
-    slim = stored(hashed.mapInArrow(lambda batches: _frequent_ids(batches, known.value), "gids array<long>, ids binary"), "frequent")
+    slim = stored(hashed.mapInArrow(lambda batches: _frequent_ids(batches, known.value), "gids array<long>, ids binary"), "frequent", large=True)
     released(shards)
     released(counted)
     kind = "bucket int, codes binary, counts binary"
@@ -468,8 +537,9 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     twos = spark.sparkContext.broadcast(_marks(pairs))
     triples = _frequent_codes(slim.mapInArrow(lambda batches: _packed(_threes(batches, twos.value), least), kind), least, "threes")
     threes = spark.sparkContext.broadcast(_marks(triples))
-    found = slim.mapInArrow(lambda batches: _mined(batches, most, twos.value, threes.value), "p array<long>, c long")
-    phrases = stored(found.groupBy("p").agg(F.sum("c").alias("f")).where(F.col("f") >= least), "phrases")
+    found = slim.mapInArrow(lambda batches: _dealt(_mined(batches, most, twos.value, threes.value), most), "bucket int, words binary, counts binary")
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket")
+    phrases = stored(dealt.mapInArrow(lambda batches: _counted(batches, most, least), "p array<long>, f long"), "phrases")
     released(slim)
     released(pairs)
     released(triples)

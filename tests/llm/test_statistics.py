@@ -6,10 +6,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from fernweave.llm import collocations as C, divergence as D, quality_rules as Q
 from fernweave.llm.queries import QUERIES
+from fernweave.llm.store import stored
 from tests.llm.conftest import SCHEMA, lower
 
 PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
@@ -101,6 +104,49 @@ def test_a_task_sends_each_phrase_once_and_none_around_a_rare_three():
     assert sorted(got) == sorted((w, n) for w, n in windows.items() if fits(w))
 
 
+def test_rows_of_frequent_words_are_short_and_end_between_pieces(monkeypatch):
+    monkeypatch.setattr(C, "PIECE", 50)
+    rng = np.random.default_rng(5)
+    hashes = np.sort(rng.integers(-(1 << 62), 1 << 62, 30))
+    ids = rng.integers(-1, 30, 2000).astype(np.int32)
+    marks = np.zeros(1 << 16, dtype=np.uint64)
+    bit = C._code(hashes[:20], hashes[:20]) & ((1 << 22) - 1)
+    np.bitwise_or.at(marks, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+    shard = pa.RecordBatch.from_arrays([pa.array([hashes.tolist()], pa.list_(pa.int64())), pa.array([ids.tobytes()], pa.binary())], ["hashes", "ids"])
+    rows = [r for b in C._frequent_ids(iter([shard]), marks) for r in b.to_pylist()]
+    parts = [np.frombuffer(r["ids"], dtype=np.int32) for r in rows]
+    assert len(rows) > 10 and all(50 <= len(x) < 100 and x[-1] == -1 for x in parts[:-1])
+    assert all(set(x[x >= 0].tolist()) == set(range(len(r["gids"]))) for x, r in zip(parts, rows, strict=True))
+    got = [r["gids"][k] if k >= 0 else None for x, r in zip(parts, rows, strict=True) for k in x.tolist()]
+    want = [int(hashes[k]) if 0 <= k < 20 else None for k in ids.tolist()]
+    assert got == [w for k, w in enumerate(want) if w is not None or (k and want[k - 1] is not None)]
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_phrases_cross_in_buckets_and_keep_their_counts(monkeypatch, held):
+    monkeypatch.setattr(C, "COUNTED", held)
+    monkeypatch.setattr(C, "BUCKETS", 4)
+    rng = np.random.default_rng(6)
+    words, total, dealt = rng.integers(-(1 << 62), 1 << 62, 6), Counter(), []
+    for _ in range(20):
+        own = Counter({tuple(words[rng.integers(0, 6, m)].tolist()): int(rng.integers(1, 1 << 33)) for m in (2, 2, 3, 4, 5) for _ in range(30)})
+        total += own
+        batch = pa.RecordBatch.from_arrays([pa.array([list(p) for p in own], pa.list_(pa.int64())), pa.array(list(own.values()), pa.int64())], ["p", "c"])
+        rows = [r for b in C._dealt(iter([batch, batch.slice(0, 0)]), 5) for r in b.to_pylist()]
+        assert len(rows) <= 4 * 4 < len(own)
+        dealt += [(r["bucket"], r["words"], r["counts"]) for r in rows]
+    dealt.sort(key=lambda r: r[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*dealt, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "words", "counts"])
+    got = [(tuple(r["p"]), r["f"]) for b in C._counted(iter([batch.slice(0, 7), batch.slice(7)]), 5, 1 << 32) for r in b.to_pylist()]
+    assert sorted(got) == sorted((p, n) for p, n in total.items() if n >= 1 << 32)
+
+
+def test_large_rows_are_stored_in_row_groups_of_bounded_size(spark):
+    table = stored(spark.range(0, 40, 1, 1).select(F.expr("array_join(transform(sequence(1, 16384), i -> sha2(concat(id, '-', i), 256)), '')").alias("x")), "large", large=True)
+    found = pq.ParquetFile(table.inputFiles()[0].removeprefix("file://")).metadata
+    assert found.num_rows == 40 and max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 20
+
+
 def test_scores_beyond_64_bits(spark):
     df = spark.sql("select cast(4e15 as bigint) a, cast(9e15 as bigint) n, cast(5e15 as bigint) l, cast(6e15 as bigint) r")
     exact = df.selectExpr("cast((cast(1000 * a as decimal(20,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as bigint) as s").first().s
